@@ -17,13 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from factloom.llm.common import added, int_lists, row_bytes, slices, without
+from factloom.llm.common import added, list_of, list_parts, ragged, slices, without
 
 #: Pieces that a worker keeps encoded; when there are more, it begins anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: White space of Unicode beyond ASCII, on whose classes regular expression engines differ.
-_RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
-_SPACE_THEN_SPACE = re.compile(" [ \t\n\r\x0b\x0c]")
+_RARE = "\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿"
+_RARE_SPACE = re.compile(f"[{_RARE}]")
+#: Texts in which some space isn't followed by a word, and empty texts.
+_ODD = f"[{_RARE}]| [ \t\n\r\x0b\x0c]| \\z|^\\z"
 _BEFORE_WORD = re.compile("(?= [^ \t\n\r\x0b\x0c])")
 
 
@@ -51,53 +53,100 @@ class ByteBpe:
         return cls._made[path, pattern]
 
     def __init__(self, path: str, pattern: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+        import numpy as np
 
+        self.path, self.pattern, self._tokenizer = path, pattern, None
         ranks = read_ranks(path)
-        shown = byte_characters()
-        spell = {token: "".join(shown[b] for b in token) for token in ranks}
-        merges = [(spell[t[:k]], spell[t[k:]]) for t in sorted(ranks, key=ranks.get) for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        model = models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
-        self.tokenizer = Tokenizer(model)
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.Split(Regex(pattern), "removed", invert=True), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
-        back = {c: b for b, c in enumerate(shown)}
         self.tokens = [b""] * (max(ranks.values()) + 1)
-        for written, rank in self.tokenizer.get_vocab().items():
-            self.tokens[rank] = bytes(back[c] for c in written)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.sizes = np.array([len(t) for t in self.tokens], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
+    @property
+    def tokenizer(self):
+        """The library's model of the ranks; decoding alone does without it."""
+        if self._tokenizer is None:
+            import os
+
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+            shown = byte_characters()
+            spell = {token: "".join(shown[b] for b in token) for token in self.tokens if token}
+            merges = [(spell[t[:k]], spell[t[k:]]) for t in self.tokens for k in range(1, len(t)) if t[:k] in spell and t[k:] in spell]
+            model = models.BPE(vocab={spell[t]: r for r, t in enumerate(self.tokens) if t}, merges=merges, ignore_merges=True, cache_capacity=0)
+            self._tokenizer = Tokenizer(model)
+            self._tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
+        return self._tokenizer
+
+    def _coded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece as little-endian int32 bytes."""
         import numpy as np
 
-        for piece, coded in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.known[piece] = np.array(coded.ids, dtype="<i4").tobytes()
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        if _RARE_SPACE.search(text):
-            return [text]
-        if text.endswith(" ") or _SPACE_THEN_SPACE.search(text):
-            return _BEFORE_WORD.split(text)
-        return text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else _BEFORE_WORD.split(text)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian int32 bytes; a null text has none."""
-        cut = [self._pieces(t) if t else [] for t in texts]
-        new = set().union(*cut)
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        self._learn([p for p in new if p not in self.known])
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        known = self.known
+        new = list({p for p in pieces if p not in known})
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            for piece, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[piece] = np.array(coded.ids, dtype="<i4").tobytes()
+        return [known[p] for p in pieces]
+
+    def encode(self, texts: pa.Array):
+        """(ends, ids): the end of each text's ids, and all ids. A null text has none.
+
+        In most texts every space stands before a word, so that Arrow's split finds the pieces
+        and a dictionary of them; the others are cut one by one.
+        """
+        import numpy as np
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        texts = pc.fill_null(texts, "")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
+        plain = texts if not len(odd) else pc.if_else(pc.match_substring_regex(texts, _ODD), "", texts)
+        words = pc.split_pattern(plain, " ")
+        heads = words.offsets.to_numpy()
+        coded = words.values.dictionary_encode() if len(words.values) else None
+        codes = coded.indices.to_numpy().astype(np.int64) if coded is not None else np.empty(0, np.int64)
+        later = [" " + w for w in coded.dictionary.to_pylist()] if coded is not None else []
+        first = words.values.take(pa.array(heads[:-1])).to_pylist() if coded is not None else []
+        codes[heads[:-1]] = len(later) + np.arange(len(first))
+        pieces = later + first
+        if len(odd):
+            own = {k: _pieces(texts[k].as_py()) for k in odd.tolist()}
+            parts, at = [], 0
+            for k in odd.tolist():
+                parts += [codes[heads[at] : heads[k]], np.arange(len(own[k])) + len(pieces)]
+                pieces += own[k]
+                at = k + 1
+            sizes = np.diff(heads)
+            sizes[odd] = [len(own[k]) for k in odd.tolist()]
+            codes = np.concatenate([*parts, codes[heads[at] :]])
+            heads = np.concatenate([[0], np.cumsum(sizes)])
+        table = self._coded(pieces)
+        lengths = np.array([len(b) // 4 for b in table], dtype=np.int64)
+        places, each = ragged(np.cumsum(lengths) - lengths, lengths, codes)
+        upto = np.concatenate([[0], np.cumsum(each)])
+        return upto[heads[1:]], np.frombuffer(b"".join(table), dtype="<i4")[places]
+
+    def decode(self, ends, ids) -> pa.Array:
+        """The bytes of each row's ids, given the offsets of the rows."""
+        import numpy as np
+
+        places, each = ragged(self.starts, self.sizes, ids)
+        upto = np.concatenate([[0], np.cumsum(each)])[ends].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(upto), pa.py_buffer(self.bytes[places])])
+
+
+def _pieces(text: str) -> list[str]:
+    if not text:
+        return []
+    return [text] if _RARE_SPACE.search(text) else _BEFORE_WORD.split(text)
 
 
 def spans(text: str, lengths) -> tuple[list[int], list[int]]:
@@ -130,13 +179,12 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", offsets:
         import numpy as np
 
         coder = ByteBpe.of(ranks, pattern)
-        sizes = np.array([len(t) for t in coder.tokens])
         for batch in slices(batches, text):
-            texts = batch.column(text).to_pylist()
-            coded = coder.encode(texts)
-            new = [int_lists(coded)]
+            ends, ids = coder.encode(batch.column(text))
+            new = [list_of(ends, ids)]
             if offsets:
-                both = [spans(t or "", sizes[np.frombuffer(c, dtype="<i4")]) for t, c in zip(texts, coded)]
+                sizes = np.split(coder.sizes[ids], ends[:-1])
+                both = [spans(t or "", n) for t, n in zip(batch.column(text).to_pylist(), sizes)]
                 new += [pa.array([b[k] for b in both], type=pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
@@ -152,12 +200,10 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> DataFra
     df = without(df, ["decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         coder = ByteBpe.of(ranks, pattern)
         for batch in slices(batches, ids):
-            rows = [coder.decode(np.frombuffer(r, dtype="<i4").tolist()) for r in row_bytes(batch.column(ids))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, type=pa.binary())], names=[*batch.schema.names, "decoded"])
+            decoded = coder.decode(*list_parts(batch.column(ids)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
 
     return df.mapInArrow(run, added(df, decoded=T.BinaryType()))
 

@@ -70,22 +70,31 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(at, rows)
 
 
-def int_lists(rows: list[bytes]) -> pa.ListArray:
-    """An Arrow list<int32> column from the raw little-endian bytes of each row."""
+def ragged(starts, lengths, codes):
+    """Places in a blob of the pieces `codes`, one after the other, and each piece's length there."""
     import numpy as np
 
-    ends = np.zeros(len(rows) + 1, dtype=np.int32)
-    np.cumsum([len(r) // 4 for r in rows], out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
+    each = lengths[codes]
+    ends = np.cumsum(each, dtype=np.int64)
+    shift = (starts[codes] - (ends - each)).astype(np.int32)
+    return np.repeat(shift, each) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32), each
 
 
-def row_bytes(column: pa.Array) -> list[bytes]:
-    """The raw little-endian int32 bytes of each row of a list column; a null row is empty."""
+def list_of(ends, values) -> pa.ListArray:
+    """An Arrow list column from the end of each row's values and the values."""
     import numpy as np
 
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
+
+
+def list_parts(column: pa.Array):
+    """Offsets and int32 values of a list column; null rows are empty, null items 0."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if column.null_count:
+        column = pc.if_else(column.is_valid(), column, pa.scalar([], type=column.type))
     ends = column.offsets.to_numpy()
-    data = column.values.fill_null(0).to_numpy(zero_copy_only=False).astype("<i4", copy=False) if len(column.values) else np.empty(0, "<i4")
-    nulls = column.is_null().to_pylist() if column.null_count else None
-    return [b"" if nulls and nulls[i] else data[ends[i] : ends[i + 1]].tobytes() for i in range(len(column))]
+    data = column.values
+    data = (data.fill_null(0) if data.null_count else data).to_numpy(zero_copy_only=False) if len(data) else np.empty(0, "<i4")
+    return ends - ends[0], data[ends[0] : ends[-1]].astype("<i4", copy=False)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, quality_rules, token_files
+from factloom.llm import byte_bpe, embedding_dedup, line_dedup, minhash, quality_rules, token_files
 from factloom.llm.common import scratch_dir, table
 
 
@@ -40,6 +40,20 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_start(rows, path).select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, shape=minhash.Shape(words=2))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("text_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
@@ -78,6 +92,9 @@ FROM base
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_token_files": op2_token_files,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op5_minhash": op5_minhash,
+    "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {"op10_quality_rules": OP10_SQL}

@@ -13,14 +13,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import added, int_lists, row_bytes, slices, without
+from factloom.llm.common import added, list_of, list_parts, ragged, slices, without
 
 #: Words that a worker keeps encoded; when there are more, it begins anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: A word of its own between words that are encoded in one call; words that hold it go alone.
 _MARK = "~"
 
@@ -68,41 +69,53 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
         mark = self.tokenizer.encode(f"a {_MARK} a", add_special_tokens=False).ids
         #: The id of the mark, if it is one id of its own.
         self.mark = mark[1] if len(mark) == 3 and mark[0] == mark[2] != mark[1] else None
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         import numpy as np
 
-        texts = [w.decode() for w in words]
-        alone = [k for k, t in enumerate(texts) if self.mark is None or _MARK in t]
-        for k, coded in zip(alone, self.tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False)):
-            self.known[words[k]] = np.array(coded.ids, dtype="<i4").tobytes()
-        apart = set(alone)
-        rest = [k for k in range(len(texts)) if k not in apart]
+        alone = [w for w in words if self.mark is None or _MARK in w]
+        for word, coded in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self.known[word] = np.array(coded.ids, dtype="<i4").tobytes()
+        rest = [w for w in words if self.mark is not None and _MARK not in w]
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(texts[k] for k in part), add_special_tokens=False).ids, dtype="<i4")
+            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(part), add_special_tokens=False).ids, dtype="<i4")
             ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
             if len(ends) != len(part):
                 raise ValueError("the tokenizer doesn't keep words apart")
             raw, start = ids.tobytes(), 0
-            for k, end in zip(part, ends):
-                self.known[words[k]] = raw[4 * start : 4 * end]
+            for word, end in zip(part, ends):
+                self.known[word] = raw[4 * start : 4 * end]
                 start = end + 1
 
-    def encode(self, texts: list[str | None], end: int | None) -> list[bytes]:
-        """Ids as little-endian int32 bytes. White space always ends a token, so that the ids
-        of a text are those of its words."""
-        tail = b"" if end is None else end.to_bytes(4, "little")
-        cut = [t.encode().split() if t else [] for t in texts]
+    def encode(self, texts: pa.Array, end: int | None):
+        """(ends, ids): the end of each text's ids, and all ids.
+
+        White space always ends a token, so that the ids of a text are those of its words; each
+        distinct word is encoded once.
+        """
+        import numpy as np
+
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        heads = words.offsets.to_numpy()
+        coded = words.values.dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known = self.known
-        self._learn(list(set().union(*cut).difference(known)))
-        return [b"".join(map(known.__getitem__, words)) + tail for words in cut]
+        self._learn([w for w in pieces if w not in self.known])
+        table = [self.known[w] for w in pieces]
+        lengths = np.array([len(b) // 4 for b in table], dtype=np.int64)
+        places, each = ragged(np.cumsum(lengths) - lengths, lengths, coded.indices.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(each)])[heads[1:]]
+        ids = np.frombuffer(b"".join(table), dtype="<i4")[places]
+        if end is not None:
+            ids = np.insert(ids, ends, end)
+            ends = ends + np.arange(1, len(ends) + 1)
+        return ends, ids
 
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", end: int | None = None) -> DataFrame:
@@ -114,11 +127,13 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", end: int | None =
     df = without(df, ["ids", "n_tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         coder = WordBpe.of(tokenizer)
         for batch in slices(batches, text):
-            coded = coder.encode(batch.column(text).to_pylist(), end)
-            counts = pa.array([len(c) // 4 for c in coded], type=pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, int_lists(coded), counts], names=[*batch.schema.names, "ids", "n_tokens"])
+            ends, ids = coder.encode(batch.column(text), end)
+            counts = pa.array(np.diff(ends, prepend=0).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, list_of(ends, ids), counts], names=[*batch.schema.names, "ids", "n_tokens"])
 
     return df.mapInArrow(run, added(df, ids=T.ArrayType(T.IntegerType()), n_tokens=T.IntegerType()))
 
@@ -167,7 +182,9 @@ def with_crc32(df: DataFrame, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = pa.array([zlib.crc32(r) for r in row_bytes(batch.column(ids))], type=pa.int64())
+            ends, values = list_parts(batch.column(ids))
+            raw = memoryview(values).cast("B")
+            sums = pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends.tolist(), ends[1:].tolist())], type=pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, sums], names=[*batch.schema.names, "ids_crc32"])
 
     return df.mapInArrow(run, added(df, ids_crc32=T.LongType()))
