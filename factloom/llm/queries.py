@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, embedding_dedup, line_dedup, minhash, quality_rules, token_files
+from factloom.llm import byte_bpe, embedding_dedup, license_scan, line_dedup, minhash, mixing, quality_rules, token_files, toxicity, warc_zip
 from factloom.llm.common import scratch_dir, table
 
 
@@ -44,11 +44,34 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "warc")
+    warc_zip.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc_zip.read(warc_zip.index(spark, path), path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs, shape=minhash.Shape(words=2))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (~toxicity.learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "shuffle_key")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.licensed(docs, license_scan.fit())
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_license_lines")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("text_sha256"))
@@ -59,6 +82,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+OP4_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
+
 OP10_SQL = r"""
 WITH words AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -93,8 +126,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_token_files": op2_token_files,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_warc_zip": op4_warc_zip,
     "op5_minhash": op5_minhash,
+    "op6_toxicity": op6_toxicity,
+    "op7_mixing": op7_mixing,
+    "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op10_quality_rules": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_warc_zip": OP4_SQL, "op7_mixing": mixing.oracle_sql(), "op10_quality_rules": OP10_SQL}
