@@ -90,7 +90,8 @@ def label_model(votes, given, shape: Shape):
     """
     import numpy as np
 
-    x = np.column_stack([votes, given]).astype(np.float64)
+    # Two more voters for class 0 and two for the given label: silence of all others, and each value.
+    x = np.column_stack([votes, votes.sum(axis=1) == 0, given == 1, given == 0]).astype(np.float64)
     p = np.clip(given.astype(np.float64), 0.02, 0.98)
     for _ in range(shape.rounds):
         prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
@@ -101,8 +102,9 @@ def label_model(votes, given, shape: Shape):
         spread = np.sqrt((left**2).mean(axis=0)) + 1e-9
         together = (left.T @ left) / len(x) / np.outer(spread, spread)
         np.fill_diagonal(together, 0)
-        say = 1 / (1 + np.clip(together, 0.05, None).sum(axis=0) - 0.05 * (len(together) - 1))
-        odds = np.log(prior / (1 - prior)) + x @ (say * np.log(one / zero)) + (1 - x) @ (say * np.log((1 - one) / (1 - zero)))
+        say = 1 / (1 + np.where(together > 0.1, together, 0).sum(axis=0))
+        # A voter that doesn't speak abstains: it says nothing of either class.
+        odds = np.log(prior / (1 - prior)) + x @ (say * np.log(one / zero))
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return p
 
