@@ -1,4 +1,6 @@
 """Registered queries over the driver's tables, with equivalent SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from factloom.plans import reconciling
+
+QUERIES = {**reconciling.QUERIES}
+ORACLES = {**reconciling.ORACLES}
