@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from factloom.llm.common import added, list_of, list_parts, ragged, slices, without
+from factloom.llm.common import Recent, added, list_of, list_parts, ragged, slices, without
 
-#: Pieces that a worker keeps encoded; when there are more, it begins anew.
+#: Pieces in each of the two generations that a worker keeps encoded.
 CACHE_PIECES = 200_000
 #: White space of Unicode beyond ASCII, on whose classes regular expression engines differ.
 _RARE = "\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿"
@@ -63,7 +63,7 @@ class ByteBpe:
         self.sizes = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(CACHE_PIECES, self._learn)
 
     @property
     def tokenizer(self):
@@ -84,19 +84,13 @@ class ByteBpe:
             )
         return self._tokenizer
 
-    def _coded(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece as little-endian int32 bytes."""
+    def _learn(self, pieces: list[str], known: dict[str, bytes]) -> None:
         import numpy as np
 
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        known = self.known
-        new = list({p for p in pieces if p not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(pieces), 20_000):
+            part = pieces[at : at + 20_000]
             for piece, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[piece] = np.array(coded.ids, dtype="<i4").tobytes()
-        return [known[p] for p in pieces]
 
     def encode(self, texts: pa.Array):
         """(ends, ids): the end of each text's ids, and all ids. A null text has none.
@@ -128,7 +122,7 @@ class ByteBpe:
             sizes[odd] = [len(own[k]) for k in odd.tolist()]
             codes = np.concatenate([*parts, codes[heads[at] :]])
             heads = np.concatenate([[0], np.cumsum(sizes)])
-        table = self._coded(pieces)
+        table = self.known.of(pieces)
         lengths = np.array([len(b) // 4 for b in table], dtype=np.int64)
         places, each = ragged(np.cumsum(lengths) - lengths, lengths, codes)
         upto = np.concatenate([[0], np.cumsum(each)])

@@ -70,6 +70,28 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(at, rows)
 
 
+class Recent:
+    """What a library said of each text, for those met lately: of two generations, each of at most
+    `size`, the older goes when the younger is full, and what is met again stays."""
+
+    def __init__(self, size: int, learn):
+        self.size, self.learn, self.young, self.old = size, learn, {}, {}
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for text in texts:
+            if text not in young:
+                held = old.get(text)
+                if held is None:
+                    new.append(text)
+                else:
+                    young[text] = held
+        self.learn(new, young)
+        return [young[text] for text in texts]
+
+
 def ragged(starts, lengths, codes):
     """Places in a blob of the pieces `codes`, one after the other, and each piece's length there."""
     import numpy as np

@@ -60,31 +60,57 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def earlier_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Of distinct lines (h1, h2, line, n, first), the (h1, h2) that lie within the threshold of
-    a line of smaller `first`, which orders them totally; its keys are the lines' 128-bit hashes.
+def _occurrences(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """(h1, h2, line, first) of every line long enough: 128 bits of its text, and its place in the corpus."""
+    lead = [*_place(F.col(key), F.col(text))]
+    lines = df.filter(F.length(text) >= least).select(lead[0].alias("k"), lead[1].alias("r"), F.posexplode(_lines(F.col(text))).alias("at", "line")).filter(F.length("line") >= least)
+    h1, h2 = hash128(F.col("line"))
+    return lines.select(h1.alias("h1"), h2.alias("h2"), "line", F.struct("k", "r", "at").alias("first"))
 
-    Segment hashes only propose pairs: every one is confirmed on the whole lines. A segment that
-    many lines share is a hot key of an inner join, which Spark may split.
+
+def _place(key: Column, text: Column) -> tuple[Column, Column]:
+    return F.coalesce(key.cast("long"), F.lit(-(2**63))), F.xxhash64(text)
+
+
+def _segments(lines: DataFrame, threshold: int) -> DataFrame:
+    """(h1, h2, entries, probes): the segment hashes of each distinct line.
+
+    They are computed where the line is read; what is shuffled is numbers, not text.
+    """
+    line, n = F.col("line"), F.length("line")
+    hashed = lines.select("h1", "h2", F.array(*_entries(n, line, threshold)).alias("e"), F.array(*_probes(n, line, threshold)).alias("p"))
+    return hashed.groupBy("h1", "h2").agg(F.first("e").alias("e"), F.first("p").alias("p"))
+
+
+def near_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(a1, a2, b1, b2): hashes of distinct lines that share a segment near its place; candidates only.
+
+    A segment that many lines share is a hot key of an inner join, which Spark may split.
+    """
+    both = _segments(lines, threshold)
+    index = both.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.explode("e").alias("s"))
+    probe = both.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.explode(F.array_distinct(F.array_compact("p"))).alias("s"))
+    pairs = index.join(probe, "s").filter((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2")))
+    # Lines of one length find each other twice.
+    swap = F.struct("a1", "a2") > F.struct("b1", "b2")
+    low = [F.when(swap, F.col(f"b{k}")).otherwise(F.col(f"a{k}")).alias(f"a{k}") for k in (1, 2)]
+    high = [F.when(swap, F.col(f"a{k}")).otherwise(F.col(f"b{k}")).alias(f"b{k}") for k in (1, 2)]
+    return pairs.select(*low, *high).distinct()
+
+
+def later_lines(lines: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """(h1, h2) of the lines in `pairs` that lie within the threshold of one that occurs earlier.
+
+    Pairs are confirmed on whole lines by levenshtein with the threshold.
     """
-    line, n = F.col("line"), F.col("n")
-    ids = [F.col("h1"), F.col("h2"), F.col("n"), F.col("first")]
-    index = lines.select(*ids, F.explode(F.array(*_entries(n, line, threshold))).alias("s"))
-    probe = lines.select(*ids, F.explode(F.array_distinct(F.array_compact(F.array(*_probes(n, line, threshold))))).alias("s"))
-    a, b = index.alias("a"), probe.alias("b")
-    differs = (F.col("a.h1") != F.col("b.h1")) | (F.col("a.h2") != F.col("b.h2"))
-    near = F.col("b.n").between(F.col("a.n"), F.col("a.n") + threshold)
-    # Lines of one length probe each other; one of the two is enough.
-    once = (F.col("a.n") < F.col("b.n")) | (F.col("a.first") < F.col("b.first"))
-    pairs = a.join(b, F.col("a.s") == F.col("b.s")).filter(differs & near & once)
-    early = F.when(F.col("a.first") < F.col("b.first"), 1).otherwise(0) == 1
-    ends = [F.when(early, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(f"e{c}") for c in ("h1", "h2")] + [F.when(early, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(f"l{c}") for c in ("h1", "h2")]
-    pairs = settled(pairs.select(*ends).distinct(), "line-pairs")
-    texts = lines.select("h1", "h2", "line")
-    one = pairs.join(texts.select(F.col("h1").alias("eh1"), F.col("h2").alias("eh2"), F.col("line").alias("early")), ["eh1", "eh2"])
-    two = one.join(texts.select(F.col("h1").alias("lh1"), F.col("h2").alias("lh2"), F.col("line").alias("late")), ["lh1", "lh2"])
-    close = F.levenshtein("early", "late", threshold)
-    return two.filter(close.between(0, threshold)).select(F.col("lh1").alias("h1"), F.col("lh2").alias("h2")).distinct()
+    wanted = settled(pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct(), "line-ids")
+    met = lines.join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("first", "line")).alias("x"))
+    met = settled(met.select("h1", "h2", "x.first", "x.line"), "line-texts")
+    one = pairs.join(met.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("af"), F.col("line").alias("al")), ["a1", "a2"])
+    two = one.join(met.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("bf"), F.col("line").alias("bl")), ["b1", "b2"])
+    near = two.filter(F.levenshtein("al", "bl", threshold).between(0, threshold))
+    late = F.when(F.col("af") < F.col("bf"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")))
+    return near.select(late.alias("x")).select("x.*").distinct()
 
 
 def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
@@ -97,13 +123,13 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", threshold
     keys come first. Columns named n_lines or n_dropped are replaced; all others stay.
     """
     df = without(df, ["n_lines", "n_dropped"])
-    lead = [F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("k"), F.xxhash64(F.col(text)).alias("r")]
-    lines = df.filter(F.length(text) >= least).select(*lead, F.posexplode(_lines(F.col(text))).alias("at", "line")).filter(F.length("line") >= least)
-    hashed = lines.select("line", *[h.alias(f"h{i}") for i, h in enumerate(hash128(F.col("line")), 1)], F.struct("k", "r", "at").alias("first"))
-    distinct = hashed.groupBy("h1", "h2").agg(F.min(F.struct("first", "line")).alias("x")).select("h1", "h2", F.col("x.line").alias("line"), F.length("x.line").alias("n"), F.col("x.first").alias("first"))
-    distinct = settled(distinct, "lines")
-    kept = distinct.select("h1", "h2", "first").join(earlier_links(distinct, threshold), ["h1", "h2"], "left_anti")
+    lines = _occurrences(df, key, text, least)
+    pairs = settled(near_pairs(lines, threshold), "line-pairs")
+    late = settled(later_lines(lines, pairs, threshold), "late-lines")
+    # A line's only occurrence that may stay is its first.
+    kept = lines.groupBy("h1", "h2").agg(F.min("first").alias("first")).join(late, ["h1", "h2"], "left_anti")
     stay = kept.groupBy(F.col("first.k").alias("__k"), F.col("first.r").alias("__r")).agg(F.collect_set("first.at").alias("__stay"))
+    lead = _place(F.col(key), F.col(text))
     rows = df.withColumns({"__k": lead[0], "__r": lead[1]}).join(stay, ["__k", "__r"], "left")
     split = _lines(F.col(text))
     short = F.filter(F.transform(split, lambda x, i: F.when(F.length(x) < least, i)), lambda i: i.isNotNull())

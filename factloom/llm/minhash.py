@@ -35,6 +35,7 @@ class Shape:
     """Shingles of `words` words; links of at least `percent` similarity; bands of `rows` values.
 
     At a similarity of exactly 0.8, 26 bands of 5 miss a pair with a chance of 3 in 100,000.
+    Buckets of more than `few` classes are compared in blocks of `block` classes.
     """
 
     words: int = 5
@@ -42,6 +43,8 @@ class Shape:
     bands: int = 26
     rows: int = 5
     seed: int = 1
+    few: int = 6
+    block: int = 128
 
 
 def _mixed(x):
@@ -220,6 +223,70 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _blocks(rows: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
+    """Links (a, b) that join components within buckets of many classes (k, id, c, size).
+
+    A bucket's classes are dealt to blocks, and each pair of blocks is one group, so a task holds
+    two blocks of sets at a time and emits no pairs: it compares all that differ in component,
+    and returns a forest of the links found.
+    """
+    blocks = F.ceil(F.col("size") / shape.block).cast("int")
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id", "k"), blocks).cast("int")).withColumn("third", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("k", "id", "c", F.least("mine", "third").alias("block"), F.greatest("mine", "third").alias("other"), (F.col("mine") > F.col("third")).alias("right"))
+    return dealt.join(sets, "id").groupBy("k", "block", "other").applyInPandas(_linked(shape.percent), "a long, b long")
+
+
+def _linked(percent: int):
+    def run(rows):
+        import numpy as np
+        import pandas as pd
+
+        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        rows = rows.drop_duplicates(["id", "right"])
+        group = rows["c"].to_numpy()
+        if (group == group[0]).all():
+            return none
+        ids, right = rows["id"].to_numpy(), rows["right"].to_numpy()
+        within = rows["block"].iloc[0] == rows["other"].iloc[0]
+        sets = [np.frombuffer(m, dtype=np.uint64) for m in rows["members"]]
+        sizes = np.array([len(s) for s in sets])
+        # Shingles of a single class are in no intersection.
+        _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.cumsum(often > 1) - 1
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        keep = often[code] > 1
+        owner, code = owner[keep], shared[code[keep]]
+        left, other = np.flatnonzero(~right), np.arange(len(sets)) if within else np.flatnonzero(right)
+        if not len(left) or not len(other):
+            return none
+        common = np.zeros((len(left), len(other)), dtype=np.float32)
+        width = min(16_384, int(shared[-1]) + 1)
+        for at in range(0, int(shared[-1]) + 1, max(1, width)):
+            part = (code >= at) & (code < at + width)
+            held = np.zeros((len(sets), width), dtype=np.float32)
+            held[owner[part], code[part] - at] = 1
+            common += held[left] @ held[other].T
+        both = sizes[left][:, None] + sizes[other][None, :]
+        i, j = np.nonzero((100 * common >= percent * (both - common)) & (group[left][:, None] != group[other][None, :]))
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        found = []
+        for a, b in zip(left[i].tolist(), other[j].tolist()):
+            # Components are vertices of the forest, members stand for them.
+            x, y = root(group[a]), root(group[b])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                found.append((ids[a], ids[b]))
+        return pd.DataFrame(found, columns=["a", "b"]) if found else none
+
+    return run
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shape: Shape = Shape()) -> DataFrame:
     """One row for each row of df: key, n_shingles, component_id (the smallest key reachable by
     links, its own included) and kept (key = component_id).
@@ -230,8 +297,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shap
 
     First, every class is compared with one hub only, the smallest class of its buckets, so a
     bucket of any size costs its size. Then, in buckets whose classes aren't all one component
-    yet, the classes of different components are compared, sizes permitting: no pair of a bucket
-    is left out that could still connect something, and none is compared within a component.
+    yet, the classes of different components are compared, in small buckets pair by pair, in
+    large ones in blocks: no pair of a bucket is left out that could still connect something.
     """
     rows = settled(signed(df, key, text, shape), "signed")
     worded = rows.filter("n > 0")
@@ -252,10 +319,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shap
     named = settled(named, "named")
     mixed = named.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("k")
     open_ = settled(named.join(mixed, "k"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
+    size = open_.groupBy("k").agg(F.count(F.lit(1)).alias("size"))
+    open_ = settled(open_.join(settled(size, "sizes"), "k"), "sized")
+    few = open_.filter(F.col("size") <= shape.few)
+    x, y = few.alias("x"), few.alias("y")
     second = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _close("x.n", "y.n", shape))
     second = second.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = settled(confirmed(settled(second, "pairs"), sets, shape.percent), "links")
+    more = confirmed(settled(second, "pairs"), sets, shape.percent)
+    more = settled(more.union(_blocks(open_.filter(F.col("size") > shape.few), sets, shape)), "links")
     reached = components(links.union(more))
     least = classes.select("id", F.col("key").alias("least")).join(reached, "id").groupBy("component").agg(F.min("least").alias("smallest"))
     owner = reached.join(least, "component").select("id", "smallest")

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import added, list_of, list_parts, ragged, slices, without
+from factloom.llm.common import Recent, added, list_of, list_parts, ragged, slices, without
 
-#: Words that a worker keeps encoded; when there are more, it begins anew.
-CACHE_WORDS = 200_000
+#: Words in each of the two generations that a worker keeps encoded.
+CACHE_WORDS = 300_000
 #: A word of its own between words that are encoded in one call; words that hold it go alone.
 _MARK = "~"
 
@@ -69,17 +69,17 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(CACHE_WORDS, self._learn)
         mark = self.tokenizer.encode(f"a {_MARK} a", add_special_tokens=False).ids
         #: The id of the mark, if it is one id of its own.
         self.mark = mark[1] if len(mark) == 3 and mark[0] == mark[2] != mark[1] else None
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str], known: dict[str, bytes]) -> None:
         import numpy as np
 
         alone = [w for w in words if self.mark is None or _MARK in w]
         for word, coded in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self.known[word] = np.array(coded.ids, dtype="<i4").tobytes()
+            known[word] = np.array(coded.ids, dtype="<i4").tobytes()
         rest = [w for w in words if self.mark is not None and _MARK not in w]
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
@@ -89,7 +89,7 @@ class WordBpe:
                 raise ValueError("the tokenizer doesn't keep words apart")
             raw, start = ids.tobytes(), 0
             for word, end in zip(part, ends):
-                self.known[word] = raw[4 * start : 4 * end]
+                known[word] = raw[4 * start : 4 * end]
                 start = end + 1
 
     def encode(self, texts: pa.Array, end: int | None):
@@ -103,11 +103,7 @@ class WordBpe:
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         heads = words.offsets.to_numpy()
         coded = words.values.dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        self._learn([w for w in pieces if w not in self.known])
-        table = [self.known[w] for w in pieces]
+        table = self.known.of(coded.dictionary.to_pylist())
         lengths = np.array([len(b) // 4 for b in table], dtype=np.int64)
         places, each = ragged(np.cumsum(lengths) - lengths, lengths, coded.indices.to_numpy())
         ends = np.concatenate([[0], np.cumsum(each)])[heads[1:]]
