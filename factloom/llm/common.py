@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Text that one Arrow batch handed to or from a library may hold, in bytes.
 SLICE_BYTES = 8_000_000
+#: Spark's setting that removes a query's shuffle files at its end.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +40,26 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files of a query go when the query has ended, not at some later collection of garbage."""
+    before = spark.conf.get(TIDY)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY, before)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: it is computed once, and executors may go."""
+    """df written to the shared folder and read back: it is computed once, and executors may go.
+
+    Its shuffle files go as soon as it is written, so that disks hold those of one step at a time.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    with tidied(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,12 +78,12 @@ def hash128(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols), F.xxhash64(F.lit(0x9E3779B9), *cols)]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that `column` holds about SLICE_BYTES in each (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that `column` holds about `size` bytes in each (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.column(column).nbytes)))
+        rows = max(1, int(batch.num_rows * size / max(1, batch.column(column).nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 

@@ -17,42 +17,42 @@ from factloom.llm.common import hash128, settled, without
 
 THRESHOLD = 2
 LEAST = 40
+#: Lines under one segment up to which they are paired row by row; beyond, in blocks of BLOCK lines.
+FEW = 40
+BLOCK = 64
 
 
-def _segment(k: int, n: Column, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment k of a line of n code points; the last ones are longer."""
-    short = F.floor(n / parts).cast("int")
-    longer = n % parts
-    before = F.lit(k) * short + F.greatest(F.lit(0), longer - (parts - k))
-    return (before + 1).cast("int"), (short + (F.lit(k) >= parts - longer).cast("int")).cast("int")
+def _cuts(lines: DataFrame, threshold: int) -> DataFrame:
+    """lines (n, line) with the start (from 1) and length of each segment of a line of n - d code
+    points as columns `at_d_k` and `size_d_k`; the last segments are longer."""
+    parts, cuts = threshold + 1, {}
+    for d in range(threshold + 1):
+        short, longer = F.expr(f"int((n - {d}) div {parts})"), F.expr(f"(n - {d}) % {parts}")
+        for k in range(parts):
+            cuts[f"at_{d}_{k}"] = (F.lit(k) * short + F.greatest(F.lit(0), longer - (parts - k)) + 1).cast("int")
+            cuts[f"size_{d}_{k}"] = (short + (longer + k >= parts).cast("int")).cast("int")
+    return lines.withColumns(cuts)
 
 
-def _entries(n: Column, line: Column, threshold: int) -> list[Column]:
-    parts = threshold + 1
-    out = []
-    for k in range(parts):
-        start, size = _segment(k, n, parts)
-        out.append(F.xxhash64(F.lit(k), n, line.substr(start, size)))
-    return out
+def _entries(threshold: int) -> list[Column]:
+    """The hashes under which a line is entered: its segments, with their number and its length."""
+    return [F.xxhash64(F.lit(k), "n", F.col("line").substr(F.col(f"at_0_{k}"), F.col(f"size_0_{k}"))) for k in range(threshold + 1)]
 
 
-def _probes(n: Column, line: Column, threshold: int) -> list[Column]:
+def _probes(threshold: int) -> list[Column]:
     """The hashes under which lines no longer than this one may be entered.
 
     With d = the difference of lengths, segment k can have moved by i places only if the edits
     left of it (at least |i|) and right of it (at least |d - i|) leave enough: both bounds of
-    the multi-match-aware selection hold.
+    the multi-match-aware selection hold. Places beyond the ends of very short lines only give
+    candidates that are refused later.
     """
-    parts = threshold + 1
-    out = []
+    parts, out = threshold + 1, []
     for d in range(threshold + 1):
-        m = n - d
         for k in range(parts):
-            start, size = _segment(k, m, parts)
             low, high = max(-k, d - (parts - 1 - k)), min(k, d + (parts - 1 - k))
             for i in range(low, high + 1):
-                at = start + i
-                out.append(F.when((at >= 1) & (at + size - 1 <= n), F.xxhash64(F.lit(k), m, line.substr(at, size))))
+                out.append(F.xxhash64(F.lit(k), F.col("n") - d, F.col("line").substr(F.col(f"at_{d}_{k}") + i, F.col(f"size_{d}_{k}"))))
     return out
 
 
@@ -60,57 +60,79 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _occurrences(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(h1, h2, line, first) of every line long enough: 128 bits of its text, and its place in the corpus."""
-    lead = [*_place(F.col(key), F.col(text))]
-    lines = df.filter(F.length(text) >= least).select(lead[0].alias("k"), lead[1].alias("r"), F.posexplode(_lines(F.col(text))).alias("at", "line")).filter(F.length("line") >= least)
-    h1, h2 = hash128(F.col("line"))
-    return lines.select(h1.alias("h1"), h2.alias("h2"), "line", F.struct("k", "r", "at").alias("first"))
-
-
 def _place(key: Column, text: Column) -> tuple[Column, Column]:
     return F.coalesce(key.cast("long"), F.lit(-(2**63))), F.xxhash64(text)
 
 
-def _segments(lines: DataFrame, threshold: int) -> DataFrame:
-    """(h1, h2, entries, probes): the segment hashes of each distinct line.
+def distinct_lines(df: DataFrame, key: str, text: str, threshold: int, least: int) -> DataFrame:
+    """(id, k, r, at, e, p): every distinct line that is long enough, known by 128 bits of its text,
+    with its first place in the corpus and the hashes of its segments and probes.
 
-    They are computed where the line is read; what is shuffled is numbers, not text.
+    Hashes are computed where the line is read; what is shuffled is numbers, not text.
     """
-    line, n = F.col("line"), F.length("line")
-    hashed = lines.select("h1", "h2", F.array(*_entries(n, line, threshold)).alias("e"), F.array(*_probes(n, line, threshold)).alias("p"))
-    return hashed.groupBy("h1", "h2").agg(F.first("e").alias("e"), F.first("p").alias("p"))
+    k, r = _place(F.col(key), F.col(text))
+    lines = df.filter(F.length(text) >= least).select(k.alias("k"), r.alias("r"), F.posexplode(_lines(F.col(text))).alias("at", "line"))
+    lines = lines.withColumn("n", F.length("line")).filter(F.col("n") >= least)
+    h1, h2 = hash128(F.col("line"))
+    entries, probes = _entries(threshold), _probes(threshold)
+    hashed = _cuts(lines, threshold).select(h1.alias("h1"), h2.alias("h2"), F.struct("k", "r", "at").alias("first"), F.array(*entries).alias("e"), F.array(*probes).alias("p"))
+    one = hashed.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("e").alias("e"), F.first("p").alias("p"))
+    return one.select(F.monotonically_increasing_id().alias("id"), "first.*", "e", "p")
 
 
-def near_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a1, a2, b1, b2): hashes of distinct lines that share a segment near its place; candidates only.
+def _index(lines: DataFrame) -> DataFrame:
+    return lines.select("id", F.explode("e").alias("s"))
 
-    A segment that many lines share is a hot key of an inner join, which Spark may split.
-    """
-    both = _segments(lines, threshold)
-    index = both.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.explode("e").alias("s"))
-    probe = both.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.explode(F.array_distinct(F.array_compact("p"))).alias("s"))
-    pairs = index.join(probe, "s").filter((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2")))
+
+def _probe(lines: DataFrame) -> DataFrame:
+    return lines.select("id", F.explode(F.array_distinct("p")).alias("s"))
+
+
+def near_pairs(lines: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(a, b), a < b: ids of distinct lines that share a segment near its place, but for crowded
+    segments (s); candidates only, linear in the lines."""
+    index, probe = _index(lines).withColumnRenamed("id", "a"), _probe(lines).withColumnRenamed("id", "b")
+    pairs = index.join(crowded, "s", "left_anti").join(probe.join(crowded, "s", "left_anti"), "s").filter("a <> b")
     # Lines of one length find each other twice.
-    swap = F.struct("a1", "a2") > F.struct("b1", "b2")
-    low = [F.when(swap, F.col(f"b{k}")).otherwise(F.col(f"a{k}")).alias(f"a{k}") for k in (1, 2)]
-    high = [F.when(swap, F.col(f"a{k}")).otherwise(F.col(f"b{k}")).alias(f"b{k}") for k in (1, 2)]
-    return pairs.select(*low, *high).distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def later_lines(lines: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
-    """(h1, h2) of the lines in `pairs` that lie within the threshold of one that occurs earlier.
+def line_texts(df: DataFrame, key: str, text: str, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, first, line) of the wanted lines (id); a document that holds some of them first is read once."""
+    places = lines.select("id", "k", "r", "at").join(wanted, "id", "left_semi").groupBy("k", "r").agg(F.collect_list(F.struct("id", "at")).alias("own"))
+    k, r = _place(F.col(key), F.col(text))
+    texts = df.filter(F.length(text) > 0).select(k.alias("k"), r.alias("r"), F.col(text).alias("text")).join(places, ["k", "r"])
+    texts = texts.select("k", "r", "own", _lines(F.col("text")).alias("split"))
+    cut = F.transform("own", lambda x: F.struct(x["id"].alias("id"), x["at"].alias("at"), F.get("split", x["at"]).alias("line")))
+    return texts.select("k", "r", F.explode(cut).alias("x")).select("x.id", F.struct("k", "r", "x.at").alias("first"), "x.line").dropDuplicates(["id"])
 
-    Pairs are confirmed on whole lines by levenshtein with the threshold.
-    """
-    wanted = settled(pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct(), "line-ids")
-    met = lines.join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("first", "line")).alias("x"))
-    met = settled(met.select("h1", "h2", "x.first", "x.line"), "line-texts")
-    one = pairs.join(met.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("af"), F.col("line").alias("al")), ["a1", "a2"])
-    two = one.join(met.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("bf"), F.col("line").alias("bl")), ["b1", "b2"])
+
+def later_of_pairs(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(id) of each pair's later line, if levenshtein on the whole lines confirms the pair."""
+    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("first").alias("af"), F.col("line").alias("al")), "a")
+    two = one.join(texts.select(F.col("id").alias("b"), F.col("first").alias("bf"), F.col("line").alias("bl")), "b")
     near = two.filter(F.levenshtein("al", "bl", threshold).between(0, threshold))
-    late = F.when(F.col("af") < F.col("bf"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")))
-    return near.select(late.alias("x")).select("x.*").distinct()
+    return near.select(F.when(F.col("af") < F.col("bf"), F.col("b")).otherwise(F.col("a")).alias("id"))
+
+
+def later_in_crowds(crowds: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(id) of the lines in crowds (s, side: 0 entered, 1 probing, id) within the threshold of an earlier one.
+
+    Each side of a crowded segment is dealt to blocks of about BLOCK lines; two blocks meet in one
+    row, where lines are compared until the first that fits, so that no pairs are made.
+    """
+    sizes = settled(crowds.groupBy("s", "side").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "crowd-sizes")
+    dealt = crowds.join(sizes, ["s", "side"]).select("s", "side", "id", F.pmod(F.xxhash64("id"), "blocks").alias("block")).join(texts, "id")
+    blocks = settled(dealt.groupBy("s", "side", "block").agg(F.collect_list(F.struct("first", "line", "id")).alias("own")), "line-blocks")
+    x, y = (blocks.filter(F.col("side") == k).select("s", F.col("block").alias(f"b{k}"), F.col("own").alias(f"own{k}")) for k in (0, 1))
+    n = int(crowds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = x.join(y, "s").repartition(n, "s", "b0", "b1")
+
+    def late(mine: str, others: str) -> Column:
+        near = lambda u, v: (v["first"] < u["first"]) & F.levenshtein(u["line"], v["line"], threshold).between(0, threshold)
+        return F.transform(F.filter(mine, lambda u: F.exists(others, lambda v: near(u, v))), lambda u: u["id"])
+
+    return met.select(F.explode(F.array_union(late("own0", "own1"), late("own1", "own0"))).alias("id"))
 
 
 def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
@@ -123,12 +145,17 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", threshold
     keys come first. Columns named n_lines or n_dropped are replaced; all others stay.
     """
     df = without(df, ["n_lines", "n_dropped"])
-    lines = _occurrences(df, key, text, least)
-    pairs = settled(near_pairs(lines, threshold), "line-pairs")
-    late = settled(later_lines(lines, pairs, threshold), "late-lines")
+    lines = settled(distinct_lines(df, key, text, threshold, least), "lines")
+    crowded = settled(_index(lines).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FEW).select("s"), "crowded")
+    pairs = settled(near_pairs(lines, crowded), "line-pairs")
+    sides = [part(lines).join(crowded, "s").select("s", F.lit(k).alias("side"), "id") for k, part in enumerate((_index, _probe))]
+    crowds = settled(sides[0].union(sides[1]), "line-crowds")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowds.select("id")).distinct()
+    texts = settled(line_texts(df, key, text, lines, wanted), "line-texts")
+    late = settled(later_of_pairs(pairs, texts, threshold).union(later_in_crowds(crowds, texts, threshold)).distinct(), "late-lines")
     # A line's only occurrence that may stay is its first.
-    kept = lines.groupBy("h1", "h2").agg(F.min("first").alias("first")).join(late, ["h1", "h2"], "left_anti")
-    stay = kept.groupBy(F.col("first.k").alias("__k"), F.col("first.r").alias("__r")).agg(F.collect_set("first.at").alias("__stay"))
+    kept = lines.select("id", "k", "r", "at").join(late, "id", "left_anti")
+    stay = kept.groupBy(F.col("k").alias("__k"), F.col("r").alias("__r")).agg(F.collect_set("at").alias("__stay"))
     lead = _place(F.col(key), F.col(text))
     rows = df.withColumns({"__k": lead[0], "__r": lead[1]}).join(stay, ["__k", "__r"], "left")
     split = _lines(F.col(text))

@@ -83,7 +83,10 @@ def distance(a, b):
     return row[-1]
 
 
-def test_line_dedup_as_a_full_comparison(spark):
+@pytest.mark.parametrize("few", [line_dedup.FEW, 0])
+def test_line_dedup_as_a_full_comparison(spark, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "BLOCK", 5)
     rng = random.Random(5)
     line = lambda n: "".join(rng.choice("abcd é") for _ in range(n))
     pool = [line(n) for n in (12, 13, 20, 21, 30, 45)]
