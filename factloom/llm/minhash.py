@@ -25,9 +25,11 @@ from factloom.llm.common import settled, slices
 from factloom.llm.graph import components
 
 #: Words whose hashes a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+#: Bytes of text that are cut into words together.
+TEXT_BYTES = 2_000_000
 #: Shingles that are put through the steps of the signature together.
-TOGETHER = 100_000
+TOGETHER = 30_000
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,8 @@ class Shape:
     """Shingles of `words` words; links of at least `percent` similarity; bands of `rows` values.
 
     At a similarity of exactly 0.8, 26 bands of 5 miss a pair with a chance of 3 in 100,000.
-    Buckets of more than `few` classes are compared in blocks of `block` classes.
+    Buckets of more than `few` classes are compared in blocks of about `block` classes, or fewer
+    if these hold more than `held` shingles.
     """
 
     words: int = 5
@@ -44,7 +47,8 @@ class Shape:
     rows: int = 5
     seed: int = 1
     few: int = 6
-    block: int = 128
+    block: int = 512
+    held: int = 1_000_000
 
 
 def _mixed(x):
@@ -169,7 +173,7 @@ def signed(df: DataFrame, key: str, text: str, shape: Shape) -> DataFrame:
         import numpy as np
         import xxhash
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             sets = shingle_sets(batch.column("text").to_pylist(), shape.words)
             full = [s for s in sets if len(s)]
             signs = signatures(full, shape.bands * shape.rows, shape.seed).reshape(len(full), shape.bands, shape.rows)
@@ -195,7 +199,7 @@ def _sets_of(df: DataFrame, key: str, text: str, wanted: DataFrame, shape: Shape
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             sets = shingle_sets(batch.column("text").to_pylist(), shape.words)
             h1, h2 = _digests(sets)
             # A key may stand on rows of other texts; only the class's own set counts.
@@ -224,13 +228,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
-    """Links (a, b) that join components within buckets of many classes (k, id, c, size).
+    """Links (a, b) that join components within buckets of many classes (k, id, c, size, total).
 
     A bucket's classes are dealt to blocks, and each pair of blocks is one group, so a task holds
     two blocks of sets at a time and emits no pairs: it compares all that differ in component,
     and returns a forest of the links found.
     """
-    blocks = F.ceil(F.col("size") / shape.block).cast("int")
+    blocks = F.ceil(F.greatest(F.col("size") / shape.block, F.col("total") / shape.held)).cast("int")
     dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id", "k"), blocks).cast("int")).withColumn("third", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("k", "id", "c", F.least("mine", "third").alias("block"), F.greatest("mine", "third").alias("other"), (F.col("mine") > F.col("third")).alias("right"))
     return dealt.join(sets, "id").groupBy("k", "block", "other").applyInPandas(_linked(shape.percent), "a long, b long")
@@ -260,7 +264,7 @@ def _linked(percent: int):
         if not len(left) or not len(other):
             return none
         common = np.zeros((len(left), len(other)), dtype=np.float32)
-        width = min(16_384, int(shared[-1]) + 1)
+        width = min(4_096, int(shared[-1]) + 1)
         for at in range(0, int(shared[-1]) + 1, max(1, width)):
             part = (code >= at) & (code < at + width)
             held = np.zeros((len(sets), width), dtype=np.float32)
@@ -319,7 +323,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shap
     named = settled(named, "named")
     mixed = named.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("k")
     open_ = settled(named.join(mixed, "k"), "open")
-    size = open_.groupBy("k").agg(F.count(F.lit(1)).alias("size"))
+    size = open_.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
     open_ = settled(open_.join(settled(size, "sizes"), "k"), "sized")
     few = open_.filter(F.col("size") <= shape.few)
     x, y = few.alias("x"), few.alias("y")
