@@ -20,12 +20,16 @@ from pyspark.sql import types as T
 
 from factloom.llm.common import added, settled, slices, without
 
+#: Bytes of text that are cut into words together.
+TEXT_BYTES = 2_000_000
+
 
 @dataclass(frozen=True)
 class Shape:
     """sample: labelled rows to learn from, at most (expected; they are drawn by a hash of their key).
     voters and features: how many terms vote and how many the classifier weighs, at most.
-    prefix: letters of a prefix pattern. support: sampled documents that a term must be in."""
+    prefix: letters of a prefix pattern. support: sampled documents that a term must be in.
+    trust: least accuracy of the given labels. sway: most that all other voters count, in log odds."""
 
     sample: int = 24_000
     voters: int = 400
@@ -35,6 +39,8 @@ class Shape:
     rounds: int = 12
     steps: int = 400
     penalty: float = 2e-5
+    trust: float = 0.99
+    sway: float = 2.0
 
 
 @dataclass(frozen=True)
@@ -68,7 +74,7 @@ def _pairs(df: DataFrame, prefix: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             words, coded = _words(batch.column("text"))
             owner = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
             codes = coded.indices.to_numpy()
@@ -85,18 +91,21 @@ def label_model(votes, given, shape: Shape):
     """Posterior probabilities of class 1 from votes (rows x voters of 0 or 1) and given labels.
 
     Each voter speaks with a probability of its own in either class; that of the given label is
-    its accuracy. A voter's log odds are divided by 1 plus the sum of its positive correlations
-    with the others within the classes.
+    its accuracy, which is at least shape.trust. A voter's log odds are divided by 1 plus the sum
+    of its positive correlations with the others within the classes, and all voters together
+    count for at most shape.sway. So the classes stay those of the labels: words that go with a
+    language or with a group of copies can't take them over, however many they are.
     """
     import numpy as np
 
-    # Two more voters for class 0 and two for the given label: silence of all others, and each value.
-    x = np.column_stack([votes, votes.sum(axis=1) == 0, given == 1, given == 0]).astype(np.float64)
+    # One more voter for class 0: silence of all others.
+    x = np.column_stack([votes, votes.sum(axis=1) == 0]).astype(np.float64)
     p = np.clip(given.astype(np.float64), 0.02, 0.98)
     for _ in range(shape.rounds):
         prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
         one = (p @ x + 0.5) / (p.sum() + 1)
         zero = ((1 - p) @ x + 0.5) / ((1 - p).sum() + 1)
+        right = [np.clip((q @ (given == y) + 0.5) / (q.sum() + 1), shape.trust, 0.9999) for y, q in ((0, 1 - p), (1, p))]
         # What is left of the votes when the classes are known shows which voters say the same.
         left = x - np.outer(p, one) - np.outer(1 - p, zero)
         spread = np.sqrt((left**2).mean(axis=0)) + 1e-9
@@ -104,7 +113,9 @@ def label_model(votes, given, shape: Shape):
         np.fill_diagonal(together, 0)
         say = 1 / (1 + np.where(together > 0.1, together, 0).sum(axis=0))
         # A voter that doesn't speak abstains: it says nothing of either class.
-        odds = np.log(prior / (1 - prior)) + x @ (say * np.log(one / zero))
+        spoken = np.clip(x @ (say * np.log(one / zero)), -shape.sway, shape.sway)
+        told = np.where(given == 1, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0]))
+        odds = np.log(prior / (1 - prior)) + told + spoken
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return p
 
@@ -191,7 +202,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         number = {t: k for k, t in enumerate(model.weights)}
         weights = np.array(list(model.weights.values()))
         width = max(1, len(number))
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, TEXT_BYTES):
             words, coded = _words(batch.column(text))
             owner = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
             codes = coded.indices.to_numpy()
