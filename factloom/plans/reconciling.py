@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import derive, export, reconcile, validation
@@ -118,7 +118,7 @@ def dedupe_explicit_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.dedupe_explicit_date(facts(spark, sf_dir), key, "report_date", order()).select(*key, "report_date", "fact_id", "kept", "reason")
 
 
-PART = {name: F.col("statement_type") == flag for name, flag in (("assets", "A"), ("liabilities", "N"), ("equity", "R"))}
+PARTS = {"assets": "A", "liabilities": "N", "equity": "R"}
 
 
 @query(f"""WITH {FACTS}, best AS (
@@ -130,7 +130,8 @@ SELECT d.doc_id, d.year, assets, liabilities, equity, round(abs(assets - (liabil
             WHEN abs(assets - (liabilities + equity)) <= greatest(1.0, abs(assets) * 0.0001, abs(liabilities) * 0.0001, abs(equity) * 0.0001) THEN 'pass' ELSE 'fail' END AS status
 FROM (SELECT DISTINCT doc_id, year FROM facts) d LEFT JOIN wide w USING (doc_id, year)""")
 def balance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.balance(facts(spark, sf_dir), ["doc_id", "year"], PART, order())
+    parts = {name: F.col("statement_type") == flag for name, flag in PARTS.items()}
+    return validation.balance(facts(spark, sf_dir), ["doc_id", "year"], parts, order())
 
 
 SUBTOTALS = f"""WITH {FACTS}, grouped AS (SELECT doc_id, provider, fact_id AS row, bool_or(tax > 0.07) AS is_total, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS value
@@ -213,15 +214,18 @@ def formula_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.rule_impact(_conflicts(spark, sf_dir))
 
 
-BLOCKERS = [
-    ("unmapped", F.col("doc_id") % 10 == 0),
-    ("mapping_review_required", F.col("doc_id") % 10 == 1),
-    ("non_numeric_or_blank", F.col("value").isNull()),
-    ("statement_type_blocked", F.col("statement_type") == "R"),
-    ("unknown_date", F.col("report_date") == "unknown_date"),
-    ("unknown_period_role", F.col("role") == "F"),
-    ("status_blocked", F.col("status") == "review"),
-]
+def _blockers() -> list[tuple[str, Column]]:
+    return [
+        ("unmapped", F.col("doc_id") % 10 == 0),
+        ("mapping_review_required", F.col("doc_id") % 10 == 1),
+        ("non_numeric_or_blank", F.col("value").isNull()),
+        ("statement_type_blocked", F.col("statement_type") == "R"),
+        ("unknown_date", F.col("report_date") == "unknown_date"),
+        ("unknown_period_role", F.col("role") == "F"),
+        ("status_blocked", F.col("status") == "review"),
+    ]
+
+
 BLOCKER = """CASE WHEN doc_id % 10 = 0 THEN 'unmapped' WHEN doc_id % 10 = 1 THEN 'mapping_review_required' WHEN value IS NULL THEN 'non_numeric_or_blank'
   WHEN statement_type = 'R' THEN 'statement_type_blocked' WHEN report_date = 'unknown_date' THEN 'unknown_date' WHEN role = 'F' THEN 'unknown_period_role'
   WHEN status = 'review' THEN 'status_blocked' ELSE '' END"""
@@ -229,7 +233,7 @@ BLOCKER = """CASE WHEN doc_id % 10 = 0 THEN 'unmapped' WHEN doc_id % 10 = 1 THEN
 
 @query(f"WITH {FACTS} SELECT statement_type, {BLOCKER} AS blocker, count(*) AS n FROM facts GROUP BY ALL")
 def export_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir).groupBy("statement_type", export.first_reason(BLOCKERS).alias("blocker")).agg(F.count(F.lit(1)).alias("n"))
+    return facts(spark, sf_dir).groupBy("statement_type", export.first_reason(_blockers()).alias("blocker")).agg(F.count(F.lit(1)).alias("n"))
 
 
 CELL = ["doc_id", "report_date"]
@@ -241,7 +245,7 @@ winners AS (SELECT doc_id, report_date, value, fact_id, CASE WHEN low = high AND
 
 
 def _winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    open_ = facts(spark, sf_dir).filter(export.first_reason(BLOCKERS) == "")
+    open_ = facts(spark, sf_dir).filter(export.first_reason(_blockers()) == "")
     return export.export_winners(open_, CELL, order(), accepted=F.col("status") == "observed").select(*CELL, "value", "fact_id", "export")
 
 
