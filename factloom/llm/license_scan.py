@@ -198,13 +198,14 @@ def scan(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -
     words = F.filter(F.split(F.lower("para"), "[^a-z0-9]+"), lambda w: w != "")
     lines = lines.withColumn("w", words)
     n = F.size("w")
-    two = F.transform(F.slice("w", 1, F.greatest(n - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get("w", i + 1)))
+    # The words are arguments of zip_with only: a filter that Spark moves below them stays linear.
+    two = F.zip_with("w", F.slice("w", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    three = F.zip_with(two, F.slice("w", 3, F.greatest(n - 2, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     known = sorted(g for g in model.weights if g.count(" ") == 1)
     # Only 2-grams of notices can begin their 3-grams, so the few that stay tell where to look.
-    at = F.filter(F.transform(two, lambda g, i: F.when(g.isin(known), F.struct(g.alias("g"), i.alias("i")))), lambda x: x.isNotNull())
-    hits = lines.select("key", "row", "line", "w", at.alias("at")).filter(F.size("at") > 0)
-    three = F.transform("at", lambda x: F.concat(x["g"], F.lit(" "), F.coalesce(F.get("w", x["i"] + 2), F.lit(""))))
-    grams = hits.select("key", "row", "line", F.explode(F.array_distinct(F.concat(F.transform("at", lambda x: x["g"]), three))).alias("gram"))
+    at = F.filter(F.zip_with(two, three, lambda g, t: F.when(g.isin(known), F.struct(g.alias("g"), t.alias("t")))), lambda x: x.isNotNull())
+    hits = lines.select("key", "row", "line", at.alias("at")).filter(F.size("at") > 0)
+    grams = hits.select("key", "row", "line", F.explode(F.array_distinct(F.concat(F.transform("at", lambda x: x["g"]), F.transform("at", lambda x: x["t"])))).alias("gram"))
     met = grams.distinct().join(F.broadcast(_tables(spark, model)), "gram")
     sums = [F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(families))]
     counts = [F.count_if(F.array_contains("held", k)).alias(f"c{k}") for k in range(len(model.notices))]
