@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from factloom.llm.common import Recent, added, list_of, list_parts, ragged, slices, without
 
 #: Pieces in each of the two generations that a worker keeps encoded.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 80_000
 #: White space of Unicode beyond ASCII, on whose classes regular expression engines differ.
 _RARE = "\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿"
 _RARE_SPACE = re.compile(f"[{_RARE}]")

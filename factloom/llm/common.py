@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Text that one Arrow batch handed to or from a library may hold, in bytes.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
 #: Spark's setting that removes a query's shuffle files at its end.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

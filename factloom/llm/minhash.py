@@ -25,7 +25,7 @@ from factloom.llm.common import settled, slices
 from factloom.llm.graph import components
 
 #: Words whose hashes a worker keeps.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Bytes of text that are cut into words together.
 TEXT_BYTES = 2_000_000
 #: Shingles that are put through the steps of the signature together.

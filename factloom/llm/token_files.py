@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from factloom.llm.common import Recent, added, list_of, list_parts, ragged, slices, without
 
 #: Words in each of the two generations that a worker keeps encoded.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: A word of its own between words that are encoded in one call; words that hold it go alone.
 _MARK = "~"
 
