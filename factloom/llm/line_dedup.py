@@ -1,7 +1,8 @@
 """Line dedup (operator 9): lines within an edit distance of an earlier line of the corpus go.
 
-Lines of `least` code points or more are compared. A line of length n is cut into threshold + 1
-segments; of two lines within the threshold, one has a segment of the other unchanged, not far
+Every line that isn't blank is compared: exact repeats are found by 128 bits of the line at any
+length, near ones from threshold + 1 code points, the shortest that have as many segments. A line
+of length n is cut into threshold + 1 segments; of two lines within the threshold, one has a segment of the other unchanged, not far
 from its place (pigeonhole). Every distinct line is entered under its segments, and probes the
 segments of lines as long as itself or up to the threshold shorter, at the few places where
 they can lie. Pairs found are confirmed by Spark's levenshtein with a threshold, which computes
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import hash128, settled, without
 
 THRESHOLD = 2
-LEAST = 40
+LEAST = 1
 #: Lines under one segment up to which they are paired row by row; beyond, in blocks of BLOCK lines.
 FEW = 40
 BLOCK = 64
@@ -60,22 +61,27 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _compared(line: Column, least: int) -> Column:
+    return (F.length(line) >= least) & line.rlike(r"(?U)\S")
+
+
 def _place(key: Column, text: Column) -> tuple[Column, Column]:
     return F.coalesce(key.cast("long"), F.lit(-(2**63))), F.xxhash64(text)
 
 
 def distinct_lines(df: DataFrame, key: str, text: str, threshold: int, least: int) -> DataFrame:
-    """(id, k, r, at, e, p): every distinct line that is long enough, known by 128 bits of its text,
+    """(id, k, r, at, e, p): every distinct line that is compared, known by 128 bits of its text,
     with its first place in the corpus and the hashes of its segments and probes.
 
-    Hashes are computed where the line is read; what is shuffled is numbers, not text.
+    Lines of no more than threshold code points have segments without text, which say nothing; they
+    have no hashes, and only equal lines repeat them. Hashes are computed where the line is read; what is shuffled is numbers, not text.
     """
     k, r = _place(F.col(key), F.col(text))
     lines = df.filter(F.length(text) >= least).select(k.alias("k"), r.alias("r"), F.posexplode(_lines(F.col(text))).alias("at", "line"))
-    lines = lines.withColumn("n", F.length("line")).filter(F.col("n") >= least)
+    lines = lines.withColumn("n", F.length("line")).filter(_compared(F.col("line"), least))
     h1, h2 = hash128(F.col("line"))
-    entries, probes = _entries(threshold), _probes(threshold)
-    hashed = _cuts(lines, threshold).select(h1.alias("h1"), h2.alias("h2"), F.struct("k", "r", "at").alias("first"), F.array(*entries).alias("e"), F.array(*probes).alias("p"))
+    entries, probes = (F.when(F.col("n") > threshold, F.array(*own)).otherwise(F.array().cast("array<bigint>")) for own in (_entries(threshold), _probes(threshold)))
+    hashed = _cuts(lines, threshold).select(h1.alias("h1"), h2.alias("h2"), F.struct("k", "r", "at").alias("first"), entries.alias("e"), probes.alias("p"))
     one = hashed.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("e").alias("e"), F.first("p").alias("p"))
     return one.select(F.monotonically_increasing_id().alias("id"), "first.*", "e", "p")
 
@@ -138,9 +144,10 @@ def later_in_crowds(crowds: DataFrame, texts: DataFrame, threshold: int) -> Data
 def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
     """df with its text without the lines that repeat, and `n_lines`, `n_dropped` (long).
 
-    A line of `least` code points or more goes if an earlier line of the corpus (by key, then
-    by row hash, then by place) is within the edit distance `threshold`, whether or not that one
-    goes too. The others stay, in order. Shorter lines stay. A null text stays null and counts
+    A line goes if an earlier line of the corpus (by key, then by row hash, then by place) is
+    equal, or if both have more than `threshold` code points and are within that edit distance,
+    whether or not the earlier one goes too. The others stay, in order. Blank lines (white space
+    only) stay, and so do lines of fewer than `least` code points. A null text stays null and counts
     no lines. Rows of equal key and text count as one: their copies lose the same lines. Null
     keys come first. Columns named n_lines or n_dropped are replaced; all others stay.
     """
@@ -159,7 +166,7 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", threshold
     lead = _place(F.col(key), F.col(text))
     rows = df.withColumns({"__k": lead[0], "__r": lead[1]}).join(stay, ["__k", "__r"], "left")
     split = _lines(F.col(text))
-    short = F.filter(F.transform(split, lambda x, i: F.when(F.length(x) < least, i)), lambda i: i.isNotNull())
+    short = F.filter(F.transform(split, lambda x, i: F.when(~_compared(x, least), i)), lambda i: i.isNotNull())
     places = F.array_sort(F.array_union(short, F.coalesce("__stay", F.array().cast("array<int>"))))
     rows = rows.withColumn("__split", split).withColumn("__places", places)
     rows = rows.withColumn("__cut", F.transform("__places", lambda i: F.get("__split", i)))

@@ -124,6 +124,26 @@ def test_line_dedup_odd_keys(spark):
     assert rows == [(-1, text), (1, "short"), (2, ""), (2, "")]
 
 
+@pytest.mark.parametrize("few", [line_dedup.FEW, 0])
+def test_line_dedup_of_short_lines_as_a_full_comparison(spark, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "BLOCK", 5)
+    rng = random.Random(11)
+    texts = ["ab\nab\n\n \n\t\n\u00a0", "ab\nac\n\n \n\t\n\u00a0", "All rights reserved.", "All rights reserved!"]
+    texts += ["\n".join("".join(rng.choice("abcdefghijklmnop é") for _ in range(rng.choice([1, 2, 3, 4, 5, 7, 9, 14]))) for _ in range(3)) for _ in range(40)]
+    rows = line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    earlier = []
+    for row, text in zip(rows, texts, strict=True):
+        stay = []
+        for x in text.split("\n"):
+            if not x.strip() or not any(x == y or min(len(x), len(y)) > 2 and distance(x, y) <= 2 for y in earlier):
+                stay.append(x)
+            if x.strip():
+                earlier.append(x)
+        assert (row.text, row.n_dropped) == ("\n".join(stay), len(text.split("\n")) - len(stay))
+    assert rows[1].text == "ac\n\n \n\t\n\u00a0" and rows[3].n_dropped == 1
+
+
 def vectors():
     rng = np.random.default_rng(2)
     out = []
