@@ -32,10 +32,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words, a similarity of 0.8 or more."""
-    found = minhash.near_duplicates(docs, shape=minhash.Shape(words=5, percent=80))
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(settled(gone, "gone"), "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates: five words, a similarity of 0.8 or more.
+
+    Rows are decided on one by one, whatever their doc_id: ids may repeat or be null. The first
+    by doc_id stays (null ids come last), then by a hash of the row. Texts without words are in
+    no group and stay.
+    """
+    rows = settled(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(rows, "__row", shape=minhash.Shape(words=5, percent=80)).select("__row", "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.xxhash64(*COLUMNS).alias("content"), "__row")
+    placed = settled(found.join(rows.select("__row", place.alias("place")), "__row"), "placed")
+    first = placed.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).filter("n > 1")
+    gone = placed.join(first, "component_id").filter("place <> first").select("__row")
+    return rows.join(settled(gone, "gone"), "__row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
