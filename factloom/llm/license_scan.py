@@ -1,6 +1,6 @@
 """License scans (operator 8): a trained classifier of paragraphs, confirmed by templates.
 
-Paragraphs are lines. Word 2- and 3-grams are the features of a sparse logistic regression over
+Lines are scanned, and paragraphs of the lines between blank ones. Word 2- and 3-grams are the features of a sparse logistic regression over
 licence families and an unknown class, trained on the notices below, on parts of them amid
 other words, and on sentences that only look like notices. A threshold calibrated on those
 decides between the best family and unknown; a family is reported only if the paragraph also
@@ -182,36 +182,15 @@ def _tables(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, "gram string, w array<double>, held array<int>")
 
 
-def scan(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each paragraph that holds an n-gram of a notice: key, line (from 0), family (or
-    unknown), score (probability of the best family) and coverage (share of the n-grams of that
-    family's notice that the paragraph holds most of).
-
-    A family is given if its probability is at least the model's threshold and the coverage at
-    least model.confirm. Other paragraphs hold none of the model's features and are unknown
-    without exception, so they have no row. Null and empty texts have no paragraphs. Rows that
-    repeat a key and a text are scanned once.
-    """
-    spark, families = df.sparkSession, list(NOTICES)
-    row = F.xxhash64(F.col(text)).alias("row")
-    lines = df.filter(F.length(text) > 0).select(F.col(key).alias("key"), row, F.posexplode(F.split(text, "\n", -1)).alias("line", "para"))
-    words = F.filter(F.split(F.lower("para"), "[^a-z0-9]+"), lambda w: w != "")
-    lines = lines.withColumn("w", words)
-    n = F.size("w")
-    # The words are arguments of zip_with only: a filter that Spark moves below them stays linear.
-    two = F.zip_with("w", F.slice("w", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    three = F.zip_with(two, F.slice("w", 3, F.greatest(n - 2, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    known = sorted(g for g in model.weights if g.count(" ") == 1)
-    # Only 2-grams of notices can begin their 3-grams, so the few that stay tell where to look.
-    at = F.filter(F.zip_with(two, three, lambda g, t: F.when(g.isin(known), F.struct(g.alias("g"), t.alias("t")))), lambda x: x.isNotNull())
-    hits = lines.select("key", "row", "line", at.alias("at")).filter(F.size("at") > 0)
-    grams = hits.select("key", "row", "line", F.explode(F.array_distinct(F.concat(F.transform("at", lambda x: x["g"]), F.transform("at", lambda x: x["t"])))).alias("gram"))
-    met = grams.distinct().join(F.broadcast(_tables(spark, model)), "gram")
+def _scored(met: DataFrame, unit: list[str], model: Model, name: str) -> DataFrame:
+    """(*unit, family, score, coverage) of the grams (*unit, gram) of lines or paragraphs."""
+    families = list(NOTICES)
+    met = met.select(*unit, "gram").distinct().join(F.broadcast(_tables(met.sparkSession, model)), "gram")
     sums = [F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(families))]
     counts = [F.count_if(F.array_contains("held", k)).alias(f"c{k}") for k in range(len(model.notices))]
-    found = met.groupBy("key", "row", "line").agg(*sums, *counts)
+    found = met.groupBy(*unit).agg(*sums, *counts)
     # Written once: what follows is computed on a few short rows, apart from the aggregation's code.
-    found = settled(found.select("key", "line", F.array(*[f"s{k}" for k in range(len(families))]).alias("s"), F.array(*[f"c{k}" for k in range(len(model.notices))]).alias("c")), "license-sums")
+    found = settled(found.select(*unit, F.array(*[f"s{k}" for k in range(len(families))]).alias("s"), F.array(*[f"c{k}" for k in range(len(model.notices))]).alias("c")), name)
     biases = F.array(*[F.lit(model.bias[f]) for f in families])
     raised = F.zip_with("s", biases, lambda s, b: F.exp(s + b))
     found = found.withColumn("e", raised).withColumn("whole", F.aggregate("e", F.lit(math.exp(model.bias[UNKNOWN])), lambda a, x: a + x))
@@ -219,13 +198,70 @@ def scan(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -
     covers = F.transform(own, lambda many: F.array_max(F.transform(many, lambda x: F.get("c", x["k"]) / x["n"])))
     named = F.zip_with("e", F.array(*[F.lit(f) for f in families]), lambda e, f: F.struct(e.alias("p"), f.alias("f")))
     options = F.zip_with(named, covers, lambda x, c: F.struct((x["p"] / F.col("whole")).alias("p"), x["f"].alias("f"), c.alias("c")))
-    best = found.select("key", "line", F.array_max(options).alias("b"))
+    best = found.select(*unit, F.array_max(options).alias("b"))
     sure: Column = (F.col("b.p") >= model.threshold) & (F.col("b.c") >= model.confirm)
-    return best.select(F.col("key").alias(key), "line", F.when(sure, F.col("b.f")).otherwise(F.lit(UNKNOWN)).alias("family"), F.col("b.p").alias("score"), F.col("b.c").alias("coverage"))
+    return best.select(*unit, F.when(sure, F.col("b.f")).otherwise(F.lit(UNKNOWN)).alias("family"), F.col("b.p").alias("score"), F.col("b.c").alias("coverage"))
+
+
+def _grams(df: DataFrame, model: Model, key: str, text: str) -> DataFrame:
+    """(key, row, block, line, last, gram): the notices' n-grams with the lines of their first and
+    last word, and the number of blank lines before them, which tells their paragraph."""
+    row = F.xxhash64(F.col(text)).alias("row")
+    docs = df.filter(F.length(text) > 0).select(F.col(key).alias("key"), row, F.split(F.lower(text), "\n", -1).alias("lines")).dropDuplicates(["key", "row"])
+    blank = lambda x: ~x.rlike(r"(?U)\S")
+    # A blank line stands as one empty word, which is in no n-gram of a notice.
+    cut = F.transform("lines", lambda x: F.when(blank(x), F.array(F.lit(""))).otherwise(F.filter(F.split(x, "[^a-z0-9]+"), lambda w: w != "")))
+    docs = docs.withColumn("cut", cut).withColumn("w", F.flatten("cut"))
+    n = F.size("w")
+    # The words are arguments of zip_with only: a filter that Spark moves below them stays linear.
+    two = F.zip_with("w", F.slice("w", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    three = F.zip_with(two, F.slice("w", 3, F.greatest(n - 2, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    known = sorted(g for g in model.weights if g.count(" ") == 1)
+    # Only 2-grams of notices can begin their 3-grams, so the few that stay tell where to look.
+    met = F.zip_with(two, three, lambda g, t: F.when(g.isin(known), F.struct(g.alias("g"), t.alias("t"))))
+    at = F.filter(F.transform(met, lambda x, i: F.when(x.isNotNull(), F.struct(x["g"].alias("g"), x["t"].alias("t"), i.alias("i")))), lambda x: x.isNotNull())
+    where = F.flatten(F.transform("cut", lambda own, i: F.array_repeat(i, F.size(own))))
+    blanks = F.filter(F.transform("lines", lambda x, i: F.when(blank(x), i)), lambda i: i.isNotNull())
+    hits = docs.select("key", "row", where.alias("where"), blanks.alias("blanks"), at.alias("at")).filter(F.size("at") > 0)
+    hits = hits.select("key", "row", "where", "blanks", F.explode("at").alias("x"))
+    line, next_, third = (F.get("where", F.col("x.i") + k) for k in range(3))
+    block = F.size(F.filter("blanks", lambda b: b < line))
+    both = F.array(F.struct(F.col("x.g").alias("gram"), next_.alias("last")), F.struct(F.col("x.t").alias("gram"), third.alias("last")))
+    grams = hits.select("key", "row", block.alias("block"), line.alias("line"), F.explode(both).alias("y")).select("key", "row", "block", "line", "y.last", "y.gram")
+    return grams.filter(F.col("gram").isin(sorted(model.weights)))
+
+
+def scan(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each line, and each paragraph of lines, that holds an n-gram of a notice: key, line
+    (from 0; of a paragraph the first that holds one), last (the last such line), family (or
+    unknown), score (probability of the best family) and coverage (share of the n-grams of that
+    family's notice that it holds most of).
+
+    A family is given if its probability is at least the model's threshold and the coverage at
+    least model.confirm. Lines up to the next blank one are a paragraph, so wrapped notices are
+    found over line ends; lines that are a notice by themselves are left out of theirs. What
+    holds none of the model's features is unknown without exception and has no row. Null and
+    empty texts have no lines. Rows that repeat a key and a text are scanned once.
+    """
+    grams = settled(_grams(df, model, key, text), "license-grams")
+    lines = _scored(grams.filter("line = last"), ["key", "row", "line"], model, "license-sums")
+    sure = settled(lines.filter(F.col("family") != UNKNOWN).select(F.col("key").alias("k"), F.col("row").alias("r"), F.col("line").alias("own")), "license-lines")
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("row") == F.col("r"))
+    rest = grams
+    for end in ("line", "last"):
+        rest = rest.join(sure, same & (F.col(end) == F.col("own")), "left_anti")
+    paragraph = ["key", "row", "block"]
+    rest = settled(rest, "license-rest")
+    reach = rest.groupBy(*paragraph).agg(F.min("line").alias("line"), F.max("last").alias("last")).filter("line < last")
+    span = reach.select(F.col("key").alias("k"), F.col("row").alias("r"), F.col("block").alias("b"), "line", "last")
+    blocks = _scored(rest.drop("line", "last").join(span, same & (F.col("block") == F.col("b"))), [*paragraph, "line", "last"], model, "license-sums")
+    rows = lines.withColumn("last", F.col("line")).unionByName(blocks.drop("block"))
+    return rows.select(F.col("key").alias(key), "line", "last", "family", "score", "coverage")
 
 
 def licensed(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with `licenses` (the families found in the row's paragraphs, sorted) and `n_license_lines`.
+    """df with `licenses` (the families found in the row's lines and paragraphs, sorted) and
+    `n_license_lines`, for which a notice over several lines counts once.
 
     Columns of these names are replaced; rows without a finding have an empty list and 0.
     """
