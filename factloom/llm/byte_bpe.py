@@ -17,10 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from factloom.llm.common import Recent, added, list_of, list_parts, ragged, slices, without
+from factloom.llm.common import Known, added, lean, list_of, list_parts, ragged, slices, without
 
-#: Pieces in each of the two generations that a worker keeps encoded.
-CACHE_PIECES = 80_000
+#: Parts of texts that a worker keeps encoded.
+CACHE_PIECES = 300_000
+#: A space or none, letters, and signs at the end: two matches of a pattern that parts letters from signs.
+_STEM_AND_SIGNS = r"^(?P<stem> ?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[!-/:-@\[-`{-~]+)$"
 #: White space of Unicode beyond ASCII, on whose classes regular expression engines differ.
 _RARE = "\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿"
 _RARE_SPACE = re.compile(f"[{_RARE}]")
@@ -63,7 +65,8 @@ class ByteBpe:
         self.sizes = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
-        self.known = Recent(CACHE_PIECES, self._learn)
+        self.known = Known(CACHE_PIECES, self._learn)
+        self._parted: bool | None = None
 
     @property
     def tokenizer(self):
@@ -84,13 +87,23 @@ class ByteBpe:
             )
         return self._tokenizer
 
-    def _learn(self, pieces: list[str], known: dict[str, bytes]) -> None:
+    @property
+    def parted(self) -> bool:
+        """Whether the pattern parts letters from the signs after them."""
+        if self._parted is None:
+            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ab?!' Ün&.")
+            self._parted = [span for _, span in cut] == [(0, 3), (3, 6), (6, 9), (9, 11)]
+        return self._parted
+
+    def _learn(self, pieces: list[str]):
         import numpy as np
 
+        counts, ids = [], []
         for at in range(0, len(pieces), 20_000):
-            part = pieces[at : at + 20_000]
-            for piece, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = np.array(coded.ids, dtype="<i4").tobytes()
+            own = [np.array(c.ids, dtype="<i4") for c in self.tokenizer.encode_batch_fast(pieces[at : at + 20_000], add_special_tokens=False)]
+            counts += map(len, own)
+            ids += [np.concatenate(own)]
+        return np.array(counts, dtype=np.int64), np.concatenate([*ids, np.empty(0, "<i4")])
 
     def encode(self, texts: pa.Array):
         """(ends, ids): the end of each text's ids, and all ids. A null text has none.
@@ -101,32 +114,35 @@ class ByteBpe:
         import numpy as np
 
         texts = pc.fill_null(texts, "")
-        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
-        plain = texts if not len(odd) else pc.if_else(pc.match_substring_regex(texts, _ODD), "", texts)
+        is_odd = pc.match_substring_regex(texts, _ODD)
+        odd = np.flatnonzero(is_odd.to_numpy(zero_copy_only=False))
+        plain = texts if not len(odd) else pc.if_else(is_odd, "", texts)
         words = pc.split_pattern(plain, " ")
         heads = words.offsets.to_numpy()
-        coded = words.values.dictionary_encode() if len(words.values) else None
-        codes = coded.indices.to_numpy().astype(np.int64) if coded is not None else np.empty(0, np.int64)
-        later = [" " + w for w in coded.dictionary.to_pylist()] if coded is not None else []
-        first = words.values.take(pa.array(heads[:-1])).to_pylist() if coded is not None else []
-        codes[heads[:-1]] = len(later) + np.arange(len(first))
-        pieces = later + first
+        coded = words.values.dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        # All but the first of a text have the space before them.
+        later = pc.binary_join_element_wise(pa.scalar(""), coded.dictionary, " ")
+        codes[heads[:-1]] = len(later) + np.arange(len(texts))
+        pieces = [later, words.values.take(pa.array(heads[:-1]))]
         if len(odd):
             own = {k: _pieces(texts[k].as_py()) for k in odd.tolist()}
-            parts, at = [], 0
+            parts, at, held = [], 0, len(later) + len(texts)
             for k in odd.tolist():
-                parts += [codes[heads[at] : heads[k]], np.arange(len(own[k])) + len(pieces)]
-                pieces += own[k]
+                parts += [codes[heads[at] : heads[k]], np.arange(len(own[k])) + held]
+                held += len(own[k])
                 at = k + 1
+            pieces.append(pa.array([x for k in odd.tolist() for x in own[k]], type=pa.string()))
             sizes = np.diff(heads)
             sizes[odd] = [len(own[k]) for k in odd.tolist()]
             codes = np.concatenate([*parts, codes[heads[at] :]])
             heads = np.concatenate([[0], np.cumsum(sizes)])
-        table = self.known.of(pieces)
-        lengths = np.array([len(b) // 4 for b in table], dtype=np.int64)
-        places, each = ragged(np.cumsum(lengths) - lengths, lengths, codes)
-        upto = np.concatenate([[0], np.cumsum(each)])
-        return upto[heads[1:]], np.frombuffer(b"".join(table), dtype="<i4")[places]
+        first = pa.concat_arrays(pieces)
+        second = pa.nulls(len(first), pa.string())
+        if self.parted:
+            cut = pc.extract_regex(first, _STEM_AND_SIGNS)
+            first, second = pc.if_else(cut.is_valid(), pc.struct_field(cut, "stem"), first), pc.struct_field(cut, "signs")
+        return self.known.encoded(first, second, codes, heads)
 
     def decode(self, ends, ids) -> pa.Array:
         """The bytes of each row's ids, given the offsets of the rows."""
@@ -158,16 +174,18 @@ def spans(text: str, lengths) -> tuple[list[int], list[int]]:
     return (upto[ends - lengths] - 1).tolist(), upto[ends - 1].tolist()
 
 
-def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
-    """df with `ids` (array<int>), and with `starts` and `ends` in characters if offsets.
+def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", offsets: bool = False, back: bool = False) -> DataFrame:
+    """df with `ids` (array<int>), with `starts` and `ends` in characters if offsets, and with
+    `decoded` (binary), what decode() makes of the ids, if back: in one pass of one worker.
 
     Each match of the pattern in the whole text is encoded by itself, without special tokens.
     A null or empty text gets an empty list. Columns of df named like the new ones are replaced;
     all others stay, repeated rows too. Offsets need a pattern that covers every character.
     """
     names = ["ids", "starts", "ends"][: 3 if offsets else 1]
-    df = without(df, names)
-    kinds = dict.fromkeys(names, T.ArrayType(T.IntegerType()))
+    kinds: dict[str, T.DataType] = dict.fromkeys(names, T.ArrayType(T.IntegerType()))
+    kinds |= {"decoded": T.BinaryType()} if back else {}
+    df = without(df, kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -180,9 +198,11 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", offsets:
                 sizes = np.split(coder.sizes[ids], ends[:-1])
                 both = [spans(t or "", n) for t, n in zip(batch.column(text).to_pylist(), sizes)]
                 new += [pa.array([b[k] for b in both], type=pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
+            if back:
+                new.append(coder.decode(np.concatenate([[0], ends]), ids))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *kinds])
 
-    return df.mapInArrow(run, added(df, **kinds))
+    return df.mapInArrow(lean(run), added(df, **kinds))
 
 
 def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -199,7 +219,7 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> DataFra
             decoded = coder.decode(*list_parts(batch.column(ids)))
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
 
-    return df.mapInArrow(run, added(df, decoded=T.BinaryType()))
+    return df.mapInArrow(lean(run), added(df, decoded=T.BinaryType()))
 
 
 def decoded_text(parts: pa.Array) -> list[str]:

@@ -28,12 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
-    Where the session names none, as in local tests, one temporary folder is set for it.
+    Where the session names none and is local, as in tests, one temporary folder is set for it; a
+    cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
@@ -88,26 +91,84 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
             yield batch.slice(at, rows)
 
 
-class Recent:
-    """What a library said of each text, for those met lately: of two generations, each of at most
-    `size`, the older goes when the younger is full, and what is met again stays."""
+class Known:
+    """The ids of each text met lately, as one Arrow array of texts and one array of ids.
+
+    `learn` gives (counts, ids) of a list of new texts. When more than `size` texts are held,
+    those that the present batch doesn't need go first.
+    """
 
     def __init__(self, size: int, learn):
-        self.size, self.learn, self.young, self.old = size, learn, {}, {}
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > self.size:
-            self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
-        for text in texts:
-            if text not in young:
-                held = old.get(text)
-                if held is None:
-                    new.append(text)
-                else:
-                    young[text] = held
-        self.learn(new, young)
-        return [young[text] for text in texts]
+        import numpy as np
+
+        self.size, self.learn = size, learn
+        self.texts, self.counts, self.ids = pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, "<i4")
+
+    @property
+    def starts(self):
+        import numpy as np
+
+        return np.cumsum(self.counts) - self.counts
+
+    def places(self, texts: pa.Array):
+        """The place of each of the distinct texts in `counts` and `starts`."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        at = pc.index_in(texts, value_set=self.texts)
+        if not at.null_count:
+            return at.to_numpy()
+        new = texts.filter(at.is_null())
+        if len(self.texts) + len(new) > self.size:
+            self._keep(np.unique(at.drop_null().to_numpy()))
+        counts, ids = self.learn(new.to_pylist())
+        self.texts = pa.concat_arrays([self.texts, new])
+        self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
+        return pc.index_in(texts, value_set=self.texts).to_numpy()
+
+    def encoded(self, first: pa.Array, second: pa.Array, codes, heads):
+        """(ends, ids) of rows of words: `codes` are the words' numbers, heads the rows' offsets in
+        them, and each word consists of a first and maybe (if not null) a second part."""
+        import numpy as np
+
+        parts = pa.concat_arrays([first, second.drop_null()]).dictionary_encode()
+        at = self.places(parts.dictionary)[parts.indices.to_numpy()]
+        has = second.is_valid().to_numpy(zero_copy_only=False)
+        after = np.zeros(len(first), dtype=np.int64)
+        after[has] = at[len(first) :]
+        # The parts of all words, one after the other.
+        both = has[codes]
+        upto = np.concatenate([[0], np.cumsum(1 + both)])
+        stream = np.repeat(at[: len(first)][codes], 1 + both)
+        stream[upto[1:][both] - 1] = after[codes[both]]
+        places, sizes = ragged(self.starts, self.counts, stream)
+        return np.concatenate([[0], np.cumsum(sizes)])[upto[heads[1:]]], self.ids[places]
+
+    def _keep(self, own) -> None:
+        places, _ = ragged(self.starts, self.counts, own)
+        self.texts, self.counts, self.ids = self.texts.take(pa.array(own)), self.counts[own], self.ids[places]
+
+
+def freed() -> None:
+    """Give memory that a finished task of a Python worker used back to the system: workers are kept for later tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """The function of a mapInArrow, freeing memory when its partition is done."""
+
+    def to_the_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        freed()
+
+    return to_the_end
 
 
 def ragged(starts, lengths, codes):

@@ -8,6 +8,7 @@ there, for a reader to take the ids of a few documents, or the metadata of all,
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,12 +19,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import Recent, added, list_of, list_parts, ragged, slices, without
+from factloom.llm.common import Known, added, lean, list_of, list_parts, ragged, slices, without
 
-#: Words in each of the two generations that a worker keeps encoded.
-CACHE_WORDS = 100_000
-#: A word of its own between words that are encoded in one call; words that hold it go alone.
-_MARK = "~"
+#: Parts of words that a worker keeps encoded.
+CACHE_WORDS = 400_000
+#: Bytes of text that are cut into words together.
+TEXT_BYTES = 4_000_000
+#: Letters whose lower case is one letter in any library, and signs that are no letter, digit or space.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+_STEM_AND_SIGNS = f"^(?P<stem>[{_LETTERS}]+)(?P<signs>[{_SIGNS}]*)$"
 
 
 @dataclass(frozen=True)
@@ -64,54 +69,75 @@ class WordBpe:
     def __init__(self, path: str):
         import os
 
+        import numpy as np
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known = Recent(CACHE_WORDS, self._learn)
-        mark = self.tokenizer.encode(f"a {_MARK} a", add_special_tokens=False).ids
-        #: The id of the mark, if it is one id of its own.
-        self.mark = mark[1] if len(mark) == 3 and mark[0] == mark[2] != mark[1] else None
-
-    def _learn(self, words: list[str], known: dict[str, bytes]) -> None:
+        self.known = Known(CACHE_WORDS, self._learn)
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        #: Whether an id ends a word.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for token, k in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        #: Whether words of plain letters are the same in either case, and stay apart from signs after them.
+        sample = "Abc Ünd ab?! ab ?!"
+        self.simple = bool(suffix) and self._ids(sample) == self._ids(sample.lower()) and self._ids("ab?!") == self._ids("ab ?!")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[str]):
+        """Ids of words. Plain ones are encoded many in one text, as each ends with the only id that ends a word."""
         import numpy as np
 
-        alone = [w for w in words if self.mark is None or _MARK in w]
-        for word, coded in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            known[word] = np.array(coded.ids, dtype="<i4").tobytes()
-        rest = [w for w in words if self.mark is not None and _MARK not in w]
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(part), add_special_tokens=False).ids, dtype="<i4")
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer doesn't keep words apart")
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(part, ends):
-                known[word] = raw[4 * start : 4 * end]
-                start = end + 1
+        plain = [w.isalpha() and bool(_PLAIN.fullmatch(w)) and self.simple for w in words]
+        joined = [w for w, p in zip(words, plain) if p]
+        alone = [w for w, p in zip(words, plain) if not p]
+        parts = [" ".join(joined[at : at + 256]) for at in range(0, len(joined), 256)]
+        flat = [np.array(c.ids, dtype="<i4") for c in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        one = np.concatenate([*flat, np.empty(0, "<i4")])
+        upto = np.flatnonzero(self.ends[one]) + 1
+        if len(upto) != len(joined):
+            raise ValueError("the tokenizer doesn't keep words apart")
+        rest = [np.array(c.ids, dtype="<i4") for c in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+        counts = np.empty(len(words), dtype=np.int64)
+        is_plain = np.array(plain, dtype=bool)
+        counts[is_plain], counts[~is_plain] = np.diff(upto, prepend=0), [len(r) for r in rest]
+        both = np.concatenate([one, *rest])
+        starts = np.empty(len(words), dtype=np.int64)
+        starts[is_plain] = upto - counts[is_plain]
+        starts[~is_plain] = len(one) + np.cumsum(counts[~is_plain]) - counts[~is_plain]
+        places, _ = ragged(starts, counts, np.arange(len(words)))
+        return counts, both[places]
 
     def encode(self, texts: pa.Array, end: int | None):
         """(ends, ids): the end of each text's ids, and all ids.
 
-        White space always ends a token, so that the ids of a text are those of its words; each
-        distinct word is encoded once.
+        White space always ends a token, so that the ids of a text are those of its words, and
+        signs after plain letters are a token of their own: each distinct part is encoded once.
         """
         import numpy as np
 
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         heads = words.offsets.to_numpy()
         coded = words.values.dictionary_encode()
-        table = self.known.of(coded.dictionary.to_pylist())
-        lengths = np.array([len(b) // 4 for b in table], dtype=np.int64)
-        places, each = ragged(np.cumsum(lengths) - lengths, lengths, coded.indices.to_numpy())
-        ends = np.concatenate([[0], np.cumsum(each)])[heads[1:]]
-        ids = np.frombuffer(b"".join(table), dtype="<i4")[places]
-        if end is not None:
-            ids = np.insert(ids, ends, end)
-            ends = ends + np.arange(1, len(ends) + 1)
-        return ends, ids
+        first, second = coded.dictionary, pa.nulls(len(coded.dictionary), pa.string())
+        if self.simple:
+            cut = pc.extract_regex(coded.dictionary, _STEM_AND_SIGNS)
+            first = pc.if_else(cut.is_valid(), pc.utf8_lower(pc.struct_field(cut, "stem")), coded.dictionary)
+            signs = pc.struct_field(cut, "signs")
+            second = pc.if_else(pc.equal(signs, ""), pa.scalar(None, pa.string()), signs)
+        ends, ids = self.known.encoded(first, second, coded.indices.to_numpy(), heads)
+        if end is None:
+            return ends, ids
+        own = np.arange(len(ends))
+        out = np.full(len(ids) + len(ends), end, dtype="<i4")
+        kept = np.ones(len(out), dtype=bool)
+        kept[ends + own] = False
+        out[kept] = ids
+        return ends + own + 1, out
 
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", end: int | None = None) -> DataFrame:
@@ -126,12 +152,12 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", end: int | None =
         import numpy as np
 
         coder = WordBpe.of(tokenizer)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, TEXT_BYTES):
             ends, ids = coder.encode(batch.column(text), end)
             counts = pa.array(np.diff(ends, prepend=0).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, list_of(ends, ids), counts], names=[*batch.schema.names, "ids", "n_tokens"])
 
-    return df.mapInArrow(run, added(df, ids=T.ArrayType(T.IntegerType()), n_tokens=T.IntegerType()))
+    return df.mapInArrow(lean(run), added(df, ids=T.ArrayType(T.IntegerType()), n_tokens=T.IntegerType()))
 
 
 def write(df: DataFrame, path: str, tokenizer: str, end: int | None = None, key: str = "doc_id", text: str = "text", partitions: int | None = None, layout: Layout = Layout()) -> None:
@@ -183,4 +209,4 @@ def with_crc32(df: DataFrame, ids: str = "ids") -> DataFrame:
             sums = pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends.tolist(), ends[1:].tolist())], type=pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, sums], names=[*batch.schema.names, "ids_crc32"])
 
-    return df.mapInArrow(run, added(df, ids_crc32=T.LongType()))
+    return df.mapInArrow(lean(run), added(df, ids_crc32=T.LongType()))

@@ -68,7 +68,6 @@ def test_token_files_hold_the_librarys_ids(spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(WORDS)
-    plain.encode_special_tokens = True
     texts = TEXTS + odd_texts(400)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)][::-1], "doc_id long, text string").withColumn("start", F.lit("clash"))
     path = scratch_dir(spark, "tokens")
@@ -85,6 +84,22 @@ def test_token_files_hold_the_librarys_ids(spark):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in few._jdf.queryExecution().toString()
 
 
+def test_files_have_the_layout_asked_for(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('word', id % 7, ' of the text') AS text")
+    path = scratch_dir(spark, "layout")
+    token_files.write(docs, path, WORDS, end=2, partitions=1)
+    (file,) = glob.glob(path.removeprefix("file:") + "/*.parquet")
+    group = pq.ParquetFile(file).metadata.row_group(0)
+    columns = {group.column(k).path_in_schema.split(".")[0]: group.column(k) for k in range(group.num_columns)}
+    assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and not columns["doc_id"].has_dictionary_page
+    assert columns["ids"].has_dictionary_page and columns["ids"].compression == "ZSTD"
+    assert all(c.has_column_index and c.has_offset_index for c in columns.values())
+
+
 def test_repeated_and_null_keys(spark):
     docs = spark.createDataFrame([(1, "b"), (None, "x"), (1, "a"), (1, "a"), (0, None)], "doc_id long, text string")
     path = scratch_dir(spark, "ties")
