@@ -3,38 +3,73 @@
 Vectors are turned by fast Hadamard transforms with random signs; a hash is the axis nearest to
 the turned vector, with its sign. Each table joins some hashes to a bucket; a vector is entered
 in its own bucket and in those with the next-best axes (multiprobe). Pairs that meet in a bucket,
-one of them at home there, are confirmed by their cosine in double precision. Buckets of many
-vectors are dealt out as pairs of blocks, so no task holds more than two blocks.
+one of them at home there, are confirmed by their cosine in double precision. Buckets are compared
+many at a time where Spark has sorted them; those of many vectors are dealt out as pairs of
+blocks, so no task holds more than two blocks of one bucket.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factloom.llm.common import settled
+from factloom.llm.common import added, hash128, lean, settled
 from factloom.llm.graph import components
 
+#: Rows of the left side of one matrix product.
+TILE = 512
+
 
 @dataclass(frozen=True)
 class Shape:
-    """tables, hashes in each, probes beyond the own bucket, and vectors in a block.
+    """hashes in a table, tables, probes beyond the own bucket, and vectors in a block.
 
-    For 64 dimensions at a cosine of exactly 0.98, a table with two hashes and one probe lets a
-    pair meet with a chance of 0.81, eight tables miss 2 in a million. More hashes make smaller
-    buckets, for corpora with more than some millions of vectors to a label.
+    Where hashes or tables are None, fitted() sets them from the number of vectors: as many hashes
+    as keep a bucket's mean size at most `mean`, and as many tables as let a pair of exactly the
+    least cosine go unmet with a chance of at most `miss`. Whole buckets of about `together` rows
+    are compared in one go, those of up to `small` rows by shifts of the sorted rows, larger ones by
+    matrix products.
     """
 
     cosine: float = 0.98
-    tables: int = 8
-    hashes: int = 2
+    tables: int | None = None
+    hashes: int | None = None
     probes: int = 1
-    block: int = 1024
+    block: int = 4096
     seed: int = 11
+    mean: float = 64.0
+    miss: float = 2e-6
+    together: int = 16_384
+    small: int = 48
+
+
+def fitted(shape: Shape, vectors: int, size: int) -> Shape:
+    """The shape for `vectors` vectors of `size` components to a label.
+
+    The chance to meet in a table is measured on random pairs at the least cosine; turns make it
+    depend on nothing else.
+    """
+    import numpy as np
+
+    width = 1 << max(1, (size - 1).bit_length())
+    hashes = shape.hashes or max(2, math.ceil(math.log(max(2.0, vectors / shape.mean), 2 * width)))
+    if shape.tables:
+        return replace(shape, hashes=hashes)
+    rng, n = np.random.default_rng(shape.seed), 2000
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, n, max(2, size))))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = shape.cosine * x + math.sqrt(1 - shape.cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    one = replace(shape, hashes=hashes, tables=1)
+    a, b = (buckets(v, np.zeros(n, np.int64), one)[:, 0] for v in (x, y))
+    met = (a[:, :1] == b).any(axis=1) | (b[:, :1] == a).any(axis=1)
+    chance = max(0.01, met.mean() - 2 * math.sqrt(met.mean() * (1 - met.mean()) / n))
+    return replace(shape, hashes=hashes, tables=1 if chance >= 1 else math.ceil(math.log(shape.miss) / math.log(1 - chance)))
 
 
 def hadamard(x):
@@ -67,7 +102,10 @@ def buckets(unit, labels, shape: Shape):
             x = padded
             for _ in range(3):
                 x = hadamard(x * rng.choice([-1.0, 1.0], size=width)) / np.sqrt(width)
-            order = np.argsort(-np.abs(x), axis=1, kind="stable")[:, :spare]
+            far, order = np.abs(x), np.empty((rows, spare), dtype=np.int64)
+            for r in range(spare):
+                order[:, r] = far.argmax(axis=1)
+                far[np.arange(rows), order[:, r]] = -1
             top = np.take_along_axis(x, order, axis=1)
             axes.append(order * 2 + (top > 0))
             gaps.append(np.abs(top[:, :1]) - np.abs(top))
@@ -95,140 +133,221 @@ def _named(chosen, labels, size: int, table: int):
     return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
-def _vectors(column: pa.Array) -> list:
-    """Each row's components in double precision, or None if it can't be compared."""
+def _read(df: DataFrame, key: str, vector: str, label: str, single: bool) -> DataFrame:
+    """(key, label, v): v holds the components as bytes; null for what links with nothing."""
+    whole = isinstance(df.schema[label].dataType, T.IntegralType)
+    code = F.col(label).cast("long") if whole else F.when(F.col(label).isNotNull(), F.xxhash64(F.col(label).cast("string")))
+    rows = df.select(F.col(key).alias("key"), code.alias("label"), F.col(vector).cast("array<float>" if single else "array<double>").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            column, labels = batch.column("v"), batch.column("label")
+            column = pc.if_else(pc.and_(column.is_valid(), labels.is_valid()), column, pa.scalar([], column.type))
+            offsets = column.offsets.to_numpy()
+            flat = column.values.fill_null(math.nan).to_numpy()[offsets[0] : offsets[-1]]
+            offsets = offsets - offsets[0]
+            # Adding 0 makes -0.0 of one sign with 0.0.
+            flat = flat + flat.dtype.type(0)
+            count = lambda hit: np.diff(np.concatenate([[0], np.cumsum(hit)])[offsets])
+            valid = (count(~np.isfinite(flat)) == 0) & (count(flat != 0) > 0)
+            raw = pa.Array.from_buffers(pa.binary(), len(valid), [None, pa.py_buffer((offsets * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+            raw = pc.if_else(pa.array(valid), raw, pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), labels, raw], names=["key", "label", "v"])
+
+    return rows.mapInArrow(lean(run), added(rows.drop("v"), v=T.BinaryType()))
+
+
+def _units(raw: pa.Array, single: bool):
+    """Unit vectors in double precision of equally long byte strings."""
     import numpy as np
 
-    out = []
-    for v in column:
-        v = None if v.as_py() is None else np.array(v.as_py(), dtype=object)
-        if v is None or not len(v) or any(x is None for x in v):
-            out.append(None)
-            continue
-        v = v.astype(np.float64)
-        out.append(v if np.isfinite(v).all() and v.any() else None)
-    return out
+    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    x = data.view("<f4" if single else "<f8").astype(np.float64).reshape(len(raw), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _read(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(key, label, v, h1, h2): v holds the components as doubles; null for what links with nothing."""
-    import xxhash
+def _by_length(raw: pa.Array) -> Iterator:
+    """The places of the rows of each length."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.binary_length(raw).to_numpy()
+    for size in np.unique(sizes):
+        yield np.flatnonzero(sizes == size)
+
+
+def coded(classes: DataFrame, shape: Shape, single: bool) -> DataFrame:
+    """classes (id, m, label, v) with `codes`: the bytes of the int64 of each bucket, by table, the own one first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                # Adding 0 makes -0.0 of one sign with 0.0.
-                raw = [None if v is None or k is None else (v + 0.0).tobytes() for v, k in zip(_vectors(part.column("v")), part.column("label").to_pylist())]
-                names = [k if k is not None else 0 for k in part.column("label").to_pylist()]
-                two = [np.frombuffer(xxhash.xxh3_128_digest(r or b"", seed=n & (2**64 - 1)), dtype="<i8") for r, n in zip(raw, names)]
-                columns = [part.column("key"), part.column("label"), pa.array(raw, type=pa.binary()), pa.array([int(x[0]) for x in two], type=pa.int64()), pa.array([int(x[1]) for x in two], type=pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "label", "v", "h1", "h2"])
+            for own in _by_length(batch.column("v")):
+                for at in range(0, len(own), 2000):
+                    part = batch.take(pa.array(own[at : at + 2000]))
+                    found = buckets(_units(part.column("v"), single), part.column("label").to_numpy(), shape)
+                    width = found[0].nbytes
+                    codes = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(np.arange(0, width * (len(found) + 1), width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(found))])
+                    yield pa.RecordBatch.from_arrays([*part.columns, codes], names=[*part.schema.names, "codes"])
 
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    return rows.mapInArrow(run, "key long, label long, v binary, h1 long, h2 long")
+    rows = classes.select("id", "m", "label", "v")
+    return rows.mapInArrow(lean(run), added(rows, codes=T.BinaryType()))
 
 
 def entered(classes: DataFrame, shape: Shape) -> DataFrame:
-    """A row (bucket, home, id, m, label, v, own, probed) of each class for each bucket that it is in."""
+    """(bucket, home, id) of each class for each bucket that it is in."""
+    each = 1 + shape.probes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            raw = batch.column("v").to_pylist()
-            labels = batch.column("label").to_numpy()
-            for size in {len(r) for r in raw}:
-                all_own = np.array([k for k, r in enumerate(raw) if len(r) == size])
-                for at in range(0, len(all_own), 1000):
-                    own = all_own[at : at + 1000]
-                    unit = np.frombuffer(b"".join(raw[k] for k in own), dtype=np.float64).reshape(len(own), -1)
-                    unit = unit / np.abs(unit).max(axis=1, keepdims=True)
-                    found = buckets(unit / np.linalg.norm(unit, axis=1, keepdims=True), labels[own], shape)
-                    each = shape.tables * (1 + shape.probes)
-                    rows = np.repeat(own, each)
-                    taken = batch.select(["id", "m", "label", "v"]).take(pa.array(rows))
-                    home = np.tile(np.arange(1 + shape.probes) == 0, len(own) * shape.tables)
-                    kept = [pa.array(np.repeat(found[:, :, s].reshape(len(own), -1), each, axis=0).tolist(), type=pa.list_(pa.int64())) for s in (slice(0, 1), slice(1, None))]
-                    yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1)), pa.array(home), *taken.columns, *kept], names=["bucket", "home", "id", "m", "label", "v", "own", "probed"])
-
-    return classes.select("id", "m", "label", "v").mapInArrow(run, "bucket long, home boolean, id long, m long, label long, v binary, own array<long>, probed array<long>")
-
-
-def _compare(shape: Shape):
-    """Confirm the pairs of one bucket's two blocks: links of each class, and a forest of them.
+            found = np.frombuffer(b"".join(batch.column("codes").to_pylist()), dtype=np.int64).reshape(batch.num_rows, -1, each)
+            home = np.broadcast_to(np.arange(each) == 0, found.shape)
+            ids = np.broadcast_to(batch.column("id").to_numpy()[:, None, None], found.shape)
+            # Where there are fewer axes than probes, a bucket comes again.
+            first = np.stack([(found[:, :, :p] != found[:, :, p : p + 1]).all(axis=2) for p in range(each)], axis=2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[first]), pa.array(home[first]), pa.array(ids[first])], names=["bucket", "home", "id"])
+
+    return classes.select("id", "codes").mapInArrow(lean(run), "bucket long, home boolean, id long")
+
+
+def _compare(shape: Shape, single: bool):
+    """Confirm the pairs of sorted buckets, or pairs of blocks: links of each class, and a forest of them.
 
     A pair that meets in several buckets counts where it meets first, by table, then by number.
     """
 
-    def run(rows):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import pandas as pd
-
-        rows = rows.drop_duplicates(["id", "side"])
-        n, here = len(rows), int(rows["bucket"].iloc[0])
-        ids, m, home, label = rows["id"].to_numpy(), rows["m"].to_numpy(), rows["home"].to_numpy(), rows["label"].to_numpy()
-        own = np.array(rows["own"].tolist(), dtype=np.int64).reshape(n, -1)
-        probed = np.array(rows["probed"].tolist(), dtype=np.int64).reshape(n, own.shape[1], -1)
-        left, right = (np.flatnonzero((rows["side"] == s).to_numpy()) for s in (0, 1))
-        within = not len(right) and rows["block"].iloc[0] == rows["other"].iloc[0]
-        if within:
-            right = left
-        sizes = rows["v"].map(len).to_numpy()
-        count, edges = np.zeros(n, dtype=np.int64), []
-        for size in np.unique(sizes):
-            x, y = left[sizes[left] == size], right[sizes[right] == size]
-            if not len(x) or not len(y):
+
+        held: list[pa.RecordBatch] = []
+
+        def group_of(rows):
+            names = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("bucket", "block", "other")])
+            return np.concatenate([[0], np.cumsum((names[:, 1:] != names[:, :-1]).any(axis=0))])
+
+        def joined():
+            return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            place = np.zeros(n, dtype=np.int64)
-            both = np.unique(np.concatenate([x, y]))
-            place[both] = np.arange(len(both))
-            unit = np.frombuffer(b"".join(rows["v"].iloc[k] for k in both), dtype=np.float64).reshape(len(both), -1)
-            unit = unit / np.abs(unit).max(axis=1, keepdims=True)
-            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-            i, j = np.nonzero(unit[place[x]] @ unit[place[y]].T >= shape.cosine)
-            i, j = x[i], y[j]
-            take = (home[i] | home[j]) & (label[i] == label[j]) & ((ids[i] < ids[j]) if within else True)
-            i, j = i[take], j[take]
-            for at in range(0, len(i), 100_000):
-                a, b = i[at : at + 100_000], j[at : at + 100_000]
-                first = _first_meeting(own[a], probed[a], own[b], probed[b]) == here
-                a, b = a[first], b[first]
-                np.add.at(count, a, m[b])
-                np.add.at(count, b, m[a])
-                edges += zip(ids[a].tolist(), ids[b].tolist())
-        edges = _forest(edges)
-        found = np.flatnonzero(count)
-        return pd.DataFrame({"a": [*ids[found], *(e[0] for e in edges)], "b": [*[-1] * len(found), *(e[1] for e in edges)], "n": [*count[found], *[0] * len(edges)]})
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= shape.together:
+                rows = joined()
+                group = group_of(rows)
+                # The last bucket may go on in the next batch.
+                whole = int(np.searchsorted(group, group[-1]))
+                if whole:
+                    yield _links(rows.slice(0, whole), group[:whole], shape, single)
+                held = [rows.slice(whole)]
+        if held:
+            rows = joined()
+            yield _links(rows, group_of(rows), shape, single)
 
     return run
 
 
-def _first_meeting(own_a, probed_a, own_b, probed_b):
+def _links(rows: pa.RecordBatch, group, shape: Shape, single: bool) -> pa.RecordBatch:
+    import numpy as np
+
+    n = rows.num_rows
+    ids, own = np.unique(rows.column("id").to_numpy(), return_inverse=True)
+    m, label = rows.column("m").to_numpy(), rows.column("label").to_numpy()
+    home, side = rows.column("home").to_numpy(zero_copy_only=False), rows.column("side").to_numpy()
+    within = (rows.column("block").to_numpy() == rows.column("other").to_numpy())
+    bucket = rows.column("bucket").to_numpy()
+    codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), dtype=np.int64).reshape(n, -1, 1 + shape.probes)
+    unit, kind = {}, np.empty(n, dtype=np.int64)
+    place = np.empty(n, dtype=np.int64)
+    for k, at in enumerate(_by_length(rows.column("v"))):
+        unit[k] = _units(rows.column("v").take(pa.array(at)), single)
+        kind[at], place[at] = k, np.arange(len(at))
+    count, edges = np.zeros(len(ids), dtype=np.int64), [np.empty((2, 0), dtype=np.int64)]
+
+    def met(i, j):
+        """Count the pairs of rows i, j that are near and meet here first."""
+        fit = (home[i] | home[j]) & (label[i] == label[j]) & (kind[i] == kind[j]) & (own[i] != own[j]) & np.where(within[i], True, side[i] != side[j])
+        i, j = i[fit], j[fit]
+        for at in range(0, len(i), 50_000):
+            a, b = i[at : at + 50_000], j[at : at + 50_000]
+            near = np.zeros(len(a), dtype=bool)
+            for k, u in unit.items():
+                these = np.flatnonzero(kind[a] == k)
+                near[these] = np.einsum("ij,ij->i", u[place[a[these]]], u[place[b[these]]]) >= shape.cosine
+            counted(a[near], b[near])
+
+    def counted(a, b):
+        first = _first_meeting(codes[a], codes[b]) == bucket[a]
+        a, b = a[first], b[first]
+        np.add.at(count, own[a], m[b])
+        np.add.at(count, own[b], m[a])
+        edges.append(forest_of(own[a], own[b]))
+
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    sizes = np.diff(starts, append=n)
+    small = np.repeat(sizes <= shape.small, sizes)
+    for d in range(1, int(min(shape.small, sizes.max(initial=0)))):
+        i = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]))
+        met(i, i + d)
+    for start, size in zip(starts[sizes > shape.small], sizes[sizes > shape.small]):
+        every = np.arange(start, start + size)
+        for k in np.unique(kind[every]):
+            mine = every[kind[every] == k]
+            left, right = (mine, mine) if within[start] else (mine[side[mine] == 0], mine[side[mine] == 1])
+            for at in range(0, len(left), TILE):
+                x = left[at : at + TILE]
+                for to in range(0, len(right), 8 * TILE):
+                    y = right[to : to + 8 * TILE]
+                    i, j = np.nonzero(unit[k][place[x]] @ unit[k][place[y]].T >= shape.cosine)
+                    i, j = x[i], y[j]
+                    fit = (home[i] | home[j]) & (label[i] == label[j]) & (own[i] != own[j]) & ((i < j) | ~within[i])
+                    i, j = i[fit], j[fit]
+                    for part in range(0, len(i), 100_000):
+                        counted(i[part : part + 100_000], j[part : part + 100_000])
+    a, b = forest_of(*np.concatenate(edges, axis=1))
+    found = np.flatnonzero(count)
+    columns = [np.concatenate([ids[found], ids[a]]), np.concatenate([np.full(len(found), -1), ids[b]]), np.concatenate([count[found], np.zeros(len(a), np.int64)])]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["a", "b", "n"])
+
+
+def _first_meeting(a, b):
+    """The bucket in which two rows of codes (rows, tables, 1 + probes) first meet with one at home."""
     import numpy as np
 
     none = np.iinfo(np.int64).max
-    at_a = (own_a == own_b) | (own_a[:, :, None] == probed_b).any(axis=2)
-    at_b = (own_a == own_b) | (own_b[:, :, None] == probed_a).any(axis=2)
-    where = np.minimum(np.where(at_a, own_a, none), np.where(at_b, own_b, none))
+    at_a = (a[:, :, :1] == b).any(axis=2)
+    at_b = (b[:, :, :1] == a).any(axis=2)
+    where = np.minimum(np.where(at_a, a[:, :, 0], none), np.where(at_b, b[:, :, 0], none))
     return where[np.arange(len(where)), (at_a | at_b).argmax(axis=1)]
 
 
-def _forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+def forest_of(a, b):
+    """Edges (rows of 2) that join each vertex of the edges a - b to the least that it is connected with."""
+    import numpy as np
 
-    for a, b in edges:
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return [(x, r) for x in list(parent) if (r := root(x)) != x]
+    vertex, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = ends[: len(a)], ends[len(a) :]
+    least = np.arange(len(vertex))
+    while len(i):
+        low = np.minimum(least[i], least[j])
+        now = least.copy()
+        for end in (i, j):
+            np.minimum.at(now, least[end], low)
+        while (now[now] != now).any():
+            now = now[now]
+        if (now == least).all():
+            break
+        least = now
+    moved = np.flatnonzero(least != np.arange(len(vertex)))
+    return np.stack([vertex[moved], vertex[least[moved]]])
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", shape: Shape = Shape()) -> DataFrame:
@@ -238,21 +357,31 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     Vectors are compared only where labels and dimensions are equal. Rows with a null label, and
     vectors that are null, empty, zero or hold null or non-finite components, link with nothing.
     Equal vectors become one class first, so copies are counted without being paired. Rows that
-    repeat a key count as vectors of their own; a null key is never a component's smallest.
+    repeat a key count as vectors of their own; a null key is never a component's smallest. Keys
+    may be of any ordered type; labels that aren't whole numbers are told apart by 64 bits.
     """
-    rows = settled(_read(df, key, vector, label), "vectors")
+    single = df.schema[vector].dataType.elementType == T.FloatType()
+    rows = settled(_read(df, key, vector, label, single), "vectors")
+    h1, h2 = hash128(F.col("label"), F.col("v"))
+    rows = rows.withColumns({"h1": h1, "h2": h2})
     valid = rows.filter("v IS NOT NULL")
     classes = valid.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("key"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = settled(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    placed = settled(entered(classes, shape), "buckets")
-    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    placed = placed.join(settled(sizes, "sizes"), "bucket")
+    most = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("v")).alias("size")).agg(F.max("n"), F.max("size")).first()
+    shape = fitted(shape, most[0] or 0, (most[1] or 8) // (4 if single else 8))
+    numbered = settled(coded(classes, shape, single), "codes")
+    placed = settled(entered(numbered, shape), "buckets")
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bool_or("home").alias("used")).filter("size > 1 AND used").select("bucket", "size")
+    placed = placed.join(sizes, "bucket")
     blocks = F.ceil(F.col("size") / shape.block).cast("int")
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     # Each class goes to the pairs of its block with every block.
     dealt = placed.withColumn("third", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", "home", "id", "m", "label", "v", "own", "probed", F.least("mine", "third").alias("block"), F.greatest("mine", "third").alias("other"), (F.col("mine") > F.col("third")).cast("int").alias("side"))
-    found = settled(dealt.groupBy("bucket", "block", "other").applyInPandas(_compare(shape), "a long, b long, n long"), "found")
+    dealt = dealt.select("bucket", "home", "id", F.least("mine", "third").alias("block"), F.greatest("mine", "third").alias("other"), (F.col("mine") > F.col("third")).cast("int").alias("side"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["bucket", "block", "other"]
+    met = settled(dealt, "met").join(numbered, "id").repartition(n, *order).sortWithinPartitions(*order)
+    found = settled(met.select(*order, "side", "home", "id", "m", "label", "v", "codes").mapInArrow(lean(_compare(shape, single)), "a long, b long, n long"), "found")
     links = found.filter("b = -1").groupBy("a").agg(F.sum("n").alias("n"))
     reached = components(found.filter("b >= 0").select("a", "b"))
     least = classes.select("id", F.col("key").alias("least")).join(reached, "id").groupBy("component").agg(F.min("least").alias("smallest"))
