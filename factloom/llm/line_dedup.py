@@ -5,8 +5,10 @@ length, near ones from threshold + 1 code points, the shortest that have as many
 of length n is cut into threshold + 1 segments; of two lines within the threshold, one has a segment of the other unchanged, not far
 from its place (pigeonhole). Every distinct line is entered under its segments, and probes the
 segments of lines as long as itself or up to the threshold shorter, at the few places where
-they can lie. Pairs found are confirmed by Spark's levenshtein with a threshold, which computes
-only the band of the matrix that can matter. DataFrame functions only.
+they can lie. A line goes by one earlier neighbour, so each is compared with its segments' first
+lines at first, which costs as much as there are lines; those that are left after that are compared
+with the rest of their segments in blocks. Confirmed is what Spark's levenshtein with a threshold
+says, which computes only the band of the matrix that can matter. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ from factloom.llm.common import hash128, settled, without
 
 THRESHOLD = 2
 LEAST = 1
-#: Lines under one segment up to which they are paired row by row; beyond, in blocks of BLOCK lines.
-FEW = 40
-BLOCK = 64
+#: A segment's lines are compared in blocks of at most about so many lines and characters.
+BLOCK = 512
+BLOCK_CHARS = 2_000_000
 
 
 def _cuts(lines: DataFrame, threshold: int) -> DataFrame:
@@ -86,21 +88,40 @@ def distinct_lines(df: DataFrame, key: str, text: str, threshold: int, least: in
     return one.select(F.monotonically_increasing_id().alias("id"), "first.*", "e", "p")
 
 
-def _index(lines: DataFrame) -> DataFrame:
-    return lines.select("id", F.explode("e").alias("s"))
+def members(lines: DataFrame) -> DataFrame:
+    """(s, id, first, entered, hub, several): the lines that meet another one under a segment s.
 
-
-def _probe(lines: DataFrame) -> DataFrame:
-    return lines.select("id", F.explode(F.array_distinct("p")).alias("s"))
-
-
-def near_pairs(lines: DataFrame, crowded: DataFrame) -> DataFrame:
-    """(a, b), a < b: ids of distinct lines that share a segment near its place, but for crowded
-    segments (s); candidates only, linear in the lines."""
-    index, probe = _index(lines).withColumnRenamed("id", "a"), _probe(lines).withColumnRenamed("id", "b")
-    pairs = index.join(crowded, "s", "left_anti").join(probe.join(crowded, "s", "left_anti"), "s").filter("a <> b")
-    # Lines of one length find each other twice.
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    entered: the line has the segment itself, others only look for it. hub: the first line (first,
+    id) that has it; several: whether it isn't the only one. Every line looks for its own segments
+    too, so all lines that have a segment are here, but for a hub that is the only one.
+    """
+    first = F.struct("k", "r", "at").alias("first")
+    own = lines.select("id", first, F.explode("e").alias("s")).groupBy("s").agg(F.min(F.struct("first", "id")).alias("hub"), (F.count(F.lit(1)) > 1).alias("several"))
+    probing = lines.select("id", first, "e", F.explode(F.array_distinct("p")).alias("s"))
+    probing = probing.select("s", "id", "first", F.array_contains("e", F.col("s")).alias("entered"))
+    return probing.join(own, "s").filter("several OR id <> hub.id")
+
+
+def first_pairs(met: DataFrame) -> DataFrame:
+    """(a, b): each line with the first line that has its segment, and those that have it with the
+    first that looks for it. Linear in the lines."""
+    ahead = met.groupBy("s").agg(F.min(F.struct("first", "id")).alias("lead"))
+    two = met.filter("entered").join(ahead, "s").filter("lead.first < first").select("id", F.col("lead.id").alias("other"))
+    pairs = met.select("id", F.col("hub.id").alias("other")).union(two).filter("id <> other")
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def open_members(met: DataFrame, late: DataFrame) -> DataFrame:
+    """(s, id, first, entered, open): the lines of the segments in which a line that isn't late yet
+    (open) has earlier ones that first_pairs() doesn't cover."""
+    hubs = met.select("s", "hub.id", "hub.first", F.lit(True).alias("entered")).distinct()
+    every = met.select("s", "id", "first", "entered").union(hubs).distinct()
+    sizes = every.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.count_if("entered").alias("m"), F.min("first").alias("low"), F.min(F.when(F.col("entered"), F.col("first"))).alias("least"))
+    every = every.join(sizes.filter("n > 2"), "s")
+    left = F.when(F.col("entered"), F.col("low") < F.col("first")).otherwise((F.col("m") > 1) & (F.col("least") < F.col("first")))
+    every = every.join(late.withColumn("gone", F.lit(True)), "id", "left").withColumn("open", left & F.col("gone").isNull())
+    wanted = every.filter("open").select("s").distinct()
+    return every.join(wanted, "s", "left_semi").select("s", "id", "first", "entered", "open")
 
 
 def line_texts(df: DataFrame, key: str, text: str, lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -121,24 +142,30 @@ def later_of_pairs(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFr
     return near.select(F.when(F.col("af") < F.col("bf"), F.col("b")).otherwise(F.col("a")).alias("id"))
 
 
-def later_in_crowds(crowds: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """(id) of the lines in crowds (s, side: 0 entered, 1 probing, id) within the threshold of an earlier one.
+def later_in_blocks(rows: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(id) of the open lines in rows (open_members()) within the threshold of an earlier one.
 
-    Each side of a crowded segment is dealt to blocks of about BLOCK lines; two blocks meet in one
-    row, where lines are compared until the first that fits, so that no pairs are made.
+    A segment's open lines and all its lines are dealt to blocks of bounded size; two blocks meet in
+    one row, where lines are compared until the first that fits, so that no pairs are made.
     """
-    sizes = settled(crowds.groupBy("s", "side").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "crowd-sizes")
-    dealt = crowds.join(sizes, ["s", "side"]).select("s", "side", "id", F.pmod(F.xxhash64("id"), "blocks").alias("block")).join(texts, "id")
-    blocks = settled(dealt.groupBy("s", "side", "block").agg(F.collect_list(F.struct("first", "line", "id")).alias("own")), "line-blocks")
-    x, y = (blocks.filter(F.col("side") == k).select("s", F.col("block").alias(f"b{k}"), F.col("own").alias(f"own{k}")) for k in (0, 1))
-    n = int(crowds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = x.join(y, "s").repartition(n, "s", "b0", "b1")
-
-    def late(mine: str, others: str) -> Column:
-        near = lambda u, v: (v["first"] < u["first"]) & F.levenshtein(u["line"], v["line"], threshold).between(0, threshold)
-        return F.transform(F.filter(mine, lambda u: F.exists(others, lambda v: near(u, v))), lambda u: u["id"])
-
-    return met.select(F.explode(F.array_union(late("own0", "own1"), late("own1", "own0"))).alias("id"))
+    long = texts.select("id", F.length("line").alias("long"))
+    rows = settled(rows.join(long, "id"), "line-members")
+    sizes = rows.groupBy("s").agg(*[_blocks(F.when(F.col("open") | F.lit(every), F.col("long"))).alias(name) for name, every in (("mine", False), ("others", True))])
+    rows = rows.join(sizes, "s")
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = rows.filter("open").select("s", at("mine").alias("x"), to("others").alias("y"), F.lit(True).alias("mine"), "id", "entered")
+    y = rows.select("s", to("mine").alias("x"), at("others").alias("y"), F.lit(False).alias("mine"), "id", "entered")
+    dealt = settled(x.union(y), "line-blocks").join(texts, "id")
+    one = F.struct("first", "line", "entered", "id")
+    met = dealt.groupBy("s", "x", "y").agg(F.collect_list(F.when(F.col("mine"), one)).alias("own"), F.collect_list(F.when(~F.col("mine"), one)).alias("other"))
+    near = lambda u, v: (v["first"] < u["first"]) & (u["entered"] | v["entered"]) & F.levenshtein(u["line"], v["line"], threshold).between(0, threshold)
+    late = F.filter("own", lambda u: F.exists("other", lambda v: near(u, v)))
+    return met.select(F.explode(F.transform(late, lambda u: u["id"])).alias("id"))
+
+
+def _blocks(long: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.count(long) / BLOCK), F.ceil(F.sum(long) / BLOCK_CHARS)).cast("int")
 
 
 def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
@@ -153,13 +180,12 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", threshold
     """
     df = without(df, ["n_lines", "n_dropped"])
     lines = settled(distinct_lines(df, key, text, threshold, least), "lines")
-    crowded = settled(_index(lines).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FEW).select("s"), "crowded")
-    pairs = settled(near_pairs(lines, crowded), "line-pairs")
-    sides = [part(lines).join(crowded, "s").select("s", F.lit(k).alias("side"), "id") for k, part in enumerate((_index, _probe))]
-    crowds = settled(sides[0].union(sides[1]), "line-crowds")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowds.select("id")).distinct()
+    met = settled(members(lines), "line-met")
+    wanted = met.select("id").union(met.select("hub.id")).distinct()
     texts = settled(line_texts(df, key, text, lines, wanted), "line-texts")
-    late = settled(later_of_pairs(pairs, texts, threshold).union(later_in_crowds(crowds, texts, threshold)).distinct(), "late-lines")
+    late = settled(later_of_pairs(settled(first_pairs(met), "line-pairs"), texts, threshold).distinct(), "late-lines")
+    more = later_in_blocks(settled(open_members(met, late), "line-open"), texts, threshold)
+    late = settled(late.union(more).distinct(), "late-lines")
     # A line's only occurrence that may stay is its first.
     kept = lines.select("id", "k", "r", "at").join(late, "id", "left_anti")
     stay = kept.groupBy(F.col("k").alias("__k"), F.col("r").alias("__r")).agg(F.collect_set("at").alias("__stay"))

@@ -83,10 +83,9 @@ def distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("few", [line_dedup.FEW, 0])
-def test_line_dedup_as_a_full_comparison(spark, monkeypatch, few):
-    monkeypatch.setattr(line_dedup, "FEW", few)
-    monkeypatch.setattr(line_dedup, "BLOCK", 5)
+@pytest.mark.parametrize("block", [line_dedup.BLOCK, 3])
+def test_line_dedup_as_a_full_comparison(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = random.Random(5)
     line = lambda n: "".join(rng.choice("abcd é") for _ in range(n))
     pool = [line(n) for n in (12, 13, 20, 21, 30, 45)]
@@ -124,10 +123,9 @@ def test_line_dedup_odd_keys(spark):
     assert rows == [(-1, text), (1, "short"), (2, ""), (2, "")]
 
 
-@pytest.mark.parametrize("few", [line_dedup.FEW, 0])
-def test_line_dedup_of_short_lines_as_a_full_comparison(spark, monkeypatch, few):
-    monkeypatch.setattr(line_dedup, "FEW", few)
-    monkeypatch.setattr(line_dedup, "BLOCK", 5)
+@pytest.mark.parametrize("block", [line_dedup.BLOCK, 3])
+def test_line_dedup_of_short_lines_as_a_full_comparison(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = random.Random(11)
     texts = ["ab\nab\n\n \n\t\n\u00a0", "ab\nac\n\n \n\t\n\u00a0", "All rights reserved.", "All rights reserved!"]
     texts += ["\n".join("".join(rng.choice("abcdefghijklmnop é") for _ in range(rng.choice([1, 2, 3, 4, 5, 7, 9, 14]))) for _ in range(3)) for _ in range(40)]
@@ -144,6 +142,18 @@ def test_line_dedup_of_short_lines_as_a_full_comparison(spark, monkeypatch, few)
     assert rows[1].text == "ac\n\n \n\t\n\u00a0" and rows[3].n_dropped == 1
 
 
+def test_line_dedup_of_lines_with_a_common_segment(spark):
+    """Many lines share a third and nothing else, so all are open and few are near."""
+    rng = random.Random(23)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    head = word(20)
+    rows = [head + word(40) for _ in range(150)]
+    rows += [r[:-1] + "z" for r in rows[40:80]] + ["y" + r for r in rows[80:90]] + [r[:33] + r[34:] for r in rows[100:110]]
+    got = line_dedup.line_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()
+    late = [any(distance(x, y) <= 2 for y in rows[:k] if abs(len(x) - len(y)) <= 2) for k, x in enumerate(rows)]
+    assert [r.n_dropped for r in got] == [int(x) for x in late] and sum(late) >= 60
+
+
 def vectors():
     rng = np.random.default_rng(2)
     out = []
@@ -167,9 +177,13 @@ def test_embeddings_as_a_full_comparison(spark):
             links.append((a, b))
     least = groups(len(rows), links)
     df = spark.createDataFrame([(i, v, label) for i, (v, label) in enumerate(rows)], "vec_id long, embedding array<double>, label int")
-    for block in (1024, 3):
-        shape = embedding_dedup.Shape(block=block)
-        got = embedding_dedup.near_duplicates(df, shape=shape).orderBy("vec_id").collect()
+    named = df.withColumn("label", F.concat(F.lit("topic "), "label")).withColumn("n_links", F.lit("clash"))
+    for table, shape in [
+        (named, embedding_dedup.Shape()),
+        (df, embedding_dedup.Shape(block=3)),
+        (df, embedding_dedup.Shape(small=1, together=40, hashes=1, tables=8)),
+    ]:
+        got = embedding_dedup.near_duplicates(table.repartition(3), shape=shape).orderBy("vec_id").collect()
         assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in got] == [(i, sum(i in e for e in links), least[i], least[i] == i) for i in range(len(rows))]
     assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
 
@@ -181,7 +195,18 @@ def test_recall_at_the_threshold():
     w = rng.normal(size=u.shape)
     w -= (w * u).sum(axis=1, keepdims=True) * u
     v = 0.9801 * u + np.sqrt(1 - 0.9801**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
-    shape, none = embedding_dedup.Shape(), np.zeros(1500, dtype=np.int64)
-    a, b = embedding_dedup.buckets(u, none, shape), embedding_dedup.buckets(v, none, shape)
-    met = ((a[:, :, :1] == b) | (b[:, :, :1] == a)).any(axis=(1, 2))
-    assert met.mean() > 0.999
+    none = np.zeros(1500, dtype=np.int64)
+    # More vectors, more hashes in a table, and more tables: as few pairs are missed.
+    shapes = [embedding_dedup.fitted(embedding_dedup.Shape(), n, 64) for n in (1000, 100_000_000)]
+    assert (shapes[0].hashes, shapes[1].hashes) == (2, 3) and shapes[0].tables < shapes[1].tables < 30
+    for shape in shapes:
+        a, b = embedding_dedup.buckets(u, none, shape), embedding_dedup.buckets(v, none, shape)
+        met = ((a[:, :, :1] == b) | (b[:, :, :1] == a)).any(axis=(1, 2))
+        assert met.mean() > 0.999
+
+
+def test_embeddings_with_null_and_repeated_keys(spark):
+    x = [1.0, 2.0, 3.0]
+    df = spark.createDataFrame([(None, x, 1), ("b", x, 1), ("b", x, 1), ("a", [1.0, 2.0, 3.0001], 1), ("c", [3.0, 0.0, 0.0], 1)], "vec_id string, embedding array<float>, label int")
+    got = sorted((r.vec_id or "", r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [("", 3, "a", False), ("a", 3, "a", True), ("b", 3, "a", False), ("b", 3, "a", False), ("c", 0, "c", True)]
