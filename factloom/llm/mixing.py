@@ -44,6 +44,15 @@ def poisson_steps(mean: float) -> list[float]:
     return out
 
 
+#: The largest mean that is inverted at once: a step table of at most about a hundred numbers.
+LARGEST = 16.0
+
+
+def parts_of(mean: float) -> int:
+    """A count of a larger mean is the sum of this many independent counts of a smaller one."""
+    return max(1, math.ceil(mean / LARGEST))
+
+
 def rates(df: DataFrame, mix: Mix, source: str = "source", text: str = "text") -> dict[str | None, float]:
     """The mean repetitions of each named source, and of the rest under None.
 
@@ -63,45 +72,51 @@ def mixed(df: DataFrame, mix: Mix = Mix(), key: str = "doc_id", source: str = "s
     """df's rows as often as drawn, with `copy` (int, from 0) and `shuffle_key` (double), in its order.
 
     Partitions are ranges of shuffle_key, each sorted, so files written from it hold one global
-    shuffle. Rows of equal key draw alike; null and unnamed sources are the rest; null texts and
+    shuffle; rows that agree in key and copy stand by their text, then source. Rows of equal key draw alike; null and unnamed sources are the rest; null texts and
     empty ones count no characters but are drawn like others of their source. Columns named like
     the new ones are replaced.
     """
     df = without(df, ["copy", "shuffle_key"])
     found = rates(df, mix, source, text)
-    drawn = uniform(f"{mix.seed}/draw", F.col(key))
 
     def count(mean: float) -> Column:
-        steps = poisson_steps(mean)
-        # Sums of comparisons stay in generated code.
-        return sum((F.when(drawn >= s, 1).otherwise(0) for s in steps), F.lit(0)) if len(steps) <= 4 else F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= F.col("__u")))
+        parts = parts_of(mean)
+        steps = F.array(*[F.lit(s) for s in poisson_steps(mean / parts)])
+        one = lambda u: F.size(F.filter(steps, lambda s: s <= u))
+        if parts == 1:
+            return one(uniform(f"{mix.seed}/draw", F.col(key)))
+        more = lambda total, k: total + one(uniform(f"{mix.seed}/draw", F.col(key), k))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(parts - 1)), F.lit(0), more)
 
     times = count(found[None])
     for name, mean in found.items():
         times = times if name is None else F.when(F.col(source) == name, count(mean)).otherwise(times)
-    rows = df.withColumn("__u", drawn).withColumn("__times", times).filter("__times > 0")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))).drop("__u", "__times")
+    rows = df.withColumn("__times", times).filter("__times > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))).drop("__times")
     rows = rows.withColumn("shuffle_key", uniform(f"{mix.seed}/order", F.col(key), F.col("copy")))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, "shuffle_key").sortWithinPartitions("shuffle_key", key, "copy")
+    return rows.repartitionByRange(n, "shuffle_key").sortWithinPartitions("shuffle_key", key, "copy", text, source)
 
 
 def oracle_sql(mix: Mix = Mix()) -> str:
-    """DuckDB SQL for the key, source, copy and shuffle_key of mixed() over documents."""
+    """DuckDB SQL for the key, source, copy, shuffle_key and a digest of the text of mixed() over documents."""
     goals = {**mix.targets, None: mix.rest}
     scale = mix.budget / (sum(goals.values()) or 1)
     rows = ", ".join(f"({'NULL' if s is None else chr(39) + s + chr(39)}, {scale * g!r}::DOUBLE)" for s, g in goals.items())
     names = ", ".join(f"'{s}'" for s in mix.targets)
+    number = lambda prefix, what: f"('0x' || substr(md5('{mix.seed}/{prefix}|' || {what}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
     return f"""
-WITH docs AS (SELECT doc_id, source, text, CASE WHEN source IN ({names}) THEN source END AS s FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, text, CASE WHEN source IN ({names}) THEN source END AS s FROM documents),
 sizes AS (SELECT s, sum(coalesce(length(text), 0))::DOUBLE AS n FROM docs GROUP BY s),
 goals(s, goal) AS (VALUES {rows}),
 rates AS (SELECT g.s, goal * (SELECT sum(n) FROM sizes) / z.n AS mean FROM goals g JOIN sizes z ON g.s IS NOT DISTINCT FROM z.s WHERE z.n > 0),
+parts AS (SELECT s, mean / greatest(1, ceil(mean / {LARGEST})) AS mean, greatest(1, ceil(mean / {LARGEST}))::BIGINT AS parts FROM rates WHERE mean > 0),
 steps AS (SELECT s, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS upto
-          FROM rates, (SELECT unnest(range(0, 400))::DOUBLE AS k) WHERE mean > 0 AND k <= mean + 60 + 20 * sqrt(mean)),
-drawn AS (SELECT doc_id, source, s, ('0x' || substr(md5('{mix.seed}/draw|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM docs),
-counted AS (SELECT d.doc_id, d.source, count(*) FILTER (WHERE upto <= u) AS times FROM drawn d JOIN steps t ON d.s IS NOT DISTINCT FROM t.s GROUP BY d.doc_id, d.source)
-SELECT doc_id, source, copy::INTEGER AS copy,
-       ('0x' || substr(md5('{mix.seed}/order|' || coalesce(doc_id::VARCHAR, '') || '|' || copy), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shuffle_key
-FROM (SELECT doc_id, source, unnest(range(0, times)) AS copy FROM counted)
+          FROM parts, (SELECT unnest(range(0, 200))::DOUBLE AS k) WHERE k <= mean + 60 + 20 * sqrt(mean)),
+drawn AS (SELECT r, doc_id, source, text, s, {number('draw', "coalesce(doc_id::VARCHAR, '') || CASE WHEN parts > 1 THEN '|' || part ELSE '' END")} AS u
+          FROM (SELECT docs.*, parts, unnest(range(0, parts)) AS part FROM docs JOIN parts ON docs.s IS NOT DISTINCT FROM parts.s)),
+counted AS (SELECT d.r, d.doc_id, d.source, d.text, count(*) FILTER (WHERE upto <= u) AS times
+            FROM drawn d JOIN steps t ON d.s IS NOT DISTINCT FROM t.s GROUP BY d.r, d.doc_id, d.source, d.text)
+SELECT doc_id, source, copy::INTEGER AS copy, {number('order', "coalesce(doc_id::VARCHAR, '') || '|' || copy")} AS shuffle_key, sha256(encode(coalesce(text, ''))) AS text_sha256
+FROM (SELECT doc_id, source, text, unnest(range(0, times)) AS copy FROM counted)
 """

@@ -22,8 +22,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks, pattern = _public("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = byte_bpe.encode(docs, ranks, pattern).drop("text")
-    both = byte_bpe.decode(coded, ranks, pattern)
+    both = byte_bpe.encode(docs, ranks, pattern, back=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -63,7 +62,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "shuffle_key")
+    rows = mixing.mixed(table(spark, sf_dir, "documents"))
+    # The digest is of the text as it comes out of the shuffle.
+    return rows.select("doc_id", "source", "copy", "shuffle_key", F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("text_sha256"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
