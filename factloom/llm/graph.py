@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import settled
+from factloom.llm.common import lean, settled
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def forest(edges: DataFrame) -> DataFrame:
                 parent.clear()
         yield flushed()
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame, local: bool = True) -> DataFrame:

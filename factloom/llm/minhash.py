@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import settled, slices
+from factloom.llm.common import lean, settled, slices
 from factloom.llm.graph import components
 
 #: Words whose hashes a worker keeps.
@@ -188,8 +188,9 @@ def signed(df: DataFrame, key: str, text: str, shape: Shape) -> DataFrame:
                 [batch.column("key"), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(h1), pa.array(h2), pa.array([next(bands) if len(s) else None for s in sets], type=pa.list_(pa.int64()))],
                 names=_SIGNED.names,
             )
+        _WORDS.clear()
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, _SIGNED)
+    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), _SIGNED)
 
 
 def _sets_of(df: DataFrame, key: str, text: str, wanted: DataFrame, shape: Shape) -> DataFrame:
@@ -205,8 +206,9 @@ def _sets_of(df: DataFrame, key: str, text: str, wanted: DataFrame, shape: Shape
             # A key may stand on rows of other texts; only the class's own set counts.
             own = np.flatnonzero((h1 == batch.column("h1").to_numpy()) & (h2 == batch.column("h2").to_numpy()))
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(own)), pa.array([sets[i].tobytes() for i in own], type=pa.binary())], names=["id", "members"])
+        _WORDS.clear()
 
-    return rows.join(wanted, F.col("key").eqNullSafe(F.col("wanted_key"))).select("id", "h1", "h2", "text").mapInArrow(run, "id long, members binary").dropDuplicates(["id"])
+    return rows.join(wanted, F.col("key").eqNullSafe(F.col("wanted_key"))).select("id", "h1", "h2", "text").mapInArrow(lean(run), "id long, members binary").dropDuplicates(["id"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -224,7 +226,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def _blocks(rows: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
@@ -232,27 +234,25 @@ def _blocks(rows: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
 
     A bucket's classes are dealt to blocks, and each pair of blocks is one group, so a task holds
     two blocks of sets at a time and emits no pairs: it compares all that differ in component,
-    and returns a forest of the links found.
+    and returns a link for each two that are near.
     """
     blocks = F.ceil(F.greatest(F.col("size") / shape.block, F.col("total") / shape.held)).cast("int")
     dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id", "k"), blocks).cast("int")).withColumn("third", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("k", "id", "c", F.least("mine", "third").alias("block"), F.greatest("mine", "third").alias("other"), (F.col("mine") > F.col("third")).alias("right"))
-    return dealt.join(sets, "id").groupBy("k", "block", "other").applyInPandas(_linked(shape.percent), "a long, b long")
+    return dealt.join(sets, "id").groupBy("k", "block", "other").applyInArrow(_linked(shape.percent), "a long, b long")
 
 
 def _linked(percent: int):
-    def run(rows):
+    def run(rows: pa.Table) -> pa.Table:
         import numpy as np
-        import pandas as pd
 
-        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        rows = rows.drop_duplicates(["id", "right"])
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         group = rows["c"].to_numpy()
         if (group == group[0]).all():
             return none
         ids, right = rows["id"].to_numpy(), rows["right"].to_numpy()
-        within = rows["block"].iloc[0] == rows["other"].iloc[0]
-        sets = [np.frombuffer(m, dtype=np.uint64) for m in rows["members"]]
+        within = rows["block"][0] == rows["other"][0]
+        sets = [np.frombuffer(m.as_buffer(), dtype=np.uint64) for m in rows["members"]]
         sizes = np.array([len(s) for s in sets])
         # Shingles of a single class are in no intersection.
         _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -272,21 +272,10 @@ def _linked(percent: int):
             common += held[left] @ held[other].T
         both = sizes[left][:, None] + sizes[other][None, :]
         i, j = np.nonzero((100 * common >= percent * (both - common)) & (group[left][:, None] != group[other][None, :]))
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        found = []
-        for a, b in zip(left[i].tolist(), other[j].tolist()):
-            # Components are vertices of the forest, members stand for them.
-            x, y = root(group[a]), root(group[b])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                found.append((ids[a], ids[b]))
-        return pd.DataFrame(found, columns=["a", "b"]) if found else none
+        # One link of each two components will do.
+        names, code = np.unique(group, return_inverse=True)
+        _, first = np.unique(code[left[i]] * len(names) + code[other[j]], return_index=True)
+        return pa.table({"a": pa.array(ids[left[i[first]]], pa.int64()), "b": pa.array(ids[other[j[first]]], pa.int64())})
 
     return run
 

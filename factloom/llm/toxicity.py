@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import added, settled, slices, without
+from factloom.llm.common import added, lean, settled, slices, without
 
 #: Bytes of text that are cut into words together.
 TEXT_BYTES = 2_000_000
@@ -84,7 +84,7 @@ def _pairs(df: DataFrame, prefix: int) -> DataFrame:
             at = pa.array([r[0] for r in rows], type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("y").take(at), pa.array([r[1] for r in rows], type=pa.string())], names=["key", "y", "term"])
 
-    return df.select("key", "text", "y").mapInArrow(run, "key long, y int, term string")
+    return df.select("key", "text", "y").mapInArrow(lean(run), "key long, y int, term string")
 
 
 def label_model(votes, given, shape: Shape):
@@ -218,4 +218,4 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             scores = pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
 
-    return df.mapInArrow(run, added(df, score=T.DoubleType()))
+    return df.mapInArrow(lean(run), added(df, score=T.DoubleType()))

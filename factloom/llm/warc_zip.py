@@ -1,7 +1,7 @@
 """WARC records in ZIP packages, and a reader that takes single records by range (operator 4).
 
-A package holds a stored (not compressed) member of WARC records, an index of their offsets and
-a short description. The reader parses the central directory, with its ZIP64 forms, from the
+A package holds a stored member of WARC records, each compressed by itself, an index of their
+offsets and a short description. The reader parses the central directory, with its ZIP64 forms, from the
 end of the file, finds the stored members, and reads records from their places without
 extracting anything. Files are reached through pyarrow's file systems by URI, so packages may
 lie wherever all executors can see them.
@@ -15,6 +15,7 @@ import re
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import settled
+from factloom.llm.common import lean, settled, slices, tidied
 
 #: Payloads shorter than this are never written as revisits.
 LEAST_REVISIT = 100
@@ -31,7 +32,9 @@ LEAST_REVISIT = 100
 PACKAGE_BYTES = 256 * 1024 * 1024
 #: Records that lie side by side are read together up to this size.
 READ_BYTES = 4 * 1024 * 1024
-RECORDS, INDEX = "archive/data.warc", "indexes/index.jsonl"
+#: The members of a package. A reader takes records that aren't compressed, too.
+PACKED, PLAIN, INDEX = "archive/data.warc.gz", "archive/data.warc", "indexes/index.jsonl"
+LEVEL = 3
 _UNKNOWN16, _UNKNOWN32 = 0xFFFF, 0xFFFFFFFF
 
 
@@ -160,9 +163,9 @@ def parse(data: bytes) -> dict:
 
 
 def _roles(df: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, digest, refers_to) of the rows that revisit another's payload."""
+    """(key, digest: 32 bytes, refers_to) of the rows that revisit another's payload."""
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8")
-    rows = df.select(F.col(key).cast("long").alias("key"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.unhex(F.sha2(payload, 256)).alias("digest"), F.octet_length(payload).alias("size"))
     rows = settled(rows.filter((F.col("size") >= LEAST_REVISIT) & F.col("key").isNotNull()).select("key", "digest"), "digests")
     first = rows.groupBy("digest").agg(F.min("key").alias("refers_to"), F.max("key").alias("last")).filter("refers_to < last")
     return rows.join(settled(first.select("digest", "refers_to"), "firsts"), "digest").filter("key > refers_to").distinct()
@@ -180,7 +183,7 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", html
     roles = _roles(df, key, html)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
-    rows = rows.withColumn("digest", F.sha2(F.encode(F.coalesce("html", F.lit("")), "utf-8"), 256))
+    rows = rows.withColumn("digest", F.unhex(F.sha2(F.encode(F.coalesce("html", F.lit("")), "utf-8"), 256)))
     rows = rows.repartition(n, "key", "digest").join(roles, ["key", "digest"], "left").select("key", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +193,7 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", html
         files, top = file_system(path)
         files.create_dir(f"{top}/packages", recursive=True)
         package, made = None, []
-        for batch in batches:
+        for batch in slices(batches, "html"):
             for row in batch.to_pylist():
                 if package is None:
                     package = _Package(files, f"{top}/packages/part-{task.partitionId():05d}-{len(made):03d}.zip", task.taskAttemptId())
@@ -202,7 +205,18 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", html
             made.append(package.close())
         yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    rows.mapInArrow(run, "name string, records long, bytes long").write.parquet(f"{path}/table")
+    with tidied(df.sparkSession):
+        rows.mapInArrow(lean(run), "name string, records long, bytes long").write.parquet(f"{path}/table")
+
+
+def packed(data: bytes) -> bytes:
+    """data as one gzip member; the same bytes for the same data."""
+    one = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return one.compress(data) + one.flush()
+
+
+def unpacked(data: bytes) -> bytes:
+    return zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
 
 
 class _Package:
@@ -212,10 +226,11 @@ class _Package:
         self.files, self.path, self.held = files, path, f"{path}.{attempt}"
         self.stream = files.open_output_stream(self.held)
         self.zip = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_STORED)
-        self.member = self.zip.open(zipfile.ZipInfo(RECORDS), "w", force_zip64=True)
+        self.member = self.zip.open(zipfile.ZipInfo(PACKED), "w", force_zip64=True)
         self.size, self.index = 0, []
 
     def add(self, data: bytes, key: int | None) -> None:
+        data = packed(data)
         self.member.write(data)
         self.index.append(json.dumps({"key": key, "offset": self.size, "length": len(data)}))
         self.size += len(data)
@@ -231,9 +246,12 @@ class _Package:
 
 
 def _places(file, size: int) -> Iterator[tuple[int, int]]:
-    """Offset in the file and length of each record, by the index or, without one, by the headers."""
+    """Offset in the file and length of each record, by the index or, without one, by the records themselves."""
     by_name = {m.name: m for m in members(file, size)}
-    start = stored_at(file, by_name[RECORDS])
+    own = by_name.get(PACKED) or by_name.get(PLAIN)
+    if own is None:
+        raise ValueError("no member of records")
+    start = stored_at(file, own)
     if INDEX in by_name:
         at = stored_at(file, by_name[INDEX])
         file.seek(at)
@@ -241,21 +259,41 @@ def _places(file, size: int) -> Iterator[tuple[int, int]]:
             entry = json.loads(line)
             yield start + entry["offset"], entry["length"]
         return
-    at, end = start, start + by_name[RECORDS].size
+    at, end = start, start + own.size
     while at < end:
-        head = b""
-        while b"\r\n\r\n" not in head:
-            file.seek(at + len(head))
-            more = file.read(min(4096, end - at - len(head)))
-            if not more:
-                raise ValueError("a record without an end of its header")
-            head += more
-        head = head.partition(b"\r\n\r\n")[0] + b"\r\n\r\n"
-        length = len(head) + int(re.search(rb"(?im)^content-length:\s*(\d+)", head)[1]) + 4
+        length = _gzip_length(file, at, end) if own.name == PACKED else _plain_length(file, at, end)
         yield at, length
         at += length
 
 
+def _gzip_length(file, at: int, end: int) -> int:
+    """The length of the gzip member at a place, read in parts of bounded size."""
+    one, read = zlib.decompressobj(31), 0
+    while not one.eof:
+        file.seek(at + read)
+        data = file.read(min(65536, end - at - read))
+        if not data:
+            raise ValueError("a record without an end")
+        read += len(data)
+        while data and not one.eof:
+            one.decompress(data, 1 << 20)
+            data = one.unconsumed_tail
+    return read - len(one.unused_data)
+
+
+def _plain_length(file, at: int, end: int) -> int:
+    """The length of the record at a place, by its header."""
+    head = b""
+    while b"\r\n\r\n" not in head:
+        file.seek(at + len(head))
+        more = file.read(min(4096, end - at - len(head)))
+        if not more:
+            raise ValueError("a record without an end of its header")
+        head += more
+    head = head.partition(b"\r\n\r\n")[0] + b"\r\n\r\n"
+    return len(head) + int(re.search(rb"(?im)^content-length:\s*(\d+)", head)[1]) + 4
+
+
 def index(spark: SparkSession, path: str) -> DataFrame:
     """(name, offset, length) of every record of the packages under path."""
 
@@ -300,12 +338,12 @@ def read(places: DataFrame, path: str) -> DataFrame:
                 file.seek(first["offset"])
                 data = file.read(end - first["offset"])
                 cut = _cut(data, rows[at:last])
-                yield pa.RecordBatch.from_pylist([parse(c) for c in cut], schema=kinds)
+                yield pa.RecordBatch.from_pylist([parse(unpacked(c)) for c in cut], schema=kinds)
                 at = last
 
     n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = places.repartition(n, "name", F.floor(F.col("offset") / (16 * READ_BYTES))).sortWithinPartitions("name", "offset")
-    return near.select("name", "offset", "length").mapInArrow(run, _RECORD)
+    return near.select("name", "offset", "length").mapInArrow(lean(run), _RECORD)
 
 
 def _cut(data: bytes, rows: list[dict]) -> list[bytes]:
