@@ -57,7 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "source", "text"), ranks, pattern), ranks, pattern)
+    coded = byte_bpe.encode(docs.select("doc_id", "source", "text"), ranks, pattern, back=True)
     whole = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
 
