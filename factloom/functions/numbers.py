@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from factloom.functions.text import clean_text
 
 #: What character recognition mistakes for parts of a number, and what was meant.
-MISREAD, MEANT = "，．。！IlO", "...1110"
+MISREAD, MEANT = "，．。！IlO", ",..1110"
 NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
 
 
-def try_parse(text: Column) -> Column:
-    """The number a text prints: commas and spaces go, parentheses negate, a percent sign divides by 100."""
+def number_token(text: Column) -> Column:
+    """The digits of a printed number: parentheses become a minus (if there is none), one percent sign, commas and spaces go."""
     clean = clean_text(text)
-    negative = clean.rlike(r"^\(.*\)$")
-    bare = F.regexp_replace(clean, r"^\((.*)\)$", "$1")
-    percent = bare.endswith("%")
-    digits = F.regexp_replace(F.regexp_replace(bare, "%$", ""), "[, ]", "")
-    value = F.when(digits.rlike(NUMBER), digits.try_cast("double"))
-    value = F.when(percent, value / 100).otherwise(value)
-    return F.when(negative, -value).otherwise(value)
+    bare = F.regexp_replace(F.regexp_replace(clean, r"^\((.*)\)$", "$1"), "%$", "")
+    digits = F.regexp_replace(bare, "[, ]", "")
+    return F.when(clean.rlike(r"^\(.*\)$") & (digits != "") & ~digits.startswith("-"), F.concat(F.lit("-"), digits)).otherwise(digits)
+
+
+def try_parse(text: Column) -> Column:
+    """The number a text prints, null if it prints none; its hundredth if a percent sign is last."""
+    token = number_token(text)
+    value = F.when(token.rlike(NUMBER), token.try_cast("double"))
+    return F.when(clean_text(text).endswith("%"), value / 100).otherwise(value)
 
 
 def analyze(text: Column, expected: Column) -> Column:
@@ -31,8 +34,8 @@ def analyze(text: Column, expected: Column) -> Column:
     """
     clean = clean_text(text)
     plain = try_parse(text)
-    # Full-width marks are narrowed only after the misread ones are mended.
-    mended = try_parse(F.translate(F.coalesce(text, F.lit("")), MISREAD, MEANT))
+    # Full-width marks are narrowed before misread ones are mended: a wide comma parts thousands.
+    mended = try_parse(F.translate(clean, MISREAD, MEANT))
     repaired = expected & plain.isNull() & mended.isNotNull()
     value = F.when(repaired, mended).otherwise(plain)
     status = (
@@ -61,7 +64,7 @@ def looks_integer(text: Column) -> Column:
 
 
 def looks_numeric(text: Column) -> Column:
-    return F.replace(clean_text(text), F.lit(","), F.lit("")).rlike(NUMBER)
+    return number_token(text).rlike(NUMBER)
 
 
 def safe_ratio(part: Column, whole: Column) -> Column:
@@ -74,11 +77,6 @@ def tolerance(least: float, relative: float, *values: Column) -> Column:
     return F.greatest(F.lit(least), *[F.abs(v) * relative for v in values])
 
 
-def exact_sum(value: Column) -> Column:
-    """A sum of money that doesn't depend on the order of its rows."""
-    return F.sum(value.cast("decimal(18,2)")).cast("double")
-
-
 def specificity(date: Column) -> Column:
     """3 for a day, 2 for a range of months, 1 for a year, else 0."""
     return F.when(date.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), 3).when(F.contains(date, F.lit("月-")), 2).when(date.endswith("年度"), 1).otherwise(0)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.text import clean_text
+
 #: How much a candidate's place is worth, and the words near it.
 SOURCE_WEIGHT = {"header": 120, "page_context": 95, "page_text": 70, "result_json": 65, "doc_id": 18}
 OTHER_WEIGHT = 20
 STATEMENT_WORDS = ("资产负债表", "利润表", "现金流量表", "所有者权益变动表")
-DAY = r"(20[0-9]{2})\s*[年\-./]\s*([0-9]{1,2})\s*[月\-./]\s*([0-9]{1,2})\s*日?"
-MONTHS = r"(20[0-9]{2})\s*年\s*([0-9]{1,2})\s*月?\s*[-至到]\s*([0-9]{1,2})\s*月"
-YEAR = r"(20[0-9]{2})\s*年度"
+DAYS = (r"(20[0-9]{2})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})", r"(20[0-9]{2})年\s*([0-9]{1,2})月\s*([0-9]{1,2})日")
+MONTHS = (r"(20[0-9]{2})年\s*([0-9]{1,2})月?\s*[-~至]\s*([0-9]{1,2})月", r"(20[0-9]{2})年\s*([0-9]{1,2})月\s*[-~至]\s*([0-9]{1,2})月")
+YEAR = r"(20[0-9]{2})年度"
 
 
 def _all(text: Column, pattern: str, groups: int) -> Column:
@@ -20,11 +22,16 @@ def _all(text: Column, pattern: str, groups: int) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<norm, kind>>: days, ranges of months, and years that no day or range repeats."""
-    days = F.transform(_all(text, DAY, 3), lambda x: F.struct(F.format_string("%s-%02d-%02d", x["g0"], x["g1"].cast("int"), x["g2"].cast("int")).alias("norm"), F.lit("exact").alias("kind")))
-    spans = F.transform(_all(text, MONTHS, 3), lambda x: F.struct(F.format_string("%s年%d月-%d月", x["g0"], x["g1"].cast("int"), x["g2"].cast("int")).alias("norm"), F.lit("range").alias("kind")))
-    years = F.transform(F.regexp_extract_all(text, F.lit(YEAR), F.lit(1)), lambda y: F.struct(F.concat(y, F.lit("年度")).alias("norm"), F.lit("annual").alias("kind")))
-    return F.array_distinct(F.concat(days, spans, years))
+    """array<struct<norm, kind>> of a cleaned text: days, ranges of months, and years, each year once.
+
+    Every match counts, so dates that occur again are there again; a range with the word for month
+    after its first month counts twice.
+    """
+    clean = clean_text(text)
+    days = F.transform(F.concat(*[_all(clean, d, 3) for d in DAYS]), lambda x: F.struct(F.format_string("%s-%02d-%02d", x["g0"], x["g1"].cast("int"), x["g2"].cast("int")).alias("norm"), F.lit("exact").alias("kind")))
+    spans = F.transform(F.concat(*[_all(clean, m, 3) for m in MONTHS]), lambda x: F.struct(F.format_string("%s年%d月-%d月", x["g0"], x["g1"].cast("int"), x["g2"].cast("int")).alias("norm"), F.lit("range").alias("kind")))
+    years = F.transform(F.regexp_extract_all(clean, F.lit(YEAR), F.lit(1)), lambda y: F.struct(F.concat(y, F.lit("年度")).alias("norm"), F.lit("annual").alias("kind")))
+    return F.concat(days, spans, F.array_distinct(years))
 
 
 def score(source: Column, text: Column) -> Column:

@@ -11,6 +11,8 @@ WIDE, NARROW = "，：；（）【】％－—　．、", ",:;()[]%-- .,"
 SPACE = r"[ \t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: What may stand before a label.
 ENUMERATION = r"^(([一二三四五六七八九十]+[、,，.])|([(（]?[0-9]+[)）.]))"
+SUBJECT_ENUMERATION = r"^(([一二三四五六七八九十]+[、,，.])|([(（]?[0-9]+[)）.]?))"
+SUBJECT_PREFIXES = ("其中", "减", "加", "注")
 PREFIXES = ("其中:", "减:", "加:", "注:", "其中", "减", "加")
 
 
@@ -26,10 +28,11 @@ def label_for_matching(text: Column) -> Column:
 
 
 def subject_label(text: Column) -> Column:
-    """A matching label without enumeration, one leading word of the prefixes, and a trailing parenthesis of at most 20."""
-    bare = F.regexp_replace(label_for_matching(text), ENUMERATION, "")
-    bare = F.regexp_replace(bare, f"^({'|'.join(PREFIXES)}):?", "")
-    return F.regexp_replace(bare, r"\([^()]{1,20}\)$", "")
+    """A matching label without enumeration, without one leading word of the prefixes (a colon after
+    it stays), and without a trailing parenthesis of at most 20."""
+    bare = F.regexp_replace(label_for_matching(text), SUBJECT_ENUMERATION, "")
+    bare = F.regexp_replace(bare, f"^({'|'.join(SUBJECT_PREFIXES)})", "")
+    return F.trim(F.regexp_replace(bare, r"[（(][^()（）]{1,20}[)）]$", ""))
 
 
 def canonical_label(text: Column, synonyms: dict[str, str] | None = None, prefixes: tuple[str, ...] = PREFIXES) -> dict[str, Column]:
@@ -64,7 +67,8 @@ def first_contained(text: Column, kinds: dict[str, tuple[str, ...]], default: st
 
 def stable_hash(*parts: Column, length: int = 12) -> Column:
     """The first hex digits of the SHA-1 of the stripped parts joined by `||`; null parts are empty."""
-    joined = F.concat_ws("||", *[F.trim(F.coalesce(p.cast("string"), F.lit(""))) for p in parts])
+    bare = lambda p: F.regexp_replace(F.coalesce(p.cast("string"), F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+    joined = F.concat_ws("||", *[bare(p) for p in parts])
     return F.substring(F.sha1(joined.cast("binary")), 1, length)
 
 

@@ -51,7 +51,8 @@ def near_amounts(gaps: DataFrame, facts: DataFrame, equal: list[str], tolerance:
     Amounts fall into buckets as wide as the tolerance; each gap looks into its own and both
     neighbours, so the join is one of equal keys.
     """
-    slot = lambda c: F.floor(F.col(c) / F.lit(tolerance)).cast("long")
+    # Slots are cut in decimals, like the comparison: 0.29 and 0.30 are neighbours.
+    slot = lambda c: F.floor(F.col(c).cast("decimal(18,4)") / F.lit(tolerance).cast("decimal(18,4)")).cast("long")
     left = gaps.withColumn("__slot", F.explode(F.array(slot("amount") - 1, slot("amount"), slot("amount") + 1)))
     right = facts.withColumn("__slot", slot("value"))
     # Cents are compared as decimals, so 0.1 + 0.2 lies where it should.

@@ -14,19 +14,24 @@ def first_reason(cases: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def export_winners(facts: DataFrame, cell: list[str], order: list[Column], value: str = "value", accepted: Column | None = None) -> DataFrame:
-    """facts with `export`: exported, duplicate_same_value_not_exported or multiple_export_candidates.
-
-    A single fact of a cell wins; of equal values the best by the order; of different values the
-    only accepted one; else none.
+def export_winners(facts: DataFrame, cell: list[str], order: list[Column], value: str = "value", accepted: Column | None = None, preferred: Column | None = None) -> DataFrame:
+    """facts with `export`: exported, or why not.
+
+    A single fact of a cell wins; else the only preferred one, and the others are
+    shadow_preferred_other_candidate; of equal values the best by the order, the others are
+    duplicate_same_value_not_exported; of different values the only accepted one, the others are
+    replaced_by_resolved_candidate; else all are multiple_export_candidates. A missing value
+    counts as 0.
     """
     same = Window.partitionBy(*cell)
-    chosen = F.lit(False) if accepted is None else accepted
-    rows = facts.withColumn("__ok", chosen)
-    rows = rows.withColumns({"__low": F.min(F.round(value, 8)).over(same), "__high": F.max(F.round(value, 8)).over(same), "__accepted": F.count_if("__ok").over(same), "__rank": F.row_number().over(same.orderBy(*order))})
-    equal = F.col("__low") == F.col("__high")
-    state = F.when(equal & (F.col("__rank") == 1), "exported").when(equal, "duplicate_same_value_not_exported").when((F.col("__accepted") == 1) & F.col("__ok"), "exported").otherwise("multiple_export_candidates")
-    return rows.withColumn("export", state).drop("__ok", "__low", "__high", "__accepted", "__rank")
+    flag = lambda c: F.lit(False) if c is None else F.coalesce(c, F.lit(False))
+    rows = facts.withColumns({"__ok": flag(accepted), "__first": flag(preferred)})
+    amount = F.round(F.coalesce(F.col(value), F.lit(0.0)), 8)
+    rows = rows.withColumns({"__n": F.count(F.lit(1)).over(same), "__low": F.min(amount).over(same), "__high": F.max(amount).over(same), "__oks": F.count_if("__ok").over(same), "__firsts": F.count_if("__first").over(same), "__rank": F.row_number().over(same.orderBy(*order))})
+    by_preference, equal, by_decision = F.col("__firsts") == 1, F.col("__low") == F.col("__high"), F.col("__oks") == 1
+    chosen = F.when(F.col("__n") == 1, True).when(by_preference, F.col("__first")).when(equal, F.col("__rank") == 1).when(by_decision, F.col("__ok")).otherwise(False)
+    why = F.when(by_preference, "shadow_preferred_other_candidate").when(equal, "duplicate_same_value_not_exported").when(by_decision, "replaced_by_resolved_candidate").otherwise("multiple_export_candidates")
+    return rows.withColumn("export", F.when(chosen, "exported").otherwise(why)).drop("__ok", "__first", "__n", "__low", "__high", "__oks", "__firsts", "__rank")
 
 
 def pivot_sheet(facts: DataFrame, row: list[str], period: str, periods: list[str], value: Column) -> DataFrame:

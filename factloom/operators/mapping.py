@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cascade(facts: DataFrame, subjects: DataFrame, aliases: DataFrame, label: str = "label") -> DataFrame:
+def cascade(facts: DataFrame, subjects: DataFrame, aliases: DataFrame, label: str = "label", position: str = "position") -> DataFrame:
     """facts with code, method and confidence: an exact subject name, else an alias, else none.
 
-    subjects: (name, code), the last code of a name counts; aliases: (alias, code, exact), exact
+    subjects: (name, code, position), the last code of a name counts; aliases: (alias, code, exact), exact
     ones before others, then the smallest code. Both are reduced to one row for each name first,
     so no fact is multiplied.
     """
-    names = subjects.groupBy(F.col("name").alias(label)).agg(F.max("code").alias("__exact"))
+    names = subjects.groupBy(F.col("name").alias(label)).agg(F.max_by("code", position).alias("__exact"))
     order = F.struct((~F.col("exact")).alias("o"), F.col("code").alias("c"))
     other = aliases.groupBy(F.col("alias").alias(label)).agg(F.min_by(F.struct("code", "exact"), order).alias("__alias"))
     rows = facts.join(names, label, "left").join(other, label, "left")
@@ -35,18 +35,20 @@ def fuzzy_candidates(labels: DataFrame, subjects: DataFrame, least: float = 0.62
     """(label, code, name, score, rank): up to `top` codes for each distinct label.
 
     score = 0.55 * similarity of sequences + 0.35 * overlap of characters + 0.08 for a common
-    beginning + 0.05 for a common end, at most 1. Labels and names meet on a shared character
-    pair: a score of 0.62 needs more common characters than a pair of texts without one can
-    have in a row, unless they are single characters or permutations, which meet by their set of
-    characters. Only pairs whose bound from lengths and characters reaches the threshold are scored.
+    beginning + 0.05 for a common end, at most 1. Labels and names meet on a shared character,
+    without which the score is at most 0.13; subjects are a dimension table, and labels are
+    distinct. Only pairs whose bound from lengths, common characters and overlap reaches the
+    threshold are scored.
     """
-    keyed = lambda c: F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))), F.array(F.array_join(F.array_sort(F.array_distinct(F.split(c, ""))), ""))))
-    one = labels.select("label").filter("label <> ''").distinct().withColumn("k", F.explode(keyed(F.col("label"))))
-    two = subjects.select("name", "code").distinct().withColumn("k", F.explode(keyed(F.col("name"))))
+    chars = lambda c: F.array_distinct(F.split(F.col(c), ""))
+    one = labels.select("label").filter("label <> ''").distinct().withColumn("k", F.explode(chars("label")))
+    two = subjects.select("name", "code").filter("name <> ''").distinct().withColumn("k", F.explode(chars("name")))
     pairs = one.join(two, "k").select("label", "name", "code").distinct()
-    chars = lambda c: F.array_distinct(F.split(c, ""))
-    overlap = F.size(F.array_intersect(chars(F.col("label")), chars(F.col("name")))) / F.size(F.array_union(chars(F.col("label")), chars(F.col("name"))))
-    bound = 2 * F.least(F.length("label"), F.length("name")) / (F.length("label") + F.length("name"))
+    times = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), x, F.lit("")))
+    shared = F.array_intersect(chars("label"), chars("name"))
+    common = F.aggregate(shared, F.lit(0), lambda n, x: n + F.least(times("label", x), times("name", x)))
+    overlap = F.size(shared) / F.size(F.array_union(chars("label"), chars("name")))
+    bound = 2 * common / (F.length("label") + F.length("name"))
     pairs = pairs.withColumn("overlap", overlap).filter(0.55 * bound + 0.35 * F.col("overlap") + 0.13 >= least)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: How statuses rank.
 STATUS_RANK = {"observed": 5, "repaired": 4, "inferred": 3, "blank": 2, "review": 1, "conflict": 0}
-MAGNITUDE_GATE = 100.0
+MAGNITUDE_GATE, MAGNITUDE_REVIEW = 100.0, 10.0
 
 
 def status_rank(status: Column) -> Column:
@@ -60,16 +60,46 @@ def conflict_groups(facts: DataFrame, key: list[str], provider: str = "provider"
     return rows.filter("n_providers >= 2").withColumns({"magnitude_ratio": ratio, "comparison": F.when(F.col("n_values") == 1, "equal").otherwise("conflict")}).drop("__small", "__large", "__n")
 
 
-def conflict_winners(facts: DataFrame, key: list[str], order: list[Column], value: str = "value", provider: str = "provider") -> DataFrame:
-    """For each key of several providers the row that wins by the order, and the decision.
+def conflict_winners(facts: DataFrame, key: list[str], rank: Column, score: Column, noisy: Column, order: list[Column], value: str = "value", provider: str = "provider") -> DataFrame:
+    """For each key of several providers how they are decided between, why, and the provider and value accepted, if any.
 
-    A single distinct value is accepted; a magnitude ratio of 100 or more, or no winner ahead of
-    the others, goes to review.
+    Each provider is represented by its first row in `order`, rows with a value before others. No
+    value: unresolved. A single value: accepted by rule, as the others' are unreadable. Equal
+    values: accepted. A ratio of 100 or more, then of 10 or more: review. Else candidates come by
+    ascending score, then rank of their provider; if the first is clean and another one noisy it
+    is accepted by rule, and all else is for review.
     """
-    groups = conflict_groups(facts, key, provider, value)
-    best = best_by(facts.filter(F.col(value).isNotNull()), key, *order).select(*key, F.col(provider).alias("winner"), F.col(value).alias("winning_value"))
-    decision = F.when(F.col("n_values") == 1, "accepted").when(F.col("magnitude_ratio") >= MAGNITUDE_GATE, "review_required").otherwise("accepted_with_rule_support")
-    return groups.join(best, key).withColumn("decision", decision)
+    rows = facts.withColumns({"__score": score, "__noisy": noisy, "__rank": rank})
+    best = best_by(rows, [*key, provider], F.col(value).isNull(), *order)
+    number = F.col(value).isNotNull()
+    one = F.struct(F.col(provider).alias("provider"), F.col(value).alias("value"), F.col("__noisy").alias("noisy"))
+    groups = best.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n_providers"),
+        F.count(value).alias("n_numeric"),
+        F.min(F.round(value, 8)).alias("__low"),
+        F.max(F.round(value, 8)).alias("__high"),
+        F.min(F.when(F.col(value) != 0, F.abs(value))).alias("__small"),
+        F.max(F.abs(value)).alias("__large"),
+        F.count_if(F.col(value) != 0).alias("__n"),
+        F.count_if("__noisy").alias("__noise"),
+        F.min_by(F.when(number, one), F.when(number, F.struct("__score", "__rank", provider))).alias("__first"),
+    )
+    ratio = F.when(F.col("__n") >= 2, F.round(F.col("__large") / F.col("__small"), 6))
+    clean = ~F.col("__first.noisy") & (F.col("__noise") > 0)
+    cases = [
+        (F.col("n_numeric") == 0, "unresolved", "no_numeric_candidate_available"),
+        (F.col("n_numeric") == 1, "accepted_with_rule_support", "single_clean_numeric_candidate"),
+        (F.col("__low") == F.col("__high"), "accepted", "equal"),
+        (F.col("magnitude_ratio") >= MAGNITUDE_GATE, "review_required", "magnitude_ratio_exceeds_force_threshold"),
+        (F.col("magnitude_ratio") >= MAGNITUDE_REVIEW, "review_required", "magnitude_ratio_requires_review"),
+        (clean, "accepted_with_rule_support", "clean_numeric_beats_noisy_candidate"),
+    ]
+    decision, reason = F.lit("review_required"), F.lit("multiple_numeric_candidates_need_review")
+    for condition, what, why in reversed(cases):
+        decision, reason = F.when(condition, what).otherwise(decision), F.when(condition, why).otherwise(reason)
+    rows = groups.filter("n_providers >= 2").withColumn("magnitude_ratio", ratio).withColumns({"decision": decision, "reason": reason})
+    accepted = F.col("decision").startswith("accepted")
+    return rows.select(*key, "n_providers", "n_numeric", "magnitude_ratio", "decision", "reason", F.when(accepted, F.col("__first.provider")).alias("winner"), F.when(accepted, F.col("__first.value")).alias("winning_value"))
 
 
 def page_comparison(pairs: DataFrame, page: list[str]) -> DataFrame:

@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 from factloom.functions.numbers import tolerance
 from factloom.operators.reconcile import best_by
 
+#: Statuses whose facts aren't checked.
+UNCHECKED = ("review", "conflict", "suppressed")
+
+
+def checked(facts: DataFrame, status: str = "status") -> DataFrame:
+    """The facts that enter checks."""
+    return facts.filter(F.col(status).isNull() | ~F.col(status).isin(*UNCHECKED))
+
 
 def balance(facts: DataFrame, group: list[str], parts: dict[str, Column], order: list[Column], value: str = "value", absolute: float = 1.0, relative: float = 0.0001) -> DataFrame:
     """whole = first + second for each group, where parts names conditions for whole, first, second.
 
-    Each part is the best row that meets its condition. A missing part makes the check skipped.
+    Each part is the best row that meets its condition. A missing part makes the check skipped. The
+    difference is whole - (first + second); it passes within the larger of the absolute tolerance
+    and the relative one of the larger side. Facts should come through checked().
     """
     rows = facts
     named = F.lit(None)
@@ -23,9 +33,9 @@ def balance(facts: DataFrame, group: list[str], parts: dict[str, Column], order:
     every = facts.select(*group).distinct().join(wide, group, "left")
     whole, first, second = parts
     right = F.col(first) + F.col(second)
-    allowed = tolerance(absolute, relative, F.col(whole), F.col(first), F.col(second))
-    gap = F.abs(F.col(whole) - right)
-    status = F.when(gap.isNull(), "skipped").when(gap <= allowed, "pass").otherwise("fail")
+    allowed = tolerance(absolute, relative, F.col(whole), right)
+    gap = F.col(whole) - right
+    status = F.when(gap.isNull(), "skipped").when(F.abs(gap) <= allowed, "pass").otherwise("fail")
     return every.select(*group, *parts, F.round(gap, 6).alias("difference"), status.alias("status"))
 
 

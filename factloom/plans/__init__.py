@@ -1,6 +1,7 @@
 """Registered queries over the driver's tables, with equivalent SQL."""
 
-from factloom.plans import reconciling
+from factloom.plans import labels, reconciling, summaries, tables
 
-QUERIES = {**reconciling.QUERIES}
-ORACLES = {**reconciling.ORACLES}
+PARTS = (reconciling, tables, labels, summaries)
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

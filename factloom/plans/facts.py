@@ -55,23 +55,31 @@ def order() -> list:
 ORDER = "CASE status WHEN 'observed' THEN -5 WHEN 'repaired' THEN -4 ELSE -1 END, -quality, fact_id, value, tax, discount, year, provider"
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items of an order as cells of a table with a header row and spans."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0")
-    return rows.select(
-        F.col("l_orderkey").alias("table_id"),
-        F.col("l_linenumber").alias("row_start"),
-        (F.col("l_linenumber") + (F.col("l_quantity") > 40).cast("int")).alias("row_end"),
-        (F.col("l_suppkey") % 3).cast("int").alias("col_start"),
-        ((F.col("l_suppkey") % 3) + (F.col("l_discount") > 0.07).cast("int")).cast("int").alias("col_end"),
-        F.concat(F.col("l_returnflag"), F.col("l_partkey").cast("string")).alias("text"),
-        F.struct("l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax").alias("ordinal"),
-    )
+#: A chart of accounts for the kinds of parts: (name, code, position), and what else names are called: (alias, code, exact).
+SUBJECTS = "(VALUES ('STANDARD', '1001', 1), ('STANDARD', '1000', 2), ('MEDIUM', '1003', 3)) AS subjects(name, code, position)"
+ALIASES = "(VALUES ('LARGE', '1004', true), ('LARGE', '1009', false), ('ECONOMY', '1006', false), ('ECONOMY', '1005', false)) AS aliases(alias, code, exact)"
+
+
+def subjects(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {SUBJECTS}")
+
+
+def aliases(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {ALIASES}")
+
+
+def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts with the label of their document, its code, and how it was found."""
+    from factloom.operators import mapping
+
+    labels = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_type").alias("label"))
+    return mapping.cascade(facts(spark, sf_dir).join(labels, "doc_id"), subjects(spark), aliases(spark))
 
 
-CELLS = """cells AS (
-  SELECT l_orderkey AS table_id, l_linenumber AS row_start, l_linenumber + CAST(l_quantity > 40 AS INTEGER) AS row_end,
-         CAST(l_suppkey % 3 AS INTEGER) AS col_start, CAST(l_suppkey % 3 + CAST(l_discount > 0.07 AS INTEGER) AS INTEGER) AS col_end,
-         l_returnflag || CAST(l_partkey AS VARCHAR) AS text,
-         row_number() OVER (ORDER BY l_shipdate, l_extendedprice, l_partkey, l_suppkey, l_quantity, l_discount, l_tax) AS ordinal
-  FROM lineitem WHERE l_orderkey % 4 = 0)"""
+MAPPED = f"""{FACTS}, mapped AS (
+  SELECT f.*, p_type AS label, coalesce(s.code, a.code) AS code,
+         CASE WHEN s.code IS NOT NULL THEN 'exact' WHEN a.exact THEN 'exact_alias' WHEN a.code IS NOT NULL THEN 'legacy_alias' ELSE 'unmapped' END AS method,
+         CASE WHEN s.code IS NOT NULL THEN 1.0::DOUBLE WHEN a.exact THEN 0.95::DOUBLE WHEN a.code IS NOT NULL THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS confidence
+  FROM facts f JOIN part ON f.doc_id = p_partkey
+  LEFT JOIN (SELECT name, arg_max(code, position) AS code FROM {SUBJECTS} GROUP BY name) s ON p_type = s.name
+  LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY NOT exact, code) AS n FROM {ALIASES}) WHERE n = 1) a ON p_type = a.alias)"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import derive, export, reconcile, validation
-from factloom.plans.facts import FACTS, KEY, ORDER, facts, order, table
+from factloom.plans.facts import FACTS, KEY, MAPPED, ORDER, facts, mapped, order, table
 
 QUERIES, ORACLES = {}, {}
 KEYS = ", ".join(KEY)
@@ -53,14 +53,33 @@ def conflict_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.conflict_groups(facts(spark, sf_dir), KEY)
 
 
-@query(f"""WITH {FACTS}, {GROUPS}, first AS (
-  SELECT * FROM (SELECT {KEYS}, provider AS winner, value AS winning_value, row_number() OVER (PARTITION BY {KEYS} ORDER BY {ORDER}) AS n
-                 FROM facts WHERE value IS NOT NULL) WHERE n = 1)
-SELECT groups.*, winner, winning_value,
-       CASE WHEN n_values = 1 THEN 'accepted' WHEN magnitude_ratio >= 100 THEN 'review_required' ELSE 'accepted_with_rule_support' END AS decision
-FROM groups JOIN first USING ({KEYS})""")
+SCORE = "3 + CASE WHEN discount BETWEEN 0.035 AND 0.065 THEN 0 ELSE 2 END + CAST(status = 'observed' AS INTEGER) + CAST(report_date <> 'unknown_date' AS INTEGER)"
+
+
+@query(f"""WITH {FACTS}, best AS (
+  SELECT *, {SCORE} AS score, discount BETWEEN 0.035 AND 0.065 AS noisy FROM (
+    SELECT *, row_number() OVER (PARTITION BY {KEYS}, provider ORDER BY value IS NULL, {ORDER}) AS n FROM facts) WHERE n = 1),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY score, provider) AS k FROM best WHERE value IS NOT NULL) WHERE k = 1),
+grouped AS (
+  SELECT {KEYS}, count(*) AS n_providers, count(value) AS n_numeric, min(round(value, 8)) AS low, max(round(value, 8)) AS high, count(*) FILTER (WHERE noisy) AS noise,
+         CASE WHEN count(*) FILTER (WHERE value <> 0) >= 2 THEN round(max(abs(value)) / min(abs(value)) FILTER (WHERE value <> 0), 6) END AS magnitude_ratio
+  FROM best GROUP BY {KEYS} HAVING count(*) >= 2),
+decided AS (
+  SELECT g.*, f.provider AS first_provider, f.value AS first_value,
+         CASE WHEN n_numeric = 0 THEN 'no_numeric_candidate_available' WHEN n_numeric = 1 THEN 'single_clean_numeric_candidate' WHEN low = high THEN 'equal'
+              WHEN magnitude_ratio >= 100 THEN 'magnitude_ratio_exceeds_force_threshold' WHEN magnitude_ratio >= 10 THEN 'magnitude_ratio_requires_review'
+              WHEN NOT f.noisy AND noise > 0 THEN 'clean_numeric_beats_noisy_candidate' ELSE 'multiple_numeric_candidates_need_review' END AS reason
+  FROM grouped g LEFT JOIN firsts f USING ({KEYS}))
+SELECT {KEYS}, n_providers, n_numeric, magnitude_ratio,
+       CASE reason WHEN 'no_numeric_candidate_available' THEN 'unresolved' WHEN 'equal' THEN 'accepted' WHEN 'single_clean_numeric_candidate' THEN 'accepted_with_rule_support'
+            WHEN 'clean_numeric_beats_noisy_candidate' THEN 'accepted_with_rule_support' ELSE 'review_required' END AS decision, reason,
+       CASE WHEN reason IN ('equal', 'single_clean_numeric_candidate', 'clean_numeric_beats_noisy_candidate') THEN first_provider END AS winner,
+       CASE WHEN reason IN ('equal', 'single_clean_numeric_candidate', 'clean_numeric_beats_noisy_candidate') THEN first_value END AS winning_value
+FROM decided""")
 def provider_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.conflict_winners(facts(spark, sf_dir), KEY, order())
+    noisy = F.col("discount").between(0.035, 0.065)
+    score = F.lit(3) + F.when(noisy, 0).otherwise(2) + (F.col("status") == "observed").cast("int") + (F.col("report_date") != "unknown_date").cast("int")
+    return reconcile.conflict_winners(facts(spark, sf_dir), KEY, F.col("provider"), score, noisy, order())
 
 
 @query(f"""WITH {FACTS}, {BEST}, {PAIRS}
@@ -108,46 +127,49 @@ def duplicate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.duplicate_audit(_deduped(spark, sf_dir), STRICT)
 
 
-@query(f"""WITH {FACTS}, counted AS (
-  SELECT *, count(*) FILTER (WHERE report_date <> 'unknown_date') OVER w AS known, count(*) OVER w AS n
-  FROM facts WINDOW w AS (PARTITION BY doc_id, statement_type, role, quality))
-SELECT doc_id, statement_type, role, quality, report_date, fact_id, NOT (known > 0 AND known < n AND report_date = 'unknown_date') AS kept,
+@query(f"""WITH {FACTS}, {DEDUPED}, counted AS (
+  SELECT *, count(*) FILTER (WHERE report_date <> 'unknown_date') OVER w AS known, count(*) OVER w AS n FROM (SELECT * EXCLUDE (n) FROM deduped WHERE dedupe <> 'dropped')
+  WINDOW w AS (PARTITION BY doc_id, statement_type, role, round(value, 8)))
+SELECT doc_id, statement_type, role, value, report_date, fact_id, NOT (known > 0 AND known < n AND report_date = 'unknown_date') AS kept,
        CASE WHEN known > 0 AND known < n AND report_date = 'unknown_date' THEN 'explicit_date_preferred_over_unknown_date' ELSE '' END AS reason FROM counted""")
 def dedupe_explicit_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = ["doc_id", "statement_type", "role", "quality"]
-    return reconcile.dedupe_explicit_date(facts(spark, sf_dir), key, "report_date", order()).select(*key, "report_date", "fact_id", "kept", "reason")
+    key = ["doc_id", "statement_type", "role"]
+    left = _deduped(spark, sf_dir).filter("dedupe <> 'dropped'").withColumn("amount", F.round("value", 8))
+    return reconcile.dedupe_explicit_date(left, [*key, "amount"], "report_date", order()).select(*key, "value", "report_date", "fact_id", "kept", "reason")
 
 
 PARTS = {"assets": "A", "liabilities": "N", "equity": "R"}
 
 
 @query(f"""WITH {FACTS}, best AS (
-  SELECT * FROM (SELECT doc_id, year, statement_type, value, row_number() OVER (PARTITION BY doc_id, year, statement_type ORDER BY {ORDER}) AS n FROM facts WHERE value IS NOT NULL) WHERE n = 1),
+  SELECT * FROM (SELECT doc_id, year, statement_type, value, row_number() OVER (PARTITION BY doc_id, year, statement_type ORDER BY {ORDER}) AS n FROM facts WHERE value IS NOT NULL AND status <> 'review') WHERE n = 1),
 wide AS (SELECT doc_id, year, max(value) FILTER (WHERE statement_type = 'A') AS assets, max(value) FILTER (WHERE statement_type = 'N') AS liabilities,
                 max(value) FILTER (WHERE statement_type = 'R') AS equity FROM best GROUP BY doc_id, year)
-SELECT d.doc_id, d.year, assets, liabilities, equity, round(abs(assets - (liabilities + equity)), 6) AS difference,
+SELECT d.doc_id, d.year, assets, liabilities, equity, round(assets - (liabilities + equity), 6) AS difference,
        CASE WHEN assets IS NULL OR liabilities IS NULL OR equity IS NULL THEN 'skipped'
-            WHEN abs(assets - (liabilities + equity)) <= greatest(1.0, abs(assets) * 0.0001, abs(liabilities) * 0.0001, abs(equity) * 0.0001) THEN 'pass' ELSE 'fail' END AS status
-FROM (SELECT DISTINCT doc_id, year FROM facts) d LEFT JOIN wide w USING (doc_id, year)""")
+            WHEN abs(assets - (liabilities + equity)) <= greatest(1.0, abs(assets) * 0.0001, abs(liabilities + equity) * 0.0001) THEN 'pass' ELSE 'fail' END AS status
+FROM (SELECT DISTINCT doc_id, year FROM facts WHERE status <> 'review') d LEFT JOIN wide w USING (doc_id, year)""")
 def balance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = {name: F.col("statement_type") == flag for name, flag in PARTS.items()}
-    return validation.balance(facts(spark, sf_dir), ["doc_id", "year"], parts, order())
+    return validation.balance(validation.checked(facts(spark, sf_dir)), ["doc_id", "year"], parts, order())
 
 
-SUBTOTALS = f"""WITH {FACTS}, grouped AS (SELECT doc_id, provider, fact_id AS row, bool_or(tax > 0.07) AS is_total, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS value
-  FROM facts WHERE value IS NOT NULL GROUP BY doc_id, provider, fact_id),
-islands AS (SELECT *, max(row) FILTER (WHERE is_total) OVER (PARTITION BY doc_id, provider ORDER BY row RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since FROM grouped),
-sums AS (SELECT t.doc_id, t.provider, t.row, t.value AS total, count(d.row) AS details, CAST(sum(CAST(d.value AS DECIMAL(18, 2))) AS DOUBLE) AS expected
-  FROM islands t LEFT JOIN grouped d ON d.doc_id = t.doc_id AND d.provider = t.provider AND NOT d.is_total AND d.row < t.row AND (t.since IS NULL OR d.row > t.since)
-  WHERE t.is_total GROUP BY t.doc_id, t.provider, t.row, t.value)
-SELECT doc_id, provider, row, total, details, CASE WHEN details >= 2 THEN expected END AS expected,
+TABLE = ["doc_id", "page_no", "role"]
+SUBTOTALS = f"""WITH {FACTS}, grouped AS (SELECT {', '.join(TABLE)}, fact_id AS row, bool_or(tax > 0.06) AS is_total, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS value
+  FROM facts WHERE value IS NOT NULL AND status <> 'review' GROUP BY ALL),
+islands AS (SELECT *, max(row) FILTER (WHERE is_total) OVER (PARTITION BY {', '.join(TABLE)} ORDER BY row RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since FROM grouped),
+sums AS (SELECT {', '.join(f't.{k}' for k in TABLE)}, t.row, t.value AS total, count(d.row) AS details, CAST(sum(CAST(d.value AS DECIMAL(18, 2))) AS DOUBLE) AS expected
+  FROM islands t LEFT JOIN grouped d ON {' AND '.join(f'd.{k} = t.{k}' for k in TABLE)} AND NOT d.is_total AND d.row < t.row AND (t.since IS NULL OR d.row > t.since)
+  WHERE t.is_total GROUP BY ALL)
+SELECT {', '.join(TABLE)}, row, total, details, CASE WHEN details >= 2 THEN expected END AS expected,
        CASE WHEN details < 2 THEN 'skipped' WHEN abs(total - expected) <= greatest(1.0, abs(total) * 0.0001, abs(expected) * 0.0001) THEN 'pass' ELSE 'fail' END AS status FROM sums"""
 
 
 @query(SUBTOTALS)
 def subtotal_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = facts(spark, sf_dir).filter("value IS NOT NULL").groupBy("doc_id", "provider", F.col("fact_id").alias("row")).agg(F.bool_or(F.col("tax") > 0.07).alias("is_total"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value"))
-    return validation.subtotals(rows, ["doc_id", "provider"], "row", F.col("is_total"))
+    rows = validation.checked(facts(spark, sf_dir)).filter("value IS NOT NULL").groupBy(*TABLE, F.col("fact_id").alias("row"))
+    rows = rows.agg(F.bool_or(F.col("tax") > 0.06).alias("is_total"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value"))
+    return validation.subtotals(rows, TABLE, "row", F.col("is_total"))
 
 
 @query("SELECT l_orderkey AS fact_id, l_linenumber AS page_no, round(l_quantity / 25, 6) AS value, CASE WHEN abs(round(l_quantity / 25, 6) - 1) <= 0.02 THEN 'pass' ELSE 'fail' END AS status FROM lineitem WHERE l_tax >= 0.08")
@@ -166,7 +188,7 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CODED = """coded AS (SELECT r_name AS region, n_name AS code, CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS value, c_mktsegment AS segment
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 7 < 4 GROUP BY ALL)"""
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)"""
 RULES = """rules AS (SELECT r_name || '/' || kind AS rule, kind, r_name AS target, n_name AS child,
          CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE -1 END AS sign, count(*) OVER (PARTITION BY r_name, kind) AS n_children
   FROM nation JOIN region ON n_regionkey = r_regionkey CROSS JOIN (SELECT unnest(['sum', 'sum_if_present', 'signed', 'copy_single']) AS kind))"""
@@ -179,7 +201,7 @@ derived AS (SELECT rule, target, segment, round(CAST(s AS DOUBLE), 6) AS derived
 
 def _coded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    coded = table(spark, sf_dir, "customer").filter("c_custkey % 7 < 4").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("code"), F.col("c_mktsegment").alias("segment")).agg(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("value"))
+    coded = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("code"), F.col("c_mktsegment").alias("segment")).agg(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("value"))
     rules = nations.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in derive.KINDS])))
     sizes = rules.groupBy("r_name", "kind").agg(F.count(F.lit(1)).alias("n_children"))
     rules = rules.join(sizes, ["r_name", "kind"]).select(F.concat("r_name", F.lit("/"), "kind").alias("rule"), "kind", F.col("r_name").alias("target"), F.col("n_name").alias("child"), F.when(F.col("n_nationkey") % 2 == 0, 1).otherwise(-1).alias("sign"), "n_children")
@@ -216,8 +238,8 @@ def formula_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _blockers() -> list[tuple[str, Column]]:
     return [
-        ("unmapped", F.col("doc_id") % 10 == 0),
-        ("mapping_review_required", F.col("doc_id") % 10 == 1),
+        ("unmapped", F.col("code").isNull()),
+        ("mapping_review_required", F.col("confidence") < 0.95),
         ("non_numeric_or_blank", F.col("value").isNull()),
         ("statement_type_blocked", F.col("statement_type") == "R"),
         ("unknown_date", F.col("report_date") == "unknown_date"),
@@ -226,30 +248,30 @@ def _blockers() -> list[tuple[str, Column]]:
     ]
 
 
-BLOCKER = """CASE WHEN doc_id % 10 = 0 THEN 'unmapped' WHEN doc_id % 10 = 1 THEN 'mapping_review_required' WHEN value IS NULL THEN 'non_numeric_or_blank'
+BLOCKER = """CASE WHEN code IS NULL THEN 'unmapped' WHEN confidence < 0.95 THEN 'mapping_review_required' WHEN value IS NULL THEN 'non_numeric_or_blank'
   WHEN statement_type = 'R' THEN 'statement_type_blocked' WHEN report_date = 'unknown_date' THEN 'unknown_date' WHEN role = 'F' THEN 'unknown_period_role'
   WHEN status = 'review' THEN 'status_blocked' ELSE '' END"""
 
 
-@query(f"WITH {FACTS} SELECT statement_type, {BLOCKER} AS blocker, count(*) AS n FROM facts GROUP BY ALL")
+@query(f"WITH {MAPPED} SELECT statement_type, {BLOCKER} AS blocker, count(*) AS n FROM mapped GROUP BY ALL")
 def export_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir).groupBy("statement_type", export.first_reason(_blockers()).alias("blocker")).agg(F.count(F.lit(1)).alias("n"))
+    return mapped(spark, sf_dir).groupBy("statement_type", export.first_reason(_blockers()).alias("blocker")).agg(F.count(F.lit(1)).alias("n"))
 
 
 CELL = ["doc_id", "report_date"]
-WINNERS = f"""open AS (SELECT * FROM facts WHERE {BLOCKER} = ''), marked AS (
+WINNERS = f"""open AS (SELECT * FROM mapped WHERE {BLOCKER} = ''), marked AS (
   SELECT *, min(round(value, 8)) OVER w AS low, max(round(value, 8)) OVER w AS high, count(*) FILTER (WHERE status = 'observed') OVER w AS ok,
          row_number() OVER (PARTITION BY doc_id, report_date ORDER BY {ORDER}) AS rank FROM open WINDOW w AS (PARTITION BY doc_id, report_date)),
 winners AS (SELECT doc_id, report_date, value, fact_id, CASE WHEN low = high AND rank = 1 THEN 'exported' WHEN low = high THEN 'duplicate_same_value_not_exported'
-  WHEN ok = 1 AND status = 'observed' THEN 'exported' ELSE 'multiple_export_candidates' END AS export FROM marked)"""
+  WHEN ok = 1 AND status = 'observed' THEN 'exported' WHEN ok = 1 THEN 'replaced_by_resolved_candidate' ELSE 'multiple_export_candidates' END AS export FROM marked)"""
 
 
 def _winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    open_ = facts(spark, sf_dir).filter(export.first_reason(_blockers()) == "")
+    open_ = mapped(spark, sf_dir).filter(export.first_reason(_blockers()) == "")
     return export.export_winners(open_, CELL, order(), accepted=F.col("status") == "observed").select(*CELL, "value", "fact_id", "export")
 
 
-@query(f"WITH {FACTS}, {WINNERS} SELECT * FROM winners")
+@query(f"WITH {MAPPED}, {WINNERS} SELECT * FROM winners")
 def export_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _winners(spark, sf_dir)
 
@@ -257,6 +279,6 @@ def export_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
 YEARS = [f"{y}年度" for y in range(1992, 1999)]
 
 
-@query(f"WITH {FACTS}, {WINNERS} SELECT doc_id, {', '.join(f'''max(value * 1000) FILTER (WHERE report_date = '{y}') AS "{y}"''' for y in YEARS)} FROM winners WHERE export = 'exported' GROUP BY doc_id")
+@query(f"WITH {MAPPED}, {WINNERS} SELECT doc_id, {', '.join(f'''max(value * 1000) FILTER (WHERE report_date = '{y}') AS "{y}"''' for y in YEARS)} FROM winners WHERE export = 'exported' GROUP BY doc_id")
 def export_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.pivot_sheet(_winners(spark, sf_dir).filter("export = 'exported'"), ["doc_id"], "report_date", YEARS, F.col("value") * 1000)
