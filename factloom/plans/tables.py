@@ -291,3 +291,46 @@ def mapping_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     overrides = spark.sql(f"SELECT kind, key, target AS to FROM {OVERRIDES}")
     rows = review.with_overrides(mapped(spark, sf_dir), overrides, ["doc_id", "label"], "code")
     return rows.groupBy("doc_id", "label", "code", "override").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {GRID}, rows AS (SELECT table_id, row, list(text ORDER BY col) AS texts FROM grid GROUP BY ALL),
+data AS (SELECT table_id, row, texts[1] <> '' AND len(list_filter(texts[1:3], lambda x: regexp_full_match(x, '-?[0-9]+'))) > 0 AND len(list_filter(texts[2:], lambda x: regexp_full_match(x, '-?[0-9]+'))) > 0 AS is_data FROM rows WHERE row < 3)
+SELECT table_id, CAST(coalesce(greatest(min(row) FILTER (WHERE is_data), CASE WHEN bool_or(is_data) THEN 1 END), count(*)) AS INTEGER) AS header_rows FROM data GROUP BY table_id""")
+def grid_header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.header_rows(grid.rows_of(_grid(spark, sf_dir), TABLE), TABLE)
+
+
+@query(f"""WITH {GRID}, c AS (SELECT table_id, col, count(*) FILTER (WHERE row >= {HEADS} AND regexp_full_match(text, '-?[0-9]+')) / nullif(count(*) FILTER (WHERE row >= {HEADS} AND text <> ''), 0)::DOUBLE AS share FROM grid GROUP BY ALL)
+SELECT table_id, CAST(arg_min(col, struct_pack(a := -share, b := col)) AS INTEGER) AS col FROM c WHERE share >= 0.6 GROUP BY table_id""")
+def grid_line_number_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.line_number_column(_grid(spark, sf_dir), TABLE, F.lit(HEADS))
+
+
+# Orders of a customer as a page of nested JSON, in the two formats.
+@query("""WITH c AS (SELECT o_custkey AS page, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ordinal, o_orderstatus, o_orderpriority, o_totalprice FROM orders)
+SELECT page, CAST(ordinal AS INTEGER) AS ordinal, '1' AS table_id, CAST(o_orderkey % 9 AS INTEGER) AS row_start, CAST(o_orderkey % 9 + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS INTEGER) AS row_end, 0 AS col_start, 0 AS col_end, o_orderpriority AS text,
+       CASE WHEN o_orderstatus <> 'O' THEN (0.5 + 0.25) / 2 END AS confidence FROM c""")
+def provider_cells_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.sources import pages
+
+    end = F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey") % 9 + 1)
+    cell = F.struct("o_orderkey", F.struct(F.col("o_orderkey").alias("tableCellId"), F.col("o_orderpriority").alias("word"), (F.col("o_orderkey") % 9).alias("ysc"), end.alias("yec")).alias("c"))
+    words = F.when(F.col("o_orderstatus") != "O", F.array(*[F.struct(F.col("o_orderkey").alias("tableCellId"), F.lit(p).alias("prob")) for p in (0.5, 0.25)])).otherwise(F.array().cast("array<struct<tableCellId: bigint, prob: double>>"))
+    made = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("page")).agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.flatten(F.collect_list(words)).alias("prism_wordsInfo"))
+    data = F.struct("prism_wordsInfo", F.array(F.struct(F.transform("cells", lambda x: x["c"]).alias("cellInfos"))).alias("prism_tablesInfo"))
+    # Half of the pages hold their data as an object, the others as JSON in a string.
+    text = F.when(F.col("page") % 2 == 0, F.to_json(F.struct(data.alias("Data")))).otherwise(F.to_json(F.struct(F.to_json(data).alias("data"))))
+    return pages.cells_a(pages.format_a(made.select("page", text.alias("json"))), ["page"])
+
+
+@query("""WITH c AS (SELECT o_custkey AS page, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ordinal, o_orderkey % 7 - 1 AS r, o_orderkey % 3 AS k, o_orderpriority AS text FROM orders)
+SELECT page, CAST(ordinal AS INTEGER) AS ordinal, '1' AS table_id, CAST(CASE WHEN r > 0 THEN r - 1 ELSE r END AS INTEGER) AS row_start, CAST(greatest(CASE WHEN r > 0 THEN r - 1 ELSE r END, r + 1) AS INTEGER) AS row_end,
+       CAST(CASE WHEN k > 0 THEN k - 1 ELSE k END AS INTEGER) AS col_start, CAST(CASE WHEN k > 0 THEN k - 1 ELSE k END AS INTEGER) AS col_end, text, NULL::DOUBLE AS confidence FROM c WHERE r >= 0""")
+def provider_cells_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.sources import pages
+
+    row, col = F.col("o_orderkey") % 7 - 1, F.col("o_orderkey") % 3
+    cell = F.struct("o_orderkey", F.struct(row.alias("RowTl"), (row + 1).alias("RowBr"), col.alias("ColTl"), F.lit(-1).alias("ColBr"), F.col("o_orderpriority").alias("Text")).alias("c"))
+    made = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("page")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    text = F.to_json(F.struct(F.array(F.struct(F.transform("cells", lambda x: x["c"]).alias("Cells"))).alias("TableDetections")))
+    return pages.cells_b(made.select("page", text.alias("json")), ["page"])[0]

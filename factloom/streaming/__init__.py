@@ -1,0 +1 @@
+"""Streaming forms: merging late results and retention over unbounded tables."""
