@@ -232,7 +232,7 @@ def _grams(df: DataFrame, model: Model, key: str, text: str) -> DataFrame:
 
 
 def scan(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each line, and each paragraph of lines, that holds an n-gram of a notice: key, line
+    """_findings() without the hash of the text: a row for each line, and each paragraph of lines, that holds an n-gram of a notice: key, line
     (from 0; of a paragraph the first that holds one), last (the last such line), family (or
     unknown), score (probability of the best family) and coverage (share of the n-grams of that
     family's notice that it holds most of).
@@ -243,6 +243,11 @@ def scan(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -
     holds none of the model's features is unknown without exception and has no row. Null and
     empty texts have no lines. Rows that repeat a key and a text are scanned once.
     """
+    return _findings(df, model, key, text).select(F.col("key").alias(key), "line", "last", "family", "score", "coverage")
+
+
+def _findings(df: DataFrame, model: Model, key: str, text: str) -> DataFrame:
+    """(key, row, line, last, family, score, coverage): the findings of each key and text (row: its hash)."""
     grams = settled(_grams(df, model, key, text), "license-grams")
     lines = _scored(grams.filter("line = last"), ["key", "row", "line"], model, "license-sums")
     sure = settled(lines.filter(F.col("family") != UNKNOWN).select(F.col("key").alias("k"), F.col("row").alias("r"), F.col("line").alias("own")), "license-lines")
@@ -256,7 +261,7 @@ def scan(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -
     span = reach.select(F.col("key").alias("k"), F.col("row").alias("r"), F.col("block").alias("b"), "line", "last")
     blocks = _scored(rest.drop("line", "last").join(span, same & (F.col("block") == F.col("b"))), [*paragraph, "line", "last"], model, "license-sums")
     rows = lines.withColumn("last", F.col("line")).unionByName(blocks.drop("block"))
-    return rows.select(F.col("key").alias(key), "line", "last", "family", "score", "coverage")
+    return rows.select("key", "row", "line", "last", "family", "score", "coverage")
 
 
 def licensed(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,6 +270,9 @@ def licensed(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
     Columns of these names are replaced; rows without a finding have an empty list and 0.
     """
-    found = scan(df, model, key, text).filter(F.col("family") != UNKNOWN).groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_set("family")).alias("licenses"), F.countDistinct("line").alias("n_license_lines"))
-    rows = without(df, ["licenses", "n_license_lines"]).join(settled(found, "licenses"), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    found = _findings(df, model, key, text).filter(F.col("family") != UNKNOWN).groupBy(F.col("key").alias("__key"), F.col("row").alias("__row"))
+    found = found.agg(F.array_sort(F.collect_set("family")).alias("licenses"), F.countDistinct("line").alias("n_license_lines"))
+    # Rows of one key and different texts have findings of their own.
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__row"))
+    rows = without(df, ["licenses", "n_license_lines"]).join(settled(found, "licenses"), same, "left").drop("__key", "__row")
     return rows.withColumns({"licenses": F.coalesce("licenses", F.array().cast("array<string>")), "n_license_lines": F.coalesce("n_license_lines", F.lit(0)).cast("long")})
