@@ -7,12 +7,14 @@ from its place (pigeonhole). Every distinct line is entered under its segments,
 segments of lines as long as itself or up to the threshold shorter, at the few places where
 they can lie. A line goes by one earlier neighbour, so each is compared with its segments' first
 lines at first, which costs as much as there are lines; those that are left after that are compared
-with the rest of their segments in blocks. Confirmed is what Spark's levenshtein with a threshold
-says, which computes only the band of the matrix that can matter. DataFrame functions only.
+with the rest of their segments in blocks. Confirmed is what within() says, a bit-parallel edit
+distance on the band of the matrix that can matter. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,48 @@ def _compared(line: Column, least: int) -> Column:
     return (F.length(line) >= least) & line.rlike(r"(?U)\S")
 
 
+def within(a: Column, b: Column, threshold: int) -> Column:
+    """Whether two strings are within an edit distance (at most 30) of each other.
+
+    Bit-parallel, over the band of 2 * threshold + 1 diagonals: two bit vectors hold where, in the
+    current column, the distance grows or falls from one row of the band to the next, and all rows
+    advance by a few operations on whole numbers. The distance on the middle diagonal is counted
+    along, and ends early once it can't come back; the last column's vectors lead from there to the
+    last row. Columns are those of the shorter string.
+    """
+    band, middle = (1 << (2 * threshold + 1)) - 1, 1 << threshold
+    bits = lambda n: F.lit(n).cast("long")
+    let = lambda value, then: F.transform(F.array(value), then)[0]
+
+    def column(p: Column, state: Column) -> Column:
+        char = F.get(p["short"], state["j"])
+        same = [F.when(F.get(p["long"], state["j"] + (x - threshold)) == char, bits(1 << x)).otherwise(bits(0)) for x in range(2 * threshold + 1)]
+        matches = functools.reduce(lambda u, v: u.bitwiseOR(v), same)
+        up, down = state["up"], state["down"]
+        sums = lambda m: (m.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(m).bitwiseOR(down).bitwiseAND(bits(band))
+
+        def shifted(zero: Column) -> Column:
+            right = F.bitwise_not(zero.bitwiseOR(up)).bitwiseOR(down).bitwiseAND(bits(band))
+            lower = F.shiftright(zero, 1)
+            grows = F.bitwise_not(lower.bitwiseOR(right)).bitwiseOR(zero.bitwiseAND(up)).bitwiseAND(bits(band))
+            more = F.when(zero.bitwiseAND(bits(middle)) == 0, 1).otherwise(0)
+            return F.struct((state["j"] + 1).alias("j"), grows.alias("up"), lower.bitwiseAND(right).alias("down"), (state["far"] + more).alias("far"))
+
+        return let(let(matches, sums), shifted)
+
+    def distance(p: Column) -> Column:
+        start = F.struct(F.lit(0).alias("j"), bits(band - middle + 1).alias("up"), bits(0).alias("down"), F.lit(0).alias("far"))
+        apart = F.size(p["long"]) - F.size(p["short"])
+        rows = (F.call_function("shiftleft", bits(1), apart) - 1) * middle
+        end = lambda s: s["far"] + F.bit_count(s["up"].bitwiseAND(rows)) - F.bit_count(s["down"].bitwiseAND(rows))
+        return F.aggregate(p["short"], start, lambda s, _: F.when(s["far"] > threshold + apart, s).otherwise(column(p, s)), end)
+
+    first = F.length(a) >= F.length(b)
+    chars = F.struct(F.split(F.when(first, a).otherwise(b), "").alias("long"), F.split(F.when(first, b).otherwise(a), "").alias("short"))
+    apart, empty = F.abs(F.length(a) - F.length(b)), F.least(F.length(a), F.length(b)) == 0
+    return F.when(apart > threshold, False).when(empty, True).otherwise(let(chars, lambda p: distance(p) <= threshold))
+
+
 def _place(key: Column, text: Column) -> tuple[Column, Column]:
     return F.coalesce(key.cast("long"), F.lit(-(2**63))), F.xxhash64(text)
 
@@ -135,10 +179,10 @@ def line_texts(df: DataFrame, key: str, text: str, lines: DataFrame, wanted: Dat
 
 
 def later_of_pairs(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """(id) of each pair's later line, if levenshtein on the whole lines confirms the pair."""
+    """(id) of each pair's later line, if within() on the whole lines confirms the pair."""
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("first").alias("af"), F.col("line").alias("al")), "a")
     two = one.join(texts.select(F.col("id").alias("b"), F.col("first").alias("bf"), F.col("line").alias("bl")), "b")
-    near = two.filter(F.levenshtein("al", "bl", threshold).between(0, threshold))
+    near = two.filter(within(F.col("al"), F.col("bl"), threshold))
     return near.select(F.when(F.col("af") < F.col("bf"), F.col("b")).otherwise(F.col("a")).alias("id"))
 
 
@@ -159,7 +203,7 @@ def later_in_blocks(rows: DataFrame, texts: DataFrame, threshold: int) -> DataFr
     dealt = settled(x.union(y), "line-blocks").join(texts, "id")
     one = F.struct("first", "line", "entered", "id")
     met = dealt.groupBy("s", "x", "y").agg(F.collect_list(F.when(F.col("mine"), one)).alias("own"), F.collect_list(F.when(~F.col("mine"), one)).alias("other"))
-    near = lambda u, v: (v["first"] < u["first"]) & (u["entered"] | v["entered"]) & F.levenshtein(u["line"], v["line"], threshold).between(0, threshold)
+    near = lambda u, v: (v["first"] < u["first"]) & (u["entered"] | v["entered"]) & within(u["line"], v["line"], threshold)
     late = F.filter("own", lambda u: F.exists("other", lambda v: near(u, v)))
     return met.select(F.explode(F.transform(late, lambda u: u["id"])).alias("id"))
 

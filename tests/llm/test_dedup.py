@@ -83,6 +83,22 @@ def distance(a, b):
     return row[-1]
 
 
+@pytest.mark.parametrize("threshold", [1, 2, 5, 30])
+def test_bit_parallel_distance_as_the_whole_matrix(spark, threshold):
+    rng = random.Random(threshold)
+    pairs = [("", ""), ("", "a"), ("a", "a"), ("a" * 900, "a" * 899 + "b"), ("ab" * 200, "ba" * 200), ("x" * threshold, ""), ("x" * (threshold + 1), "")]
+    for _ in range(400):
+        x = [rng.choice("abé\U0001f600") for _ in range(rng.randint(0, 40))]
+        y = list(x)
+        for _ in range(rng.randint(0, 2 * threshold)):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + 1] = rng.choice([["z"], [], [*y[k : k + 1], "b"]])
+        pairs.append(("".join(x), "".join(y)))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a string, b string")
+    got = {r.i: (r.there, r.back) for r in df.select("i", line_dedup.within(F.col("a"), F.col("b"), threshold).alias("there"), line_dedup.within(F.col("b"), F.col("a"), threshold).alias("back")).collect()}
+    assert all(got[i] == (near, near) for i, (a, b) in enumerate(pairs) for near in [distance(a, b) <= threshold])
+
+
 @pytest.mark.parametrize("block", [line_dedup.BLOCK, 3])
 def test_line_dedup_as_a_full_comparison(spark, monkeypatch, block):
     monkeypatch.setattr(line_dedup, "BLOCK", block)
