@@ -86,3 +86,16 @@ def payload(facts: DataFrame, key: list[str], provider: str, fields: list[str])
 def retained(rows: DataFrame, ended: Column, now: Column, days: int) -> DataFrame:
     """Rows without those that ended more than `days` days before `now`; what hasn't ended stays."""
     return rows.filter(ended.isNull() | (ended >= now - F.expr(f"INTERVAL {int(days)} DAYS")))
+
+
+def metric_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(metric, before, after, delta) of every metric of either side; (metric, value) each, one row a
+    metric. A missing metric or value counts as 0, and deltas are rounded to six places."""
+    amount = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    rows = before.select("metric", F.col("value").alias("__b")).join(after.select("metric", F.col("value").alias("__a")), "metric", "full_outer")
+    return rows.select("metric", amount("__b").alias("before"), amount("__a").alias("after"), F.round(amount("__a") - amount("__b"), 6).alias("delta"))
+
+
+def share(rows: DataFrame, group: list[str], holds: Column) -> DataFrame:
+    """(group, share): the part of each group's rows for which a condition holds, to six places; unknown counts as no."""
+    return rows.groupBy(*group).agg(F.round(F.avg(F.coalesce(holds, F.lit(False)).cast("double")), 6).alias("share"))

@@ -119,3 +119,19 @@ def conflict_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retained_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ended = F.when(F.col("event_type") == "error", F.col("ts"))
     return summary.retained(table(spark, sf_dir, "events"), ended, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 7).select("event_id", "ts")
+
+
+@query("""WITH b AS (SELECT o_orderpriority AS metric, count(*) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL),
+a AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 'partly filled' ELSE o_orderpriority END AS metric, count(*) AS value FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL)
+SELECT coalesce(b.metric, a.metric) AS metric, coalesce(b.value, 0)::DOUBLE AS before, coalesce(a.value, 0)::DOUBLE AS after,
+round(coalesce(a.value, 0)::DOUBLE - coalesce(b.value, 0)::DOUBLE, 6) AS delta FROM b FULL JOIN a ON b.metric = a.metric""")
+def metric_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    counted = lambda rows, metric: rows.groupBy(metric.alias("metric")).agg(F.count(F.lit(1)).alias("value"))
+    name = F.when(F.col("o_orderstatus") == "P", "partly filled").otherwise(F.col("o_orderpriority"))
+    return summary.metric_deltas(counted(orders.filter("o_orderstatus = 'F'"), F.col("o_orderpriority")), counted(orders.filter("o_orderstatus <> 'F'"), name))
+
+
+@query("SELECT o_custkey AS page, round(avg(CASE WHEN o_orderstatus = 'O' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share FROM orders GROUP BY ALL")
+def placed_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.share(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "page"), ["page"], F.col("o_orderstatus") == "O")

@@ -101,3 +101,12 @@ def test_summaries(spark):
     gates = summary.thresholds(spark.createDataFrame([(1.0, 9.0), (3.0, 1.0), (None, 1.0)], "x double, y double"), {"x": 2}, {"y": 5})
     assert [(r.failed, r.recommended) for r in gates.collect()] == [("x;y", False), ("", True), ("x", False)]
     assert [tuple(r) for r in summary.missing(rows.select("g"), rows.filter("g = 'a'"), ["g"]).collect()] == [("b",)]
+
+
+def test_deltas_and_shares(spark):
+    before = spark.createDataFrame([("x", 1.5), ("gone", 2.0), ("none", None)], "metric string, value double")
+    after = spark.createDataFrame([("x", 4.0), ("new", 3.0)], "metric string, value double")
+    got = {tuple(r) for r in summary.metric_deltas(before, after).collect()}
+    assert got == {("x", 1.5, 4.0, 2.5), ("gone", 2.0, 0.0, -2.0), ("none", 0.0, 0.0, 0.0), ("new", 0.0, 3.0, 3.0)}
+    rows = spark.createDataFrame([(1, True), (1, None), (1, False), (None, True)], "page int, box boolean")
+    assert {tuple(r) for r in summary.share(rows, ["page"], rows["box"]).collect()} == {(1, 0.333333), (None, 1.0)}
