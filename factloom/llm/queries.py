@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, embedding_dedup, license_scan, line_dedup, minhash, mixing, quality_rules, token_files, toxicity, warc_zip
+from factloom.llm import byte_bpe, conversation_repair, embedding_dedup, language_id, license_scan, line_dedup, minhash, mixing, quality_rules, token_files, toxicity, warc_zip, whitening
 from factloom.llm.common import scratch_dir, table
 
 
@@ -83,6 +83,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    n, explained, error = (model.n, model.explained, model.identity_error) if model else (0, [], 0.0)
+    shares = F.array(*map(F.lit, explained)).cast("array<double>")
+    # A deviation beyond a long is null here; the operator's own is a decimal.
+    each = rows.select("vec_id", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), F.posexplode("whitened").alias("place", "whitened"))
+    return each.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, "place").alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs)
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (~language_id.learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    pieces = conversation_repair.repair(rows, conv="conv", present=F.col("present"))
+    return conversation_repair.outcomes(pieces, conv="conv").withColumnRenamed("conv", "conv_id")
+
+
 OP4_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
@@ -134,5 +156,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_whitening": op11_whitening,
+    "op12_language_id": op12_language_id,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {"op4_warc_zip": OP4_SQL, "op7_mixing": mixing.oracle_sql(), "op10_quality_rules": OP10_SQL}
