@@ -17,30 +17,30 @@ YEAR = r"(20[0-9]{2})年度"
 
 
 def _all(text: Column, pattern: str, groups: int) -> Column:
-    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in range(1, groups + 1)]
-    return F.arrays_zip(*[f.alias(f"g{k}") for k, f in enumerate(found)])
+    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in range(groups + 1)]
+    return F.arrays_zip(*[f.alias("raw" if k == 0 else f"g{k - 1}") for k, f in enumerate(found)])
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<norm, kind>> of a cleaned text: days, ranges of months, and years, each year once.
+    """array<struct<norm, kind, raw>> of a cleaned text: days, ranges of months, and years, each year once.
 
     Every match counts, so dates that occur again are there again; a range with the word for month
     after its first month counts twice.
     """
     clean = clean_text(text)
-    days = F.transform(F.concat(*[_all(clean, d, 3) for d in DAYS]), lambda x: F.struct(F.format_string("%s-%02d-%02d", x["g0"], x["g1"].cast("int"), x["g2"].cast("int")).alias("norm"), F.lit("exact").alias("kind")))
-    spans = F.transform(F.concat(*[_all(clean, m, 3) for m in MONTHS]), lambda x: F.struct(F.format_string("%s年%d月-%d月", x["g0"], x["g1"].cast("int"), x["g2"].cast("int")).alias("norm"), F.lit("range").alias("kind")))
-    years = F.transform(F.regexp_extract_all(clean, F.lit(YEAR), F.lit(1)), lambda y: F.struct(F.concat(y, F.lit("年度")).alias("norm"), F.lit("annual").alias("kind")))
+    days = F.transform(F.concat(*[_all(clean, d, 3) for d in DAYS]), lambda x: F.struct(F.format_string("%s-%02d-%02d", x["g0"], x["g1"].cast("int"), x["g2"].cast("int")).alias("norm"), F.lit("exact").alias("kind"), x["raw"].alias("raw")))
+    spans = F.transform(F.concat(*[_all(clean, m, 3) for m in MONTHS]), lambda x: F.struct(F.format_string("%s年%d月-%d月", x["g0"], x["g1"].cast("int"), x["g2"].cast("int")).alias("norm"), F.lit("range").alias("kind"), x["raw"].alias("raw")))
+    years = F.transform(F.regexp_extract_all(clean, F.lit(YEAR), F.lit(1)), lambda y: F.struct(F.concat(y, F.lit("年度")).alias("norm"), F.lit("annual").alias("kind"), F.concat(y, F.lit("年度")).alias("raw")))
     return F.concat(days, spans, F.array_distinct(years))
 
 
-def score(source: Column, text: Column) -> Column:
-    """A candidate's worth by its place and the words around it."""
+def score(source: Column, text: Column, words: tuple[str, ...] = STATEMENT_WORDS) -> Column:
+    """A candidate's worth by its place and the words around it; `words` are titles of statements."""
     weight = F.lit(OTHER_WEIGHT)
     for name, w in SOURCE_WEIGHT.items():
         weight = F.when(source == name, w).otherwise(weight)
     statement = F.lit(False)
-    for w in STATEMENT_WORDS:
+    for w in words:
         statement = statement | F.contains(text, F.lit(w))
     has = lambda w: F.contains(text, F.lit(w))
     return (
