@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators import alias_join
+
 
 def cascade(facts: DataFrame, subjects: DataFrame, aliases: DataFrame, label: str = "label", position: str = "position") -> DataFrame:
     """facts with code, method and confidence: an exact subject name, else an alias, else none.
@@ -31,37 +30,10 @@ def cascade(facts: DataFrame, subjects: DataFrame, aliases: DataFrame, label: st
     ).drop("__exact", "__alias")
 
 
-def fuzzy_candidates(labels: DataFrame, subjects: DataFrame, least: float = 0.62, top: int = 3) -> DataFrame:
-    """(label, code, name, score, rank): up to `top` codes for each distinct label.
-
-    score = 0.55 * similarity of sequences + 0.35 * overlap of characters + 0.08 for a common
-    beginning + 0.05 for a common end, at most 1. Labels and names meet on a shared character,
-    without which the score is at most 0.13; subjects are a dimension table, and labels are
-    distinct. Only pairs whose bound from lengths, common characters and overlap reaches the
-    threshold are scored.
-    """
-    chars = lambda c: F.array_distinct(F.split(F.col(c), ""))
-    one = labels.select("label").filter("label <> ''").distinct().withColumn("k", F.explode(chars("label")))
-    two = subjects.select("name", "code").filter("name <> ''").distinct().withColumn("k", F.explode(chars("name")))
-    pairs = one.join(two, "k").select("label", "name", "code").distinct()
-    times = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), x, F.lit("")))
-    shared = F.array_intersect(chars("label"), chars("name"))
-    common = F.aggregate(shared, F.lit(0), lambda n, x: n + F.least(times("label", x), times("name", x)))
-    overlap = F.size(shared) / F.size(F.array_union(chars("label"), chars("name")))
-    bound = 2 * common / (F.length("label") + F.length("name"))
-    pairs = pairs.withColumn("overlap", overlap).filter(0.55 * bound + 0.35 * F.col("overlap") + 0.13 >= least)
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from difflib import SequenceMatcher
-
-        for b in batches:
-            score = [
-                min(1.0, 0.55 * SequenceMatcher(None, x, y).ratio() + 0.35 * o + 0.08 * (x.startswith(y) or y.startswith(x)) + 0.05 * (x.endswith(y) or y.endswith(x)))
-                for x, y, o in zip(b["label"], b["name"], b["overlap"])
-            ]
-            yield pd.DataFrame({"label": b["label"], "name": b["name"], "code": b["code"], "score": score})
-
-    found = pairs.mapInPandas(scored, "label string, name string, code string, score double").filter(F.col("score") >= least)
+def fuzzy_candidates(labels: DataFrame, subjects: DataFrame, least: float = alias_join.LEAST, top: int = 3) -> DataFrame:
+    """(label, code, name, score, rank): up to `top` codes for each distinct label, by the near-name join."""
+    names = subjects.select("name", "code").filter("name <> ''").distinct()
+    found = alias_join.similar(labels.select(F.col("label").alias("s")), names.select(F.col("name").alias("s")), least).drop("method").join(names, "name")
     best = found.groupBy("label", "code").agg(F.max_by(F.struct("name", "score"), F.struct("score", "name")).alias("b")).select("label", "code", "b.*")
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "code"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= top)

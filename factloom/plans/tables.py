@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import benchmark, grid, mapping, review
+from factloom.operators import alias_join, benchmark, grid, mapping, review
 from factloom.plans.facts import MAPPED, mapped, table
 
 QUERIES, ORACLES = {}, {}
@@ -334,3 +334,22 @@ def provider_cells_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("page")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     text = F.to_json(F.struct(F.array(F.struct(F.transform("cells", lambda x: x["c"]).alias("Cells"))).alias("TableDetections")))
     return pages.cells_b(made.select("page", text.alias("json")), ["page"])[0]
+
+
+LABEL = "concat(CASE WHEN l_tax > 0.04 THEN '其中：' ELSE '' END, CASE WHEN l_quantity < 10 THEN concat('old ', p_name) WHEN l_quantity < 20 THEN p_type WHEN l_quantity < 30 THEN concat(p_name, ' (', p_brand, ')') ELSE p_name END)"
+
+
+
+@query(None)
+def alias_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of line items mapped to a chart of part names; the similarity of sequences is beyond SQL, so tests compare it with full comparisons."""
+    parts = table(spark, sf_dir, "part")
+    facts = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    facts = facts.select(F.expr(LABEL).alias("label"), F.col("l_returnflag").alias("statement_type"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("method"), F.col("l_extendedprice").alias("value"))
+    subjects = parts.filter("p_partkey % 3 <> 0").groupBy(F.col("p_name").alias("name")).agg(F.concat(F.lit("C"), F.min("p_partkey").cast("string")).alias("code"), F.min("p_partkey").cast("int").alias("position"))
+    types = parts.groupBy("p_type").agg(F.min_by("p_name", "p_partkey").alias("name")).join(subjects, "name")
+    allowed = F.when(F.col("p_type").isin("LARGE", "SMALL"), F.array(F.lit("A"))).otherwise(F.array().cast("array<string>"))
+    aliases = types.select(F.col("p_type").alias("alias"), "code", F.when(F.col("p_type") == "ECONOMY", "legacy_alias").otherwise("exact_alias").alias("kind"), allowed.alias("statements"))
+    relations = subjects.limit(0).select("code", "name", F.lit("").alias("kind"), F.array().cast("array<string>").alias("related"), F.lit(True).alias("review"))
+    done, candidates = alias_join.mapped(facts, subjects, aliases, relations)
+    return alias_join.open_labels(done, candidates)
