@@ -8,7 +8,8 @@ segments of lines as long as itself or up to the threshold shorter, at the few p
 they can lie. A line goes by one earlier neighbour, so each is compared with its segments' first
 lines at first, which costs as much as there are lines; those that are left after that are compared
 with the rest of their segments in blocks. Confirmed is what within() says, a bit-parallel edit
-distance on the band of the matrix that can matter. DataFrame functions only.
+distance on the band of the matrix that can matter; pairs whose sketches of character pairs differ
+in more bits than so many edits can change never get there. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -111,6 +112,25 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return F.when(apart > threshold, False).when(empty, True).otherwise(let(chars, lambda p: distance(p) <= threshold))
 
 
+def sketch(line: Column) -> Column:
+    """64 bits: each is the parity of how many pairs of neighbouring characters hash to it.
+
+    An edit takes at most two pairs away and brings at most two, so it turns at most four bits.
+    """
+    start = F.struct(F.lit("").alias("before"), F.lit(0).cast("long").alias("bits"))
+
+    def step(state: Column, char: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(state["before"], char), F.lit(64)).cast("int"))
+        return F.struct(char.alias("before"), state["bits"].bitwiseXOR(bit).alias("bits"))
+
+    return F.aggregate(F.split(line, ""), start, step, lambda state: state["bits"])
+
+
+def alike(a: Column, b: Column, threshold: int) -> Column:
+    """Whether two sketches can be those of strings within the edit distance."""
+    return F.bit_count(a.bitwiseXOR(b)) <= 4 * threshold
+
+
 def _place(key: Column, text: Column) -> tuple[Column, Column]:
     return F.coalesce(key.cast("long"), F.lit(-(2**63))), F.xxhash64(text)
 
@@ -169,19 +189,23 @@ def open_members(met: DataFrame, late: DataFrame) -> DataFrame:
 
 
 def line_texts(df: DataFrame, key: str, text: str, lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, first, line) of the wanted lines (id); a document that holds some of them first is read once."""
+    """(id, first, line, bits) of the wanted lines (id), with their sketches; a document that holds some of them first is read once."""
     places = lines.select("id", "k", "r", "at").join(wanted, "id", "left_semi").groupBy("k", "r").agg(F.collect_list(F.struct("id", "at")).alias("own"))
     k, r = _place(F.col(key), F.col(text))
     texts = df.filter(F.length(text) > 0).select(k.alias("k"), r.alias("r"), F.col(text).alias("text")).join(places, ["k", "r"])
     texts = texts.select("k", "r", "own", _lines(F.col("text")).alias("split"))
     cut = F.transform("own", lambda x: F.struct(x["id"].alias("id"), x["at"].alias("at"), F.get("split", x["at"]).alias("line")))
-    return texts.select("k", "r", F.explode(cut).alias("x")).select("x.id", F.struct("k", "r", "x.at").alias("first"), "x.line").dropDuplicates(["id"])
+    one = texts.select("k", "r", F.explode(cut).alias("x")).select("x.id", F.struct("k", "r", "x.at").alias("first"), "x.line").dropDuplicates(["id"])
+    return one.withColumn("bits", sketch(F.col("line")))
 
 
 def later_of_pairs(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """(id) of each pair's later line, if within() on the whole lines confirms the pair."""
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("first").alias("af"), F.col("line").alias("al")), "a")
-    two = one.join(texts.select(F.col("id").alias("b"), F.col("first").alias("bf"), F.col("line").alias("bl")), "b")
+    place = lambda own, f, m: texts.select(F.col("id").alias(own), F.col("first").alias(f), F.col("bits").alias(m))
+    one = pairs.join(place("a", "af", "am"), "a").join(place("b", "bf", "bm"), "b").filter(alike(F.col("am"), F.col("bm"), threshold)).select("a", "b", "af", "bf")
+    # Only pairs of like sketches fetch their lines.
+    line = lambda own, name: texts.select(F.col("id").alias(own), F.col("line").alias(name))
+    two = settled(one, "line-alike").join(line("a", "al"), "a").join(line("b", "bl"), "b")
     near = two.filter(within(F.col("al"), F.col("bl"), threshold))
     return near.select(F.when(F.col("af") < F.col("bf"), F.col("b")).otherwise(F.col("a")).alias("id"))
 
@@ -201,9 +225,9 @@ def later_in_blocks(rows: DataFrame, texts: DataFrame, threshold: int) -> DataFr
     x = rows.filter("open").select("s", at("mine").alias("x"), to("others").alias("y"), F.lit(True).alias("mine"), "id", "entered")
     y = rows.select("s", to("mine").alias("x"), at("others").alias("y"), F.lit(False).alias("mine"), "id", "entered")
     dealt = settled(x.union(y), "line-blocks").join(texts, "id")
-    one = F.struct("first", "line", "entered", "id")
+    one = F.struct("first", "line", "entered", "id", "bits")
     met = dealt.groupBy("s", "x", "y").agg(F.collect_list(F.when(F.col("mine"), one)).alias("own"), F.collect_list(F.when(~F.col("mine"), one)).alias("other"))
-    near = lambda u, v: (v["first"] < u["first"]) & (u["entered"] | v["entered"]) & within(u["line"], v["line"], threshold)
+    near = lambda u, v: (v["first"] < u["first"]) & (u["entered"] | v["entered"]) & alike(u["bits"], v["bits"], threshold) & within(u["line"], v["line"], threshold)
     late = F.filter("own", lambda u: F.exists("other", lambda v: near(u, v)))
     return met.select(F.explode(F.transform(late, lambda u: u["id"])).alias("id"))
 
