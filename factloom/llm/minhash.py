@@ -151,7 +151,7 @@ def _steps(sets: list, size: int, seed: int):
     return held
 
 
-_SIGNED = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+_SIGNED = T.StructType([T.StructField("key", T.LongType()), T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def _digests(sets: list):
@@ -185,17 +185,26 @@ def signed(df: DataFrame, key: str, text: str, shape: Shape) -> DataFrame:
             h1, h2 = _digests(sets)
             bands = iter(mixed.tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(h1), pa.array(h2), pa.array([next(bands) if len(s) else None for s in sets], type=pa.list_(pa.int64()))],
+                [batch.column("key"), batch.column("row"), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(h1), pa.array(h2), pa.array([next(bands) if len(s) else None for s in sets], type=pa.list_(pa.int64()))],
                 names=_SIGNED.names,
             )
         _WORDS.clear()
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), _SIGNED)
+    return _keyed(df, key, text).mapInArrow(lean(run), _SIGNED)
+
+
+def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, row, text): row is a hash of the text, so that rows are told apart where keys repeat or are null."""
+    return df.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
 
 
 def _sets_of(df: DataFrame, key: str, text: str, wanted: DataFrame, shape: Shape) -> DataFrame:
-    """(id, members) of the classes in `wanted` (id, key, h1, h2): full sets as sorted 64-bit hashes."""
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    """(id, members) of the classes in `wanted` (id, first (key, row), h1, h2): full sets as sorted 64-bit hashes.
+
+    Each class's set is made of one row's text: a row meets the classes that it is the first of.
+    """
+    rows = _keyed(df, key, text)
+    named = wanted.select("id", "h1", "h2", F.col("first.key").alias("wanted_key"), F.col("first.row").alias("wanted_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -203,12 +212,13 @@ def _sets_of(df: DataFrame, key: str, text: str, wanted: DataFrame, shape: Shape
         for batch in slices(batches, "text", TEXT_BYTES):
             sets = shingle_sets(batch.column("text").to_pylist(), shape.words)
             h1, h2 = _digests(sets)
-            # A key may stand on rows of other texts; only the class's own set counts.
+            # Texts of equal hash are told apart by their sets.
             own = np.flatnonzero((h1 == batch.column("h1").to_numpy()) & (h2 == batch.column("h2").to_numpy()))
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(own)), pa.array([sets[i].tobytes() for i in own], type=pa.binary())], names=["id", "members"])
         _WORDS.clear()
 
-    return rows.join(wanted, F.col("key").eqNullSafe(F.col("wanted_key"))).select("id", "h1", "h2", "text").mapInArrow(lean(run), "id long, members binary").dropDuplicates(["id"])
+    same = (F.col("row") == F.col("wanted_row")) & F.col("key").eqNullSafe(F.col("wanted_key"))
+    return rows.join(named, same).select("id", "h1", "h2", "text").mapInArrow(lean(run), "id long, members binary").dropDuplicates(["id"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -295,7 +305,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shap
     """
     rows = settled(signed(df, key, text, shape), "signed")
     worded = rows.filter("n > 0")
-    classes = worded.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = worded.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.min(F.struct("key", "row")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = settled(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     banded = classes.select("id", "n", F.explode("bands").alias("k"))
     hubs = banded.groupBy("k").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top").select("k", "hub")
@@ -304,7 +314,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shap
     first = shared.filter("id <> hub").groupBy("id").agg(F.min("hub").alias("hub"), F.first("n").alias("n")).join(size, "hub")
     first = settled(first.filter(_close("n", "hub_n", shape)).select(F.col("id").alias("a"), F.col("hub").alias("b")), "pairs")
     involved = shared.select("id").distinct()
-    wanted = classes.join(involved, "id").select("id", "h1", "h2", F.col("key").alias("wanted_key"))
+    wanted = classes.join(involved, "id").select("id", "h1", "h2", "first")
     sets = settled(_sets_of(df, key, text, wanted, shape), "sets")
     links = settled(confirmed(first, sets, shape.percent), "links")
     reached = settled(components(links), "components").distinct()

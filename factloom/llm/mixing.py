@@ -72,7 +72,8 @@ def mixed(df: DataFrame, mix: Mix = Mix(), key: str = "doc_id", source: str = "s
     """df's rows as often as drawn, with `copy` (int, from 0) and `shuffle_key` (double), in its order.
 
     Partitions are ranges of shuffle_key, each sorted, so files written from it hold one global
-    shuffle; rows that agree in key and copy stand by their text, then source. Rows of equal key draw alike; null and unnamed sources are the rest; null texts and
+    shuffle; rows that agree in key and copy, as those of a null or repeated key, are dealt on by a
+    hash of their text and their number, so that they share out over partitions. Rows of equal key draw alike; null and unnamed sources are the rest; null texts and
     empty ones count no characters but are drawn like others of their source. Columns named like
     the new ones are replaced.
     """
@@ -95,7 +96,9 @@ def mixed(df: DataFrame, mix: Mix = Mix(), key: str = "doc_id", source: str = "s
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))).drop("__times")
     rows = rows.withColumn("shuffle_key", uniform(f"{mix.seed}/order", F.col(key), F.col("copy")))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, "shuffle_key").sortWithinPartitions("shuffle_key", key, "copy", text, source)
+    rows = rows.withColumns({"__text": F.xxhash64(text), "__row": F.monotonically_increasing_id()})
+    order = ["shuffle_key", "__text", "__row"]
+    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("__text", "__row")
 
 
 def oracle_sql(mix: Mix = Mix()) -> str:

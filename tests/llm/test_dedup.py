@@ -64,6 +64,29 @@ def test_minhash_odd_tables(spark):
     assert rows == {(None, 3, False), (3, 3, True), (None, None, True)}
 
 
+@pytest.mark.parametrize("few, block, held", [(2, 3, 40), (100, 512, 1_000_000)])
+def test_minhash_blocks_change_nothing(spark, few, block, held):
+    texts = near_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = minhash.near_duplicates(docs).orderBy("doc_id").collect()
+    assert minhash.near_duplicates(docs, shape=minhash.Shape(few=few, block=block, held=held)).orderBy("doc_id").collect() == want
+
+
+def test_minhash_of_a_repeated_key_meets_each_text_once(spark):
+    """A third of the rows, all near, share a key, and others have none: one set is made for each class."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(7 if k % 2 else None, " ".join([*base, f"x{k}"])) for k in range(60)] + [(100 + k, f"other {k} " + " ".join(f"{k}v{j}" for j in range(30))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = minhash.signed(docs, "doc_id", "text", minhash.Shape())
+    wanted = signed.groupBy("h1", "h2").agg(F.min(F.struct("key", "row")).alias("first")).withColumn("id", F.monotonically_increasing_id())
+    plan = minhash._sets_of(docs, "doc_id", "text", wanted, minhash.Shape())
+    assert plan.count() == 120
+    met = minhash._keyed(docs, "doc_id", "text").join(wanted.select(F.col("first.row").alias("row")), "row")
+    assert met.count() == 120
+    got = minhash.near_duplicates(docs).collect()
+    assert sum(r.component_id == 7 for r in got) == 60 and len(got) == 120
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     common, left, right = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))

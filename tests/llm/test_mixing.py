@@ -37,3 +37,12 @@ def test_empty_tables_and_sources_without_characters(spark):
     docs = spark.createDataFrame([(1, None, "src0"), (2, "", None)], "doc_id long, text string, source string")
     assert mixing.mixed(docs).collect() == []
     assert mixing.mixed(docs.limit(0)).collect() == []
+
+
+def test_rows_of_one_key_share_out_over_partitions(spark):
+    """A third of the rows have one key, another third none, some of them equal."""
+    rows = [(5 if k % 3 == 0 else None if k % 3 == 1 else k, f"text {k % 900}", "s") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    mix = mixing.Mix(targets={"s": 1.0}, rest=0.0, budget=4.0)
+    sizes = mixing.mixed(docs, mix).rdd.glom().map(len).collect()
+    assert len(sizes) == 4 and max(sizes) < 1.5 * sum(sizes) / 4
