@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.scratch import written
+
 #: What each kind of rule needs of its children.
 KINDS = ("sum", "sum_if_present", "signed", "copy_single")
 
@@ -19,9 +21,9 @@ def formulas(facts: DataFrame, rules: DataFrame, scope: list[str], code: str = "
     """
     met = facts.filter(F.col(value).isNotNull()).join(rules, facts[code] == rules["child"])
     signed = F.when(F.col("kind") == "signed", F.col("sign")).otherwise(1) * F.col(value).cast("decimal(18,2)")
-    found = met.groupBy("rule", "kind", "target", "n_children", *scope).agg(F.sum(signed).alias("s"), F.count(F.lit(1)).alias("n"))
-    applies = F.when(F.col("kind").isin("sum", "signed"), F.col("n") == F.col("n_children")).when(F.col("kind") == "copy_single", F.col("n") == 1).otherwise(F.col("n") >= 1)
-    return found.filter(applies).select("rule", "target", *scope, F.round(F.col("s").cast("double"), 6).alias("derived"), F.col("n").alias("children_met"))
+    found = met.groupBy("rule", "kind", "target", "n_children", *scope).agg(F.sum(signed).alias("__sum"), F.count(F.lit(1)).alias("__n"))
+    applies = F.when(F.col("kind").isin("sum", "signed"), F.col("__n") == F.col("n_children")).when(F.col("kind") == "copy_single", F.col("__n") == 1).otherwise(F.col("__n") >= 1)
+    return found.filter(applies).select("rule", "target", *scope, F.round(F.col("__sum").cast("double"), 6).alias("derived"), F.col("__n").alias("children_met"))
 
 
 def formula_conflicts(derived: DataFrame, facts: DataFrame, scope: list[str], code: str = "code", value: str = "value") -> DataFrame:
@@ -33,3 +35,41 @@ def formula_conflicts(derived: DataFrame, facts: DataFrame, scope: list[str], co
 
 def rule_impact(conflicts: DataFrame) -> DataFrame:
     return conflicts.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") == "new").alias("exportable"), F.count_if(F.col("state") == "prefer_observed").alias("conflicts"), F.sum(F.abs("derived").cast("decimal(18,2)")).cast("double").alias("amount"))
+
+
+def rule_levels(rules: DataFrame) -> DataFrame:
+    """(rule, level) of each rule: 0 if none of its children is another rule's target, else one more than the highest of those; null for rules of a cycle and those that wait for one.
+
+    Rules are a small dimension table; each round settles a level, so there are as many as levels.
+    """
+    needs = rules.select("rule", "child").join(rules.select(F.col("target").alias("child"), F.col("rule").alias("on")).distinct(), "child").select("rule", "on").distinct()
+    open_, done, level = rules.select("rule").distinct(), None, 0
+    while True:
+        waiting = needs.join(open_.withColumnRenamed("rule", "on"), "on").select("rule").distinct()
+        ready = written(open_.join(waiting, "rule", "left_anti"), "ready-rules")
+        if ready.isEmpty():
+            break
+        now = ready.withColumn("level", F.lit(level))
+        done = now if done is None else done.unionByName(now)
+        open_, level = written(open_.join(ready, "rule", "left_anti"), "open-rules"), level + 1
+    left = open_.withColumn("level", F.lit(None).cast("int"))
+    return left if done is None else done.unionByName(left)
+
+
+def levelled_formulas(facts: DataFrame, rules: DataFrame, scope: list[str], code: str = "code", value: str = "value") -> DataFrame:
+    """formulas() over several levels: (rule, target, scope, derived, children_met, level).
+
+    What a level derives are children of the next, one value for each scope and code: an observed
+    one before a derived one, and of several derived the first rule's. Rules in a cycle derive
+    nothing. facts hold one best value for each scope and code.
+    """
+    levels = written(rule_levels(rules), "rule-levels")
+    depth = levels.agg(F.max("level").alias("d")).first()["d"]
+    known, out = facts.select(*scope, code, value), None
+    for level in range(-1 if depth is None else depth + 1):
+        own = rules.join(levels.filter(F.col("level") == level).select("rule"), "rule", "left_semi")
+        now = written(formulas(known, own, scope, code, value).withColumn("level", F.lit(level)), "derived")
+        out = now if out is None else out.unionByName(now)
+        new = now.groupBy(*scope, F.col("target").alias(code)).agg(F.min_by("derived", "rule").alias(value))
+        known = known.unionByName(new.join(facts.filter(F.col(value).isNotNull()).select(*scope, code), [*scope, code], "left_anti").select(*scope, code, value))
+    return out if out is not None else formulas(known, rules.limit(0), scope, code, value).withColumn("level", F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import whatif
+from factloom.operators import ranks, whatif
 from factloom.plans.facts import table
 
 QUERIES, ORACLES = {}, {}
@@ -164,3 +164,41 @@ def decisions_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = aligned(spark, sf_dir)
     rows = whatif.applied(facts.drop("comparison").withColumn("before", F.col("status")), _decisions(facts))
     return rows.groupBy("before", "status", "comparison", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: What ranks facts, in expressions that both engines read.
+RANKED = {
+    "date": "CASE fact_id % 4 WHEN 0 THEN '2022-12-31' WHEN 1 THEN '2022年1月-3月' WHEN 2 THEN '2022年度' ELSE 'unknown_date' END",
+    "source_kind": "CASE fact_id % 5 WHEN 0 THEN 'json' WHEN 1 THEN '' WHEN 2 THEN 'xlsx_fallback' WHEN 3 THEN 'derived_formula' ELSE NULL END",
+    "decision": "CASE fact_id % 7 WHEN 0 THEN 'accepted_with_validation_support' WHEN 1 THEN 'accepted_with_rule_support' WHEN 2 THEN 'accepted' ELSE '' END",
+    "stance": "CASE fact_id % 11 WHEN 0 THEN 'accepted' WHEN 1 THEN 'equal' WHEN 2 THEN 'conflict' ELSE NULL END",
+    "role": "CASE fact_id % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN '本期' ELSE '' END",
+    "n_path": "CAST(fact_id % 13 % 4 AS INTEGER)",
+    "table_key": "CASE fact_id % 17 % 2 WHEN 0 THEN 'k' ELSE '' END",
+    "kind": "CASE WHEN fact_id % 19 < 4 THEN 'unknown' ELSE 'note' END",
+}
+DATE = "CASE WHEN date = 'unknown_date' THEN 0 WHEN length(date) = 10 THEN -3 WHEN date LIKE '%月' THEN -2 ELSE -1 END"
+STATUS = "CASE status WHEN 'observed' THEN -5 WHEN 'repaired' THEN -4 WHEN 'inferred' THEN -3 WHEN 'blank' THEN -2 WHEN 'review' THEN -1 ELSE 0 END"
+MAPPED_FIRST, BOOK_LAST = "CASE WHEN code <> '' THEN 0 ELSE 1 END", "CASE WHEN source_kind = 'xlsx_fallback' THEN 1 ELSE 0 END"
+FIRST_RANKS = {
+    "provider_choice": f"""CASE WHEN value IS NOT NULL AND NOT noisy THEN -5 WHEN value IS NOT NULL THEN -4 WHEN raw <> '' AND status NOT IN ('review', 'conflict') THEN -2 WHEN raw <> '' THEN -1 ELSE 0 END,
+      {DATE}, {STATUS}, CASE source_kind WHEN 'json' THEN -2 WHEN '' THEN -1 ELSE 0 END, {MAPPED_FIRST}, -n_path, provider, fact_id""",
+    "duplicate_choice": f"""{DATE}, CASE WHEN kind <> 'unknown' THEN 0 ELSE 1 END, {MAPPED_FIRST}, {STATUS}, {BOOK_LAST}, CASE WHEN value IS NOT NULL THEN 0 ELSE 1 END, -n_path, CASE WHEN table_key <> '' THEN 0 ELSE 1 END, provider,
+      CASE WHEN stance IN ('accepted', 'equal', 'single_provider') THEN 0 ELSE 1 END, fact_id""",
+    "export_choice": f"""CASE WHEN source_kind = 'derived_formula' THEN 1 ELSE 0 END, CASE WHEN decision = 'accepted_with_validation_support' THEN 0 ELSE 1 END, CASE WHEN decision = 'accepted_with_rule_support' THEN 0 ELSE 1 END,
+      CASE WHEN stance = 'accepted' THEN 0 ELSE 1 END, CASE WHEN status = 'observed' THEN 0 ELSE 1 END, {MAPPED_FIRST}, CASE WHEN role NOT IN ('', 'unknown') THEN 0 ELSE 1 END, -n_path, {BOOK_LAST}, fact_id""",
+    "child_choice": f"""CASE WHEN source_kind = 'derived_formula' THEN 1 ELSE 0 END, CASE WHEN decision LIKE 'accepted%' THEN 0 ELSE 1 END, CASE WHEN status = 'observed' THEN 0 ELSE 1 END, {MAPPED_FIRST}, fact_id""",
+}
+
+
+@query(f"""WITH {STATED}, marked AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in RANKED.items())} FROM stated)
+SELECT DISTINCT {KEYS}, {', '.join(f'first_value(fact_id) OVER (PARTITION BY {KEYS} ORDER BY {o}) AS {n}' for n, o in FIRST_RANKS.items())} FROM marked""")
+def ranked_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact that stands for each cell by each of the four orders, in one grouping."""
+    rows = stated(spark, sf_dir).select("*", *[F.expr(e).alias(n) for n, e in RANKED.items()])
+    c = {name: F.col(name) for name in ("value", "raw", "status", "date", "source_kind", "code", "decision", "role", "table_key", "fact_id")}
+    path = F.when(F.col("n_path") > 0, F.array_repeat(F.lit("h"), F.col("n_path"))).otherwise(F.array().cast("array<string>"))
+    c |= {"noisy": whatif.is_noisy(F.col("issue_flags")), "path": path, "provider_place": F.col("provider"), "comparison": F.col("stance"), "statement_type": F.col("kind")}
+    orders = {"provider_choice": ranks.among_providers, "duplicate_choice": ranks.among_duplicates, "export_choice": ranks.among_exports, "child_choice": ranks.among_children}
+    firsts = [F.min_by("fact_id", F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order(c))])).alias(name) for name, order in orders.items()]
+    return rows.groupBy(*KEY).agg(*firsts)

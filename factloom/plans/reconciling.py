@@ -282,3 +282,31 @@ YEARS = [f"{y}年度" for y in range(1992, 1999)]
 @query(f"WITH {MAPPED}, {WINNERS} SELECT doc_id, {', '.join(f'''max(value * 1000) FILTER (WHERE report_date = '{y}') AS "{y}"''' for y in YEARS)} FROM winners WHERE export = 'exported' GROUP BY doc_id")
 def export_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.pivot_sheet(_winners(spark, sf_dir).filter("export = 'exported'"), ["doc_id"], "report_date", YEARS, F.col("value") * 1000)
+
+
+LEVELLED = f"""{CODED}, seen AS (SELECT segment, code, value FROM coded UNION ALL
+  SELECT segment, 'ASIA', CAST(2 * sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) FROM coded WHERE region = 'ASIA' AND segment < 'F' GROUP BY segment),
+zero AS (SELECT r_name || '/sum' AS rule, r_name AS target, s.segment, round(CAST(sum(CAST(s.value AS DECIMAL(18, 2))) AS DOUBLE), 6) AS derived, count(*) AS children_met, 0 AS level
+  FROM seen s JOIN nation ON s.code = n_name JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
+known AS (SELECT * FROM seen UNION ALL SELECT segment, target, derived FROM zero WHERE (segment, target) NOT IN (SELECT (segment, code) FROM seen)),
+one AS (SELECT 'WORLD/signed' AS rule, 'WORLD' AS target, segment, round(CAST(sum(CASE WHEN r_regionkey % 2 = 0 THEN 1 ELSE -1 END * CAST(value AS DECIMAL(18, 2))) AS DOUBLE), 6) AS derived, count(*) AS children_met, 1 AS level
+  FROM known JOIN region ON code = r_name GROUP BY segment HAVING count(*) = (SELECT count(*) FROM region)),
+two AS (SELECT 'TOP/copy' AS rule, 'TOP' AS target, segment, derived, 1 AS children_met, 2 AS level FROM one)"""
+
+
+@query(f"WITH {LEVELLED} SELECT * FROM zero UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two")
+def formula_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations make regions, regions the world, and the world the top; two rules need each other and derive nothing."""
+    coded, _ = _coded(spark, sf_dir)
+    doubled = coded.filter("region = 'ASIA' AND segment < 'F'").groupBy("segment").agg((2 * F.sum(F.col("value").cast("decimal(18,2)"))).cast("double").alias("value"))
+    facts = coded.select("segment", "code", "value").unionByName(doubled.select("segment", F.lit("ASIA").alias("code"), "value"))
+    regions = table(spark, sf_dir, "region")
+    nations = table(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    rule = lambda name, kind, target, child, sign: [name.alias("rule"), F.lit(kind).alias("kind"), target.alias("target"), child.alias("child"), sign.alias("sign")]
+    one = F.lit(1)
+    rules = nations.select(*rule(F.concat("r_name", F.lit("/sum")), "sum_if_present", F.col("r_name"), F.col("n_name"), one))
+    rules = rules.unionByName(regions.select(*rule(F.lit("WORLD/signed"), "signed", F.lit("WORLD"), F.col("r_name"), F.when(F.col("r_regionkey") % 2 == 0, 1).otherwise(-1))))
+    extra = [("TOP/copy", "copy_single", "TOP", "WORLD", 1), ("X/sum", "sum", "X", "Y", 1), ("Y/sum", "sum_if_present", "Y", "X", 1), ("Y/sum", "sum_if_present", "Y", "ASIA", 1), ("Z/sum", "sum", "Z", "X", 1)]
+    rules = rules.unionByName(spark.createDataFrame(extra, "rule string, kind string, target string, child string, sign int"))
+    sizes = rules.groupBy("rule").agg(F.count(F.lit(1)).alias("n_children"))
+    return derive.levelled_formulas(facts, rules.join(sizes, "rule"), ["segment"])
