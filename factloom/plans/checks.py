@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import ranks, whatif
 from factloom.plans.facts import table
+from factloom.streaming import feedback
 
 QUERIES, ORACLES = {}, {}
 
@@ -202,3 +203,34 @@ def ranked_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = {"provider_choice": ranks.among_providers, "duplicate_choice": ranks.among_duplicates, "export_choice": ranks.among_exports, "child_choice": ranks.among_children}
     firsts = [F.min_by("fact_id", F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order(c))])).alias(name) for name, order in orders.items()]
     return rows.groupBy(*KEY).agg(*firsts)
+
+
+LATE_SQL = f"""{STATED}, facts AS (SELECT *, 'p' AS period_key FROM stated),
+reviews AS (SELECT 'R' || (l_orderkey % 1000) AS review_id, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS fact_id FROM lineitem WHERE l_tax < 0.03),
+results AS (SELECT 'T' || (o_orderkey % 1100) AS task_id, o_orderpriority || '/' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS name, CASE o_orderstatus WHEN 'F' THEN o_orderkey || '__x' ELSE '' END AS period_key,
+  CASE o_orderstatus WHEN 'O' THEN 'raw' || o_orderkey ELSE '' END AS value_raw, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey AS VARCHAR) WHEN o_orderkey % 4 = 1 THEN 'x' ELSE '' END AS value_num FROM orders WHERE o_totalprice < 60000),
+met AS (SELECT r.*, v.fact_id, TRY_CAST(nullif(nullif(value_num, 'x'), '') AS DOUBLE) AS number FROM results r JOIN reviews v ON v.review_id = 'R' || substr(task_id, 2)),
+placed AS (SELECT m.*, f.status IN ('review', 'conflict', 'blank', 'inferred') OR f.value IS NULL AS open, min(CASE WHEN number IS NOT NULL THEN name END) OVER (PARTITION BY m.fact_id) AS closing FROM met m JOIN facts f USING (fact_id)),
+counted AS (SELECT * FROM placed WHERE open AND (closing IS NULL OR name <= closing)),
+said AS (SELECT fact_id, arg_max(nullif(period_key, ''), name) FILTER (WHERE period_key <> '') AS period, arg_max(value_raw, name) FILTER (WHERE value_raw <> '') AS raw, max(number) AS number FROM counted GROUP BY fact_id)"""
+
+
+@query(f"""WITH {LATE_SQL} SELECT fact_id, coalesce(s.number, value) AS value, coalesce(s.raw, f.raw) AS raw, coalesce(s.period, period_key) AS period_key,
+CASE WHEN s.number IS NOT NULL AND status IN ('review', 'conflict', 'blank', 'inferred') THEN 'observed' ELSE status END AS status, s.fact_id IS NOT NULL AS reocr FROM facts f LEFT JOIN said s USING (fact_id)""")
+def late_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheap orders as results of tasks, whose reviews name the doubtful line items of some orders."""
+    facts = stated(spark, sf_dir).withColumn("period_key", F.lit("p"))
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").filter("o_totalprice < 60000")
+    fact_id = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")
+    name = lambda letter, number: F.concat(F.lit(letter), number.cast("string"))
+    reviews = items.filter("l_tax < 0.03").groupBy(name("R", F.col("l_orderkey") % 1000).alias("review_id")).agg(F.collect_list(fact_id).alias("fact_ids"))
+    tasks = orders.select(name("T", F.col("o_orderkey") % 1100).alias("task_id"), name("R", F.col("o_orderkey") % 1100).alias("review_id")).distinct()
+    key = F.col("o_orderkey").cast("string")
+    results = orders.select(
+        name("T", F.col("o_orderkey") % 1100).alias("task_id"),
+        F.concat("o_orderpriority", F.lit("/"), F.lpad(key, 12, "0")).alias("name"),
+        F.when(F.col("o_orderstatus") == "F", F.concat(key, F.lit("__x"))).otherwise("").alias("period_key"),
+        F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("raw"), key)).otherwise("").alias("value_raw"),
+        F.when(F.col("o_orderkey") % 4 == 0, key).when(F.col("o_orderkey") % 4 == 1, "x").otherwise("").alias("value_num"),
+    )
+    return feedback.merged(facts, tasks, reviews, results).select("fact_id", "value", "raw", "period_key", "status", "reocr")
