@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import ranks, whatif
+from factloom.operators import ranks, run_summary, whatif
 from factloom.plans.facts import table
 from factloom.streaming import feedback
 
@@ -234,3 +234,33 @@ def late_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 4 == 0, key).when(F.col("o_orderkey") % 4 == 1, "x").otherwise("").alias("value_num"),
     )
     return feedback.merged(facts, tasks, reviews, results).select("fact_id", "value", "raw", "period_key", "status", "reocr")
+
+
+METRICS_FROM = f"{STATED}, facts AS (SELECT *, {RANKED['date']} AS report_date, {RANKED['role']} AS period_role FROM stated)"
+METRIC_SQL = {
+    "facts_total": "true", "active_total": "status <> 'suppressed'", "suppressed_total": "status = 'suppressed'", "mapped_total": "status <> 'suppressed' AND code <> ''", "unmapped_total": "status <> 'suppressed' AND code = ''",
+    "unknown_date_total": "status <> 'suppressed' AND report_date = 'unknown_date'", "unknown_statement_type_total": "status <> 'suppressed' AND statement_type = 'unknown'", "unknown_period_role_total": "status <> 'suppressed' AND period_role = 'unknown'",
+    "repaired_total": "status = 'repaired'", "review_total": "status = 'review'", "numeric_total": "status <> 'suppressed' AND value IS NOT NULL",
+}
+
+
+@query(f"""WITH {METRICS_FROM}, sets AS (SELECT statement_type AS s, period AS p, page_no AS g, grouping(statement_type, period, page_no) AS id, {', '.join(f'count(*) FILTER (WHERE {c}) AS {n}' for n, c in METRIC_SQL.items())},
+  CAST(coalesce(sum(abs(CAST(value AS DECIMAL(28, 6)))) FILTER (WHERE status <> 'suppressed'), 0) AS DOUBLE) AS amount_total,
+  CAST(coalesce(sum(abs(CAST(value AS DECIMAL(28, 6)))) FILTER (WHERE code <> '' AND status NOT IN ('suppressed', 'review', 'conflict')), 0) AS DOUBLE) AS mapped_amount
+  FROM facts GROUP BY GROUPING SETS ((), (statement_type), (period), (page_no)))
+SELECT CASE id WHEN 7 THEN 'run' WHEN 3 THEN 'statement_type' WHEN 5 THEN 'period' ELSE 'page_no' END AS grain, CASE id WHEN 3 THEN s WHEN 5 THEN p WHEN 6 THEN CAST(g AS VARCHAR) END AS key, {', '.join(METRIC_SQL)}, amount_total, mapped_amount,
+  {', '.join(f'CASE WHEN active_total > 0 THEN {t} / active_total::DOUBLE ELSE 0.0 END AS {n}' for n, t in run_summary.RATIOS.items())}, CASE WHEN amount_total > 0 THEN mapped_amount / amount_total ELSE 0.0 END AS amount_coverage_ratio FROM sets""")
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = stated(spark, sf_dir).withColumns({"report_date": F.expr(RANKED["date"]), "period_role": F.expr(RANKED["role"])})
+    return run_summary.fact_metrics(facts, ["statement_type", "period", "page_no"])
+
+
+@query(f"WITH {STATED} SELECT count(DISTINCT doc_id) AS docs_total, count(DISTINCT (doc_id, page_no)) AS pages_total, count(DISTINCT (doc_id, page_no, statement_type)) AS tables_total, count(*) AS rows_total FROM stated")
+def run_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run_summary.extents(stated(spark, sf_dir), [["doc_id"], ["doc_id", "page_no"], ["doc_id", "page_no", "statement_type"]], ["docs_total", "pages_total", "tables_total"])
+    return rows.select("docs_total", "pages_total", "tables_total", "rows_total")
+
+
+@query(f"WITH {STATED} SELECT CASE WHEN noisy THEN 'seal_or_stamp_noise' ELSE 'review' END AS reason, count(*) AS n FROM stated WHERE status = 'review' GROUP BY 1")
+def run_review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_summary.review_reasons(stated(spark, sf_dir))
