@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.operators import period_context, statements
+from factloom.operators import period_context, semantics, statements
 from factloom.plans.facts import table
 from factloom.plans.labels import clean
 
@@ -218,3 +218,32 @@ def statement_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def statement_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = statements.specialized(*_typed(spark, sf_dir), GROUP)
     return rows.groupBy("type_before", "statement_type", "type_source").agg(F.count(F.lit(1)).alias("n"))
+
+
+TEXTS = [
+    "CASE l_partkey % 7 WHEN 0 THEN '项目' WHEN 1 THEN '货币资金' WHEN 2 THEN '' WHEN 3 THEN '存货' WHEN 4 THEN '12' ELSE concat('科目', CAST(l_partkey % 5 AS STRING)) END",
+    "CASE l_partkey % 5 WHEN 0 THEN '行次' ELSE CAST(l_partkey % 9 AS STRING) END",
+    "CASE l_partkey % 3 WHEN 0 THEN '期末数' WHEN 1 THEN '备注' ELSE '3.5' END",
+]
+
+
+@query(f"""WITH cells AS (SELECT l_suppkey AS book, l_linenumber AS part, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY {FACT['fact_id']}) - 1 AS row, {TEXTS[0]} AS a, {TEXTS[1]} AS b, {TEXTS[2]} AS c FROM lineitem),
+tokens AS (SELECT *, CASE WHEN a = '12' THEN '' ELSE a END AS t, a = '项目' OR b = '行次' OR c = '期末数' AS head,
+  list_filter([CASE WHEN a = '12' THEN '' ELSE a END, CASE WHEN b = '行次' THEN b ELSE '' END, CASE WHEN c = '3.5' THEN '' ELSE c END], lambda x: x <> '') AS heads FROM cells),
+placed AS (SELECT *, coalesce(max(CASE WHEN head THEN row END) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS header_row, lag(head, 1) OVER o AS h1, lag(t, 1) OVER o AS t1, lag(head, 2) OVER o AS h2, lag(t, 2) OVER o AS t2
+  FROM tokens WINDOW o AS (PARTITION BY book, part ORDER BY row)),
+blocks AS (SELECT book, part, header_row, any_value(heads) FILTER (WHERE row = header_row) AS h, any_value(CASE WHEN row = 0 OR h1 THEN '' WHEN t1 <> '' THEN t1 WHEN h2 IS NOT NULL AND NOT h2 THEN t2 ELSE '' END) FILTER (WHERE row = header_row) AS title,
+  coalesce(list(t ORDER BY row) FILTER (WHERE row - header_row BETWEEN 1 AND 5 AND t <> ''), []) AS r FROM placed GROUP BY ALL),
+wholes AS (SELECT book, part, any_value(heads) FILTER (WHERE row = 0) AS h, coalesce(list(t ORDER BY row) FILTER (WHERE row BETWEEN 1 AND 6 AND t <> ''), []) AS r FROM placed GROUP BY ALL)
+SELECT p.book, p.part, CAST(p.row AS INTEGER) AS row, a AS label, CAST(p.header_row AS INTEGER) AS header_row,
+  concat('note', CASE WHEN title <> '' THEN '|t:' || title ELSE '' END, '|h:', CASE WHEN len(b.h) > 0 THEN array_to_string(b.h[1:6], ',') ELSE 'no_header' END, '|r:', CASE WHEN len(b.r) > 0 THEN array_to_string(b.r[1:3], ',') ELSE 'no_rows' END) AS row_key,
+  concat('note|h:', CASE WHEN len(w.h) > 0 THEN array_to_string(w.h[1:6], ',') ELSE 'no_header' END, '|r:', CASE WHEN len(w.r) > 0 THEN array_to_string(w.r[1:3], ',') ELSE 'no_rows' END) AS table_key
+FROM placed p JOIN blocks b ON b.book = p.book AND b.part = p.part AND b.header_row = p.header_row JOIN wholes w ON w.book = p.book AND w.part = p.part""")
+def semantic_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items of a supplier and line number as the rows of a table of three columns."""
+    order = Window.partitionBy("l_suppkey", "l_linenumber").orderBy(F.expr(FACT["fact_id"]))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("book"), F.col("l_linenumber").alias("part"), (F.row_number().over(order) - 1).alias("row"), F.array(*map(F.expr, TEXTS)).alias("texts"),
+        F.lit(0).alias("label_col"), F.lit(1).alias("line_col"), F.array(F.lit(2)).alias("value_cols"), F.lit("note").alias("statement_type"),
+    )
+    return semantics.keyed(rows, ["book", "part"]).select("book", "part", "row", "label", "header_row", "row_key", "table_key")
