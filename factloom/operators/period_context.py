@@ -42,14 +42,19 @@ ANNUAL_TYPES, GENERIC_HEADERS, THIS_PERIOD = ("income_statement", "cash_flow"),
 
 def period_role(path: Column, raw: Column, roles: dict[str, tuple[str, ...]] = ROLES) -> Column:
     """The role that the first telling header names, else the raw one, else unknown."""
-    named = F.transform(path, lambda h: first_contained(clean_text(h), {r: (r, *w) for r, w in roles.items()}, "unknown"))
+    # Headers are cleaned once, before words are looked for.
+    named = F.transform(F.transform(path, clean_text), lambda h: first_contained(h, {r: (r, *w) for r, w in roles.items()}, "unknown"))
     told = F.get(F.filter(named, lambda r: r != "unknown"), F.lit(0))
     return F.coalesce(told, F.when(raw != "", raw), F.lit("unknown"))
 
 
 def statement_name(kind: Column, name: Column) -> Column:
     """One name for the statements of a kind; of others the matching label itself."""
-    label = label_for_matching(name)
+    # Bound once, as it is used in several places.
+    return F.transform(F.array(label_for_matching(name)), lambda label: _statement_name(kind, label))[0]
+
+
+def _statement_name(kind: Column, label: Column) -> Column:
     equity = kind.isin("equity_statement", "changes_in_equity")
     fixed = F.when((kind == "note") & F.contains(label, F.lit("附注")), "附注").when(kind == "balance_sheet", "资产负债表").when(kind == "income_statement", "利润表")
     return F.when(label == "", "").otherwise(fixed.when(kind == "cash_flow", "现金流量表").when(equity, "所有者权益变动表").otherwise(label))
@@ -76,8 +81,9 @@ def weighed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = lines.select("doc_id", F.col("page_no").cast("int").alias("page_no"), "source", "text").unionByName(ids)
     # A family of sources has one weight: what is before a colon.
     source = F.element_at(F.split("source", ":", 2), 1)
-    text = clean_text(F.col("text"))
-    found = every.filter(text.contains("20")).select("doc_id", "page_no", (F.col("source") == "doc_id").alias("own"), periods.score(source, text, titles).alias("score"), F.explode(periods.candidates(F.col("text"))).alias("c"))
+    text = F.col("clean")
+    every = every.withColumn("clean", clean_text(F.col("text"))).filter(text.contains("20"))
+    found = every.select("doc_id", "page_no", (F.col("source") == "doc_id").alias("own"), periods.score(source, text, titles).alias("score"), F.explode(periods.candidates(F.col("text"))).alias("c"))
     each = found.groupBy("doc_id", "page_no", "own", "c.kind", "c.norm", "score").agg(F.count(F.lit(1)).alias("m"), F.min("c.raw").alias("raw"))
     each = written(each, "candidates")
     counts = each.groupBy("doc_id", "norm").agg(F.sum("m").alias("times"))
@@ -131,7 +137,8 @@ def headers(facts: DataFrame, counts: DataFrame) -> DataFrame:
     """(doc_id, header, header_best) of the distinct header texts of each document: the best of all kinds, weighed with the document's counts."""
     titles = tuple(w for words in TITLES.values() for w in words)
     texts = facts.select("doc_id", "header").distinct().filter(F.col("header").contains("20"))
-    found = texts.select("doc_id", "header", periods.score(F.lit("header"), clean_text(F.col("header")), titles).alias("score"), F.explode(periods.candidates(F.col("header"))).alias("c")).select("doc_id", "header", "score", "c.*")
+    texts = texts.withColumn("clean", clean_text(F.col("header")))
+    found = texts.select("doc_id", "header", periods.score(F.lit("header"), F.col("clean"), titles).alias("score"), F.explode(periods.candidates(F.col("header"))).alias("c")).select("doc_id", "header", "score", "c.*")
     rows = found.join(counts, ["doc_id", "norm"], "left").withColumn("weight", F.col("score") + REPEAT * F.coalesce("times", F.lit(0)))
     rows = rows.groupBy("doc_id", "header", "kind", "norm", "weight").agg(F.count(F.lit(1)).alias("m"), F.min("raw").alias("raw")).withColumn("page_no", F.lit(0))
     specific = F.when(F.col("kind") == "exact", 0).when(F.col("kind") == "range", 1).otherwise(2)
