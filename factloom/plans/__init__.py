@@ -1,7 +1,7 @@
 """Registered queries over the driver's tables, with equivalent SQL."""
 
-from factloom.plans import books, checks, closing, contexts, labels, reconciling, summaries, tables
+from factloom.plans import books, checks, closing, contexts, labels, overriding, reconciling, summaries, tables
 
-PARTS = (reconciling, tables, labels, summaries, checks, contexts, books, closing)
+PARTS = (reconciling, tables, labels, summaries, checks, contexts, books, closing, overriding)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
