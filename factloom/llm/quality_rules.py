@@ -43,7 +43,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", None, 10),
     Rule("digits", "n_digits", "word_chars", None, 30),
     Rule("dup_lines", "n_dup_lines", "n_lines", None, 40),
-    Rule("stop_words", "n_stop_words", "one", 200, None),
+    Rule("stop_words", "n_stop_words", "n_words", 2, None),
 )
 
 
@@ -51,8 +51,8 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the measures as long columns; columns of the same names are replaced.
 
     n_words, word_chars (code points in words), n_symbols, n_digits, n_lines (lines with a
-    word), n_dup_lines (those equal to an earlier one), n_repeat_words, n_stop_words (different
-    ones, in lower case). Null and empty texts count as having no words.
+    word), n_dup_lines (those equal to an earlier one), n_repeat_words, n_stop_words (words that
+    are one in lower case, each time). Null and empty texts count as having no words.
 
     n_repeat_words counts the places that lie in a 3-word window whose words occur, in their
     order, in another window of the text too. A window is known by 64 bits, and the windows are
@@ -81,7 +81,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": F.when(F.col("__placed").isNull(), 0).otherwise(repeated),
         "n_digits": F.size(F.split("__text", "[0-9]", -1)) - 1,
         "n_lines": F.size("__lines"),
-        "n_stop_words": F.size(F.array_intersect(F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))]), F.split(F.lower("__trim"), GAP))),
+        "n_stop_words": F.size(F.filter(F.split(F.lower("__trim"), GAP), lambda w: w.isin(sorted(set(STOP_WORDS))))),
     }
     return steps.withColumns({k: v.cast("long") for k, v in out.items()}).drop("__text", "__trim", "__words", "__lines", "__windows", "__placed")
 

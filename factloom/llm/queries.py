@@ -136,12 +136,12 @@ measures AS (
          CAST(coalesce(places.n, 0) AS BIGINT) AS n_repeat_words,
          CAST(length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS BIGINT) AS n_digits,
          CAST(len(l) AS BIGINT) AS n_lines,
-         CAST(len(list_intersect(list_distinct(list_transform(w, lambda x: lower(x))), [STOPS])) AS BIGINT) AS n_stop_words
+         CAST(len(list_filter(w, lambda x: list_contains([STOPS], lower(x)))) AS BIGINT) AS n_stop_words
   FROM words LEFT JOIN places USING (doc_id)),
 base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measures)
 SELECT *, NOT base_failed AND 100 * word_chars BETWEEN 200 * n_words AND 1500 * n_words
        AND 100 * n_symbols <= 10 * n_words AND 100 * n_digits <= 30 * word_chars
-       AND 100 * n_dup_lines <= 40 * n_lines AND n_stop_words >= 2 AS kept
+       AND 100 * n_dup_lines <= 40 * n_lines AND 100 * n_stop_words >= 2 * n_words AS kept
 FROM base
 """.replace("STOPS", ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS))))
 
