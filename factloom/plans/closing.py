@@ -23,8 +23,8 @@ def query(sql: str | None):
 #: The inputs in words of both engines: line items are facts, orders benchmark cells and review items, events issues.
 _PERIOD = "CAST(year(l_shipdate) AS STRING) || '__' || l_linestatus"
 _ID = "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)"
-_ROW = {"fact_id": _ID, "position": "l_orderkey", "code": "CASE WHEN l_discount < 0.025 THEN '' ELSE 'P' || CAST(2 * l_partkey AS STRING) END", "period": _PERIOD, "value": "floor(l_extendedprice / 10000)", "label": "l_returnflag", "statement_type": "l_linestatus"}
-_ORDER = {"period": "CAST(year(o_orderdate) AS STRING) || '__' || o_orderstatus", "value": "floor(o_totalprice / 10000)"}
+_ROW = {"fact_id": _ID, "position": "l_orderkey", "code": "CASE WHEN l_discount < 0.025 THEN '' ELSE 'P' || CAST(2 * l_partkey AS STRING) END", "period": _PERIOD, "value": "CAST(floor(l_extendedprice / 10000) AS DOUBLE)", "label": "l_returnflag", "statement_type": "l_linestatus"}
+_ORDER = {"period": "CAST(year(o_orderdate) AS STRING) || '__' || o_orderstatus", "value": "CAST(floor(o_totalprice / 10000) AS DOUBLE)"}
 INPUTS = {
     "gaps": ("orders", "o_orderpriority <> '5-LOW'", {"gap": "o_orderkey", "code": "'P' || CAST(o_custkey AS STRING)", "name": "o_orderpriority", "period": _ORDER["period"], "amount": _ORDER["value"], "header": "o_orderstatus"}),
     "facts": ("lineitem", "l_tax >= 0.015", _ROW | {"scope": "CASE WHEN l_quantity < 5 THEN 'out_of_scope' ELSE 'main_export_target' END", "unplaced": "CASE WHEN l_discount > 0.075 THEN 'no_column' ELSE '' END"}),
