@@ -27,7 +27,11 @@ def candidates(text: Column) -> Column:
     Every match counts, so dates that occur again are there again; a range with the word for month
     after its first month counts twice.
     """
-    clean = clean_text(text)
+    return cleaned_candidates(clean_text(text))
+
+
+def cleaned_candidates(clean: Column) -> Column:
+    """candidates() of a text that is clean already, such as a column that was cleaned once."""
     days = F.transform(F.concat(*[_all(clean, d, 3) for d in DAYS]), lambda x: F.struct(F.format_string("%s-%02d-%02d", x["g0"], x["g1"].cast("int"), x["g2"].cast("int")).alias("norm"), F.lit("exact").alias("kind"), x["raw"].alias("raw")))
     spans = F.transform(F.concat(*[_all(clean, m, 3) for m in MONTHS]), lambda x: F.struct(F.format_string("%s年%d月-%d月", x["g0"], x["g1"].cast("int"), x["g2"].cast("int")).alias("norm"), F.lit("range").alias("kind"), x["raw"].alias("raw")))
     years = F.transform(F.regexp_extract_all(clean, F.lit(YEAR), F.lit(1)), lambda y: F.struct(F.concat(y, F.lit("年度")).alias("norm"), F.lit("annual").alias("kind"), F.concat(y, F.lit("年度")).alias("raw")))

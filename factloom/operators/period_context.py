@@ -2,8 +2,9 @@
 
 Candidates of all lines are weighed once; the best of each kind is found for pages and documents
 together, and for statements over their facts' pages. A level whose two best candidates disagree
-too closely has none of that kind (a veto), and the next level is asked. Facts that share page,
-statement, header, role and type share the answer, so it is found once for each such context.
+too closely has none of that kind (a veto), and the next level is asked. What is read from the
+texts of a fact (its form) is read once for each combination of texts; facts carry a number for it.
+They are shuffled once by page and once by statement, and statements by document.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ AT_A_DAY, OVER_TIME = ("期初数", "期末数"), ("本期", "上期", "本年
 FLOWS = ("income_statement", "cash_flow", "equity_statement", "changes_in_equity")
 KINDS = ("exact", "range", "annual")
 REPEAT, MARGIN = 2, 5
+#: The texts of a fact that say what it is about.
+FORM = ["statement_type", "statement_name", "table_key", "header_raw", "header_path", "role_raw"]
 #: Statements of one period, and the headers under which their amounts are of this period.
 ANNUAL_TYPES, GENERIC_HEADERS, THIS_PERIOD = ("income_statement", "cash_flow"), ("金额", "本期金额", "本年累计数", "本年累计"), "本期"
 
@@ -83,11 +86,12 @@ def weighed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     source = F.element_at(F.split("source", ":", 2), 1)
     text = F.col("clean")
     every = every.withColumn("clean", clean_text(F.col("text"))).filter(text.contains("20"))
-    found = every.select("doc_id", "page_no", (F.col("source") == "doc_id").alias("own"), periods.score(source, text, titles).alias("score"), F.explode(periods.candidates(F.col("text"))).alias("c"))
+    found = every.select("doc_id", "page_no", (F.col("source") == "doc_id").alias("own"), periods.score(source, text, titles).alias("score"), F.explode(periods.cleaned_candidates(text)).alias("c"))
     each = found.groupBy("doc_id", "page_no", "own", "c.kind", "c.norm", "score").agg(F.count(F.lit(1)).alias("m"), F.min("c.raw").alias("raw"))
-    each = written(each, "candidates")
-    counts = each.groupBy("doc_id", "norm").agg(F.sum("m").alias("times"))
-    return each.join(counts, ["doc_id", "norm"]).withColumn("weight", F.col("score") + REPEAT * F.col("times")), counts
+    # Combined before they are dealt by document, by which the later steps group.
+    each = written(each, "candidates").repartition("doc_id")
+    times = F.sum("m").over(Window.partitionBy("doc_id", "norm"))
+    return each.withColumn("weight", F.col("score") + REPEAT * times), each.groupBy("doc_id", "norm").agg(F.sum("m").alias("times"))
 
 
 def chosen(rows: DataFrame, group: list[str], *order: str | Column) -> DataFrame:
@@ -124,25 +128,57 @@ def contexts(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return wide.filter("by_page").drop("by_page").withColumnRenamed("page", "page_no"), wide.filter("NOT by_page").select("doc_id", *[F.col(f"page_{k}").alias(f"doc_{k}") for k in KINDS])
 
 
-def statements(facts: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
-    """(doc_id, group, statement_<kind>): the best among the best of the pages of a statement's facts, each counted by its facts; kinds without one are the document's."""
-    sizes = facts.groupBy("doc_id", "group", "page_no").agg(F.count(F.lit(1)).alias("facts"))
-    rows = sizes.join(pages, ["doc_id", "page_no"]).select("doc_id", "group", "facts", F.explode(F.array(*[f"page_{k}" for k in KINDS])).alias("c")).filter("c IS NOT NULL")
-    rows = rows.groupBy("doc_id", "group", "c.kind", "c.norm", "c.weight", "c.page_no").agg(F.sum("facts").alias("m"), F.min("c.raw").alias("raw"))
-    wide = _wide(chosen(rows, ["doc_id", "group", "kind"], "page_no", "norm"), ["doc_id", "group"], "own")
-    return wide.join(documents, "doc_id", "left").select("doc_id", "group", *[F.coalesce(f"own_{k}", f"doc_{k}").alias(f"statement_{k}") for k in KINDS])
+def forms(facts: DataFrame) -> DataFrame:
+    """The combinations of FORM among facts, with a number and what is read from them.
 
-
-def headers(facts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(doc_id, header, header_best) of the distinct header texts of each document: the best of all kinds, weighed with the document's counts."""
+    group, period_role, header; group_no and header_no for the texts of these. header_best is the
+    header's date if its document can't matter: it has one candidate. `contested` marks those with more.
+    """
+    text = F.concat_ws(" ", "statement_name", "header_raw", F.array_join("header_path", " "))
+    made = {"group": statement_group(F.col("statement_type"), F.col("statement_name"), F.col("table_key")), "period_role": period_role(F.col("header_path"), F.col("role_raw")), "header": text}
+    each = written(facts.select(*FORM).distinct().withColumn("form", F.monotonically_increasing_id()), "forms").withColumns(made)
+    number = lambda name: F.min("form").over(Window.partitionBy(name))
+    each = written(each.withColumns({"group_no": number("group"), "header_no": number("header")}), "forms_read")
+    found = _header_dates(each.filter("form = header_no"))
+    one = F.struct("norm", "raw", F.lit("header").alias("level"), F.lit("header_date_candidate").alias("reason"))
+    heads = found.groupBy("header_no").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one"))
+    heads = heads.select("header_no", F.when(F.col("n") == 1, F.col("one")).alias("header_best"), (F.col("n") > 1).alias("contested"))
+    return written(each.join(heads, "header_no", "left").withColumn("contested", F.coalesce("contested", F.lit(False))), "forms_dated")
+
+
+def _header_dates(texts: DataFrame) -> DataFrame:
+    """(header_no, header, kind, norm, score, m, raw) of distinct headers."""
     titles = tuple(w for words in TITLES.values() for w in words)
-    texts = facts.select("doc_id", "header").distinct().filter(F.col("header").contains("20"))
-    texts = texts.withColumn("clean", clean_text(F.col("header")))
-    found = texts.select("doc_id", "header", periods.score(F.lit("header"), F.col("clean"), titles).alias("score"), F.explode(periods.candidates(F.col("header"))).alias("c")).select("doc_id", "header", "score", "c.*")
-    rows = found.join(counts, ["doc_id", "norm"], "left").withColumn("weight", F.col("score") + REPEAT * F.coalesce("times", F.lit(0)))
-    rows = rows.groupBy("doc_id", "header", "kind", "norm", "weight").agg(F.count(F.lit(1)).alias("m"), F.min("raw").alias("raw")).withColumn("page_no", F.lit(0))
+    texts = texts.select("header_no", "header").filter(F.col("header").contains("20")).withColumn("clean", clean_text(F.col("header")))
+    found = texts.select("header_no", periods.score(F.lit("header"), F.col("clean"), titles).alias("score"), F.explode(periods.cleaned_candidates(F.col("clean"))).alias("c"))
+    return found.groupBy("header_no", "c.kind", "c.norm", "score").agg(F.count(F.lit(1)).alias("m"), F.min("c.raw").alias("raw"))
+
+
+def headers(rows: DataFrame, known: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, header_no, head) of the contested headers of each document: the best of all kinds, weighed with the document's counts."""
+    dates = _header_dates(known.filter("contested AND form = header_no"))
+    found = rows.filter("contested").select("doc_id", "header_no").distinct().join(dates, "header_no")
+    found = found.join(counts, ["doc_id", "norm"], "left").withColumn("weight", F.col("score") + REPEAT * F.coalesce("times", F.lit(0))).withColumn("page_no", F.lit(0))
     specific = F.when(F.col("kind") == "exact", 0).when(F.col("kind") == "range", 1).otherwise(2)
-    return chosen(rows, ["doc_id", "header"], specific, F.col("norm")).withColumnRenamed("best", "header_best")
+    best = chosen(found, ["doc_id", "header_no"], specific, F.col("norm"))
+    one = F.struct(F.col("best.norm").alias("norm"), F.col("best.raw").alias("raw"), F.lit("header").alias("level"), F.lit("header_date_candidate").alias("reason"))
+    return best.select("doc_id", "header_no", F.when(F.col("best").isNotNull(), one).alias("head"))
+
+
+def statements(paged: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, group_no, known, stated, statement_<kind>, doc_<kind>) of facts with their pages' best.
+
+    A statement's best is the best among those of its facts' pages, each counted by its facts; kinds without one
+    are the document's. `stated`: whether a page has any. documents: doc_<kind> and `known` of those that have lines.
+    """
+    each = F.array_compact(F.array(*[f"page_{k}" for k in KINDS]))
+    sizes = paged.groupBy("doc_id", "page_no", "group_no").agg(F.count(F.lit(1)).alias("m"), F.first(each).alias("each"))
+    # Dealt once, for the windows and groups below.
+    rows = sizes.repartition("doc_id", "group_no").select("doc_id", "group_no", "m", F.explode_outer("each").alias("c")).select("doc_id", "group_no", "m", "c.kind", "c.norm", "c.raw", "c.weight", "c.page_no")
+    best = chosen(rows, ["doc_id", "group_no", "kind"], "page_no", "norm")
+    wide = best.groupBy("doc_id", "group_no").agg(F.max(F.col("kind").isNotNull()).alias("stated"), *[F.max(F.when(F.col("kind") == k, F.col("best"))).alias(f"own_{k}") for k in KINDS])
+    made = wide.join(documents, "doc_id", "left")
+    return made.select("doc_id", "group_no", "known", "stated", *[F.when(F.col("stated"), F.coalesce(f"own_{k}", f"doc_{k}")).alias(f"statement_{k}") for k in KINDS], *[f"doc_{k}" for k in KINDS])
 
 
 def _first(order: tuple[str, ...]) -> Column:
@@ -162,30 +198,36 @@ def dated(facts: DataFrame, lines: DataFrame) -> DataFrame:
     (array), header_raw, role_raw. lines: (doc_id, page_no, source, text). Without a date it is unknown_date,
     for the reason that there are no lines, no dates on the page, or ambiguous ones.
     """
-    text = F.concat_ws(" ", "statement_name", "header_raw", F.array_join("header_path", " "))
-    made = {"group": statement_group(F.col("statement_type"), F.col("statement_name"), F.col("table_key")), "period_role": period_role(F.col("header_path"), F.col("role_raw")), "header": text}
-    rows = facts.withColumns(made)
+    known = forms(facts)
+    read = known.select(*[F.col(c).alias(f"__{c}") for c in FORM], "form", "group_no", "header_no", "contested")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in FORM]
+    rows = facts.join(read, same).drop(*FORM, *[f"__{c}" for c in FORM])
     candidates, counts = weighed(lines)
     pages, documents = contexts(candidates)
-    context = ["doc_id", "page_no", "group", "header", "period_role", "statement_type"]
-    keys = rows.select(*context).distinct()
-    known = lines.select("doc_id").distinct().withColumn("known", F.lit(True))
-    keys = keys.join(pages.withColumn("on_page", F.lit(True)), ["doc_id", "page_no"], "left").join(statements(rows, pages, documents), ["doc_id", "group"], "left").join(documents, "doc_id", "left").join(known, "doc_id", "left").join(headers(rows, counts), ["doc_id", "header"], "left")
+    documents = documents.join(lines.select("doc_id").distinct(), "doc_id", "right").withColumn("known", F.lit(True))
+    pages = pages.withColumn("on_page", F.lit(True))
+    paged = written(rows.join(pages, ["doc_id", "page_no"], "left"), "paged")
+    stated = written(statements(paged, documents), "statements")
+    settled = paged.join(stated.withColumnsRenamed({"doc_id": "__doc", "group_no": "__group"}), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("group_no") == F.col("__group")), "left").drop("__doc", "__group")
+    late = settled.filter("contested").join(headers(paged, known, counts), ["doc_id", "header_no"], "left")
+    settled = settled.filter("NOT contested").withColumn("head", F.lit(None).cast(late.schema["head"].dataType)).unionByName(late)
+    settled = settled.join(known.drop("group_no", "header_no", "contested"), "form")
     role, kind = F.col("period_role"), F.col("statement_type")
-    head = F.when(F.col("header_best").isNotNull(), F.struct(F.col("header_best.norm").alias("norm"), F.col("header_best.raw").alias("raw"), F.lit("header").alias("level"), F.lit("header_date_candidate").alias("reason")))
+    head = F.coalesce("header_best", "head")
     flows = role.isin(*OVER_TIME) | (kind.isin(*FLOWS) & ~role.isin(*AT_A_DAY))
     found = F.coalesce(head, F.when(role.isin(*AT_A_DAY), _first(("exact", "range", "annual"))).when(flows, _first(("range", "annual", "exact"))).otherwise(_first(("exact", "annual", "range"))))
     nothing = F.coalesce(*[F.col(f"page_{k}") for k in KINDS]).isNull()
     why = F.when(F.col("known").isNull(), "no_statement_date_found").when(F.col("on_page").isNotNull() & nothing, "ambiguous_multiple_dates").otherwise("no_page_date_found")
-    answers = keys.withColumn("found", found).select(
-        *context,
-        F.coalesce("found.norm", F.lit("unknown_date")).alias("report_date"),
-        F.coalesce("found.raw", F.lit("")).alias("report_date_raw"),
-        F.coalesce("found.level", F.lit("inferred")).alias("period_level"),
-        F.coalesce("found.reason", why).alias("period_reason"),
+    rows = settled.withColumn("__found", found).withColumns(
+        {
+            "report_date": F.coalesce("__found.norm", F.lit("unknown_date")),
+            "report_date_raw": F.coalesce("__found.raw", F.lit("")),
+            "period_level": F.coalesce("__found.level", F.lit("inferred")),
+            "period_reason": F.coalesce("__found.reason", why),
+        }
     )
-    rows = rows.join(answers, context)
-    return rows.withColumn("period_key", periods.period_key(F.col("report_date"), F.col("period_role"))).drop("header")
+    rows = rows.withColumn("period_key", periods.period_key(F.col("report_date"), F.col("period_role")))
+    return rows.select(*facts.columns, "group", "period_role", "report_date", "report_date_raw", "period_level", "period_reason", "period_key")
 
 
 def blocks_export(code: Column, value: Column, date: Column, role: Column) -> Column:
@@ -203,14 +245,14 @@ def annual_roles(facts: DataFrame, table: list[str], kinds: tuple[str, ...] = AN
     key = F.coalesce(F.when(F.col("column_key") != "", F.col("column_key")), F.col("header_raw"), F.lit(""))
     number = F.col("value").isNotNull()
     head = F.trim(F.coalesce("header_raw", F.lit("")))
-    tables = facts.groupBy(*table).agg(F.min(F.when(number, key)).alias("__low"), F.max(F.when(number, key)).alias("__high"), F.array_join(F.array_sort(F.collect_set(F.when(head != "", head))), " ").alias("header_text"))
-    tables = tables.select(*[F.col(t).alias(f"__{t}") for t in table], "header_text", (F.col("__low") == F.col("__high")).alias("__single"))
-    same = [F.col(t).eqNullSafe(F.col(f"__{t}")) for t in table]
-    rows = facts.join(tables, same, "left")
+    own = Window.partitionBy(*table)
+    low, high = F.min(F.when(number, key)).over(own), F.max(F.when(number, key)).over(own)
+    heads = F.collect_set(F.when(head != "", head)).over(own)
+    rows = facts.withColumns({"__single": low == high, "header_text": F.array_join(F.array_sort(heads), " ")})
     fits = F.col("header_text") == ""
     for word in generic:
         fits = fits | F.contains("header_text", F.lit(word))
     spans = F.col("report_date").endswith("年度") | F.contains("report_date", F.lit("月-"))
     yes = F.coalesce(F.col("__single") & number & F.col("statement_type").isin(*kinds) & spans & (F.col("period_role") == "unknown") & fits, F.lit(False))
     rows = rows.withColumn("inferred", yes).withColumn("period_role", F.when(F.col("inferred"), role).otherwise(F.col("period_role")))
-    return rows.withColumn("period_key", periods.period_key(F.col("report_date"), F.col("period_role"))).drop("__single", *[f"__{t}" for t in table])
+    return rows.withColumn("period_key", periods.period_key(F.col("report_date"), F.col("period_role"))).drop("__single")

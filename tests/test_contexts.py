@@ -109,6 +109,28 @@ RULES = st.StatementRules(
 ST_FACTS = "doc_id string, page_no int, subtable string, label string, header_path array<string>, statement_type string, ordinal int"
 
 
+def test_facts_without_a_type_or_document_stay(spark):
+    facts = [("d", 1, None, "", "", "", ["期末数"], "", 1), (None, 1, "note", "", "", "2021年度", [], "", 2)]
+    got = dated(spark, facts, [("d", 1, "page_text", "2022-12-31")])
+    assert (got[1].statement_type, got[1].report_date, got[1].period_level) == (None, "2022-12-31", "page")
+    assert (got[2].doc_id, got[2].report_date, got[2].period_level) == (None, "2021年度", "header")
+
+
+def test_contested_headers_ask_their_document(spark):
+    header = "2021-01-05 2022-01-05"
+    facts = [("a", 1, "note", "", "", header, [], "", 1), ("b", 1, "note", "", "", header, [], "", 2)]
+    got = dated(spark, facts, [("a", 1, "page_text", "2022-01-05")] * 3 + [("b", 2, "page_text", "x")])
+    assert (got[1].report_date, got[1].period_level) == ("2022-01-05", "header")
+    # Neither day is ahead in the other document, which has no dates of its own.
+    assert (got[2].report_date, got[2].period_reason) == ("unknown_date", "no_page_date_found")
+
+
+def test_roles_of_tables_read_and_shuffle_facts_once(spark):
+    rows = spark.range(10).selectExpr("id AS t", "'h' AS column_key", "'h' AS header_raw", "1.0D AS value", "'note' AS statement_type", "'2022年度' AS report_date", "'unknown' AS period_role")
+    plan = pc.annual_roles(rows, ["t"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and plan.count("Range (") == 1
+
+
 def plain_type(facts, text, page, rules):
     scores, reasons = dict.fromkeys(st.TYPES, 0.0), []
     context = text or ""
