@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import ranks, run_summary, whatif
+from factloom.operators.scratch import written
 from factloom.plans.facts import table
 from factloom.streaming import feedback
 
@@ -152,7 +153,7 @@ def _decisions(facts: DataFrame) -> DataFrame:
 
 @query(f"WITH {DECISIONS} SELECT * FROM decisions")
 def conflict_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decisions(aligned(spark, sf_dir))
+    return _decisions(written(aligned(spark, sf_dir), "aligned"))
 
 
 @query(f"""WITH {DECISIONS}, applied AS (
@@ -162,7 +163,7 @@ def conflict_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM facts f LEFT JOIN decisions d USING (conflict_id))
 SELECT before, status, comparison, reason, count(*) AS n FROM applied GROUP BY ALL""")
 def decisions_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = aligned(spark, sf_dir)
+    facts = written(aligned(spark, sf_dir), "aligned")
     rows = whatif.applied(facts.drop("comparison").withColumn("before", F.col("status")), _decisions(facts))
     return rows.groupBy("before", "status", "comparison", "reason").agg(F.count(F.lit(1)).alias("n"))
 
