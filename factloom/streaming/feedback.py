@@ -33,6 +33,35 @@ def _met(facts: DataFrame, tasks: DataFrame, reviews: DataFrame, results: DataFr
     return rows.withColumn("counts", F.col("open") & (first.isNull() | (F.struct("name", "task_id") <= first)))
 
 
+def _said(facts: DataFrame, tasks: DataFrame, reviews: DataFrame, results: DataFrame) -> DataFrame:
+    """(fact_id, __period, __raw, __number) of the open facts for which a result counts.
+
+    Results aren't paired with the facts of their review. A fact is closed by the first result with a
+    number in any of its reviews; each review tells once for each such place what its results say up to there.
+    """
+    number = F.when(F.col("value_num").rlike(NUMBER), F.col("value_num").cast("double"))
+    rows = results.dropDuplicates(["task_id", "name"]).withColumns({"number": number, "place": F.struct("name", "task_id")})
+    rows = rows.join(tasks.select("task_id", "review_id").distinct(), "task_id")
+    numbered = F.when(F.col("number").isNotNull(), F.col("place"))
+    closings = rows.groupBy("review_id").agg(F.min(numbered).alias("closing"), F.min_by("number", numbered).alias("number"))
+    is_open = F.coalesce("status", F.lit("")).isin(*OPEN) | F.col("value").isNull()
+    members = reviews.select("review_id", F.explode("fact_ids").alias("fact_id")).join(closings, "review_id").join(facts.filter(is_open).select("fact_id"), "fact_id")
+    of_fact = Window.partitionBy("fact_id")
+    members = members.select("review_id", "fact_id", F.min("closing").over(of_fact).alias("close"), F.min_by("number", "closing").over(of_fact).alias("number"))
+    # A place where facts are closed comes after the result at it; facts that stay open (null) after all.
+    asked = members.select("review_id", F.col("close").alias("place")).distinct().withColumn("asks", F.lit(True))
+    line = Window.partitionBy("review_id").orderBy(F.asc_nulls_last("place"), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = rows.select("review_id", "place", *[F.when(_filled(c).isNotNull(), F.struct("place", _filled(c).alias("text"))).alias(c) for c in ("period_key", "value_raw")]).withColumn("asks", F.lit(False))
+    told = told.unionByName(asked, allowMissingColumns=True)
+    last = lambda c: F.last(c, ignorenulls=True).over(line).alias(c)
+    told = told.select("review_id", "place", "asks", last("period_key"), last("value_raw"), F.count_if(~F.col("asks")).over(line).alias("n")).filter("asks AND n > 0")
+    told = told.select(F.col("review_id").alias("__review"), F.col("place").alias("__close"), "period_key", "value_raw")
+    # Places are compared null-safely, as names may be null.
+    met = members.join(told, (F.col("review_id") == F.col("__review")) & F.col("close").eqNullSafe(F.col("__close")))
+    latest = lambda c: F.max_by(F.col(f"{c}.text"), F.col(f"{c}.place"))
+    return met.groupBy("fact_id").agg(latest("period_key").alias("__period"), latest("value_raw").alias("__raw"), F.first("number").alias("__number"))
+
+
 def merged(facts: DataFrame, tasks: DataFrame, reviews: DataFrame, results: DataFrame) -> DataFrame:
     """facts with what their results say: value, raw, period_key, status, `reocr` (whether any was merged).
 
@@ -41,10 +70,7 @@ def merged(facts: DataFrame, tasks: DataFrame, reviews: DataFrame, results: Data
     status stays as it is. Of the merged results the last that names a period or a raw text
     counts; the number is that of the closing one, which makes an open status observed.
     """
-    met = _met(facts.select("fact_id", "status", "value"), tasks, reviews, results).filter("counts")
-    place = F.struct("name", "task_id")
-    last = lambda c: F.max_by(_filled(c), F.when(_filled(c).isNotNull(), place))
-    said = met.groupBy("fact_id").agg(last("period_key").alias("__period"), last("value_raw").alias("__raw"), F.max_by("number", F.when(F.col("number").isNotNull(), place)).alias("__number"))
+    said = _said(facts.select("fact_id", "status", "value"), tasks, reviews, results)
     rows = facts.join(said.withColumn("__any", F.lit(True)), "fact_id", "left")
     closes = F.col("__number").isNotNull() & F.col("status").isin(*OPEN)
     made = {"value": F.coalesce("__number", "value"), "raw": F.coalesce("__raw", "raw"), "period_key": F.coalesce("__period", "period_key"), "status": F.when(closes, "observed").otherwise(F.col("status")), "reocr": F.coalesce("__any", F.lit(False))}
