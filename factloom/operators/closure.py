@@ -40,6 +40,8 @@ PROBES = (
 )
 UNMAPPED, UNPLACED, MISALIGNED = "source_exists_but_unmapped", "source_exists_but_unplaced", "source_exists_but_period_misaligned"
 TOLERANCE = 0.01
+#: Bits that rows are sieved by before a shuffle (2 MB on each executor).
+SIEVE = 1 << 24
 
 
 def _text(name: str) -> Column:
@@ -56,12 +58,15 @@ def _near(a: Column, b: Column) -> Column:
 
 
 def _seen(rows: DataFrame, ref: str, probe: int | Column) -> DataFrame:
-    """rows as (probe, code, period, value, e): e is what a gap keeps of a row, in the rows' order."""
+    """rows as (probe, code, period, value, e): e is what a gap keeps of a row, in the rows' order.
+
+    e.facts is null where it is the row itself, so that rows don't carry their id twice.
+    """
     has = lambda n, kind: F.col(n).cast(kind) if n in rows.columns else F.lit(None).cast(kind)
     texts = {n: F.coalesce(has(n, "string"), F.lit("")) for n in ("code", "period", "label", "statement_type")}
-    facts = has("facts", "array<string>") if "facts" in rows.columns else F.array(F.col(ref).cast("string"))
+    facts = F.coalesce(has("facts", "array<string>"), F.array().cast("array<string>")) if "facts" in rows.columns else F.lit(None).cast("array<string>")
     value = has("value", "double")
-    e = F.struct(has("position", "long").alias("position"), _text(ref).alias("ref"), value.alias("value"), texts["period"].alias("period"), F.trim(texts["label"]).alias("label"), texts["statement_type"].alias("statement_type"), F.coalesce(facts, F.array().cast("array<string>")).alias("facts"))
+    e = F.struct(has("position", "long").alias("position"), _text(ref).alias("ref"), value.alias("value"), texts["period"].alias("period"), F.trim(texts["label"]).alias("label"), texts["statement_type"].alias("statement_type"), facts.alias("facts"))
     return rows.select((F.lit(probe) if isinstance(probe, int) else probe).alias("probe"), texts["code"].alias("code"), texts["period"].alias("period"), value.alias("value"), e.alias("e"))
 
 
@@ -74,45 +79,60 @@ def _together(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("evidence"))
 
 
-def _same_place(gaps: DataFrame, facts: DataFrame, unplaced: DataFrame, derived: DataFrame) -> DataFrame:
+def _sieve(wanted: DataFrame, name: str) -> DataFrame:
+    """Hashed bits of the texts in a column: at most SIEVE bits, however many texts there are."""
+    bit = F.pmod(F.xxhash64(_text(name)), F.lit(SIEVE))
+    return wanted.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias("__bits"))
+
+
+def _sieved(rows: DataFrame, name: str, sieve: DataFrame) -> DataFrame:
+    """rows whose text may be wanted, before they are shuffled; what follows decides exactly."""
+    kept = rows.withColumn("__b", F.pmod(F.xxhash64(_text(name)), F.lit(SIEVE))).join(F.broadcast(sieve), F.shiftright("__b", 6) == F.col("__word"))
+    return kept.filter("shiftrightunsigned(__bits, CAST(__b % 64 AS INT)) & 1 = 1").drop("__b", "__word", "__bits")
+
+
+def _same_place(facts: DataFrame, unplaced: DataFrame, derived: DataFrame) -> DataFrame:
+    """(code, period, near: evidence and probe of the least of 0 to 2, made: evidence of 4)."""
     outside = ~_text("scope").isin(*EXPORTED)
     own = facts.filter(outside | (_text("unplaced") != ""))
     # A fact outside of the scope decides before its missing place does, so it counts once.
     rows = _seen(own, "fact_id", F.when(outside, 0).otherwise(1)).unionByName(_seen(unplaced, "fact_id", 2)).unionByName(_seen(derived, "fact_id", 4))
-    key = ["probe", "code", "period"]
-    return gaps.join(_together(_first(rows, key), key), ["code", "period"]).select("gap", "probe", "evidence")
+    each = _together(_first(rows, ["probe", "code", "period"]), ["code", "period", "probe"])
+    found = F.struct("probe", "evidence")
+    return each.groupBy("code", "period").agg(F.min_by(F.when(F.col("probe") < 4, found), F.when(F.col("probe") < 4, F.col("probe"))).alias("near"), F.any_value(F.when(F.col("probe") == 4, found), True).alias("made"))
 
 
-def _elsewhere(gaps: DataFrame, facts: DataFrame) -> DataFrame:
-    """The first three facts of a gap's code in other periods than its own.
+def _elsewhere(facts: DataFrame) -> DataFrame:
+    """(code, six): six facts are enough for the first three in other periods than any gap's.
 
-    Six of a code are enough for any gap: cut to three a period, the gap's period takes at most
-    three of the first six, and what is left are the first of the others.
+    Cut to three a period, a gap's period takes at most three of the first six, and what is left
+    are the first of the others.
     """
-    six = _together(_first(_first(_seen(facts, "fact_id", 3), ["code", "period"]), ["code"], 6), ["code"])
-    rows = gaps.join(six, "code").withColumn("evidence", F.slice(F.filter("evidence", lambda e: e["period"] != F.col("period")), 1, 3))
-    return rows.filter(F.size("evidence") > 0).select("gap", F.lit(3).alias("probe"), "evidence")
+    return _together(_first(_first(_seen(facts, "fact_id", 3), ["code", "period"]), ["code"], 6), ["code"]).withColumnRenamed("evidence", "six")
+
 
+def _slot(c: Column) -> Column:
+    return F.floor(c / F.lit(TOLERANCE).cast("decimal(18,4)")).cast("long")
 
-def _same_amount(gaps: DataFrame, raw: DataFrame, review: DataFrame) -> DataFrame:
-    """Unmapped facts and review items of a gap's period and amount.
+
+def _same_amount(raw: DataFrame, review: DataFrame) -> DataFrame:
+    """(period, slot, amounts): unmapped facts and review items by period and amount.
 
     Rows of one amount are cut to three first; a slot is as wide as the tolerance and so holds at
-    most a hundred amounts, whatever the number of rows.
+    most a hundred amounts, whatever the number of rows. Each amount stands in its own slot and
+    both beside it, so that a gap asks one slot.
     """
-    slot = lambda c: F.floor(c / F.lit(TOLERANCE).cast("decimal(18,4)")).cast("long")
     rows = _seen(raw.filter(_text("code") == ""), "fact_id", 5).unionByName(_seen(review, "review_id", 6)).withColumn("cents", _decimal(F.col("value"))).filter("cents IS NOT NULL")
     key = ["probe", "period", "cents"]
-    amounts = _together(_first(rows, key), key).withColumn("slot", slot(F.col("cents")))
-    asked = gaps.select("gap", "period", "amount", slot(_decimal(F.col("amount"))).alias("s")).filter("s IS NOT NULL").withColumn("slot", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)))
-    met = asked.join(amounts, ["period", "slot"]).filter(_near(F.col("amount"), F.col("cents")))
-    return met.groupBy("gap", "probe").agg(F.slice(F.array_sort(F.flatten(F.collect_list("evidence"))), 1, 3).alias("evidence"))
+    each = _together(_first(rows, key), key).withColumn("s", _slot(F.col("cents")))
+    spread = each.withColumn("slot", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)))
+    return spread.groupBy("period", "slot").agg(F.collect_list(F.struct("probe", "cents", "evidence")).alias("amounts"))
 
 
 def _named(gaps: DataFrame, issues: DataFrame) -> DataFrame:
-    """Issues whose message holds a gap's code: messages are cut into pieces as long as codes are,
-    and pieces meet codes by equality. The lengths of codes are the only thing that the driver sees."""
-    codes = gaps.filter("code <> ''").select("code").distinct()
+    """(code, told): issues whose message holds a gap's code: messages are cut into pieces as long as codes
+    are, and pieces meet codes by equality. The lengths of codes are the only thing that the driver sees."""
+    codes = gaps.select(_text("code").alias("code")).filter("code <> ''").distinct()
     sizes = sorted(r[0] for r in codes.select(F.length("code")).distinct().collect())
     told = issues.withColumn("__m", _text("message"))
 
@@ -122,23 +142,43 @@ def _named(gaps: DataFrame, issues: DataFrame) -> DataFrame:
 
     pieces = [pieces_of(k) for k in sizes]
     spread = told.withColumn("code", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *pieces)))).drop("__m")
-    rows = _seen(spread.join(codes, "code", "left_semi"), "issue_id", 7)
-    return gaps.join(_together(_first(rows, ["code"]), ["code"]), "code").select("gap", F.lit(7).alias("probe"), "evidence")
+    rows = _seen(_sieved(spread, "code", _sieve(codes, "code")).join(codes, "code", "left_semi"), "issue_id", 7)
+    return _together(_first(rows, ["code"]), ["code"]).withColumnRenamed("evidence", "told")
 
 
 def investigate(gaps: DataFrame, facts: DataFrame, raw: DataFrame, unplaced: DataFrame, derived: DataFrame, review: DataFrame, issues: DataFrame) -> DataFrame:
     """gaps with cause, source, evidence (up to three rows) and refs, of the first probe that finds something.
 
-    Null codes and periods are empty; a gap without an amount finds nothing by amount. All probes
-    are one tagged union, from which each gap keeps the least probe.
+    Null codes and periods are empty; a gap without an amount finds nothing by amount. Facts whose
+    code no gap has are left out before they are shuffled.
     """
-    asked = gaps.select("gap", _text("code").alias("code"), _text("period").alias("period"), F.col("amount").cast("double").alias("amount"))
-    found = reduce(DataFrame.unionByName, [_same_place(asked, facts, unplaced, derived), _elsewhere(asked, facts), _same_amount(asked, raw, review), _named(asked, issues)])
-    best = found.groupBy("gap").agg(F.min("probe").alias("__p"), F.min_by("evidence", "probe").alias("evidence"))
-    names = lambda k: F.get(F.array(*[F.lit(p[k]) for p in PROBES]), F.coalesce(F.col("__p"), F.lit(len(PROBES) - 1)))
-    rows = gaps.drop("cause", "source", "evidence", "refs").join(best, "gap", "left").withColumns({"cause": names(0), "source": names(1)})
+    sieve = _sieve(gaps, "code")
+    only = lambda df: _sieved(df, "code", sieve)
+    return _probed(gaps, only(facts), raw, only(unplaced), only(derived), review, _named(gaps, issues))
+
+
+def _probed(gaps: DataFrame, facts: DataFrame, raw: DataFrame, unplaced: DataFrame, derived: DataFrame, review: DataFrame, named: DataFrame) -> DataFrame:
+    """What investigate() returns: gaps stay one row each and meet the probes' rows, cut to few a key, by place, code and amount."""
+    # Written first, so that a few amounts are known to be few and go to the gaps, not the gaps to them.
+    amounts = written(_same_amount(raw, review), "amounts")
+    by_code = _elsewhere(facts).join(named, "code", "full")
+    rows = gaps.drop("cause", "source", "evidence", "refs").withColumns({"__code": _text("code"), "__period": _text("period"), "__slot": _slot(_decimal(F.col("amount").cast("double")))})
+    place = _same_place(facts, unplaced, derived).withColumnsRenamed({"code": "__code", "period": "__period"})
+    rows = rows.join(place, ["__code", "__period"], "left")
+    rows = rows.join(by_code.withColumnRenamed("code", "__code"), "__code", "left")
+    away = F.slice(F.filter("six", lambda e: e["period"] != F.col("__period")), 1, 3)
+    one = lambda k, evidence: F.when(F.size(evidence) > 0, F.struct(F.lit(k).alias("probe"), evidence.alias("evidence")))
+    rows = rows.withColumn("__found", F.coalesce("near", one(3, away), "made")).withColumn("told", F.when(F.col("__found").isNull(), F.col("told"))).drop("near", "six", "made")
+    rows = rows.join(amounts.withColumnsRenamed({"period": "__period", "slot": "__slot"}), ["__period", "__slot"], "left")
+    close = F.filter("amounts", lambda a: _near(F.col("amount").cast("double"), a["cents"]))
+    of = lambda k: one(k, F.slice(F.array_sort(F.flatten(F.transform(F.filter(close, lambda a: a["probe"] == k), lambda a: a["evidence"]))), 1, 3))
+    rows = rows.withColumn("__found", F.coalesce("__found", of(5), of(6), one(7, F.col("told")))).drop("amounts", "told", "__code", "__period", "__slot")
+    whole = F.transform("__found.evidence", lambda e: e.withField("facts", F.coalesce(e["facts"], F.array(e["ref"]))))
+    names = lambda k: F.get(F.array(*[F.lit(p[k]) for p in PROBES]), F.coalesce(F.col("__found.probe"), F.lit(len(PROBES) - 1)))
+    rows = rows.withColumns({"evidence": whole, "cause": names(0), "source": names(1)})
     refs = F.array_join(F.filter(F.transform("evidence", lambda e: e["ref"]), lambda r: r != ""), ";")
-    return rows.withColumn("refs", F.coalesce(refs, F.lit(""))).drop("__p")
+    kept = [c for c in gaps.columns if c not in ("cause", "source", "evidence", "refs")]
+    return rows.withColumn("refs", F.coalesce(refs, F.lit(""))).select(*kept, "evidence", "cause", "source", "refs")
 
 
 def candidates(investigated: DataFrame) -> DataFrame:
@@ -175,7 +215,8 @@ def backlog(investigated: DataFrame) -> DataFrame:
 
 def accepted(closures: DataFrame, aliases: DataFrame) -> DataFrame:
     """closures with safe_to_apply: aliases must also be among (alias, code) of what may be accepted."""
-    known = aliases.select(F.trim("alias").alias("__alias"), _text("code").alias("__code")).distinct().withColumn("__ok", F.lit(True))
+    asked = closures.filter("fix = 'alias_promotion' AND safe")
+    known = _sieved(aliases, "code", _sieve(asked, "code")).select(F.trim("alias").alias("__alias"), _text("code").alias("__code")).distinct().withColumn("__ok", F.lit(True))
     rows = closures.join(known, (F.col("alias") == F.col("__alias")) & (_text("code") == F.col("__code")), "left").drop("__alias", "__code")
     refused = (F.col("fix") == "alias_promotion") & F.col("__ok").isNull()
     out = rows.withColumns({"safe_to_apply": F.col("safe") & ~refused, "reason": F.when(F.col("safe") & refused, "alias_candidate_not_safe_under_repo_rules").otherwise(F.col("reason"))})
@@ -193,7 +234,7 @@ def claims(closures: DataFrame, facts: DataFrame, raw: DataFrame) -> DataFrame:
     parts = [(facts, 0), (raw, 1)]
     held = reduce(DataFrame.unionByName, [df.filter(_text("code") == "").select(F.lit(k).alias("held"), F.col("fact_id").cast("string"), _text("period").alias("period"), F.col("value").cast("double").alias("value")) for df, k in parts])
     fits = ((F.col("period") == "") | (F.col("__p") == "") | (F.col("period") == F.col("__p"))) & (F.col("value").isNull() | F.col("__a").isNull() | F.coalesce(_near(F.col("value"), F.col("__a")), F.lit(False)))
-    return held.join(asked, "fact_id").filter(fits).groupBy("held", "fact_id").agg(F.min_by(F.struct("gap", "code", "name"), "gap").alias("b")).select("held", "fact_id", "b.*")
+    return _sieved(held, "fact_id", _sieve(asked, "fact_id")).join(asked, "fact_id").filter(fits).groupBy("held", "fact_id").agg(F.min_by(F.struct("gap", "code", "name"), "gap").alias("b")).select("held", "fact_id", "b.*")
 
 
 def applied(closures: DataFrame, claimed: DataFrame, facts: DataFrame) -> DataFrame:
@@ -234,36 +275,64 @@ def close_rounds(gaps: DataFrame, facts: DataFrame, raw: DataFrame, unplaced: Da
     open. The facts aren't rewritten: a round adds to three small tables (mapped, placed, moved),
     and facts are read with these. A fact is mapped once, placed once, and a gap moved once, so
     the rounds come to an end. A mapped fact's scope is that of the export, as gaps are.
+
+    Only what a round can have changed is asked again: gaps of a code that got or lost a fact, gaps
+    that moved, and gaps whose evidence was mapped. Closures of the others have no facts left to
+    claim. Facts of other codes than theirs aren't shuffled.
     """
     spark = gaps.sparkSession
-    texts = gaps.withColumns({"code": _text("code"), "period": _text("period")})
-    mapped = spark.createDataFrame([], "held int, fact_id string, code string")
-    placed = spark.createDataFrame([], "fact_id string")
-    moved = texts.select("gap", F.col("period").alias("target_period")).limit(0)
-    outcome, turn = None, 0
+    ids = lambda df: df.withColumn("fact_id", F.col("fact_id").cast("string"))
+    facts, raw, unplaced = ids(facts), ids(raw), ids(unplaced)
+    named = written(_named(gaps, issues), "named")
+    own = [c for c in gaps.columns if c not in ("period", "cause", "source", "refs", "evidence")]
+    asked = gaps.drop("cause", "source", "refs", "evidence").withColumns({"code": _text("code"), "period": _text("period"), "__moved": F.lit(False), "__round": F.lit(None).cast("int")})
+    # Gaps whose code is touched may have any facts; of the others no fact of their code counts.
+    touched = asked.select("code")
+    mapped, placed, standing, turn = spark.createDataFrame([], "held int, fact_id string, code string"), spark.createDataFrame([], "fact_id string"), None, 0
     while True:
-        seen = lambda df, k, m=mapped: df.withColumn("fact_id", F.col("fact_id").cast("string")).join(m.filter(F.col("held") == k).select("fact_id", F.col("code").alias("__c")), "fact_id", "left").withColumn("code", F.coalesce("__c", "code"))
-        now = seen(facts, 0).join(placed.withColumn("__ok", F.lit(True)), "fact_id", "left")
-        now = now.withColumns({"scope": F.when(F.col("__c").isNotNull(), EXPORTED[0]).otherwise(F.col("scope")), "unplaced": F.when(F.col("__c").isNotNull() | F.col("__ok"), "").otherwise(F.col("unplaced"))}).drop("__c", "__ok")
-        before = seen(raw, 1).drop("__c")
-        rest = unplaced.withColumn("fact_id", F.col("fact_id").cast("string")).join(placed, "fact_id", "left_anti")
-        at = texts.join(moved, "gap", "left").withColumn("__moved", F.col("target_period").isNotNull()).withColumn("period", F.coalesce("target_period", "period")).drop("target_period")
-        shown = now.filter(_text("scope").isin(*EXPORTED) & (_text("unplaced") == "") & F.col("value").isNotNull()).select(_text("code").alias("code"), _text("period").alias("period")).distinct().withColumn("__shown", F.lit(True))
-        held = written(at.join(shown, ["code", "period"], "left"), "gaps")
-        open_ = held.filter("__shown IS NULL").drop("__shown")
-        seen_rows = written(investigate(open_, now, before, rest, derived, review, issues), "investigated")
-        closures = accepted(candidates(seen_rows.filter("NOT __moved OR cause <> 'source_exists_but_period_misaligned'")), aliases)
+        sieve = _sieve(touched, "code")
+        now, before, rest = _as_mapped(facts, mapped, 0), _as_mapped(raw, mapped, 1), _sieved(unplaced, "code", sieve)
+        near = _sieved(now, "code", sieve)
+        if turn:
+            near = near.join(placed.withColumn("__ok", F.lit(True)), "fact_id", "left").withColumn("unplaced", F.when(F.col("__ok"), "").otherwise(F.col("unplaced"))).drop("__ok")
+            rest = rest.join(placed, "fact_id", "left_anti")
+        shown = near.filter(_text("scope").isin(*EXPORTED) & (_text("unplaced") == "") & F.col("value").isNotNull()).select(_text("code").alias("code"), _text("period").alias("period")).distinct().withColumn("__shown", F.lit(True))
+        at = asked.join(shown, ["code", "period"], "left")
+        seen = written(_probed(at, near, before, rest, _sieved(derived, "code", sieve), review, named), "investigated")
+        open_ = seen.filter("__shown IS NULL")
+        closures = accepted(candidates(open_.filter("NOT __moved OR cause <> 'source_exists_but_period_misaligned'")), aliases)
         takes = written(claims(closures, now, before), "claims")
-        done = written(applied(closures, takes, now).filter("applied"), "applied")
-        last = seen_rows.select("gap", "period", "cause", "source", "refs", F.lit("open").alias("state")).unionByName(held.filter("__shown").select("gap", "period", F.lit("").alias("cause"), F.lit("").alias("source"), F.lit("").alias("refs"), F.lit("closed").alias("state")))
-        first = last.withColumn("round", F.when(F.col("state") == "closed", turn))
-        if outcome is not None:
-            told = outcome.select("gap", F.col("round").alias("__r"))
-            first = last.join(told, "gap").withColumn("round", F.when(F.col("state") == "closed", F.coalesce("__r", F.lit(turn)))).drop("__r")
-        outcome = written(first, "gap_states")
+        done = written(applied(closures, takes, facts).filter("applied").select("gap", "code", "fix", "target_fact", "target_period"), "applied")
+        state = F.when(F.col("__shown"), "closed").otherwise("open")
+        told = {c: F.when(F.col("__shown"), "").otherwise(F.col(c)) for c in ("cause", "source", "refs")}
+        refs = F.when(F.col("__shown").isNull() & (F.col("source") == PROBES[5][1]), F.transform("evidence", lambda e: e["ref"]))
+        outcome = seen.select(*own, "period", *[c.alias(n) for n, c in told.items()], state.alias("state"), F.when(F.col("__shown"), F.coalesce("__round", F.lit(turn))).alias("__round"), "__moved", refs.alias("__refs"))
+        standing = written(outcome if standing is None else outcome.unionByName(standing.filter("NOT __again").drop("__again", "target_period")), "standing")
         if done.isEmpty():
-            return texts.drop("period").join(outcome, "gap")
+            return standing.withColumn("round", F.col("__round")).drop("__round", "__moved", "__refs")
         turn += 1
-        mapped = written(mapped.unionByName(takes.select("held", "fact_id", "code")), "mapped")
-        placed = written(placed.unionByName(done.filter("fix = 'placement_rule'").select(F.col("target_fact").alias("fact_id"))).distinct(), "placed")
-        moved = written(moved.unionByName(done.filter("fix = 'period_role_fix'").select("gap", "target_period")), "moved")
+        last = done.filter("fix = 'placement_rule'").select(F.col("target_fact").alias("fact_id")).distinct()
+        mapped, placed = written(mapped.unionByName(takes.select("held", "fact_id", "code")), "mapped"), written(placed.unionByName(last).distinct(), "placed")
+        # Codes that got or lost a fact: of claims, of placed facts, and the empty one where facts were mapped.
+        got = takes.select("code").unionByName(takes.select(F.lit("").alias("code")).limit(1)).unionByName(done.select("code"))
+        for df in (_as_mapped(facts, mapped, 0), unplaced):
+            got = got.unionByName(_sieved(df, "fact_id", _sieve(last, "fact_id")).join(last, "fact_id", "left_semi").select(_text("code").alias("code")))
+        moved = done.filter("fix = 'period_role_fix'").select("gap", "target_period")
+        touched = written(got.unionByName(standing.join(moved, "gap", "left_semi").select("code")).distinct(), "touched")
+        # Evidence of claims by refs: where a raw fact was mapped, the next one takes its place.
+        lost = takes.filter("held = 1").select(F.col("fact_id").alias("__ref")).distinct()
+        hit = standing.filter("__refs IS NOT NULL").select("gap", F.explode("__refs").alias("__ref")).join(lost, "__ref", "left_semi").select("gap").distinct().withColumn("__hit", F.lit(True))
+        flags = standing.join(touched.withColumn("__touched", F.lit(True)), "code", "left").join(moved, "gap", "left").join(hit, "gap", "left")
+        again = F.coalesce("__touched", F.lit(False)) | F.col("target_period").isNotNull() | F.coalesce("__hit", F.lit(False))
+        standing = written(flags.withColumn("__again", again).drop("__touched", "__hit"), "standing")
+        asked = standing.filter("__again").select(*own, F.coalesce("target_period", "period").alias("period"), (F.col("__moved") | F.col("target_period").isNotNull()).alias("__moved"), "__round")
+
+
+def _as_mapped(facts: DataFrame, mapped: DataFrame, held: int) -> DataFrame:
+    """facts with the codes that they were mapped to; only those without a code meet the claims."""
+    got = mapped.filter(F.col("held") == held).select("fact_id", F.col("code").alias("__c"))
+    free = facts.filter(_text("code") == "").join(got, "fact_id", "left")
+    changed = {"code": F.coalesce("__c", "code")}
+    if "scope" in facts.columns:
+        changed |= {"scope": F.when(F.col("__c").isNotNull(), EXPORTED[0]).otherwise(F.col("scope")), "unplaced": F.when(F.col("__c").isNotNull(), "").otherwise(F.col("unplaced"))}
+    return facts.filter(_text("code") != "").unionByName(free.withColumns(changed).drop("__c"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.operators import closure
+from factloom.operators.scratch import written
 from factloom.plans.facts import table
 
 QUERIES, ORACLES = {}, {}
@@ -98,7 +99,8 @@ FROM z""")
 def gap_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What would close each gap with a source, and what came of it where that is safe."""
     t = _inputs(spark, sf_dir)
-    found = closure.accepted(closure.candidates(_investigated(t)), t["accepted"])
+    # Claims and their sieves read what was found as well.
+    found = closure.accepted(written(closure.candidates(_investigated(t)), "candidates"), t["accepted"])
     done = closure.applied(found, closure.claims(found, t["facts"], t["raw"]), t["facts"])
     return done.select("gap", "cause", "fix", "safe", "safe_to_apply", "applied", "action", "reason", "alias", "target_fact", "target_period", "result")
 
