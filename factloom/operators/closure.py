@@ -240,7 +240,8 @@ def claims(closures: DataFrame, facts: DataFrame, raw: DataFrame) -> DataFrame:
 def applied(closures: DataFrame, claimed: DataFrame, facts: DataFrame) -> DataFrame:
     """closures with applied and result, once their claims, preferences and periods are in force."""
     changed = claimed.groupBy("gap").agg(F.count(F.lit(1)).alias("__n"))
-    there = facts.select(F.col("fact_id").cast("string").alias("target_fact"), F.lit(True).alias("__there")).distinct()
+    asked = _sieve(closures.filter("target_fact IS NOT NULL"), "target_fact")
+    there = _sieved(facts, "fact_id", asked).select(F.col("fact_id").cast("string").alias("target_fact"), F.lit(True).alias("__there")).distinct()
     rows = closures.join(changed, "gap", "left").join(there, "target_fact", "left")
     told = _text("code") != ""
     done = F.when(F.col("fix") == "alias_promotion", F.col("__n") > 0).when(F.col("fix") == "placement_rule", F.col("__there") & told & (_text("period") != "")).otherwise(told & (_text("target_period") != ""))

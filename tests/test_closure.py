@@ -232,3 +232,11 @@ def test_a_gap_stays_one_row_that_meets_few_rows_a_key(spark):
     # Gaps aren't told apart by number anywhere, so they aren't collected or joined by it.
     plan = seen._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode(array((s" not in plan and "Join LeftOuter, (gap" not in plan
+
+
+def test_later_rounds_ask_only_what_changed(spark, monkeypatch):
+    asked, probed = [], closure._probed
+    monkeypatch.setattr(closure, "_probed", lambda gaps, *rest: asked.append(gaps.count()) or probed(gaps, *rest))
+    d = tables(spark, drawn(4))
+    closure.close_rounds(*[d[n] for n in SOURCES], d["aliases"])
+    assert asked[0] == 40 and len(asked) > 1 and max(asked[1:]) < 40
