@@ -8,6 +8,7 @@ however many rules there are.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,9 +69,10 @@ def _context_rules(rules: StatementRules) -> list[tuple]:
     return [*made, ("note_title", rules.note_titles, 1, "note", NOTE_TITLE, "note_title", 1000), ("note_detail_marker", rules.note_markers, 1, "note", DETAIL, "note_detail_marker", 5000)]
 
 
-def _signature_rules(rules: StatementRules) -> list[tuple]:
-    each = [(kind, words) for kind, lists in rules.signatures.items() for words in lists if words]
-    return [(f"signature:{k}", words, None, kind, SIGNATURE, f"header_signature:{kind}", 2000 + k) for k, (kind, words) in enumerate(each)]
+def _evidence(kind: str, weight: Column | float, reason: Column | str, place: int) -> Column:
+    """One piece of evidence, as keyword_hits() gives it."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(F.lit(place).alias("place"), lit(reason).alias("reason"), F.lit(kind).alias("type"), lit(weight).cast("double").alias("weight"))
 
 
 def classified(facts: DataFrame, pages: DataFrame, table: list[str], rules: StatementRules) -> DataFrame:
@@ -81,39 +83,50 @@ def classified(facts: DataFrame, pages: DataFrame, table: list[str], rules: Stat
     it has the least score and margin; else the type that most facts already have, if any
     (of several the first by ordinal); else unknown. reason joins the first six pieces of evidence.
     """
-    spark = facts.sparkSession
     page = ["doc_id", "page_no"]
     label = clean_text(F.col("label"))
     texts = pages.select(*page, clean_text(F.col("text")).alias("text"))
-    by_page = keyword_hits(texts, page, "text", _context_rules(rules))
-    # One pass over the facts: headers, labels, hints.
-    numbered = [(kind, F.exists(F.array(*map(F.lit, words)), lambda w: label.startswith(w))) for kind, words in rules.numbering.items() if words]
+    hits = keyword_hits(texts, page, "text", _context_rules(rules)).groupBy(*page).agg(F.collect_list(F.struct("place", "reason", "type", "weight")).alias("__of_page"))
+    seen = texts.select(*page).join(hits, page, "left").withColumn("early", (F.col("page_no") > 0) & (F.col("page_no") <= rules.early))
+    # One pass over the facts: headers, labels and numbering, first by the type that facts have, then by table.
+    numbered = [(k, kind, F.exists(F.array(*map(F.lit, words)), lambda w: label.startswith(w))) for k, (kind, words) in enumerate((kind, words) for kind, words in rules.numbering.items() if words)]
+    labelled = [(k, kind, label.isin(*sorted(set(words)))) for k, (kind, words) in enumerate(rules.labels.items()) if words]
     heads = F.array_join(F.transform("header_path", clean_text), " ")
-    groups = facts.groupBy(*table).agg(F.array_join(F.array_sort(F.collect_set(heads)), " ").alias("headers"), *[F.bool_or(hit).alias(f"__{kind}") for kind, hit in numbered])
-    evidence = [groups.select(*table).join(by_page, page)]
-    evidence.append(keyword_hits(groups, table, "headers", _signature_rules(rules)))
-    patterns = [(w, kind, k) for k, (kind, words) in enumerate(rules.labels.items()) for w in sorted(set(words))]
-    if patterns:
-        known = spark.createDataFrame(patterns, "__label string, type string, k int")
-        matched = facts.select(*table, label.alias("__label")).join(F.broadcast(known), "__label").groupBy(*table, "type", "k").agg(F.count(F.lit(1)).alias("n"))
-        worth = F.least(F.lit(float(LABELS_MOST)), F.col("n") * float(LABEL))
-        evidence.append(matched.select(*table, F.concat(F.lit("labels:"), "type").alias("rule"), "type", worth.alias("weight"), F.concat(F.lit("row_pattern:"), "type", F.lit(":"), F.col("n").cast("string")).alias("reason"), (3000 + F.col("k")).alias("place")))
-    for k, (kind, _) in enumerate(numbered):
-        evidence.append(groups.filter(f"__{kind}").select(*table, F.lit(f"numbering:{kind}").alias("rule"), F.lit(kind).alias("type"), F.lit(float(NUMBERING)).alias("weight"), F.lit(f"{kind}_numbering").alias("reason"), F.lit(4000 + k).alias("place")))
-    scored = _combined(evidence, table)
-    early = groups.select(*table).join(texts.select(*page).withColumn("early", (F.col("page_no") > 0) & (F.col("page_no") <= rules.early)), page, "left").withColumn("early", F.coalesce("early", F.lit(False)))
-    typed = F.coalesce("statement_type", F.lit("unknown"))
-    hints = facts.filter(~typed.isin("", "unknown")).groupBy(*table, F.col("statement_type").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first"))
-    hint = hints.groupBy(*table).agg(F.min_by(F.struct("type", "n"), F.struct(-F.col("n"), "first")).alias("hint"))
+    typed = F.when(~F.coalesce("statement_type", F.lit("unknown")).isin("", "unknown"), F.col("statement_type"))
+    by_type = facts.groupBy(*table, typed.alias("__type")).agg(
+        F.collect_set(heads).alias("__heads"), F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first"),
+        *[F.bool_or(hit).alias(f"__numbered_{k}") for k, _, hit in numbered], *[F.count_if(hit).alias(f"__labels_{k}") for k, _, hit in labelled],
+    )
+    told = F.when(F.col("__type").isNotNull(), F.struct(F.col("__type").alias("type"), "n"))
+    groups = by_type.groupBy(*table).agg(
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__heads")))), " ").alias("headers"),
+        F.min_by(told, F.when(F.col("__type").isNotNull(), F.struct(-F.col("n"), "first"))).alias("hint"),
+        *[F.bool_or(f"__numbered_{k}").alias(f"__numbered_{k}") for k, *_ in numbered], *[F.sum(f"__labels_{k}").alias(f"__labels_{k}") for k, *_ in labelled],
+    )
+    found = []
+    for k, (kind, words) in enumerate((kind, words) for kind, lists in rules.signatures.items() for words in lists if words):
+        if all(words):
+            found.append(F.when(reduce(Column.__and__, [F.contains(F.col("headers"), F.lit(w)) for w in sorted(set(words))]), _evidence(kind, float(SIGNATURE), f"header_signature:{kind}", 2000 + k)))
+    for k, kind, _ in labelled:
+        n = F.col(f"__labels_{k}")
+        found.append(F.when(n > 0, _evidence(kind, F.least(F.lit(float(LABELS_MOST)), n * float(LABEL)), F.concat(F.lit(f"row_pattern:{kind}:"), n.cast("string")), 3000 + k)))
+    for k, kind, _ in numbered:
+        found.append(F.when(F.col(f"__numbered_{k}"), _evidence(kind, float(NUMBERING), f"{kind}_numbering", 4000 + k)))
+    none = F.array().cast("array<struct<place: int, reason: string, type: string, weight: double>>")
+    own = F.filter(F.array(*found), lambda e: e.isNotNull()) if found else none
+    # A table without a whole key has neither evidence nor a hint.
+    keyed = reduce(Column.__and__, [F.col(k).isNotNull() for k in table])
+    rows = groups.join(seen, page, "left").withColumn("early", F.coalesce("early", F.lit(False)))
+    rows = rows.withColumn("__ev", F.when(keyed, F.array_sort(F.concat(own, F.coalesce("__of_page", none)))).otherwise(none)).withColumn("hint", F.when(keyed, F.col("hint")))
+    rows = rows.select(*table, "early", "hint", "__ev").withColumn("reasons", F.transform("__ev", lambda e: e["reason"]))
     # Every table has a score for every type, 0 without evidence.
     order = F.array(*map(F.lit, TYPES))
     known = F.create_map(*[x for k, t in enumerate(TYPES) for x in (F.lit(t), F.lit(k))])
-    rows = early.join(scored, table, "left").join(hint, table, "left")
     given = F.col("hint.type")
     types = F.when(given.isNotNull() & ~F.array_contains(order, given), F.array_append(order, given)).otherwise(order)
 
     def worth(t: Column) -> Column:
-        own = F.coalesce(F.element_at("scores", t), F.lit(0.0))
+        own = F.aggregate(F.filter("__ev", lambda e: e["type"] == t), F.lit(0.0), lambda total, e: total + e["weight"])
         bonus = F.when(F.col("early") & (own > 0) & t.isin(*MAIN), float(EARLY)).otherwise(0.0)
         hinted = F.when(t == given, F.least(F.lit(float(HINT_MOST)), F.col("hint.n") * float(HINT))).otherwise(0.0)
         return own + bonus + hinted
@@ -136,16 +149,6 @@ def classified(facts: DataFrame, pages: DataFrame, table: list[str], rules: Stat
     )
 
 
-def _combined(evidence: list[DataFrame], table: list[str]) -> DataFrame:
-    """(table, scores by type, reasons in the order of rules): as many rows in a group as rules at most."""
-    every = evidence[0].select(*table, "rule", "type", "weight", "reason", "place")
-    for more in evidence[1:]:
-        every = every.unionByName(more.select(*every.columns))
-    by_type = every.groupBy(*table, "type").agg(F.sum("weight").alias("weight"), F.collect_list(F.struct("place", "reason")).alias("why"))
-    whole = by_type.groupBy(*table).agg(F.map_from_entries(F.collect_list(F.struct("type", "weight"))).alias("scores"), F.array_sort(F.flatten(F.collect_list("why"))).alias("why"))
-    return whole.select(*table, "scores", F.transform("why", lambda w: w["reason"]).alias("reasons"))
-
-
 def specialized(facts: DataFrame, groups: DataFrame, table: list[str]) -> DataFrame:
     """facts with the type of their table, what it was before, and why."""
     found = groups.select(*table, F.col("statement_type").alias("__type"), F.col("score").alias("type_score"), F.col("source").alias("type_source"), F.col("reason").alias("type_reason"))

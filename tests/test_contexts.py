@@ -198,3 +198,17 @@ def test_types_are_those_of_a_plain_version(spark):
         assert {k: (got.get(k), w) for k, w in want.items() if got.get(k) != w} == {} and len(got) == len(want)
     whole = st.specialized(df, st.classified(df, pages, table, RULES), table)
     assert whole.count() == len(facts) and whole.filter("type_before IS NULL OR statement_type IS NULL").count() == 0
+
+
+def test_types_of_statements_read_the_facts_once(spark, tmp_path):
+    kind = "doc_id int, page_no int, label string, header_path array<string>, statement_type string, ordinal long"
+    spark.createDataFrame([(1, 1, "cash", ["item", "end"], "note", 2), (1, 1, "goods", ["item"], "cash_flow", 1), (None, 1, "cash", ["end"], "note", 3)], kind).write.parquet(str(tmp_path / "facts"))
+    rules = st.StatementRules(signatures={"balance_sheet": [["item", "end"]]}, labels={"income_statement": ["cash"]}, numbering={"cash_flow": ["g"]}, least=10, margin=4)
+    pages = spark.createDataFrame([(1, 1, "x")], "doc_id int, page_no int, text string")
+    found = st.classified(spark.read.parquet(str(tmp_path / "facts")), pages, ["doc_id", "page_no"], rules)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    got = {r.doc_id: (r.statement_type, r.score, r.second, r.reason) for r in found.collect()}
+    assert got == {
+        1: ("balance_sheet", 20.0, 11.0, "header_signature:balance_sheet;row_pattern:income_statement:1;cash_flow_numbering;early_page_bonus;existing_type_hint:cash_flow"),
+        None: ("unknown", 0.0, 0.0, "ambiguous_scores"),
+    }
