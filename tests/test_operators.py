@@ -110,3 +110,10 @@ def test_deltas_and_shares(spark):
     assert got == {("x", 1.5, 4.0, 2.5), ("gone", 2.0, 0.0, -2.0), ("none", 0.0, 0.0, 0.0), ("new", 0.0, 3.0, 3.0)}
     rows = spark.createDataFrame([(1, True), (1, None), (1, False), (None, True)], "page int, box boolean")
     assert {tuple(r) for r in summary.share(rows, ["page"], rows["box"]).collect()} == {(1, 0.333333), (None, 1.0)}
+
+
+def test_conflict_groups_send_each_row_once(spark):
+    rows = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 3.0), ("a", 2, None), ("b", 1, 1.0), ("c", None, 4.0), ("c", 1, 4.0), ("d", 1, 5.0), ("d", 2, 5.0)], "k string, provider int, value double")
+    found = reconcile.conflict_groups(rows, ["k"])
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.k: (r.n_providers, r.n_values, r.comparison) for r in found.collect()} == {"a": (2, 2, "conflict"), "d": (2, 1, "equal")}
