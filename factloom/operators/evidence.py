@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.refs import cell_ref
@@ -25,38 +25,38 @@ def _sides(found: Column) -> dict[str, Column]:
     return {name: pick[how](F.transform(found, lambda p: p[axis])) for name, (how, axis) in ((n, s) for n, s in SIDES.items())}
 
 
-def _union(rows: DataFrame, key: list[str]) -> DataFrame:
-    return rows.groupBy(*key).agg(*[how(name).alias(name) for name, (how, _) in SIDES.items()])
-
-
-def _whole(*sides: Column) -> Column:
-    """A box cut to whole numbers towards zero; empty where nothing has points."""
-    return F.when(sides[0].isNotNull(), F.array(*[s.cast("long") for s in sides])).otherwise(F.array().cast("array<long>"))
+def _whole(names: list[str]) -> Column:
+    """A box of whole numbers; empty where nothing has points."""
+    return F.when(F.col(names[0]).isNotNull(), F.array(*names)).otherwise(F.array().cast("array<long>"))
 
 
 def boxes(reviews: DataFrame, cells: DataFrame) -> DataFrame:
-    """reviews with status (bbox_only or no_bbox) and cell_bbox, row_bbox, table_bbox as [left, top, right, bottom].
+    """reviews with status (bbox_only or no_bbox) and cell_bbox, row_bbox, table_bbox as [left, top, right, bottom], cut to whole numbers towards zero.
 
     reviews: meta_json holds source_cell_ref, which names a cell; broken or null JSON names none.
-    cells: position, the parts of a reference, bbox_json; of cells with one reference the last
-    counts. Rows are united from cells and tables from rows, so a table of any size costs one
-    partial aggregation, and no key is held in one group.
+    cells: position, the parts of a reference, bbox_json; of cells with one reference the last by
+    position, then bbox_json counts. Cells are shuffled once by table, narrow, and once by reference
+    with their boxes. A table's cells meet in one task, in one sort that serves rows, tables and
+    the choice among cells of one place, and windows spill what is too long for memory.
     """
-    held = cells.withColumns(_sides(points(F.col("bbox_json"))))
-    rows = _union(held, ROW)
-    tables = _union(rows, TABLE)
-    named = held.withColumn("__ref", cell_ref(*[F.col(c) for c in (*TABLE, "row_start", "row_end", "col_start", "col_end")]))
-    asked = reviews.withColumn("__ref", F.coalesce(F.get_json_object("meta_json", "$.source_cell_ref"), F.lit("")))
-    # Only cells that a review item names are ordered by position.
-    wanted = asked.select("__ref").filter("__ref <> ''").distinct()
-    keep = F.struct(*ROW, "bbox_json", *SIDES)
-    own = named.join(wanted, "__ref", "left_semi").groupBy("__ref").agg(F.max_by(keep, F.struct("position", "bbox_json")).alias("c")).filter("c.bbox_json <> ''")
-    of = lambda df, key, name: df.select(*[F.col(k).alias(f"__{name}_{k}") for k in key], F.struct(*SIDES).alias(name))
-    same = lambda key, name: [F.col(f"c.{k}").eqNullSafe(F.col(f"__{name}_{k}")) for k in key]
-    both = own.join(of(rows, ROW, "r"), same(ROW, "r"), "left").join(of(tables, TABLE, "t"), same(TABLE, "t"), "left")
-    box = lambda s: _whole(*[F.col(f"{s}.{n}") for n in SIDES])
-    found = both.select("__ref", box("c").alias("cell_bbox"), box("r").alias("row_bbox"), box("t").alias("table_bbox"), F.lit("bbox_only").alias("status"))
-    return asked.drop("cell_bbox", "row_bbox", "table_bbox", "status").join(found, "__ref", "left").withColumn("status", F.coalesce("status", F.lit("no_bbox"))).drop("__ref")
+    place, order = [*ROW, "row_end", "col_start", "col_end"], ["position", "bbox_json"]
+    held = cells.select(*place, *order).repartition(*TABLE).sortWithinPartitions(*place, *order)
+    # The points are a step of their own, so that JSON is read once.
+    held = held.withColumn("__points", points(F.col("bbox_json")))
+    held = held.withColumns(_sides(F.col("__points"))).drop("__points")
+    last = F.lead(F.lit(1)).over(Window.partitionBy(*place).orderBy(*order)).isNull()
+    names = {k: [f"__{k}_{n}" for n in SIDES] for k in ("cell", "row", "table")}
+    made = {"__last": last} | dict(zip(names["cell"], map(F.col, SIDES)))
+    for k, key in (("row", ROW), ("table", TABLE)):
+        made |= {name: how(n).over(Window.partitionBy(*key)) for name, (n, (how, _)) in zip(names[k], SIDES.items())}
+    sides = [n for k in names.values() for n in k]
+    ref = cell_ref(*map(F.col, place))
+    own = held.withColumns(made).filter("__last").select(ref.alias("__ref"), "position", F.coalesce(F.col("bbox_json") != "", F.lit(False)).alias("__filled"), *[F.col(n).cast("long").alias(n) for n in sides])
+    # Names with colons can give two places one reference.
+    alone = F.lead(F.lit(1)).over(Window.partitionBy("__ref").orderBy("position", "__filled", *sides)).isNull()
+    found = own.withColumn("__last", alone).filter("__last AND __filled").select("__ref", *[_whole(names[k]).alias(f"{k}_bbox") for k in names], F.lit("bbox_only").alias("status"))
+    asked = reviews.drop("cell_bbox", "row_bbox", "table_bbox", "status").withColumn("__ref", F.coalesce(F.get_json_object("meta_json", "$.source_cell_ref"), F.lit("")))
+    return asked.join(found, "__ref", "left").withColumn("status", F.coalesce("status", F.lit("no_bbox"))).drop("__ref")
 
 
 def box_coverage(cells: DataFrame, by: list[str]) -> DataFrame:
