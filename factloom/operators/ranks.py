@@ -6,6 +6,8 @@ so that no order depends on where rows lie.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,3 +92,27 @@ def among_exports(c: dict[str, Column]) -> list[Column]:
 def among_children(c: dict[str, Column]) -> list[Column]:
     """For formulas: not derived, accepted, observed, a code, the id. Suppressed facts and those without a number are left out by the caller."""
     return [_yes(~c["source_kind"].eqNullSafe(F.lit(DERIVED))), _yes(c["decision"].isin(*ACCEPTED)), _yes(c["status"] == "observed"), _yes(_filled(c["code"])), c["fact_id"]]
+
+
+#: Bits of the ranks before the id in each order, and the least value of each.
+_QUALITY, _DATE, _STATUS, _SOURCE, _YES, _PATH, _PLACE = (3, -5), (2, -3), (3, -5), (2, -2), (1, 0), (20, 1 - 2**20), (24, 0)
+SPANS = {
+    among_providers: [_QUALITY, _DATE, _STATUS, _SOURCE, _YES, _PATH, _PLACE],
+    among_duplicates: [_DATE, _YES, _YES, _STATUS, _YES, _YES, _PATH, _YES, _PLACE, _YES],
+    among_exports: [_YES] * 7 + [_PATH, _YES],
+    among_children: [_YES] * 4,
+}
+
+
+def packed(order: Callable[[dict[str, Column]], list[Column]], c: dict[str, Column]) -> Column:
+    """The ranks of an order but the id as one whole number that sorts as they do, so that rows stay narrow where they are shuffled.
+
+    Paths are shorter than 2^20 and providers' places from 0 to 2^24 - 1; others are an error. A
+    place that is null comes first, as in the order itself.
+    """
+    out = F.lit(0).cast("long")
+    for rank, (bits, low) in zip(order(c)[:-1], SPANS[order], strict=True):
+        at = F.coalesce(rank.cast("long") - low + 1, F.lit(0))
+        fits = at.between(0, 2**bits)
+        out = out * (2**bits + 1) + F.when(fits, at).otherwise(F.raise_error(F.lit("a rank is out of its span")).cast("long"))
+    return out

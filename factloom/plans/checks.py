@@ -202,8 +202,9 @@ def ranked_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(F.col("n_path") > 0, F.array_repeat(F.lit("h"), F.col("n_path"))).otherwise(F.array().cast("array<string>"))
     c |= {"noisy": whatif.is_noisy(F.col("issue_flags")), "path": path, "provider_place": F.col("provider"), "comparison": F.col("stance"), "statement_type": F.col("kind")}
     orders = {"provider_choice": ranks.among_providers, "duplicate_choice": ranks.among_duplicates, "export_choice": ranks.among_exports, "child_choice": ranks.among_children}
-    firsts = [F.min_by("fact_id", F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order(c))])).alias(name) for name, order in orders.items()]
-    return rows.groupBy(*KEY).agg(*firsts)
+    # Rows are dealt and sorted narrow: an aggregate of wide orders would sort, and spill, on both sides of the shuffle.
+    dealt = rows.select(*KEY, "fact_id", *[ranks.packed(order, c).alias(f"by_{name}") for name, order in orders.items()]).repartition(*KEY).sortWithinPartitions(*KEY)
+    return dealt.groupBy(*KEY).agg(*[F.min_by("fact_id", F.struct(f"by_{name}", "fact_id")).alias(name) for name in orders])
 
 
 LATE_SQL = f"""{STATED}, facts AS (SELECT *, 'p' AS period_key FROM stated),

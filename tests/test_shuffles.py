@@ -1,9 +1,13 @@
 """What grows with the input: shuffles, sorts before them, and how often a step is computed."""
 
+import itertools
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from factloom import plans
-from factloom.operators import evidence
+from factloom.operators import evidence, ranks
 
 SMALL = "/root/testdata/sf0.001"
 CELL = "position long, doc_id string, page_no int, provider string, table_id string, row_start int, row_end int, col_start int, col_end int, bbox_json string"
@@ -29,3 +33,22 @@ def test_one_reference_of_two_places_takes_the_last_cell(spark):
     out = evidence.boxes(spark.createDataFrame(asked, "id string, meta_json string"), spark.createDataFrame(cells, CELL))
     got = {r.id: (r.status, r.cell_bbox, r.table_bbox) for r in out.collect()}
     assert got == {"x": ("bbox_only", [2, 2, 2, 2], [2, 2, 2, 2]), "y": ("no_bbox", None, None)}
+
+
+RANKED = "value double, noisy boolean, raw string, status string, date string, source_kind string, code string, n int, provider_place int, comparison string, decision string, role string, table_key string, statement_type string, fact_id long"
+
+
+@pytest.mark.parametrize("order", list(ranks.SPANS), ids=lambda o: o.__name__)
+def test_packed_ranks_sort_as_the_order_does(spark, order):
+    some = itertools.product([None, 1.0], [True, None], ["", "x"], ["observed", "review", None, "repaired"], ["2022-12-31", "unknown_date", "1月"], ["json", "", None, "xlsx_fallback", "derived_formula"])
+    rest = itertools.cycle(itertools.product(["c", "", None], [0, 2, 1_000_000], [0, 16_000_000, None], ["accepted", None], ["accepted", "", "accepted_with_rule_support"], ["unknown", "x"], ["", "k"], ["unknown", "note"]))
+    rows = [(*a, *b, i) for i, (a, b) in enumerate(zip(some, itertools.islice(rest, 0, None, 7)))]
+    df = spark.createDataFrame(rows, RANKED)
+    c = {n: F.col(n) for n in df.columns} | {"path": F.when(F.col("n") < 9, F.sequence(F.lit(0), F.col("n")))}
+    own = df.select("fact_id", ranks.packed(order, c).alias("p"), F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order(c))]).alias("o")).collect()
+    assert [r.fact_id for r in sorted(own, key=lambda r: (r.p, r.fact_id))] == [r.fact_id for r in sorted(own, key=lambda r: tuple((x is not None, x or 0) for x in r.o))]
+
+
+def test_choices_sort_nothing_before_their_one_shuffle(spark):
+    df = plans.QUERIES["ranked_choices"](spark, SMALL)
+    assert shuffles(df) == 1 and "Sort" not in plan(df).split("Exchange hashpartitioning")[1]
