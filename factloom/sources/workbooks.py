@@ -150,12 +150,16 @@ def cells(files: DataFrame, sheets: str = "all") -> DataFrame:
 
     sheets: all, first, or active; others aren't parsed. text is null for cells without value. The
     first cell of a merged range tells its last row and column, and `covered` marks the others. A file
-    that is no workbook, and null content, give no rows.
+    that is no workbook, and null content, give no rows. What finds tables and charts in the cells reads
+    them several times, so a caller writes them once before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in CELLS.split(", ")]
         kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
+        batch_of = lambda part: pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*part), kinds)], names=names)
+        # Small books share a batch.
+        held: list[tuple] = []
         for batch in batches:
             for path, content in zip(*[batch.column(k).to_pylist() for k in ("path", "content")]):
                 if content is None or not zipfile.is_zipfile(io.BytesIO(content)):
@@ -182,9 +186,12 @@ def cells(files: DataFrame, sheets: str = "all") -> DataFrame:
                         out.append((path, sheet, number, number == book.active, row, col, None if covered else text, *last, covered))
                     # Merged ranges whose first cell isn't in the file.
                     out += [(path, sheet, number, number == book.active, r, c, None, r2, c2, False) for (r, c), (r2, c2) in ends.items()]
-                    for k in range(0, len(out), BATCH):
-                        columns = list(zip(*out[k : k + BATCH]))
-                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=names)
+                    held += out
+                    while len(held) >= BATCH:
+                        yield batch_of(held[:BATCH])
+                        del held[:BATCH]
+        if held:
+            yield batch_of(held)
 
     return files.select("path", "content").mapInArrow(run, CELLS)
 
@@ -307,19 +314,23 @@ def books(rows: DataFrame, book: str = "book") -> DataFrame:
     A row is a cell; number counts where it isn't null. A workbook is made in one task, as the
     format is one file; a range of more than one place is merged.
     """
-    import pandas as pd
 
-    def made(own: pd.DataFrame) -> pd.DataFrame:
-        sheets = []
-        for _, part in own.groupby("sheet_no", sort=True):
-            part = part.sort_values(["row", "col"])
-            values = [n if n == n and n is not None else t for n, t in zip(part["number"], part["text"])]
+    def made(own: pa.Table) -> pa.Table:
+        sheets: dict[int, list] = {}
+        for cell in own.to_pylist():
+            sheets.setdefault(cell["sheet_no"], []).append(cell)
+        parts = []
+        for _, part in sorted(sheets.items()):
+            part.sort(key=lambda c: (c["row"], c["col"]))
+            values = [c["text"] if c["number"] is None or c["number"] != c["number"] else c["number"] for c in part]
             values = [int(v) if isinstance(v, float) and v.is_integer() else v for v in values]
-            wide = [(r, c, r2, c2) for r, c, r2, c2 in zip(part["row"], part["col"], part["row_end"], part["col_end"]) if (r, c) != (r2, c2)]
-            sheets.append((part["sheet"].iloc[0], list(zip(part["row"], part["col"], values)), wide))
-        return pd.DataFrame({"path": [str(own[book].iloc[0])], "content": [workbook(sheets)]})
+            wide = [(c["row"], c["col"], c["row_end"], c["col_end"]) for c in part if (c["row"], c["col"]) != (c["row_end"], c["col_end"])]
+            parts.append((part[0]["sheet"], [(c["row"], c["col"], v) for c, v in zip(part, values)], wide))
+        return pa.table({"path": [str(own.column(book)[0].as_py())], "content": pa.array([workbook(parts)], pa.binary())})
 
-    return rows.groupBy(book).applyInPandas(made, "path string, content binary")
+    # Cells are few bytes and much work, so their partitions aren't put together by size.
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(count, book).groupBy(book).applyInArrow(made, "path string, content binary")
 
 
 def codes(label: Column) -> Column:

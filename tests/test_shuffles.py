@@ -52,3 +52,8 @@ def test_packed_ranks_sort_as_the_order_does(spark, order):
 def test_choices_sort_nothing_before_their_one_shuffle(spark):
     df = plans.QUERIES["ranked_choices"](spark, SMALL)
     assert shuffles(df) == 1 and "Sort" not in plan(df).split("Exchange hashpartitioning")[1]
+
+
+def test_workbooks_are_made_and_parsed_once(spark):
+    text = plan(plans.QUERIES["workbook_tables"](spark, SMALL))
+    assert "Arrow" not in text and "Pandas" not in text
