@@ -55,29 +55,35 @@ def keyed(rows: DataFrame, table: list[str]) -> DataFrame:
     none), value_cols (array) and statement_type. A block begins at a header row, the first one at
     row 0. Its key has its title, the label of one of the two rows above the header unless a header
     comes before it, the header's first tokens, and the labels of the rows below it. The rows of a
-    table are ordered in one window; a block gives a few strings.
+    table are shuffled and ordered once, for windows of one order. Rows whose table is null are left out.
     """
     texts = F.transform("texts", clean_text)
-    df = rows.withColumn("__texts", texts).withColumn("__head", is_header(F.col("__texts")))
+    df = rows.dropna(subset=table).withColumn("__texts", texts).withColumn("__head", is_header(F.col("__texts")))
     df = df.withColumn("label", row_label(F.col("__texts"), F.col("label_col"), F.col("value_cols"), F.col("line_col"))).withColumn("__token", semantic_token(F.col("label")))
     order = Window.partitionBy(*table).orderBy("row")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    one, two = (F.struct("__head", "__token"),) * 2
-    df = df.withColumns({"header_row": F.coalesce(F.last(F.when(F.col("__head"), F.col("row")), ignorenulls=True).over(upto), F.lit(0)), "__one": F.lag(one, 1).over(order), "__two": F.lag(two, 2).over(order)})
+    seen = F.struct("row", "__head", "__token")
+    ahead = range(1, max(BLOCK_ROWS, TABLE_ROWS) + 1)
+    near = {"__one": F.lag(seen, 1).over(order), "__two": F.lag(seen, 2).over(order)} | {f"__next{k}": F.lead(seen, k).over(order) for k in ahead}
+    df = df.withColumns({"header_row": F.coalesce(F.last(F.when(F.col("__head"), F.col("row")), ignorenulls=True).over(upto), F.lit(0)), **near})
     above, further = F.col("__one"), F.col("__two")
     second = F.when(further.isNotNull() & ~further["__head"], further["__token"]).otherwise("")
     title = F.when(above.isNull() | above["__head"], "").when(above["__token"] != "", above["__token"]).otherwise(second)
     tokens = F.filter(F.transform("__texts", semantic_token), lambda t: t != "")
-    at, since = F.col("row") == F.col("header_row"), F.col("row") - F.col("header_row")
-    below = F.when((since >= 1) & (since <= BLOCK_ROWS) & (F.col("__token") != ""), F.struct("row", "__token"))
-    blocks = df.groupBy(*table, "header_row").agg(F.first(F.when(at, tokens), ignorenulls=True).alias("__h"), F.first(F.when(at & (F.col("row") > 0), title), ignorenulls=True).alias("__t"), F.array_sort(F.collect_list(below)).alias("__r"))
-    heads, labels = _signature(F.col("__h"), F.transform("__r", lambda x: x["__token"]))
-    named = F.when(F.coalesce("__t", F.lit("")) != "", F.concat(F.lit("|t:"), "__t")).otherwise("")
-    blocks = blocks.select(*table, "header_row", F.concat(named, F.lit("|h:"), heads, F.lit("|r:"), labels).alias("__block"))
-    first = F.when((F.col("row") >= 1) & (F.col("row") <= TABLE_ROWS) & (F.col("__token") != ""), F.struct("row", "__token"))
-    whole = df.groupBy(*table).agg(F.first(F.when(F.col("row") == 0, tokens), ignorenulls=True).alias("__h"), F.array_sort(F.collect_list(first)).alias("__r"))
-    heads, labels = _signature(F.col("__h"), F.transform("__r", lambda x: x["__token"]))
-    whole = whole.select(*table, F.concat(F.lit("|h:"), heads, F.lit("|r:"), labels).alias("__whole"))
-    made = df.join(blocks, [*table, "header_row"]).join(whole, table)
-    key = lambda c: F.concat("statement_type", F.col(c))
-    return made.withColumns({"row_key": key("__block"), "table_key": key("__whole")}).drop("__texts", "__head", "__token", "__one", "__two", "__block", "__whole")
+    # Rows ahead are enough for a key; a block's and a table's first row make it, and the rows below take it over.
+    whole, block, same = [], [], F.lit(True)
+    for c in (seen, *[F.col(f"__next{k}") for k in ahead]):
+        if whole:
+            same = same & ~F.coalesce(c["__head"], F.lit(True))
+        filled, since = c["__token"] != "", c["row"] - F.col("header_row")
+        whole.append(F.when(filled & c["row"].between(1, TABLE_ROWS), c["__token"]))
+        block.append(F.when(same & filled & since.between(1, BLOCK_ROWS), c["__token"]))
+    at = F.col("row") == F.col("header_row")
+    heads, labels = _signature(F.when(at, tokens), F.array_compact(F.array(*block)))
+    named = F.when(at & (F.col("row") > 0) & (title != ""), F.concat(F.lit("|t:"), title)).otherwise("")
+    block_key = F.when(above.isNull() | F.col("__head"), F.concat(named, F.lit("|h:"), heads, F.lit("|r:"), labels))
+    heads, labels = _signature(F.when(F.col("row") == 0, tokens), F.array_compact(F.array(*whole)))
+    whole_key = F.when(above.isNull(), F.concat(F.lit("|h:"), heads, F.lit("|r:"), labels))
+    made = df.withColumns({"__block": block_key, "__whole": whole_key}).drop("__texts", "__head", "__token", *near)
+    key = lambda c: F.concat("statement_type", F.last(c, ignorenulls=True).over(upto))
+    return made.withColumns({"row_key": key("__block"), "table_key": key("__whole")}).drop("__block", "__whole")

@@ -241,9 +241,11 @@ SELECT p.book, p.part, CAST(p.row AS INTEGER) AS row, a AS label, CAST(p.header_
 FROM placed p JOIN blocks b ON b.book = p.book AND b.part = p.part AND b.header_row = p.header_row JOIN wholes w ON w.book = p.book AND w.part = p.part""")
 def semantic_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items of a supplier and line number as the rows of a table of three columns."""
-    order = Window.partitionBy("l_suppkey", "l_linenumber").orderBy(F.expr(FACT["fact_id"]))
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("book"), F.col("l_linenumber").alias("part"), (F.row_number().over(order) - 1).alias("row"), F.array(*map(F.expr, TEXTS)).alias("texts"),
+    # Rows are numbered by the table's own columns, whose shuffle the keys share, before they have texts.
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("book"), F.col("l_linenumber").alias("part"), F.expr(FACT["fact_id"]).alias("fact_id"), "l_partkey")
+    order = Window.partitionBy("book", "part").orderBy("fact_id")
+    rows = items.withColumn("row", F.row_number().over(order) - 1).select(
+        "book", "part", "row", F.array(*map(F.expr, TEXTS)).alias("texts"),
         F.lit(0).alias("label_col"), F.lit(1).alias("line_col"), F.array(F.lit(2)).alias("value_cols"), F.lit("note").alias("statement_type"),
     )
     return semantics.keyed(rows, ["book", "part"]).select("book", "part", "row", "label", "header_row", "row_key", "table_key")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import plans
-from factloom.operators import evidence, ranks
+from factloom.operators import evidence, ranks, semantics
 
 SMALL = "/root/testdata/sf0.001"
 CELL = "position long, doc_id string, page_no int, provider string, table_id string, row_start int, row_end int, col_start int, col_end int, bbox_json string"
@@ -57,3 +57,16 @@ def test_choices_sort_nothing_before_their_one_shuffle(spark):
 def test_workbooks_are_made_and_parsed_once(spark):
     text = plan(plans.QUERIES["workbook_tables"](spark, SMALL))
     assert "Arrow" not in text and "Pandas" not in text
+
+
+def test_keys_of_rows_take_one_shuffle(spark):
+    assert shuffles(plans.QUERIES["semantic_keys"](spark, SMALL)) == 1
+
+
+def test_keys_with_gaps_and_heads_close_together(spark):
+    rows = [(0, ["x", "1"]), (1, ["项目", "金额"]), (2, ["a", "2"]), (4, ["b", "3"]), (5, ["项目", "比例"]), (6, ["c", "4"]), (7, ["", "5"]), (11, ["d", "6"])]
+    df = spark.createDataFrame([("t", r, t) for r, t in rows] + [(None, 0, ["y", "1"])], "t string, row int, texts array<string>")
+    df = df.select("*", F.lit(0).alias("label_col"), F.lit(None).cast("int").alias("line_col"), F.array(F.lit(1)).alias("value_cols"), F.lit("s").alias("statement_type"))
+    got = {r.row: (r.header_row, r.row_key, r.table_key) for r in semantics.keyed(df, ["t"]).collect()}
+    one, two, whole = "s|t:x|h:项目,金额|r:a,b", "s|t:b|h:项目,比例|r:c", "s|h:x|r:项目,a,b"
+    assert got == {0: (0, "s|h:x|r:no_rows", whole)} | {r: (1, one, whole) for r in (1, 2, 4)} | {r: (5, two, whole) for r in (5, 6, 7, 11)}
