@@ -47,7 +47,8 @@ def scoped(facts: DataFrame, benchmark: DataFrame, promoted: DataFrame, rules: R
     rows = facts.drop("target_scope", "target_scope_reason")
     wanted = benchmark.select(F.col("code").alias("__b")).filter("__b <> ''").distinct()
     first = promoted.filter("code <> ''").groupBy(F.col("code").alias("__p")).agg(F.min_by(F.coalesce("target_scope", F.lit("main_export_target")), "position").alias("__scope"))
-    rows = rows.join(wanted, F.col("code") == F.col("__b"), "left").join(first, F.col("code") == F.col("__p"), "left")
+    # Few codes hold most facts, so facts stay where they are and the distinct codes, those of a chart of accounts, go to them.
+    rows = rows.join(F.broadcast(wanted), F.col("code") == F.col("__b"), "left").join(F.broadcast(first), F.col("code") == F.col("__p"), "left")
     text = lambda n: F.coalesce(F.col(n), F.lit(""))
     raw = F.coalesce(*[F.when(F.col(n) != "", F.col(n)) for n in ("row_label_canonical", "row_label_norm", "row_label_std", "row_label_raw")], F.lit(""))
     rows = rows.withColumn("__label", F.regexp_replace(raw, f"^{SPACE}+|{SPACE}+$", ""))

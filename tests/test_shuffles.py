@@ -70,3 +70,14 @@ def test_keys_with_gaps_and_heads_close_together(spark):
     got = {r.row: (r.header_row, r.row_key, r.table_key) for r in semantics.keyed(df, ["t"]).collect()}
     one, two, whole = "s|t:x|h:项目,金额|r:a,b", "s|t:b|h:项目,比例|r:c", "s|h:x|r:项目,a,b"
     assert got == {0: (0, "s|h:x|r:no_rows", whole)} | {r: (1, one, whole) for r in (1, 2, 4)} | {r: (5, two, whole) for r in (5, 6, 7, 11)}
+
+
+@pytest.fixture
+def without_broadcasts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_scopes_leave_facts_where_they_are(spark, without_broadcasts):
+    assert "SortMergeJoin" not in plan(plans.QUERIES["target_scopes"](spark, SMALL))
