@@ -33,17 +33,15 @@ def _words(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def statement_hints(facts: DataFrame) -> DataFrame:
-    """(code, hint): the most frequent statement type of each code's facts; of equals the one seen first."""
-    told = facts.filter("code <> '' AND statement_type <> ''").groupBy("code", "statement_type").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("p"))
-    return told.groupBy("code").agg(F.max_by("statement_type", F.struct("n", -F.col("p"), "statement_type")).alias("hint"))
-
-
-def amount_periods(facts: DataFrame) -> DataFrame:
-    """(code, only): the only yearly current period of a code's facts; codes with several have no row."""
+def code_hints(facts: DataFrame) -> DataFrame:
+    """(code, hint, own): the most frequent statement type of each code's facts, of equals the one seen first; and its only yearly current period, null where there are several."""
     date = F.coalesce(F.when(F.col("report_date") != "", F.col("report_date")), F.substring_index("period", "__", 1))
-    rows = facts.filter((F.col("code") != "") & F.col("period").endswith(CURRENT) & date.contains(YEAR))
-    return rows.groupBy("code").agg(F.min("period").alias("only"), F.max("period").alias("__m")).filter("only = __m").drop("__m")
+    yearly = F.when(F.col("period").endswith(CURRENT) & date.contains(YEAR), F.col("period"))
+    kind = F.coalesce("statement_type", F.lit(""))
+    told = facts.filter("code <> ''").groupBy("code", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("p"), F.min(yearly).alias("low"), F.max(yearly).alias("high"))
+    typed = F.when(F.col("kind") != "", F.struct("n", -F.col("p"), "kind"))
+    each = told.groupBy("code").agg(F.max(typed)["kind"].alias("hint"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return each.select("code", "hint", F.when(F.col("low") == F.col("high"), F.col("low")).alias("own"))
 
 
 def header_periods(headers: DataFrame, rules: Rules) -> DataFrame:
@@ -81,12 +79,11 @@ def repair(cells: DataFrame, facts: DataFrame, headers: DataFrame, export: DataF
     alignment_only_gap. Other cells are unchanged. Null texts are empty.
     """
     old = {"period": "raw_period", "auto_value": "raw_auto_value", "status": "raw_status", "reason": "raw_reason"}
-    rows = cells.withColumns({new: F.col(c) for c, new in old.items()})
     could = (F.col("status") == "missing_in_auto") & F.col("reason").isin(*REASONS)
     hurt = cells.filter(could)
-    rows = rows.join(overridden(hurt, overrides), "cell", "left").join(statement_hints(facts), "code", "left")
-    rows = rows.join(amount_periods(facts).withColumnRenamed("only", "__own"), "code", "left")
-    rows = rows.join(header_periods(headers, rules).select(F.col("header").alias("__h"), "n", "only"), _text("header") == F.col("__h"), "left")
+    rows = cells.join(overridden(hurt, overrides), "cell", "left").join(code_hints(facts).withColumnRenamed("own", "__own"), "code", "left")
+    # At most a row for each header of the rules, which all cells share.
+    rows = rows.join(F.broadcast(header_periods(headers, rules).select(F.col("header").alias("__h"), "n", "only")), _text("header") == F.col("__h"), "left")
     header, n, raw = _text("header"), F.coalesce("n", F.lit(0)), _text("period")
     guess = F.when(F.col("hint") != "", F.col("hint")).when(_words(_text("name"), INCOME_WORDS), "income_statement").when(_words(_text("name"), CASH_WORDS), "cash_flow")
     annual = F.coalesce(guess.isin(*rules.annual), F.lit(False))
@@ -115,7 +112,8 @@ def repair(cells: DataFrame, facts: DataFrame, headers: DataFrame, export: DataF
     moved = F.coalesce(F.col("__w.period") != "", F.lit(False))
     state = F.when(F.col("__w").isNull(), "unchanged").when(~moved, F.col("__w.state")).when(status == "missing_in_auto", "true_missing").otherwise("alignment_only_gap")
     new = {"period": F.col("__w.period"), "auto_value": a, "status": status, "reason": told}
-    return rows.withColumns({"alignment": state, **{c: F.when(moved, v).otherwise(F.col(c)) for c, v in new.items()}}).drop("__w", "__ec", "__ep", "__ev")
+    before = {kept: F.col(c) for c, kept in old.items()}
+    return rows.withColumns({"alignment": state, **before, **{c: F.when(moved, v).otherwise(F.col(c)) for c, v in new.items()}}).drop("__w", "__ec", "__ep", "__ev")
 
 
 def true_gaps(repaired: DataFrame) -> DataFrame:

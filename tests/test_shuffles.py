@@ -81,3 +81,9 @@ def without_broadcasts(spark):
 
 def test_scopes_leave_facts_where_they_are(spark, without_broadcasts):
     assert "SortMergeJoin" not in plan(plans.QUERIES["target_scopes"](spark, SMALL))
+
+
+def test_alignment_reads_facts_twice_and_shuffles_no_cell_by_its_header(spark, without_broadcasts):
+    # Once for the hints of codes, once for the export.
+    text = plan(plans.QUERIES["alignment_counts"](spark, SMALL))
+    assert text.count("l_orderkey") and text.count("FileScan parquet [l_") == 2 and text.count("SortMergeJoin") == 4
