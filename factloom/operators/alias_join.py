@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import label_for_matching, subject_label
+from factloom.operators.scratch import written
 
 #: What the score weighs, the least score, and the scores of other matches.
 SEQUENCE, OVERLAP, BEGINNING, END, LEAST = 0.55, 0.35, 0.08, 0.05, 0.62
@@ -135,10 +136,12 @@ def mapped(facts: DataFrame, subjects: DataFrame, aliases: DataFrame, relations:
     statement_type, code, method. subjects: (name, code, position). aliases as in mined(), with
     statements (array, empty for all).
 
-    The distinct (label, statement) pairs are mapped and joined back, so that facts are shuffled once.
+    The distinct (label, statement) pairs are normalised, mapped and joined back, so that facts are read
+    twice and no text is cleaned for each of them. Pairs, candidates and answers are written.
     """
-    own = facts.withColumn("__label", subject_label(F.col(label)))
-    open_ = own.filter("coalesce(code, '') = '' AND __label <> ''").select("__label", "statement_type").distinct()
+    asked = facts.filter("coalesce(code, '') = ''").select(F.col(label).alias("__raw"), "statement_type").distinct()
+    said = written(asked.withColumn("__label", subject_label(F.col("__raw"))).filter("__label <> ''"), "labels")
+    open_ = said.select("__label", "statement_type").distinct()
     exact = subjects.groupBy(label_for_matching(F.col("name")).alias("__label")).agg(F.max_by(F.struct("code", "name"), "position").alias("exact"))
     named = aliases.join(subjects.groupBy("code").agg(F.max_by("name", "position").alias("name")), "code").select(subject_label(F.col("alias")).alias("__label"), "code", "name", "kind", "statements")
     order = F.struct(F.when(F.col("kind") == "exact_alias", 0).otherwise(1), F.col("code"))
@@ -146,7 +149,7 @@ def mapped(facts: DataFrame, subjects: DataFrame, aliases: DataFrame, relations:
     alias = open_.join(named, "__label").filter(allowed).groupBy("__label", "statement_type").agg(F.min_by(F.struct("code", "name", "kind"), order).alias("alias"))
     keys = open_.join(exact, "__label", "left").join(alias, ["__label", "statement_type"], "left")
     left = keys.filter("exact IS NULL AND alias IS NULL").select(F.col("__label").alias("s")).distinct()
-    candidates = mined(left, subjects.select("name", "code").distinct(), aliases, relations, top)
+    candidates = written(mined(left, subjects.select("name", "code").distinct(), aliases, relations, top), "candidates")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.format_string("%s %s (%.3f)", "code", "name", "score").alias("said")))), lambda c: c["said"])
     first = F.min_by(F.struct("code", "name", "score", "relation", "review"), "rank")
     best = candidates.groupBy(F.col("label").alias("__label")).agg(first.alias("best"), F.array_join(listed, ";").alias("candidates"))
@@ -166,10 +169,10 @@ def mapped(facts: DataFrame, subjects: DataFrame, aliases: DataFrame, relations:
         F.when(given.isNull(), F.coalesce("candidates", F.lit(""))).alias("candidates"),
     )
     # Facts that have a code, or no label, meet nothing.
-    asked = F.when(F.coalesce("code", F.lit("")) == "", F.col("__label"))
-    rows = own.withColumn("__label", asked).join(found, ["__label", "statement_type"], "left")
+    answers = written(said.join(found, ["__label", "statement_type"]).drop("__label"), "answers")
+    rows = facts.withColumn("__raw", F.when(F.coalesce("code", F.lit("")) == "", F.col(label))).join(answers, ["__raw", "statement_type"], "left")
     rows = rows.withColumns({"code": F.coalesce(F.when(F.col("code") != "", F.col("code")), "__code"), "method": F.coalesce("__method", "method")})
-    return rows.drop("__label", "__code", "__method"), candidates
+    return rows.drop("__raw", "__code", "__method"), candidates
 
 
 def statistics(facts: DataFrame) -> DataFrame:
@@ -177,15 +180,18 @@ def statistics(facts: DataFrame) -> DataFrame:
     has = F.coalesce("code", F.lit("")) != ""
     exact = has & (F.col("method") == "exact")
     alias = has & ~exact & (F.contains("method", F.lit("alias")) | (F.coalesce("relation", F.lit("")) == ""))
-    open_ = F.when(~has & (F.col("reason") != ""), subject_label(F.col("label")))
+    # Equal labels are counted before they are cleaned.
+    open_ = F.coalesce(~has & (F.col("reason") != ""), F.lit(False))
     parts = {"mapped_by_exact": exact, "mapped_by_alias": alias, "mapped_by_relation": has & ~exact & ~alias}
-    by_label = facts.groupBy(open_.alias("open")).agg(*[F.count_if(p).alias(n) for n, p in parts.items()])
+    equal = facts.groupBy(open_.alias("__open"), F.when(open_, F.col("label")).alias("__raw")).agg(*[F.count_if(p).alias(n) for n, p in parts.items()])
+    by_label = equal.groupBy(F.when(F.col("__open"), subject_label(F.col("__raw"))).alias("open")).agg(*[F.sum(n).alias(n) for n in parts])
     return by_label.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in parts], F.count("open").alias("unmapped_total"))
 
 
 def open_labels(facts: DataFrame, candidates: DataFrame) -> DataFrame:
     """Each label left open: facts, numbers, the sum of absolute amounts, and its best candidate."""
-    rows = facts.filter("reason IN ('mapping_candidate_only', 'no_match')").groupBy(subject_label(F.col("label")).alias("label"))
-    made = rows.agg(F.count(F.lit(1)).alias("occurrences"), F.count("value").alias("numeric"), F.coalesce(F.sum(F.abs("value").cast("decimal(28,6)")), F.lit(0)).cast("double").alias("amount"))
+    equal = facts.filter("reason IN ('mapping_candidate_only', 'no_match')").groupBy("label")
+    equal = equal.agg(F.count(F.lit(1)).alias("occurrences"), F.count("value").alias("numeric"), F.sum(F.abs("value").cast("decimal(28,6)")).alias("amount"))
+    made = equal.groupBy(subject_label(F.col("label")).alias("label")).agg(F.sum("occurrences").alias("occurrences"), F.sum("numeric").alias("numeric"), F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("amount"))
     best = candidates.filter("rank = 1").select("label", F.col("code").alias("top_code"), F.col("score").alias("top_score"), F.col("method").alias("top_method"))
     return made.join(best, "label", "left").withColumns({"top_code": F.coalesce("top_code", F.lit("")), "top_score": F.coalesce("top_score", F.lit(0.0)), "top_method": F.coalesce("top_method", F.lit(""))})

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import plans
-from factloom.operators import evidence, ranks, semantics
+from factloom.operators import alias_join, evidence, ranks, semantics
 
 SMALL = "/root/testdata/sf0.001"
 CELL = "position long, doc_id string, page_no int, provider string, table_id string, row_start int, row_end int, col_start int, col_end int, bbox_json string"
@@ -87,3 +87,14 @@ def test_alignment_reads_facts_twice_and_shuffles_no_cell_by_its_header(spark, w
     # Once for the hints of codes, once for the export.
     text = plan(plans.QUERIES["alignment_counts"](spark, SMALL))
     assert text.count("l_orderkey") and text.count("FileScan parquet [l_") == 2 and text.count("SortMergeJoin") == 4
+
+
+def test_mapped_facts_are_not_cleaned_one_by_one(spark):
+    facts = spark.createDataFrame([("1.cash", "A", None, None, 1.0), ("cash ", "A", "", None, 2.0), ("other", "A", "C9", "m", 3.0), (None, "A", None, None, 4.0), ("zzz", None, None, None, 5.0)], "label string, statement_type string, code string, method string, value double")
+    subjects = spark.createDataFrame([("cash", "C1", 1)], "name string, code string, position int")
+    aliases = spark.createDataFrame([], "alias string, code string, kind string, statements array<string>")
+    relations = spark.createDataFrame([], "code string, name string, kind string, related array<string>, review boolean")
+    done, candidates = alias_join.mapped(facts, subjects, aliases, relations)
+    assert "regexp" not in plan(done).lower()
+    assert sorted((r.value, r.code, r.method) for r in done.collect()) == [(1.0, "C1", "exact"), (2.0, "C1", "exact"), (3.0, "C9", "m"), (4.0, None, None), (5.0, None, None)]
+    assert alias_join.statistics(done).collect()[0].mapped_by_exact == 2
