@@ -35,6 +35,14 @@ def test_one_reference_of_two_places_takes_the_last_cell(spark):
     assert got == {"x": ("bbox_only", [2, 2, 2, 2], [2, 2, 2, 2]), "y": ("no_bbox", None, None)}
 
 
+@pytest.mark.parametrize("name", ["conflict_impacts", "decisions_applied"])
+def test_conflicts_are_judged_in_one_dealing_of_facts(spark, name):
+    # Nothing is written between; only the counts of decisions_applied are a second shuffle.
+    text = plan(plans.QUERIES[name](spark, SMALL))
+    assert text.count("Exchange hashpartitioning") == 1 + (name == "decisions_applied")
+    assert text.count("FileScan") == 1 and "FileScan parquet [l_" in text and "Join" not in text
+
+
 RANKED = "value double, noisy boolean, raw string, status string, date string, source_kind string, code string, n int, provider_place int, comparison string, decision string, role string, table_key string, statement_type string, fact_id long"
 
 
