@@ -35,7 +35,7 @@ def test_one_reference_of_two_places_takes_the_last_cell(spark):
     assert got == {"x": ("bbox_only", [2, 2, 2, 2], [2, 2, 2, 2]), "y": ("no_bbox", None, None)}
 
 
-@pytest.mark.parametrize("name", ["conflict_impacts", "decisions_applied"])
+@pytest.mark.parametrize("name", ["conflict_impacts", "conflict_decisions", "decisions_applied"])
 def test_conflicts_are_judged_in_one_dealing_of_facts(spark, name):
     # Nothing is written between; only the counts of decisions_applied are a second shuffle.
     text = plan(plans.QUERIES[name](spark, SMALL))
