@@ -40,6 +40,8 @@ PROBES = (
 )
 UNMAPPED, UNPLACED, MISALIGNED = "source_exists_but_unmapped", "source_exists_but_unplaced", "source_exists_but_period_misaligned"
 TOLERANCE = 0.01
+#: Columns of facts that are read.
+READ = ("fact_id", "position", "code", "period", "value", "label", "statement_type", "scope", "unplaced")
 #: Bits that rows are sieved by before a shuffle (2 MB on each executor).
 SIEVE = 1 << 24
 
@@ -76,7 +78,7 @@ def _first(rows: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
 
 
 def _together(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("evidence"))
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("evidence"))
 
 
 def _sieve(wanted: DataFrame, name: str) -> DataFrame:
@@ -85,10 +87,17 @@ def _sieve(wanted: DataFrame, name: str) -> DataFrame:
     return wanted.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 64 AS INT))")).alias("__bits"))
 
 
-def _sieved(rows: DataFrame, name: str, sieve: DataFrame) -> DataFrame:
-    """rows whose text may be wanted, before they are shuffled; what follows decides exactly."""
-    kept = rows.withColumn("__b", F.pmod(F.xxhash64(_text(name)), F.lit(SIEVE))).join(F.broadcast(sieve), F.shiftright("__b", 6) == F.col("__word"))
-    return kept.filter("shiftrightunsigned(__bits, CAST(__b % 64 AS INT)) & 1 = 1").drop("__b", "__word", "__bits")
+def _sieved(rows: DataFrame, name: str, sieve: DataFrame, wanted: bool = True) -> DataFrame:
+    """rows whose text may be wanted, before they are shuffled (not wanted: the other rows); what follows decides exactly."""
+    kept = rows.withColumn("__b", F.pmod(F.xxhash64(_text(name)), F.lit(SIEVE))).join(F.broadcast(sieve), F.shiftright("__b", 6) == F.col("__word"), "inner" if wanted else "left")
+    bit = "shiftrightunsigned(__bits, CAST(__b % 64 AS INT)) & 1"
+    return kept.filter(f"{bit} = 1" if wanted else f"coalesce({bit}, 0) = 0").drop("__b", "__word", "__bits")
+
+
+def _without(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """rows but for those whose text is in gone; only rows that may be are shuffled."""
+    sieve = _sieve(gone, name)
+    return _sieved(rows, name, sieve, False).unionByName(_sieved(rows, name, sieve).join(gone.select(name).distinct(), name, "left_anti"))
 
 
 def _same_place(facts: DataFrame, unplaced: DataFrame, derived: DataFrame) -> DataFrame:
@@ -115,16 +124,20 @@ def _slot(c: Column) -> Column:
     return F.floor(c / F.lit(TOLERANCE).cast("decimal(18,4)")).cast("long")
 
 
+def _first_amounts(rows: DataFrame, ref: str, probe: int) -> DataFrame:
+    """(probe, period, cents, e): the first three rows of each period and amount."""
+    cents = _seen(rows, ref, probe).withColumn("cents", _decimal(F.col("value"))).filter("cents IS NOT NULL")
+    return _first(cents, ["probe", "period", "cents"]).select("probe", "period", "cents", "e")
+
+
 def _same_amount(raw: DataFrame, review: DataFrame) -> DataFrame:
-    """(period, slot, amounts): unmapped facts and review items by period and amount.
+    """(period, slot, amounts): unmapped facts and review items, as _first_amounts gives them, by period and amount.
 
     Rows of one amount are cut to three first; a slot is as wide as the tolerance and so holds at
     most a hundred amounts, whatever the number of rows. Each amount stands in its own slot and
     both beside it, so that a gap asks one slot.
     """
-    rows = _seen(raw.filter(_text("code") == ""), "fact_id", 5).unionByName(_seen(review, "review_id", 6)).withColumn("cents", _decimal(F.col("value"))).filter("cents IS NOT NULL")
-    key = ["probe", "period", "cents"]
-    each = _together(_first(rows, key), key).withColumn("s", _slot(F.col("cents")))
+    each = _together(raw.unionByName(review), ["probe", "period", "cents"]).withColumn("s", _slot(F.col("cents")))
     spread = each.withColumn("slot", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)))
     return spread.groupBy("period", "slot").agg(F.collect_list(F.struct("probe", "cents", "evidence")).alias("amounts"))
 
@@ -154,13 +167,14 @@ def investigate(gaps: DataFrame, facts: DataFrame, raw: DataFrame, unplaced: Dat
     """
     sieve = _sieve(gaps, "code")
     only = lambda df: _sieved(df, "code", sieve)
-    return _probed(gaps, only(facts), raw, only(unplaced), only(derived), review, _named(gaps, issues))
+    amounts = _same_amount(_first_amounts(raw.filter(_text("code") == ""), "fact_id", 5), _first_amounts(review, "review_id", 6))
+    return _probed(gaps, only(facts), amounts, only(unplaced), only(derived), _named(gaps, issues))
 
 
-def _probed(gaps: DataFrame, facts: DataFrame, raw: DataFrame, unplaced: DataFrame, derived: DataFrame, review: DataFrame, named: DataFrame) -> DataFrame:
+def _probed(gaps: DataFrame, facts: DataFrame, amounts: DataFrame, unplaced: DataFrame, derived: DataFrame, named: DataFrame) -> DataFrame:
     """What investigate() returns: gaps stay one row each and meet the probes' rows, cut to few a key, by place, code and amount."""
     # Written first, so that a few amounts are known to be few and go to the gaps, not the gaps to them.
-    amounts = written(_same_amount(raw, review), "amounts")
+    amounts = written(amounts, "amounts")
     by_code = _elsewhere(facts).join(named, "code", "full")
     rows = gaps.drop("cause", "source", "evidence", "refs").withColumns({"__code": _text("code"), "__period": _text("period"), "__slot": _slot(_decimal(F.col("amount").cast("double")))})
     place = _same_place(facts, unplaced, derived).withColumnsRenamed({"code": "__code", "period": "__period"})
@@ -171,7 +185,7 @@ def _probed(gaps: DataFrame, facts: DataFrame, raw: DataFrame, unplaced: DataFra
     rows = rows.withColumn("__found", F.coalesce("near", one(3, away), "made")).withColumn("told", F.when(F.col("__found").isNull(), F.col("told"))).drop("near", "six", "made")
     rows = rows.join(amounts.withColumnsRenamed({"period": "__period", "slot": "__slot"}), ["__period", "__slot"], "left")
     close = F.filter("amounts", lambda a: _near(F.col("amount").cast("double"), a["cents"]))
-    of = lambda k: one(k, F.slice(F.array_sort(F.flatten(F.transform(F.filter(close, lambda a: a["probe"] == k), lambda a: a["evidence"]))), 1, 3))
+    of = lambda k: one(k, F.slice(F.sort_array(F.flatten(F.transform(F.filter(close, lambda a: a["probe"] == k), lambda a: a["evidence"]))), 1, 3))
     rows = rows.withColumn("__found", F.coalesce("__found", of(5), of(6), one(7, F.col("told")))).drop("amounts", "told", "__code", "__period", "__slot")
     whole = F.transform("__found.evidence", lambda e: e.withField("facts", F.coalesce(e["facts"], F.array(e["ref"]))))
     names = lambda k: F.get(F.array(*[F.lit(p[k]) for p in PROBES]), F.coalesce(F.col("__found.probe"), F.lit(len(PROBES) - 1)))
@@ -181,19 +195,31 @@ def _probed(gaps: DataFrame, facts: DataFrame, raw: DataFrame, unplaced: DataFra
     return rows.withColumn("refs", F.coalesce(refs, F.lit(""))).select(*kept, "evidence", "cause", "source", "refs")
 
 
+def _by_cause(alias: Column, place: Column, period: Column) -> Column:
+    return F.when(F.col("cause") == UNMAPPED, alias).when(F.col("cause") == UNPLACED, place).when(F.col("cause") == MISALIGNED, period)
+
+
+def _texts(rows: str, name: str) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(F.transform(rows, lambda e: e[name]), lambda x: x != "")))
+
+
+def _weighed(investigated: DataFrame) -> tuple[DataFrame, Column]:
+    """(rows with their evidence by what closes a gap, whether it leaves one way only)."""
+    ev = F.filter(F.coalesce("evidence", F.expr("array()").cast(investigated.schema["evidence"].dataType)), lambda e: e["ref"] != "")
+    near = F.filter("__e", lambda e: F.coalesce(_near(e["value"], F.col("amount")), F.lit(False)))
+    rows = investigated.withColumn("__e", ev).withColumns({"__labels": _texts("__e", "label"), "__near": near}).withColumn("__periods", _texts("__near", "period"))
+    return rows, _by_cause(F.size("__labels") == 1, F.size("__near") == 1, F.size("__periods") == 1)
+
+
 def candidates(investigated: DataFrame) -> DataFrame:
     """What would close each gap that has a source, and whether its evidence leaves one way only.
 
     Unmapped: an alias, safe if all evidence has one label. Unplaced: a preferred fact, safe if
     one has the gap's amount. Misaligned: another period, safe if those of the amount have one.
     """
-    ev = F.filter(F.coalesce("evidence", F.expr("array()").cast(investigated.schema["evidence"].dataType)), lambda e: e["ref"] != "")
-    rows = investigated.filter(F.col("cause").isin(UNMAPPED, UNPLACED, MISALIGNED)).withColumn("__e", ev)
-    of = lambda c, name: F.array_sort(F.array_distinct(F.filter(F.transform(c, lambda e: e[name]), lambda x: x != "")))
-    near = F.filter("__e", lambda e: F.coalesce(_near(e["value"], F.col("amount")), F.lit(False)))
-    rows = rows.withColumns({"__labels": of("__e", "label"), "statement_types": of("__e", "statement_type"), "__near": near}).withColumn("__periods", of("__near", "period"))
-    by = lambda alias, place, period: F.when(F.col("cause") == UNMAPPED, alias).when(F.col("cause") == UNPLACED, place).otherwise(period)
-    safe = by(F.size("__labels") == 1, F.size("__near") == 1, F.size("__periods") == 1)
+    by = _by_cause
+    rows, safe = _weighed(investigated.filter(F.col("cause").isin(UNMAPPED, UNPLACED, MISALIGNED)))
+    rows = rows.withColumn("statement_types", _texts("__e", "statement_type"))
     told = lambda yes, no: F.when(F.col("safe"), by(*map(F.lit, yes))).otherwise(by(*map(F.lit, no)))
     rows = rows.withColumn("safe", safe).withColumns({
         "gap_id": stable_id("GAP_", _text("code"), _text("period"), F.col("amount"), F.col("cause"), listed(F.transform("__e", lambda e: e["ref"]))),
@@ -279,7 +305,8 @@ def close_rounds(gaps: DataFrame, facts: DataFrame, raw: DataFrame, unplaced: Da
 
     Only what a round can have changed is asked again: gaps of a code that got or lost a fact, gaps
     that moved, and gaps whose evidence was mapped. Closures of the others have no facts left to
-    claim. Facts of other codes than theirs aren't shuffled.
+    claim. The tables are read once, before the first round: rows of the gaps' codes and rows without a
+    code are written, narrow, and rounds read these and what rounds wrote.
     """
     spark = gaps.sparkSession
     ids = lambda df: df.withColumn("fact_id", F.col("fact_id").cast("string"))
@@ -287,37 +314,60 @@ def close_rounds(gaps: DataFrame, facts: DataFrame, raw: DataFrame, unplaced: Da
     named = written(_named(gaps, issues), "named")
     own = [c for c in gaps.columns if c not in ("period", "cause", "source", "refs", "evidence")]
     asked = gaps.drop("cause", "source", "refs", "evidence").withColumns({"code": _text("code"), "period": _text("period"), "__moved": F.lit(False), "__round": F.lit(None).cast("int")})
-    # Gaps whose code is touched may have any facts; of the others no fact of their code counts.
-    touched = asked.select("code")
-    mapped, placed, standing, turn = spark.createDataFrame([], "held int, fact_id string, code string"), spark.createDataFrame([], "fact_id string"), None, 0
+    sieve = written(_sieve(asked, "code"), "sieve")
+    narrow = lambda df: df.select(*[c for c in READ if c in df.columns])
+    of_gaps = lambda df, name, empty: written(_sieved(narrow(df if empty else df.filter(_text("code") != "")), "code", sieve), name)
+    blank = not asked.filter("code = ''").isEmpty()
+    coded, all_rest, all_made = of_gaps(facts, "coded", False), of_gaps(unplaced, "unplaced", blank), of_gaps(derived, "derived", blank)
+    free, free_raw = (written(narrow(df.filter(_text("code") == "")), "free") for df in (facts, raw))
+    # A fact that is to be placed has a gap's code, or stands among those without a place and among facts.
+    named_rest = all_rest.select("fact_id").distinct()
+    there = _sieved(facts.select("fact_id"), "fact_id", _sieve(named_rest, "fact_id")).join(named_rest, "fact_id", "left_semi")
+    for df in (coded, free) if blank else (coded,):
+        there = there.unionByName(df.filter(_text("unplaced") != "").select("fact_id"))
+    there = written(there, "there")
+    items = written(_first_amounts(review, "review_id", 6), "items")
+    known = written(_sieved(aliases, "code", sieve).select(F.trim("alias").alias("alias"), _text("code").alias("code")).distinct(), "aliases")
+    gained, placed, mapped = coded.limit(0), spark.createDataFrame([], "fact_id string"), spark.createDataFrame([], "held int, fact_id string")
+    standing, turn, near, rest, made, unfree = None, 0, coded.unionByName(free) if blank else coded, all_rest, all_made, free_raw
     while True:
-        sieve = _sieve(touched, "code")
-        now, before, rest = _as_mapped(facts, mapped, 0), _as_mapped(raw, mapped, 1), _sieved(unplaced, "code", sieve)
-        near = _sieved(now, "code", sieve)
-        if turn:
-            near = near.join(placed.withColumn("__ok", F.lit(True)), "fact_id", "left").withColumn("unplaced", F.when(F.col("__ok"), "").otherwise(F.col("unplaced"))).drop("__ok")
-            rest = rest.join(placed, "fact_id", "left_anti")
+        amounts = _same_amount(_first_amounts(unfree, "fact_id", 5), items)
         shown = near.filter(_text("scope").isin(*EXPORTED) & (_text("unplaced") == "") & F.col("value").isNotNull()).select(_text("code").alias("code"), _text("period").alias("period")).distinct().withColumn("__shown", F.lit(True))
         at = asked.join(shown, ["code", "period"], "left")
-        seen = written(_probed(at, near, before, rest, _sieved(derived, "code", sieve), review, named), "investigated")
-        open_ = seen.filter("__shown IS NULL")
-        closures = accepted(candidates(open_.filter("NOT __moved OR cause <> 'source_exists_but_period_misaligned'")), aliases)
-        takes = written(claims(closures, now, before), "claims")
-        done = written(applied(closures, takes, facts).filter("applied").select("gap", "code", "fix", "target_fact", "target_period"), "applied")
+        # Evidence is kept where it may be acted on, as that is what is large.
+        rows, safe = _weighed(_probed(at, near, amounts, rest, made, named))
+        opened = F.col("__shown").isNull()
+        refs = F.when(opened & (F.col("source") == PROBES[5][1]), F.transform("evidence", lambda e: e["ref"]))
+        rows = rows.withColumns({"__refs": refs, "evidence": F.when(opened & safe & ~(F.col("__moved") & (F.col("cause") == MISALIGNED)), F.col("evidence"))})
+        seen = written(rows.drop("__e", "__labels", "__near", "__periods"), "investigated")
+        # Others than safe closures are never applied; several steps read these.
+        safe = candidates(seen.filter("evidence IS NOT NULL")).filter("safe")
+        safe = written(safe.select("gap", "code", "name", "period", "amount", "evidence", "fix", "safe", "reason", "alias", "target_fact", "target_period"), "safe")
+        closures = written(accepted(safe, known).filter("safe_to_apply"), "closures")
+        takes = claims(closures, free, free_raw)
+        takes = written(takes.join(mapped, ["held", "fact_id"], "left_anti") if turn else takes, "claims")
+        done = written(applied(closures, takes, there).filter("applied").select("gap", "code", "fix", "target_fact", "target_period"), "applied")
         state = F.when(F.col("__shown"), "closed").otherwise("open")
         told = {c: F.when(F.col("__shown"), "").otherwise(F.col(c)) for c in ("cause", "source", "refs")}
-        refs = F.when(F.col("__shown").isNull() & (F.col("source") == PROBES[5][1]), F.transform("evidence", lambda e: e["ref"]))
-        outcome = seen.select(*own, "period", *[c.alias(n) for n, c in told.items()], state.alias("state"), F.when(F.col("__shown"), F.coalesce("__round", F.lit(turn))).alias("__round"), "__moved", refs.alias("__refs"))
-        standing = written(outcome if standing is None else outcome.unionByName(standing.filter("NOT __again").drop("__again", "target_period")), "standing")
+        outcome = seen.select(*own, "period", *[c.alias(n) for n, c in told.items()], state.alias("state"), F.when(F.col("__shown"), F.coalesce("__round", F.lit(turn))).alias("__round"), "__moved", "__refs")
+        outcome = written(outcome, "outcome")
+        standing = outcome if standing is None else outcome.unionByName(standing.filter("NOT __again").drop("__again", "target_period"))
         if done.isEmpty():
             return standing.withColumn("round", F.col("__round")).drop("__round", "__moved", "__refs")
         turn += 1
         last = done.filter("fix = 'placement_rule'").select(F.col("target_fact").alias("fact_id")).distinct()
-        mapped, placed = written(mapped.unionByName(takes.select("held", "fact_id", "code")), "mapped"), written(placed.unionByName(last).distinct(), "placed")
+        placed = written(placed.unionByName(last).distinct(), "placed")
+        mapped = written(mapped.unionByName(takes.select("held", "fact_id")), "mapped")
+        # A mapped fact's row, as it now stands among the facts.
+        of_facts = takes.filter("held = 0").select("fact_id", F.col("code").alias("__c"))
+        new = _sieved(free, "fact_id", _sieve(of_facts, "fact_id")).join(of_facts, "fact_id").withColumns({"code": F.col("__c"), "scope": F.lit(EXPORTED[0]), "unplaced": F.lit("")}).drop("__c")
+        gained = written(gained.unionByName(new), "gained")
+        unfree = _without(free_raw, mapped.filter("held = 1"), "fact_id")
         # Codes that got or lost a fact: of claims, of placed facts, and the empty one where facts were mapped.
         got = takes.select("code").unionByName(takes.select(F.lit("").alias("code")).limit(1)).unionByName(done.select("code"))
-        for df in (_as_mapped(facts, mapped, 0), unplaced):
-            got = got.unionByName(_sieved(df, "fact_id", _sieve(last, "fact_id")).join(last, "fact_id", "left_semi").select(_text("code").alias("code")))
+        where = _sieve(last, "fact_id")
+        for df in (coded, gained, all_rest, *([free] if blank else [])):
+            got = got.unionByName(_sieved(df, "fact_id", where).join(last, "fact_id", "left_semi").select(_text("code").alias("code")))
         moved = done.filter("fix = 'period_role_fix'").select("gap", "target_period")
         touched = written(got.unionByName(standing.join(moved, "gap", "left_semi").select("code")).distinct(), "touched")
         # Evidence of claims by refs: where a raw fact was mapped, the next one takes its place.
@@ -327,13 +377,10 @@ def close_rounds(gaps: DataFrame, facts: DataFrame, raw: DataFrame, unplaced: Da
         again = F.coalesce("__touched", F.lit(False)) | F.col("target_period").isNotNull() | F.coalesce("__hit", F.lit(False))
         standing = written(flags.withColumn("__again", again).drop("__touched", "__hit"), "standing")
         asked = standing.filter("__again").select(*own, F.coalesce("target_period", "period").alias("period"), (F.col("__moved") | F.col("target_period").isNotNull()).alias("__moved"), "__round")
-
-
-def _as_mapped(facts: DataFrame, mapped: DataFrame, held: int) -> DataFrame:
-    """facts with the codes that they were mapped to; only those without a code meet the claims."""
-    got = mapped.filter(F.col("held") == held).select("fact_id", F.col("code").alias("__c"))
-    free = facts.filter(_text("code") == "").join(got, "fact_id", "left")
-    changed = {"code": F.coalesce("__c", "code")}
-    if "scope" in facts.columns:
-        changed |= {"scope": F.when(F.col("__c").isNotNull(), EXPORTED[0]).otherwise(F.col("scope")), "unplaced": F.when(F.col("__c").isNotNull(), "").otherwise(F.col("unplaced"))}
-    return facts.filter(_text("code") != "").unionByName(free.withColumns(changed).drop("__c"))
+        # Gaps whose code is touched may have any facts; of the others no fact of their code counts.
+        codes = written(_sieve(asked, "code"), "sieve")
+        near = _sieved(coded.unionByName(gained), "code", codes)
+        if blank:
+            near = near.unionByName(_without(free, mapped.filter("held = 0"), "fact_id"))
+        near = written(near.join(placed.withColumn("__ok", F.lit(True)), "fact_id", "left").withColumn("unplaced", F.when(F.col("__ok"), "").otherwise(F.col("unplaced"))).drop("__ok"), "near")
+        rest, made = _sieved(all_rest, "code", codes).join(placed, "fact_id", "left_anti"), _sieved(all_made, "code", codes)

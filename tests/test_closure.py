@@ -240,3 +240,16 @@ def test_later_rounds_ask_only_what_changed(spark, monkeypatch):
     d = tables(spark, drawn(4))
     closure.close_rounds(*[d[n] for n in SOURCES], d["aliases"])
     assert asked[0] == 40 and len(asked) > 1 and max(asked[1:]) < 40
+
+
+def test_rounds_read_their_tables_before_the_first_one_only(spark, monkeypatch, tmp_path):
+    d = tables(spark, drawn(4))
+    for n, df in d.items():
+        df.write.parquet(str(tmp_path / n))
+    d = {n: spark.read.parquet(str(tmp_path / n)) for n in d}
+    steps, write = [], closure.written
+    monkeypatch.setattr(closure, "written", lambda df, name: steps.append((name, any(str(tmp_path) in f for f in df.inputFiles()))) or write(df, name))
+    closure.close_rounds(*[d[n] for n in SOURCES], d["aliases"])
+    names = [n for n, _ in steps]
+    later = steps[names.index("investigated") + 1 :]
+    assert names.count("investigated") > 1 and [n for n, read in later if read] == []
