@@ -97,7 +97,9 @@ def _sieved(rows: DataFrame, name: str, sieve: DataFrame, wanted: bool = True) -
 def _without(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     """rows but for those whose text is in gone; only rows that may be are shuffled."""
     sieve = _sieve(gone, name)
-    return _sieved(rows, name, sieve, False).unionByName(_sieved(rows, name, sieve).join(gone.select(name).distinct(), name, "left_anti"))
+    # Not an anti join, which Spark would move ahead of the sieve.
+    met = _sieved(rows, name, sieve).join(gone.select(name).distinct().withColumn("__gone", F.lit(True)), name, "left").filter("__gone IS NULL").drop("__gone")
+    return _sieved(rows, name, sieve, False).unionByName(met)
 
 
 def _same_place(facts: DataFrame, unplaced: DataFrame, derived: DataFrame) -> DataFrame:
@@ -143,19 +145,20 @@ def _same_amount(raw: DataFrame, review: DataFrame) -> DataFrame:
 
 
 def _named(gaps: DataFrame, issues: DataFrame) -> DataFrame:
-    """(code, told): issues whose message holds a gap's code: messages are cut into pieces as long as codes
-    are, and pieces meet codes by equality. The lengths of codes are the only thing that the driver sees."""
+    """(code, told): issues whose message holds a gap's code: messages are cut into pieces that are as long as codes and
+    begin as they do, and pieces meet codes by equality. The driver sees only the lengths and first characters of codes."""
     codes = gaps.select(_text("code").alias("code")).filter("code <> ''").distinct()
-    sizes = sorted(r[0] for r in codes.select(F.length("code")).distinct().collect())
+    heads = codes.groupBy(F.length("code").alias("n")).agg(F.collect_set(F.substring("code", 1, 1)).alias("heads")).collect()
     told = issues.withColumn("__m", _text("message"))
 
-    def pieces_of(k: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length("__m") - (k - 1))
+    def pieces_of(k: int, first: list[str]) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.length("__m") - (k - 1)), lambda i: F.substring(F.col("__m"), i, F.lit(1)).isin(first))
         return F.when(F.length("__m") >= k, F.transform(starts, lambda i: F.substring(F.col("__m"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
-    pieces = [pieces_of(k) for k in sizes]
+    pieces = [pieces_of(r.n, sorted(r.heads)) for r in sorted(heads)]
     spread = told.withColumn("code", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *pieces)))).drop("__m")
-    rows = _seen(_sieved(spread, "code", _sieve(codes, "code")).join(codes, "code", "left_semi"), "issue_id", 7)
+    # Not a semi join, which Spark would move ahead of the sieve and so shuffle every piece.
+    rows = _seen(_sieved(spread, "code", _sieve(codes, "code")).join(codes, "code"), "issue_id", 7)
     return _together(_first(rows, ["code"]), ["code"]).withColumnRenamed("evidence", "told")
 
 
@@ -322,7 +325,7 @@ def close_rounds(gaps: DataFrame, facts: DataFrame, raw: DataFrame, unplaced: Da
     free, free_raw = (written(narrow(df.filter(_text("code") == "")), "free") for df in (facts, raw))
     # A fact that is to be placed has a gap's code, or stands among those without a place and among facts.
     named_rest = all_rest.select("fact_id").distinct()
-    there = _sieved(facts.select("fact_id"), "fact_id", _sieve(named_rest, "fact_id")).join(named_rest, "fact_id", "left_semi")
+    there = _sieved(facts.select("fact_id"), "fact_id", _sieve(named_rest, "fact_id")).join(named_rest, "fact_id")
     for df in (coded, free) if blank else (coded,):
         there = there.unionByName(df.filter(_text("unplaced") != "").select("fact_id"))
     there = written(there, "there")
@@ -367,7 +370,7 @@ def close_rounds(gaps: DataFrame, facts: DataFrame, raw: DataFrame, unplaced: Da
         got = takes.select("code").unionByName(takes.select(F.lit("").alias("code")).limit(1)).unionByName(done.select("code"))
         where = _sieve(last, "fact_id")
         for df in (coded, gained, all_rest, *([free] if blank else [])):
-            got = got.unionByName(_sieved(df, "fact_id", where).join(last, "fact_id", "left_semi").select(_text("code").alias("code")))
+            got = got.unionByName(_sieved(df, "fact_id", where).join(last, "fact_id").select(_text("code").alias("code")))
         moved = done.filter("fix = 'period_role_fix'").select("gap", "target_period")
         touched = written(got.unionByName(standing.join(moved, "gap", "left_semi").select("code")).distinct(), "touched")
         # Evidence of claims by refs: where a raw fact was mapped, the next one takes its place.

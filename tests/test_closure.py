@@ -253,3 +253,15 @@ def test_rounds_read_their_tables_before_the_first_one_only(spark, monkeypatch,
     names = [n for n, _ in steps]
     later = steps[names.index("investigated") + 1 :]
     assert names.count("investigated") > 1 and [n for n, read in later if read] == []
+
+
+def test_pieces_of_messages_are_sieved_before_they_are_shuffled(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = tables(spark, drawn(4))
+        told = closure._named(d["gaps"], d["issues"])
+        text = told._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Joins nest, the outer one first: the sieve is below the codes' join.
+    assert "LeftSemi" not in text and text.index("Join Inner, (code") < text.index("__word#")
